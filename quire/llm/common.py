@@ -53,3 +53,62 @@ def with_outputs(row: str, df: DataFrame, **out: Column) -> DataFrame:
     """The fields of struct column `row`, then `out`; an output replaces an input column of the same name."""
     fields = [f for f in df.schema[row].dataType.names if f.lower() not in {k.lower() for k in out}]
     return df.select(*[F.col(row)[f].alias(f) for f in fields], *[c.alias(k) for k, c in out.items()])
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on long columns `keys` that AQE can split where a key is hot.
+
+    `right` often comes out of an aggregation on the same keys; joining on the
+    keys as they are would reuse that partitioning, and then no partition could
+    be split. Joining on their complements makes Spark deal out both sides anew.
+    """
+    turned = {f"_turned{i}": F.bitwise_not(F.col(k)) for i, k in enumerate(keys)}
+    return left.withColumns(turned).join(right.withColumns(turned).drop(*keys), list(turned), how).drop(*turned)
+
+
+def slices(batch, column: str, most: int = 8 << 20):
+    """Consecutive slices of an Arrow batch whose `column` holds about `most` bytes at the most, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if batch.num_rows == 0:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        upto = max(upto, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def map_texts(docs: DataFrame, work, outputs: dict[str, str], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Run `work(texts)` over slices of rows in Arrow batches and add its columns.
+
+    `work` is made once a task by calling it without arguments and then gets
+    lists of strings (None for null) and returns {column: list or Arrow array}.
+    `carry`: the input columns to keep (default: all).
+    """
+    from pyspark.sql.types import StructType
+
+    carry = docs.columns if carry is None else carry
+    packed = docs.select(F.col(text_col).alias("_text"), F.struct(*carry, F.lit(0).alias("_pad")).alias("_row"))
+    schema = StructType([packed.schema["_row"]])
+    for name, kind in outputs.items():
+        schema = schema.add(f"_o_{name}", kind)
+    names = list(outputs)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        do = work()
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                got = do(part.column("_text").to_pylist())
+                cols = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], kinds.field(f"_o_{n}").type) for n in names]
+                yield pa.RecordBatch.from_arrays([part.column("_row"), *cols], names=["_row", *[f"_o_{n}" for n in names]])
+
+    out = packed.mapInArrow(run, schema)
+    return with_outputs("_row", out, **{n: F.col(f"_o_{n}") for n in names}).drop("_pad")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import lines, mixing
+from quire.llm import bpe, lines, mixing
 from quire.session import table
 
 
@@ -77,5 +77,13 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, r.source_size, r.target,
 FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op7_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(docs, tokens, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), carry=["doc_id"])
+
+
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
