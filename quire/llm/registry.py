@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, lines, mixing
+from quire.llm import bpe, lines, mixing, simhash
 from quire.session import table
 
 
@@ -85,5 +85,10 @@ def op7_byte_bpe(spark, sf_dir):
     return bpe.encode(docs, tokens, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"), carry=["doc_id"])
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op9_simhash(spark, sf_dir):
+    out = simhash.near_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
