@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD, with_outputs
+from quire.llm.common import WORD, store, with_outputs
 
 #: The weights that sources get in code point order, again and again.
 WEIGHTS = (5, 2, 1)
@@ -50,21 +50,22 @@ def draw(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The input columns, and `size`, `source_size` long, `target` double, `copies` int, `taken` long.
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """The columns of `carry` (default: all of the input), and `size`, `source_size` long, `target` double, `copies` int, `taken` long.
 
     `copies` is the whole part of the source's rate (target / source size),
     and one more if the document's draw is below the fraction. Null text has
     size 0. Null is a source like any other, last in order; sources without words
     have target 0 and take nothing. Rows with the same id draw alike; a null id
     draws as an empty one. No rows: no rows. Input columns with the names of outputs are replaced.
-    Rows keep their place: the table of sources joins onto them, broadcast only if Spark finds it
-    below its own threshold, else by a shuffle whose hot sources AQE splits.
+    The table of sources is written first, so Spark knows its size when it plans the join onto the documents: below
+    spark.sql.autoBroadcastJoinThreshold it is broadcast and the documents stay where they are; above, both sides are
+    shuffled and AQE splits hot sources.
     """
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long")
-    targets = source_targets(docs.select(F.col(source_col).alias("_source"), size.alias("_size")), weights, share, most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), F.struct("*").alias("_row"))
+    targets = store(source_targets(docs.select(F.col(source_col).alias("_source"), size.alias("_size")), weights, share, most), "targets")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), F.struct(*(docs.columns if carry is None else carry)).alias("_row"))
     out = rows.join(targets, F.col("_src").eqNullSafe(F.col("_source")))
     whole = F.floor("_rate").cast("int")
     out = out.withColumn("_n", whole + (draw(F.col("_id"), seed) < F.col("_rate") - whole).cast("int"))

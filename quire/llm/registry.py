@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, lines, mixing, simhash
+from quire.llm import bpe, iso, langid, lines, mixing, simhash
 from quire.session import table
 
 
@@ -44,7 +44,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def op4_source_mix(spark, sf_dir):
-    out = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    out = mixing.plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
@@ -90,5 +90,17 @@ def op9_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    out = langid.identify(docs, model, carry=["doc_id"])
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_media_columns(spark, sf_dir):
+    digests = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return iso.media_columns(table(spark, sf_dir, "documents"), digests, carry=["doc_id"])
+
+
+QUERIES = {"op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
