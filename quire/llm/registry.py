@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, iso, langid, lines, mixing, simhash
+from quire.llm import bpe, iso, langid, lines, lm, mixing, simhash
 from quire.session import table
 
 
@@ -102,5 +102,12 @@ def op6_media_columns(spark, sf_dir):
     return iso.media_columns(table(spark, sf_dir, "documents"), digests, carry=["doc_id"])
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op2_context_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out(parts=7, part=2)
+    out = lm.score(docs, ~held, carry=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+QUERIES = {"op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
