@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, iso, langid, lines, lm, mixing, simhash
+from quire.llm import ann, bpe, hilbert, iso, langid, lines, lm, mixing, simhash
 from quire.session import table
 
 
@@ -109,5 +109,13 @@ def op2_context_mixing(spark, sf_dir):
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {"op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op5_one_bit_codes(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_hilbert_shards(spark, sf_dir):
+    return hilbert.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+QUERIES = {"op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
