@@ -93,10 +93,8 @@ def map_texts(docs: DataFrame, work, outputs: dict[str, str], text_col: str = "t
 
     carry = docs.columns if carry is None else carry
     packed = docs.select(F.col(text_col).alias("_text"), F.struct(*carry, F.lit(0).alias("_pad")).alias("_row"))
-    schema = StructType([packed.schema["_row"]])
-    for name, kind in outputs.items():
-        schema = schema.add(f"_o_{name}", kind)
     names = list(outputs)
+    schema = StructType([packed.schema["_row"], *StructType.fromDDL(", ".join(f"_o_{n} {kind}" for n, kind in outputs.items())).fields])
 
     def run(batches):
         import pyarrow as pa

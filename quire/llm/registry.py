@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, hilbert, iso, langid, lines, lm, mixing, simhash
+from quire.llm import ann, bpe, hilbert, iso, langid, licences, lines, lm, mixing, simhash
 from quire.session import table
 
 
@@ -117,5 +117,10 @@ def op8_hilbert_shards(spark, sf_dir):
     return hilbert.shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
-QUERIES = {"op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+def op10_license_scan(spark, sf_dir):
+    out = licences.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "license", "dice", "first_word", "end_word", F.size("matches").alias("n_matches"))
+
+
+QUERIES = {"op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
