@@ -1,8 +1,74 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing, byte-level BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Stages but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, langid, lines, mixing, simhash
+from quire.llm.common import skew_join, store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is recognised; those without letters or without a known n-gram go.
+
+    Texts, labels and all else stay as they are, whatever language was found.
+    """
+    model = langid.learn(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select(*COLUMNS), model)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") > 0)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take later occurrences of repeated three-line windows out of the texts; documents of which nothing is left go."""
+    out = lines.dedup_lines(docs.select(*COLUMNS))
+    emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
+    out = out.where(~F.coalesce(emptied, F.lit(False)))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each SimHash component (rows with a null id stay; of rows with the same id, one)."""
+    classes = simhash.near_components(docs.select("doc_id", "text"))
+    kept = store(classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
+    ided = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
+    one = ided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = skew_join(ided, kept, ["doc_id"])
+    if one.limit(1).count():  # ids that repeat: one row of each, the first by text
+        out = out.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_r")).select("doc_id", "_r.*")
+    return out.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull())).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents towards the target weights of their sources."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every copy: doc_id, source, ids, n_tokens, and the SHA-256 of ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, ("ids", "n_tokens", "ids_sha256", "decoded_sha256"), carry=["doc_id", "source"])
+
+
+STAGES = [("language ID", language), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("mixing", mixing_stage), ("byte-level BPE", tokens)]
+
+#: SQL can express neither the trained language stage nor the SimHash and BPE stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = store(docs, f"stage{i + 1}")
+    return docs
