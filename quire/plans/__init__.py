@@ -1 +1 @@
-"""See the modules of this folder."""
+"""Translation plans: making them, checking them, and joining them back to their documents."""

@@ -1,9 +1,655 @@
-"""The queries of the library's own operators, and their SQL."""
+"""The queries of the library's own operators over the test tables, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.functions import geometry, ids, predicates, text
+from quire.operators import chunks, events, formulas, integrity, jobs, layout, sections
+from quire.plans import translation
+from quire.session import table
+from quire.sources.files import html_pages
+from quire.sources.text import text_blocks, virtual_pages
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(sql: str | None = None):
+    """Register a function under its own name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the tables as documents, boxes and logs ---------------------------------------------------
+
+
+def line_blocks(spark, sf_dir):
+    """Lines of documents as blocks: `doc_id`, `pos`, `text`, `role`."""
+    return text_blocks(table(spark, sf_dir, "documents"), by="line")
+
+
+LINES = r"""
+raw AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS t, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS k FROM documents),
+clean AS (SELECT doc_id, k, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM raw),
+placed AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS pos, text FROM clean WHERE text <> ''),
+lines AS (SELECT *, CASE WHEN pos = 0 AND len(text) <= 120 THEN 'title' WHEN regexp_matches(text, '^(?i:abstract|摘要)\b') THEN 'abstract'
+  WHEN len(text) <= 90 AND right(text, 1) NOT IN ('.', '。', '!', '！', '?', '？') THEN 'heading' ELSE 'paragraph' END AS role FROM placed)
+"""
+
+
+def boxes(spark, sf_dir):
+    """Line items as boxes on the page of their order: `doc_id`, `page_id`, `item_id`, `ord`, `kind`, `box`."""
+    i = table(spark, sf_dir, "lineitem")
+    x0 = (F.col("l_partkey") % 400).cast("double")
+    y0 = ((F.col("l_suppkey") * 37 + F.col("l_linenumber") * 61) % 600).cast("double")
+    box = F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("l_quantity") * 2).alias("x1"), (y0 + 8 + F.col("l_partkey") % 60).alias("y1"))
+    item = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
+    kind = F.when(F.col("l_returnflag") == "A", "figure").when(F.col("l_returnflag") == "R", "table").otherwise("text")
+    return i.select(F.floor(F.col("l_orderkey") / 4).cast("long").alias("doc_id"), F.col("l_orderkey").alias("page_id"), item.alias("item_id"), kind.alias("kind"), box.alias("box")).withColumn("ord", F.col("item_id")).dropDuplicates(["doc_id", "page_id", "item_id", "kind"])
+
+
+def box_pages(spark, sf_dir):
+    """Orders as pages of 560 x 700 points."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.floor(F.col("o_orderkey") / 4).cast("long").alias("doc_id"), F.col("o_orderkey").alias("page_id"), (F.col("o_orderkey") % 4).alias("page_index"), F.lit(560.0).alias("width"), F.lit(700.0).alias("height"))
+
+
+BOXES = """
+boxes AS (SELECT DISTINCT CAST(floor(l_orderkey / 4) AS BIGINT) AS doc_id, l_orderkey AS page_id,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS item_id,
+  CASE l_returnflag WHEN 'A' THEN 'figure' WHEN 'R' THEN 'table' ELSE 'text' END AS kind,
+  CAST(l_partkey % 400 AS DOUBLE) AS x0, CAST((l_suppkey * 37 + l_linenumber * 61) % 600 AS DOUBLE) AS y0,
+  CAST(l_partkey % 400 AS DOUBLE) + 20 + l_quantity * 2 AS x1, CAST((l_suppkey * 37 + l_linenumber * 61) % 600 AS DOUBLE) + 8 + l_partkey % 60 AS y1 FROM lineitem),
+pages_ AS (SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc_id, o_orderkey AS page_id, o_orderkey % 4 AS page_index, 560.0::DOUBLE AS width, 700.0::DOUBLE AS height FROM orders)
+"""
+SHARE = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))"
+
+
+def ref_texts(spark, sf_dir):
+    """Events as texts that refer to formulas: `doc_id` (the user), `pos`, `location`, `text`."""
+    e = table(spark, sf_dir, "events")
+    body = F.concat(F.lit("see {{formula:"), "event_type", F.lit("}} and {{formula:F"), (F.col("event_id") % 5).cast("string"), F.lit("}} or {{formula:"), "event_type", F.lit("}}"))
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("location"), body.alias("text"))
+
+
+def ref_formulas(spark, sf_dir):
+    """Formulas of users: the types of their events, but for errors, and F1."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("formula_id")).where("formula_id <> 'error'").distinct()
+    return e.unionByName(e.select("doc_id", F.lit("F1").alias("formula_id")).distinct()).withColumn("latex", F.concat(F.lit("x_{"), "formula_id", F.lit("}")))
+
+
+REFS = r"""
+texts AS (SELECT user_id AS doc_id, event_id AS pos, 'event ' || event_id AS location,
+  'see {{formula:' || event_type || '}} and {{formula:F' || (event_id % 5) || '}} or {{formula:' || event_type || '}}' AS text FROM events),
+types AS (SELECT DISTINCT user_id AS doc_id, event_type AS formula_id FROM events WHERE event_type <> 'error'),
+formulas AS (SELECT *, 'x_{' || formula_id || '}' AS latex FROM (SELECT * FROM types UNION ALL SELECT DISTINCT doc_id, 'F1' FROM types))
+"""
+
+
 def entry(spark, sf_dir):
-    """The flagship query."""
-    raise NotImplementedError
+    """Texts to blocks, chunks, a plan, its check, and a report per document."""
+    return plan_report(spark, sf_dir)
+
+
+# --- sources, roles, tokens -----------------------------------------------------------------------
+
+
+@query(r"""
+WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n\s*\n+'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '') AS p FROM documents),
+each_one AS (SELECT doc_id, unnest(p) AS text, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos FROM parts)
+SELECT doc_id, pos, md5(text) AS text_md5, CASE WHEN pos = 0 AND len(text) <= 120 THEN 'title' WHEN regexp_matches(text, '^(?i:abstract|摘要)\b') THEN 'abstract'
+  WHEN len(text) <= 90 AND right(text, 1) NOT IN ('.', '。', '!', '！', '?', '？') THEN 'heading' ELSE 'paragraph' END AS role FROM each_one
+""")
+def io05_paragraph_blocks(spark, sf_dir):
+    out = text_blocks(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "pos", F.md5(F.col("text").cast("binary")).alias("text_md5"), "role")
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, text, role FROM lines")
+def io05_line_blocks(spark, sf_dir):
+    return line_blocks(spark, sf_dir)
+
+
+@query(
+    f"""
+WITH RECURSIVE {LINES},
+sized AS (SELECT doc_id, pos, role, greatest(24.0::DOUBLE, greatest(1, len(text) // 48 + 1) * 10.5::DOUBLE * CASE WHEN role IN ('title', 'heading') THEN 1.4::DOUBLE ELSE 1.25::DOUBLE END) AS h FROM lines),
+fold AS (
+  SELECT doc_id, pos, role, 1 AS page_no, 54.0::DOUBLE AS y0, h, 54.0::DOUBLE + h + 10.0 AS next_y FROM sized WHERE pos = 0
+  UNION ALL
+  SELECT s.doc_id, s.pos, s.role, CASE WHEN f.next_y + s.h > 738.0 THEN f.page_no + 1 ELSE f.page_no END,
+    CASE WHEN f.next_y + s.h > 738.0 THEN 54.0::DOUBLE ELSE f.next_y END, s.h, CASE WHEN f.next_y + s.h > 738.0 THEN 54.0::DOUBLE ELSE f.next_y END + s.h + 10.0
+  FROM fold f JOIN sized s ON s.doc_id = f.doc_id AND s.pos = f.pos + 1)
+SELECT doc_id, pos, role, page_no, y0, least(738.0::DOUBLE, y0 + h) AS y1 FROM fold
+"""
+)
+def io06_virtual_pages(spark, sf_dir):
+    return virtual_pages(line_blocks(spark, sf_dir)).select("doc_id", "pos", "role", "page_no", "y0", "y1")
+
+
+@query(
+    rf"""
+WITH {LINES}, f AS (SELECT *, pos // 20 AS page_index, pos % 20 AS block_index, 8 + pos % 6 AS size, lower(text) AS low FROM lines),
+g AS (SELECT *, (contains(text, '=') OR regexp_matches(text, '[≤≥∑∫]') OR regexp_matches(text, '\b\d+\s*[+\-*/]\s*\d+\b') OR regexp_matches(text, '\b[A-Za-zα-ωΑ-Ω]\s*[+\-*/]\s*[A-Za-z0-9α-ωΑ-Ω]\b')) AS op FROM f)
+SELECT doc_id, pos, CASE WHEN page_index = 0 AND block_index = 0 THEN 'title' WHEN regexp_matches(low, '^abstract\.?$') OR starts_with(low, 'abstract ') THEN 'abstract'
+  WHEN regexp_matches(text, '(?i)^\s*(?:(?:fig\.|figure|table)\s*[A-Z]?\d+(?:[.\-][A-Za-z0-9]+)*\s*[.:：)])') THEN 'caption'
+  WHEN regexp_matches(low, '^(references|bibliography|works cited)\.?$') OR regexp_matches(text, '^\[\d+\]') THEN 'reference'
+  WHEN op AND NOT regexp_matches(text, '(?i)\s+(?:and|are|as|defined\s+as|due\s+to|equation|for|from|holds?|in|into\s+the|is|notably|preventing|ratio\s+of|represents?|resulting|scaled|shown|the|then|thus|to|unlike|where|which|while|with)\b')
+    AND NOT regexp_matches(text, '\b[A-Za-z]{{4,}}\b(?:[\s,-]+\b[A-Za-z]{{4,}}\b){{2,}}') AND regexp_matches(text, '^[A-Za-z0-9\s+\-*/=().,<>\[\]{{}}\\≤≥∑∫α-ωΑ-Ω^_]+$') THEN 'formula'
+  WHEN regexp_matches(text, '^\(?\d+(?:\.\d+)*\)?\s+[A-Z]') AND len(text) < 120 THEN 'heading'
+  WHEN regexp_matches(text, '^\d+\.\s+\S+') AND regexp_matches(text, '\b(19|20)\d{{2}}[a-z]?\b') THEN 'reference'
+  WHEN len(text) < 90 AND size >= 12 THEN 'heading' ELSE 'paragraph' END AS role FROM g
+"""
+)
+def pf01_block_roles(spark, sf_dir):
+    b = line_blocks(spark, sf_dir)
+    role = predicates.block_role(F.col("text"), F.floor(F.col("pos") / 20), F.col("pos") % 20, 8 + F.col("pos") % 6)
+    return b.select("doc_id", "pos", role.alias("role"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, regexp_matches(text, '^[×+\\-*/=·\\s]+$') OR lower(text) IN ('dx', 'n', 'vn', 'ω') OR NOT regexp_matches(text, '[A-Za-z0-9α-ωΑ-Ω∂∇∫∑=+\\-*/^_]') AS noise FROM lines")
+def pf05_noise(spark, sf_dir):
+    return line_blocks(spark, sf_dir).select("doc_id", "pos", predicates.noise(F.col("text")).alias("noise"))
+
+
+TOKENS = text.TOKEN.replace("'", "''")
+
+
+@query(
+    f"""
+SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(text, '{TOKENS}', 0), lambda t: trim(t))),
+  lambda t: {{'at': instr(text, t), 'n': -len(t), 't': t}})), lambda s: s.t), ' | ') AS tokens FROM documents
+"""
+)
+def sl01_preserve_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.preserve_tokens(F.col("text")), " | ").alias("tokens"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def st23_strip_tags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, CASE WHEN len(text) <= 60 THEN text ELSE rtrim(text[1:59]) || '…' END AS short FROM lines")
+def st19_compact(spark, sf_dir):
+    return line_blocks(spark, sf_dir).select("doc_id", "pos", text.compact(F.col("text"), 60).alias("short"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-￯]')) * 1.0 + len(regexp_extract_all(text, '\s')) * 0.3 + len(regexp_extract_all(text, '[A-Z]')) * 0.65 + (len(text) - len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-￯]')) - len(regexp_extract_all(text, '\s')) - len(regexp_extract_all(text, '[A-Z]'))) * 0.5 AS ems FROM documents".replace(" * 1.0", " * 1.0::DOUBLE").replace("0.3 ", "0.3::DOUBLE ").replace("0.65 ", "0.65::DOUBLE ").replace("0.5 ", "0.5::DOUBLE "))
+def st24_width_units(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.width_units(F.col("text")).alias("ems"))
+
+
+@query("SELECT event_id, user_id || ':' || substr(sha1(user_id || '|' || event_type || '|' || coalesce(props, '')), 1, 12) AS id FROM events")
+def hs02_stable_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", ids.stable_id(F.concat(F.col("user_id").cast("string"), F.lit(":")), F.col("user_id"), F.col("event_type"), F.col("props")).alias("id"))
+
+
+# --- sections and intents --------------------------------------------------------------------------
+
+
+def _kind_sql() -> str:
+    out = []
+    for name, where, pattern, role in predicates.SECTION_RULES:
+        tests = ([f"role = '{role}'"] if role else []) + ([f"regexp_matches(short, '(?i){'^' if where == 'start' else ''}(?:{pattern})')"] if pattern else [])
+        out.append(f"WHEN {' OR '.join(tests)} THEN '{name}'")
+    return f"CASE {' '.join(out)} ELSE 'body' END"
+
+
+SECTIONS = rf"""{LINES}, shorted AS (SELECT *, CASE WHEN len(text) <= 140 THEN text ELSE rtrim(text[1:139]) || '…' END AS short, CASE WHEN len(text) <= 100 THEN text ELSE rtrim(text[1:99]) || '…' END AS name FROM lines),
+kinded AS (SELECT *, {_kind_sql()} AS kind FROM shorted),
+sections AS (SELECT doc_id, printf('%s_%02d', kind, pos + 1) AS section_id, pos, kind, CASE WHEN kind = 'body' THEN '' ELSE name END AS title,
+  CASE WHEN kind IN ({", ".join(f"'{k}'" for k in predicates.FIRST_LEVEL)}) OR role = 'heading' THEN 1 ELSE 2 END AS level FROM kinded)"""
+
+
+@query(f"WITH {SECTIONS} SELECT * FROM sections")
+def pf14_sections(spark, sf_dir):
+    return sections.sections(line_blocks(spark, sf_dir)).drop("flags")
+
+
+@query(f"WITH {SECTIONS} SELECT doc_id, coalesce(string_agg(CASE WHEN kind = 'title' THEN section_id END, ',' ORDER BY pos), '') AS titles, coalesce(string_agg(CASE WHEN kind = 'heading' THEN section_id END, ',' ORDER BY pos), '') AS headings FROM sections GROUP BY doc_id")
+def so05_sections_by_kind(spark, sf_dir):
+    out = sections.by_kind(sections.sections(line_blocks(spark, sf_dir)), ["title", "heading"])
+    return out.select("doc_id", F.array_join("title", ",").alias("titles"), F.array_join("heading", ",").alias("headings"))
+
+
+def _requirements_sql() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{r}' AS requirement_id, '{c}' AS category, [{', '.join(repr(x) for x in k)}] AS kinds FROM documents WHERE regexp_matches(lower(text), '{p}')" for r, c, k, p in sections.REQUIREMENTS)
+
+
+@query(
+    f"""
+WITH {SECTIONS}, wanted AS ({_requirements_sql()}), present AS (SELECT DISTINCT doc_id, kind FROM sections),
+each_kind AS (SELECT doc_id, requirement_id, category, unnest(kinds) AS kind FROM wanted)
+SELECT e.doc_id, e.requirement_id, e.category, CASE WHEN count(*) FILTER (p.kind IS NULL) = 0 THEN 'satisfied' ELSE 'missing' END AS status,
+  coalesce(string_agg(e.kind, ',' ORDER BY e.kind) FILTER (p.kind IS NULL), '') AS missing
+FROM each_kind e LEFT JOIN present p ON e.doc_id = p.doc_id AND e.kind = p.kind GROUP BY ALL
+"""
+)
+def j17_requirement_coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("instruction"))
+    out = sections.coverage(sections.requirements(docs), sections.sections(line_blocks(spark, sf_dir)))
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+@query(
+    r"""
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'undergraduate\s+thesis|\bthesis\b') THEN 'undergraduate_thesis' WHEN regexp_matches(lower(text), 'social\s+practice\s+report') THEN 'social_practice_report'
+  WHEN regexp_matches(lower(text), 'group\s+course\s+assignment|group\s+assignment') THEN 'group_assignment' WHEN regexp_matches(lower(text), 'book\s+report') THEN 'book_report'
+  WHEN regexp_matches(lower(text), 'lab(?:oratory)?\s+report|experiment\s+report') THEN 'lab_report' WHEN regexp_matches(lower(text), 'proposal\s+report|research\s+proposal') THEN 'proposal_report'
+  WHEN regexp_matches(lower(text), 'course\s+paper|term\s+paper') THEN 'course_paper' WHEN regexp_matches(lower(text), 'homework|assignment') THEN 'homework' ELSE 'generic_academic' END AS document_kind,
+  CASE WHEN regexp_matches(lower(text), '\bapa\b') THEN 'apa' WHEN regexp_matches(lower(text), '\bmla\b') THEN 'mla' WHEN regexp_matches(lower(text), '\bieee\b') THEN 'ieee' WHEN regexp_matches(lower(text), '\bchicago\b') THEN 'chicago' ELSE 'auto' END AS citation_style
+FROM conversations
+"""
+)
+def pf17_intents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", predicates.first_rule(F.col("text"), predicates.DOCUMENT_KINDS, "generic_academic").alias("document_kind"), predicates.first_rule(F.col("text"), predicates.CITATION_STYLES, "auto").alias("citation_style"))
+
+
+@query(
+    f"""
+WITH {LINES}, by_role AS (SELECT doc_id, role, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS c FROM lines GROUP BY doc_id, role)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_blocks, CAST(sum(c) + sum(n) - 1 AS BIGINT) AS n_chars, string_agg(role || '=' || n, ',' ORDER BY role) AS roles FROM by_role GROUP BY doc_id
+"""
+)
+def ag01_document_counts(spark, sf_dir):
+    out = sections.document_counts(line_blocks(spark, sf_dir))
+    return out.withColumn("roles", F.array_join(F.transform(F.map_entries("roles"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+# --- chunks and plans -------------------------------------------------------------------------------
+
+CHUNKS = f"""{LINES},
+fold AS (
+  SELECT doc_id, pos, role, 1 AS chunk_no, 1 AS n, CAST(len(text) AS BIGINT) AS chars FROM lines WHERE pos = 0
+  UNION ALL
+  SELECT doc_id, pos, role, chunk_no + cut, CASE WHEN cut = 1 THEN 1 ELSE n + 1 END, CASE WHEN cut = 1 THEN size ELSE chars + size + 1 END
+  FROM (SELECT b.doc_id, b.pos, b.role, f.chunk_no, f.n, f.chars, len(b.text) AS size,
+    CASE WHEN b.role IN ('title', 'heading') OR (f.chars + len(b.text) + 1 > 600 AND NOT (f.role IN ('title', 'heading') AND f.n = 1)) THEN 1 ELSE 0 END AS cut
+    FROM fold f JOIN lines b ON b.doc_id = f.doc_id AND b.pos = f.pos + 1)),
+chunked AS (SELECT f.doc_id, f.pos, f.role, f.chunk_no, l.text FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.pos = f.pos)"""
+
+
+def source_blocks(spark, sf_dir):
+    return chunks.source_blocks(line_blocks(spark, sf_dir), 600)
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, pos, chunk_no FROM chunked")
+def w03_chunks(spark, sf_dir):
+    return chunks.assign_chunks(line_blocks(spark, sf_dir), 600).select("doc_id", "pos", "chunk_no")
+
+
+@query(f"WITH {LINES}, t AS (SELECT *, list(CASE WHEN role IN ('title', 'heading') THEN text END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM lines) SELECT doc_id, pos, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL)[-2:], ' > '), '') AS titles FROM t")
+def w02_nearby_titles(spark, sf_dir):
+    return chunks.nearby_titles(line_blocks(spark, sf_dir)).select("doc_id", "pos", F.array_join("nearby_titles", " > ").alias("titles"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {CHUNKS}, c AS (SELECT doc_id, chunk_no, CAST(count(*) AS INTEGER) AS n_blocks, CAST(sum(len(text)) + count(*) - 1 AS BIGINT) AS n_chars,
+  array_to_string(list(text ORDER BY pos)[-2:], ' ') AS two FROM chunked GROUP BY doc_id, chunk_no)
+SELECT doc_id, printf('%d_chunk_%04d', doc_id, chunk_no) AS chunk_id, CAST(chunk_no AS INTEGER) AS index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total, n_blocks, n_chars,
+  lag(CASE WHEN len(two) <= 220 THEN two ELSE rtrim(two[1:219]) || '…' END) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS tail FROM c
+"""
+)
+def w04_chunk_context(spark, sf_dir):
+    out = chunks.chunk_rows(source_blocks(spark, sf_dir))
+    tail = F.regexp_extract("context", r"(?s)Previous chunk tail: (.*)\.\nCurrent chunk summary: ", 1)
+    return out.select("doc_id", "chunk_id", "index", "total", "n_blocks", "n_chars", F.when(tail != "", tail).alias("tail"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no, pos, role, 'zh' AS target_lang, '【译】' || text AS translated_text, 'mock_translation' AS flag FROM chunked WHERE NOT contains(text, '=') AND NOT regexp_matches(text, '[+*/^_<>\\-\\\\]')")
+def u01_deterministic_plan(spark, sf_dir):
+    plan = translation.deterministic(source_blocks(spark, sf_dir), "zh")
+    plain = ~F.col("translated_text").contains("=") & ~F.col("translated_text").rlike(r"[+*/^_<>\-\\]")
+    return plan.where(plain).select("doc_id", "chunk_no", "pos", "role", "target_lang", "translated_text", F.col("quality_flags")[0].alias("flag"))
+
+
+def broken_plan(spark, sf_dir):
+    """A plan that lacks every 17th block, shortens every 13th and blanks every 11th."""
+    plan = translation.deterministic(source_blocks(spark, sf_dir), "fr").where("pos % 17 <> 3")
+    cut = F.when(F.col("pos") % 11 == 5, F.lit(" ")).when(F.col("pos") % 13 == 4, F.substring("translated_text", 1, 9)).otherwise(F.col("translated_text"))
+    return plan.withColumn("translated_text", cut)
+
+
+@query(f"WITH {LINES} SELECT doc_id, pos, 'missing_block' AS code FROM lines WHERE pos % 17 = 3")
+def j02_plan_coverage(spark, sf_dir):
+    out = translation.coverage_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
+    return out.where("code <> 'missing_token'").select("doc_id", "pos", "code")
+
+
+@query(
+    f"""
+WITH {LINES}, p AS (SELECT *, CASE WHEN pos % 11 = 5 THEN ' ' WHEN pos % 13 = 4 THEN ('[fr] ' || text)[1:9] ELSE '[fr] ' || text END AS t FROM lines)
+SELECT doc_id, pos, CASE WHEN pos % 17 = 3 OR trim(t) = '' THEN text ELSE t END AS shown_text,
+  CASE WHEN pos % 17 = 3 THEN 'missing_translation' WHEN trim(t) = '' THEN 'empty_translation' ELSE '' END AS flags FROM p WHERE NOT contains(text, '=') AND NOT regexp_matches(text, '[+*/^_<>\\-\\\\]')
+"""
+)
+def j01_rendered_blocks(spark, sf_dir):
+    out = translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
+    return out.join(line_blocks(spark, sf_dir).where(~F.col("text").contains("=") & ~F.col("text").rlike(r"[+*/^_<>\-\\]")).select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
+
+
+@query()
+def j19_quality_issues(spark, sf_dir):
+    return translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr")
+
+
+@query(f"WITH {LINES} SELECT doc_id, arg_min(text, pos) FILTER (role = 'title') AS title, array_to_string((list(text ORDER BY pos) FILTER (role = 'heading'))[1:6], ' | ') AS headings, array_to_string((list(text ORDER BY pos) FILTER (role = 'paragraph'))[1:3], ' | ') AS paragraphs FROM lines GROUP BY doc_id".replace("array_to_string(", "coalesce(array_to_string(").replace(", ' | ')", ", ' | '), '')"))
+def ag20_brief(spark, sf_dir):
+    return translation.brief(line_blocks(spark, sf_dir)).select("doc_id", "title", F.array_join("headings", " | ").alias("headings"), F.array_join("paragraphs", " | ").alias("paragraphs"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(max(chunk_no) AS INTEGER) AS n_chunks, count(*) AS n_blocks, CAST(0 AS BIGINT) AS n_issues FROM chunked GROUP BY doc_id")
+def plan_report(spark, sf_dir):
+    """The smallest whole path: texts, blocks, chunks, a plan, its check, a report per document."""
+    sources = source_blocks(spark, sf_dir)
+    issues = translation.coverage_issues(sources, translation.deterministic(sources, "zh")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_issues"))
+    counts = sources.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"))
+    return counts.join(issues, "doc_id", "left").select("doc_id", "n_chunks", "n_blocks", F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"))
+
+
+@query()
+def io21_html(spark, sf_dir):
+    return html_pages(translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))).select("doc_id", F.length("html").alias("n"))
+
+
+# --- integrity ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {REFS}, r AS (SELECT DISTINCT doc_id, location, unnest(regexp_extract_all(text, '\\{{\\{{formula:([A-Za-z0-9_.:-]+)\\}}\\}}', 1)) AS ref_id FROM texts) SELECT r.doc_id, CASE WHEN regexp_full_match(ref_id, 'F[A-Za-z0-9_]+') THEN 'stale_legacy_formula_ref' ELSE 'unknown_formula_ref' END AS code, location, ref_id FROM r ANTI JOIN formulas f ON r.doc_id = f.doc_id AND r.ref_id = f.formula_id")
+def j03_unknown_refs(spark, sf_dir):
+    return integrity.reference_issues(ref_texts(spark, sf_dir), ref_formulas(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH {REFS}, u AS (SELECT doc_id, list_sort(list_distinct(list(r))) AS u FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\{{\\{{formula:([A-Za-z0-9_.:-]+)\\}}\\}}', 1)) AS r FROM texts) GROUP BY doc_id),
+k AS (SELECT doc_id, list_sort(list_distinct(list(formula_id))) AS k FROM formulas GROUP BY doc_id)
+SELECT u.doc_id, array_to_string(u, ',') AS referenced, coalesce(array_to_string(list_filter(u, lambda x: k IS NULL OR NOT list_contains(k, x)), ','), '') AS unknown,
+  coalesce(array_to_string(list_filter(k, lambda x: NOT list_contains(u, x)), ','), '') AS unused, CAST(len(u) AS INTEGER) AS n_referenced FROM u LEFT JOIN k USING (doc_id)
+"""
+)
+def ag07_formula_ref_sets(spark, sf_dir):
+    out = integrity.formula_ref_sets(ref_texts(spark, sf_dir), ref_formulas(spark, sf_dir))
+    return out.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("referenced", "unknown", "unused")], "n_referenced")
+
+
+@query(
+    f"""
+WITH {REFS}, e AS (SELECT user_id AS doc_id, event_id AS pos, event_type AS a, 'F' || (event_id % 5) AS b FROM events)
+SELECT e.doc_id, e.pos, 'see ' || coalesce(fa.latex, '{{{{formula:' || a || '}}}}') || ' and ' || coalesce(fb.latex, '{{{{formula:' || b || '}}}}') || ' or ' || coalesce(fa.latex, '{{{{formula:' || a || '}}}}') AS text
+FROM e LEFT JOIN formulas fa ON fa.doc_id = e.doc_id AND fa.formula_id = e.a LEFT JOIN formulas fb ON fb.doc_id = e.doc_id AND fb.formula_id = e.b
+"""
+)
+def j20_substitute_refs(spark, sf_dir):
+    return integrity.substitute_refs(ref_texts(spark, sf_dir), ref_formulas(spark, sf_dir)).select("doc_id", "pos", "text")
+
+
+@query("SELECT l_orderkey AS doc_id, 'duplicate_item_id' AS code, CAST(l_linenumber AS VARCHAR) AS ref_id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def j08_duplicate_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber")
+    return integrity.duplicate_keys(rows, ["l_linenumber"], "item").select("doc_id", "code", "ref_id")
+
+
+@query("SELECT DISTINCT o_custkey % 7 AS doc_id, 'unknown_key' AS code, CAST(o_custkey AS VARCHAR) AS ref_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+def j08_missing_parents(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("doc_id"), F.col("o_custkey").alias("key"))
+    parents = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select((F.col("c_custkey") % 7).alias("doc_id"), F.col("c_custkey").alias("key"))
+    return integrity.missing_parents(rows, "key", parents, "order").select("doc_id", "code", "ref_id")
+
+
+# --- layout ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BOXES} SELECT a.doc_id, a.page_id, a.item_id AS first_id, b.item_id AS second_id, {SHARE} AS share FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.item_id < b.item_id WHERE {SHARE} >= 0.12")
+def j12_overlaps(spark, sf_dir):
+    return layout.overlaps(boxes(spark, sf_dir))
+
+
+@query(f"WITH {BOXES} SELECT b.doc_id, b.page_id, b.item_id FROM boxes b JOIN pages_ p USING (doc_id, page_id) WHERE b.x1 > 560.01 OR b.y1 > 700.01 OR b.x0 < -0.01 OR b.y0 < -0.01")
+def j12_outside_page(spark, sf_dir):
+    items = boxes(spark, sf_dir)
+    return layout.outside_page(items, box_pages(spark, sf_dir))
+
+
+NEAR = "greatest(0.0, b.y0 - a.y1, a.y0 - b.y1) <= 90 AND greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1.0, least(a.x1 - a.x0, b.x1 - b.x0)) >= 0.35"
+
+
+@query(f"WITH {BOXES} SELECT b.doc_id, b.page_id, b.item_id FROM boxes b WHERE b.kind = 'text' AND EXISTS (SELECT 1 FROM boxes a WHERE a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.kind <> 'text' AND {NEAR})")
+def j09_near_assets(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return layout.near_assets(b.where("kind = 'text'"), b).select("doc_id", "page_id", "item_id")
+
+
+@query(
+    f"WITH {BOXES}, h AS (SELECT b.doc_id, b.page_id, b.item_id AS candidate_id, a.item_id AS asset_id, {SHARE} AS share FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page_id = b.page_id AND a.kind <> 'text' AND b.kind = 'text') "
+    "SELECT doc_id, page_id, candidate_id, asset_id, share FROM h WHERE share >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, page_id, candidate_id ORDER BY share DESC, asset_id) = 1"
+)
+def j10_best_asset(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return layout.best_asset(b.where("kind = 'text'").withColumnRenamed("item_id", "candidate_id"), b.where("kind <> 'text'").withColumnRenamed("item_id", "asset_id"))
+
+
+@query()
+def j11_caption_pairs(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return layout.caption_pairs(b.where("kind = 'text'").withColumnRenamed("item_id", "caption_id"), b.where("kind = 'figure'").withColumnRenamed("item_id", "asset_id"))
+
+
+ORDER = """row_number() OVER (PARTITION BY b.doc_id, b.page_id ORDER BY g, round_even(b.y0 / 8, 0), CASE WHEN two THEN round_even(b.y0, 1) ELSE round_even(b.x0, 1) END, CASE WHEN two THEN round_even(b.x0, 1) ELSE round_even(b.y0, 1) END, round_even(b.x1 - b.x0, 1), b.item_id) - 1"""
+
+
+@query(
+    f"""
+WITH {BOXES}, f AS (SELECT b.*, p.width AS w, (b.x1 - b.x0) <= p.width * 0.58 AND NOT ((b.x1 - b.x0) < 14 AND b.y1 - b.y0 > 40) AS body, (b.x0 + b.x1) / 2 < p.width / 2 AS lft FROM boxes b JOIN pages_ p USING (doc_id, page_id)),
+s AS (SELECT doc_id, page_id, count(*) >= 3 AND coalesce(max(x1) FILTER (body AND lft) - min(x0) FILTER (body AND lft) < max(w) * 0.58 AND max(x1) FILTER (body AND NOT lft) - min(x0) FILTER (body AND NOT lft) < max(w) * 0.58, false) AS two, min(y0) FILTER (body) AS top, max(y1) FILTER (body) AS bottom FROM f GROUP BY doc_id, page_id),
+b AS (SELECT f.*, s.two, CASE WHEN NOT s.two THEN 0.0 WHEN body THEN CASE WHEN lft THEN 0.0 ELSE 1.0 END WHEN y1 < top THEN -1.0 WHEN y0 > bottom THEN 2.0 ELSE 1.5 END AS g FROM f JOIN s USING (doc_id, page_id))
+SELECT doc_id, page_id, item_id, CAST({ORDER} AS INTEGER) AS reading_order FROM b
+"""
+)
+def w01_reading_order(spark, sf_dir):
+    out = layout.reading_order(boxes(spark, sf_dir).withColumnRenamed("item_id", "block_id"), box_pages(spark, sf_dir))
+    return out.select("doc_id", "page_id", F.col("block_id").alias("item_id"), "reading_order")
+
+
+@query(
+    f"""
+WITH {BOXES}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, page_id ORDER BY item_id) AS DOUBLE) AS o FROM boxes WHERE kind = 'text')
+SELECT a.doc_id, a.page_id, a.item_id AS asset_id, coalesce(max(t.o) + 0.5, -0.5) AS place FROM boxes a LEFT JOIN t ON t.doc_id = a.doc_id AND t.page_id = a.page_id AND t.y0 <= a.y0 WHERE a.kind <> 'text' GROUP BY ALL
+"""
+)
+def j13_asset_order(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    b = boxes(spark, sf_dir)
+    blocks = b.where("kind = 'text'").withColumn("reading_order", F.row_number().over(W.partitionBy("doc_id", "page_id").orderBy("item_id")))
+    return layout.asset_order(b.where("kind <> 'text'").withColumnRenamed("item_id", "asset_id"), blocks)
+
+
+def HALF_EVEN(value: str, of: int) -> str:  # noqa: N802
+    """SQL: a whole number divided by another, rounded to 4 digits, ties to even."""
+    n = f"CAST({value} AS BIGINT) * 10000"
+    return f"(({n}) // {of} + CASE WHEN 2 * (({n}) % {of}) > {of} OR (2 * (({n}) % {of}) = {of} AND (({n}) // {of}) % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE"
+
+
+@query(
+    f"""
+WITH {BOXES}, u AS (SELECT doc_id, page_id, sum((x1 - x0) * (y1 - y0)) AS a, max(y1) AS y, count(*) AS n FROM boxes GROUP BY doc_id, page_id),
+v AS (SELECT p.doc_id, p.page_id, coalesce(n, 0) AS n_items, {HALF_EVEN('coalesce(a, 0.0)', 392000)} AS utilization, {HALF_EVEN('greatest(0.0, 700.0 - coalesce(y, 0.0))', 700)} AS bottom_whitespace FROM pages_ p LEFT JOIN u USING (doc_id, page_id))
+SELECT *, (utilization < 0.18 AND bottom_whitespace >= 0.3) OR (bottom_whitespace >= 0.45 AND utilization <= 0.35) AS underfilled FROM v
+"""
+)
+def ag04_page_use(spark, sf_dir):
+    return layout.page_use(boxes(spark, sf_dir), box_pages(spark, sf_dir))
+
+
+@query(f"WITH {BOXES} SELECT b.doc_id, kind AS text, count(DISTINCT page_id) AS n_pages FROM boxes b JOIN pages_ p USING (doc_id, page_id) WHERE y0 <= 56.0 OR y1 >= 644.0 GROUP BY b.doc_id, kind HAVING count(DISTINCT page_id) >= 2")
+def ag03_repeated_margins(spark, sf_dir):
+    return layout.repeated_margin_text(boxes(spark, sf_dir).withColumnRenamed("kind", "text"), box_pages(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH {BOXES}, f AS (SELECT doc_id, arg_min(page_id, page_index) AS page_id FROM pages_ GROUP BY doc_id)
+SELECT b.doc_id, greatest(36.0, least(72.0, min(x0))) AS "left", greatest(36.0, least(72.0, min(y0))) AS top, greatest(36.0, least(72.0, 560.0 - max(x1))) AS "right", greatest(36.0, least(72.0, 700.0 - max(y1))) AS bottom FROM boxes b JOIN f USING (doc_id, page_id) GROUP BY b.doc_id
+"""
+)
+def ag16_source_margins(spark, sf_dir):
+    return layout.source_margins(boxes(spark, sf_dir), box_pages(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS page_id, list_sort(list(l_quantity))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median FROM lineitem GROUP BY l_orderkey")
+def ag12_upper_median(spark, sf_dir):
+    return layout.upper_median(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page_id"), ["page_id"], "l_quantity")
+
+
+@query("SELECT l_orderkey AS doc_id, greatest(18.0, least(48.0, coalesce(median(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 22.0))) AS height FROM lineitem GROUP BY l_orderkey")
+def ag13_display_height(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_returnflag") == "A", "display").otherwise("inline").alias("display_mode"), F.col("l_quantity").alias("height"))
+    return layout.display_height(i)
+
+
+@query(
+    f"""
+WITH {BOXES}, l AS (SELECT *, lag(y1) OVER w AS py, lag((x0 + x1) / 2) OVER w AS pc FROM boxes WINDOW w AS (PARTITION BY doc_id, page_id ORDER BY item_id))
+SELECT doc_id, page_id, item_id, CAST(sum(CASE WHEN coalesce(y0 - py <= 14.0 AND abs((x0 + x1) / 2 - pc) <= 32.0, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_id ORDER BY item_id) AS INTEGER) AS island FROM l
+"""
+)
+def w07_islands(spark, sf_dir):
+    return layout.islands(boxes(spark, sf_dir), "item_id").select("doc_id", "page_id", "item_id", "island")
+
+
+@query(
+    f"""
+WITH {BOXES}, m AS (SELECT *, max(y1) OVER (PARTITION BY doc_id, page_id ORDER BY y0, y1, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deep FROM boxes)
+SELECT doc_id, page_id, item_id, CAST(sum(CASE WHEN y0 <= deep + 10.0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_id ORDER BY y0, y1, item_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS band FROM m
+"""
+)
+def w05_bands(spark, sf_dir):
+    return layout.bands(boxes(spark, sf_dir)).select("doc_id", "page_id", "item_id", "band")
+
+
+@query("SELECT user_id AS doc_id, event_type AS flag, count(*) AS n FROM events GROUP BY user_id, event_type")
+def ag02_flag_histogram(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.array("event_type").alias("flags"))
+    return layout.flag_histogram(e, "flags", ["doc_id"])
+
+
+@query("SELECT user_id AS doc_id, coalesce(string_agg(DISTINCT CASE WHEN event_type IN ('error', 'signup') THEN event_type END, ',' ORDER BY CASE WHEN event_type IN ('error', 'signup') THEN event_type END), '') AS blocking, count(*) FILTER (event_type IN ('error', 'signup')) AS n_blocking, count(*) FILTER (event_type IN ('error', 'signup')) = 0 AS accepted FROM events GROUP BY user_id")
+def ag05_gate(spark, sf_dir):
+    return layout.gate(ag02_flag_histogram(spark, sf_dir), ["error", "signup"]).select("doc_id", F.array_join("blocking", ",").alias("blocking"), "n_blocking", "accepted")
+
+
+# --- logs and jobs -----------------------------------------------------------------------------------
+
+
+def log_sources(spark, sf_dir):
+    """Events as two log sources that overlap: all of them, and the errors again with later sequences."""
+    e = table(spark, sf_dir, "events")
+    row = lambda df, base: df.select(F.col("user_id").alias("job_id"), F.col("event_id").cast("string").alias("id"), (F.col("event_id") * 10 + base).cast("long").alias("sequence"), "event_type")
+    return [row(e, 100), row(e.where("event_type = 'error'"), 9000)]
+
+
+@query("SELECT user_id AS job_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id * 10 + 100 AS BIGINT) AS sequence, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 80")
+def w12_merged_log(spark, sf_dir):
+    return events.merge_events(log_sources(spark, sf_dir), "job_id", 80)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def ss10_keep_last(spark, sf_dir):
+    return events.keep_last(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(sum(len(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations) WHERE b < 900")
+def sl03_log_tail(spark, sf_dir):
+    return events.log_tail(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 900).select("conv_id", "turn")
+
+
+def updates(spark, sf_dir):
+    state = F.when(F.col("event_type") == "error", "canceled").when(F.col("event_type") == "signup", "queued").otherwise("rendering")
+    return table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", (F.col("event_id") % 7)).alias("job_id"), F.col("event_id").alias("seq"), state.alias("state"))
+
+
+@query(
+    """
+WITH u AS (SELECT concat_ws('-', user_id, event_id % 7) AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'canceled' WHEN 'signup' THEN 'queued' ELSE 'rendering' END AS state FROM events)
+SELECT job_id, CASE WHEN count(*) FILTER (state = 'canceled') > 0 THEN 'canceled' ELSE arg_max(state, seq) END AS state, coalesce(min(seq) FILTER (state = 'canceled'), max(seq)) AS seq, count(*) AS n_updates FROM u GROUP BY job_id
+"""
+)
+def ss03_sticky_states(spark, sf_dir):
+    return jobs.sticky_status(updates(spark, sf_dir))
+
+
+@query(
+    """
+WITH u AS (SELECT concat_ws('-', user_id, event_id % 7) AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'canceled' WHEN 'signup' THEN 'queued' ELSE 'rendering' END AS state FROM events),
+j AS (SELECT job_id, job_id AS doc_id, CASE WHEN count(*) FILTER (state = 'canceled') > 0 THEN 'canceled' ELSE arg_max(state, seq) END AS state FROM u GROUP BY job_id)
+SELECT job_id, state, CASE WHEN right(job_id, 1) IN ('0', '1', '2') THEN 'continue' WHEN right(job_id, 1) IN ('3', '4') THEN 'restart' ELSE 'fail' END AS action FROM j WHERE state IN ('queued', 'parsing', 'translating', 'rendering')
+"""
+)
+def j25_resume_actions(spark, sf_dir):
+    j = jobs.sticky_status(updates(spark, sf_dir)).withColumn("doc_id", F.col("job_id"))
+    last = F.substring("doc_id", -1, 1)
+    docs = j.select("doc_id")
+    out = jobs.resume_actions(j, docs.where(last.isin("0", "1", "2", "3", "4")), docs.where(last.isin("0", "1", "2")).withColumn("name", F.lit("document-ir")))
+    return out.select("job_id", "state", "action")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS workflow_id, arg_max(event_type, event_id) AS name, count(*) AS n_steps, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY user_id")
+def ss06_current_steps(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    steps = e.select(F.col("user_id").cast("string").alias("workflow_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("name"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"))
+    return jobs.current_steps(steps).select("workflow_id", "name", "n_steps", "n_failed")
+
+
+# --- formulas ----------------------------------------------------------------------------------------
+
+
+def formula_blocks(spark, sf_dir):
+    """Events as blocks of prose with a formula in them, or a formula by itself."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id") % 9
+    body = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("E_"), k, F.lit(" = m c^2 + "), k, F.lit(" ("), k, F.lit(")"))).otherwise(F.concat(F.lit("Here the value x_"), k, F.lit("=α+"), k, F.lit(" holds for all users, which is known.")))
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), body.alias("text"), F.when(F.col("event_id") % 4 == 0, "formula").otherwise("paragraph").alias("role"))
+
+
+@query("SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 4 = 0 THEN 'display' ELSE 'inline' END AS mode, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 15 END AS start FROM events")
+def w15_formula_candidates(spark, sf_dir):
+    return formulas.detect(formula_blocks(spark, sf_dir)).select("doc_id", "pos", "mode", "start")
+
+
+@query()
+def u08_recognised_formulas(spark, sf_dir):
+    return formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir))).select("doc_id", "pos", "mode", "latex", "confidence", "status", "accepted")
+
+
+@query("SELECT user_id AS doc_id, count(*) FILTER (event_id % 4 <> 0) AS n_inline, count(*) FILTER (event_id % 4 = 0) AS n_display FROM events GROUP BY user_id")
+def ag02_formula_summary(spark, sf_dir):
+    return formulas.summary(formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir)))).select("doc_id", "n_inline", "n_display")
+
+
+@query()
+def ar01_texts_with_refs(spark, sf_dir):
+    b = formula_blocks(spark, sf_dir)
+    return formulas.with_refs(b, formulas.recognise(formulas.detect(b))).select("doc_id", "pos", "text_with_refs")
+
+
+@query()
+def w10_formula_numbers(spark, sf_dir):
+    return formulas.numbered(formulas.detect(formula_blocks(spark, sf_dir)))
+
+
+@query()
+def gm03_normalised_boxes(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    four = F.array(*[F.col("box")[c] / 1000 for c in ("x0", "y0", "x1", "y1")])
+    return b.select("item_id", geometry.normalise(four, F.lit(612.0), F.lit(792.0)).alias("box"))
