@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from quire.llm.common import map_texts
 
 #: Most distinct pieces whose ids a task remembers.
-CACHE = 400_000
+CACHE = 150_000
+#: Bytes of text that a task works on at once, and bytes of words that are merged together.
+SLICE, TOGETHER = 2 << 20, 1 << 18
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
 
@@ -134,7 +136,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
     `outputs` chooses from OUTPUTS: the ids, their count, the SHA-256 of the
     decimal ids joined by a space, and the bytes that those ids decode to, or
     their SHA-256. A piece that is a token takes its id; the others of a slice of
-    about 8 MB are merged together by MergeReplay, and a task remembers
+    SLICE bytes are merged by MergeReplay, TOGETHER bytes at a time, and a task remembers
     CACHE words. `by_space` says that in the pattern a space before a character that isn't white space starts a match
     and that no other match takes in a space and what follows it; texts in which no space follows white space are then cut there first. Null text counts as empty: no ids. `carry` lists the
     input columns to keep (default: all); columns named as outputs are replaced.
@@ -143,6 +145,8 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
     shipped = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def work():
+        import numpy as np
+        import pyarrow as pa
         import regex
 
         tokens = shipped.value
@@ -163,8 +167,14 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
                         new.append(word)
                     else:
                         known[word] = str(r)
-            for word, ids in zip(new, replay.encode([w.encode() for w in new]), strict=True):
-                known[word] = " ".join(map(str, ids))
+            some, size = [], 0
+            for i, word in enumerate(new):
+                some.append(word)
+                size += len(word)
+                if size >= TOGETHER or i + 1 == len(new):
+                    for w, ids in zip(some, replay.encode([w.encode() for w in some]), strict=True):
+                        known[w] = " ".join(map(str, ids))
+                    some, size = [], 0
 
         def do(texts):
             if max(len(known), len(spaced)) > CACHE:
@@ -188,7 +198,9 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
                     joined.append(f"{first[w[0]]} {rest}".strip() if rest else first[w[0]])
             out = {}
             if "ids" in outputs:
-                out["ids"] = [[int(i) for i in s.split()] for s in joined]
+                each = [np.array(s.split(), np.int32) for s in joined]
+                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
             if "n_tokens" in outputs:
                 out["n_tokens"] = [s.count(" ") + 1 if s else 0 for s in joined]
             if "ids_sha256" in outputs:
@@ -200,18 +212,17 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
 
         return do
 
-    return map_texts(docs, work, {k: OUTPUTS[k] for k in outputs}, text_col, carry)
+    return map_texts(docs, work, {k: OUTPUTS[k] for k in outputs}, text_col, carry, SLICE)
 
 
 def decode(rows: DataFrame, tokens: list[bytes], ids_col: str = "ids") -> DataFrame:
     """Add `text`: the ids of `ids_col` decoded as UTF-8, wrong bytes replaced. Null ids: null."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     shipped = rows.sparkSession.sparkContext.broadcast(tokens)
 
     @F.pandas_udf("string")
-    def joined(ids: pd.Series) -> pd.Series:
+    def joined(ids):
         t = shipped.value
         return ids.map(lambda x: None if x is None else b"".join(t[i] for i in x).decode("utf-8", "replace"))
 
