@@ -55,15 +55,17 @@ def with_outputs(row: str, df: DataFrame, **out: Column) -> DataFrame:
     return df.select(*[F.col(row)[f].alias(f) for f in fields], *[c.alias(k) for k, c in out.items()])
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
     """Equi-join on long columns `keys` that AQE can split where a key is hot.
 
     `right` often comes out of an aggregation on the same keys; joining on the
     keys as they are would reuse that partitioning, and then no partition could
     be split. Joining on their complements makes Spark deal out both sides anew.
+    `merge` asks for a shuffled join whatever the size of `right`, for tables that grow with the input.
     """
     turned = {f"_turned{i}": F.bitwise_not(F.col(k)) for i, k in enumerate(keys)}
-    return left.withColumns(turned).join(right.withColumns(turned).drop(*keys), list(turned), how).drop(*turned)
+    other = right.withColumns(turned).drop(*keys)
+    return left.withColumns(turned).join(other.hint("merge") if merge else other, list(turned), how).drop(*turned)
 
 
 def slices(batch, column: str, most: int = 8 << 20):
@@ -82,8 +84,8 @@ def slices(batch, column: str, most: int = 8 << 20):
         at = upto
 
 
-def map_texts(docs: DataFrame, work, outputs: dict[str, str], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Run `work(texts)` over slices of rows in Arrow batches and add its columns.
+def map_texts(docs: DataFrame, work, outputs: dict[str, str], text_col: str = "text", carry: list[str] | None = None, most: int = 8 << 20) -> DataFrame:
+    """Run `work(texts)` over slices of about `most` bytes of the texts in Arrow batches and add its columns.
 
     `work` is made once a task by calling it without arguments and then gets
     lists of strings (None for null) and returns {column: list or Arrow array}.
@@ -103,7 +105,7 @@ def map_texts(docs: DataFrame, work, outputs: dict[str, str], text_col: str = "t
         kinds = to_arrow_schema(schema)
         do = work()
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", most):
                 got = do(part.column("_text").to_pylist())
                 cols = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], kinds.field(f"_o_{n}").type) for n in names]
                 yield pa.RecordBatch.from_arrays([part.column("_row"), *cols], names=["_row", *[f"_o_{n}" for n in names]])
