@@ -191,7 +191,7 @@ def test_bpe(docs, empty):
 
 
 def test_shards(spark, docs, empty):
-    rows = [(i, f"text {i % 50} " * (i % 50 % 11 + 1), "en" if i % 3 else None, f"s{i % 4}", 1) for i in range(900)]
+    rows = [(i, f"text {i % 300} " * (i % 300 % 11 + 1), "en" if i % 3 else None, f"s{i % 4}", 1) for i in range(900)]
     got = hilbert.shard(spark.createDataFrame(rows, SCHEMA).unionByName(docs), carry=["doc_id", "text"]).collect()
     total = sum(r["size"] for r in got)
     sums, slots, places = {}, {}, {}
