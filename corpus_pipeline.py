@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = store(classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
     ided = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
     one = ided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = skew_join(ided, kept, ["doc_id"])
+    out = skew_join(ided, kept, ["doc_id"], merge=True)
     if one.limit(1).count():  # ids that repeat: one row of each, the first by text
         out = out.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_r")).select("doc_id", "_r.*")
     return out.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull())).select(*COLUMNS)
