@@ -7,31 +7,33 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import store
 
-#: Contexts, each a predictor: (name, slots). All look at the current word; their counts are hashed into `slots` rows of 64 bit nodes.
-CONTEXTS = (("one byte", 1 << 8), ("two bytes", 1 << 13), ("three bytes", 1 << 15), ("five bytes", 1 << 16), ("word so far", 1 << 18))
+#: Contexts, each a predictor: (name, slots). The bytes cross words; the last two are whole-word contexts. Their counts are hashed into `slots` rows of 64 bit nodes.
+CONTEXTS = (("one byte", 1 << 8), ("two bytes", 1 << 13), ("three bytes", 1 << 15), ("five bytes", 1 << 17), ("word so far", 1 << 18), ("word before and word so far", 1 << 18))
+#: The context by whose counts weights are chosen.
+BY_WORD = 4
 #: Logits are kept as logit * SCALE in 8 bits.
 SCALE = 14.0
-#: The gate: weights are chosen by how often the word so far has been seen (below 1, 2, 4, ...), and by bit position.
+#: The gate: weights are chosen by how often the word so far has been seen (below 1, 2, 4, ...), by whether the match foretells, and by bit position.
 GATE = (1, 2, 4, 16, 64, 512)
-#: Rate of the weights and their start: one for each context.
-RATE = 0.001
-STARTS = (0.05, 0.1, 0.2, 0.3, 0.5)
-#: Rate of the refinement, and its cells by the mixed logit.
-REFINE, CELLS = 0.02, 33
-#: Training documents on which weights and refinement are learned (at the most), passes over their words, and words learned from together.
-FIT, PASSES, TOGETHER = 200, 2, 256
-#: The match, by the words foretold in a row (0 to 3): starting logit, and rate.
-MATCH = (0.0, 2.0, 3.5, 4.5)
-MATCH_RATE = 0.3
-#: Kinds of text (such as languages), the words by which they are told apart, and rounds and restarts of their learning.
-KINDS, TELLING, ROUNDS, RESTARTS = 6, 1000, 25, 6
-#: Share of a kind's own counts in its words; the rest is of all training tokens.
-OWN = 0.97
+GATES = 2 * (len(GATE) + 1)
+#: Rates of the weights, while they are learned from many texts together and while one text is scored; and their start: one for each context and the match.
+RATE, ONLINE = 0.002, 0.004
+STARTS = (0.05, 0.1, 0.2, 0.3, 0.3, 0.3, 0.6)
+#: In learning, bits of one gate that step together count as this many at the most.
+TOGETHER = 128
+#: Cells of the refinement by the mixed logit.
+CELLS = 33
+#: The match: logit of what it foretells, by the words foretold in a row (0 to 3).
+MATCH = (0.5, 2.0, 3.5, 4.5)
+#: Bytes of text laid out at a time, and bytes coded one after another: longer texts go on side by side in runs of SPAN, each from the learned weights.
+PIECE, SPAN = 3 << 20, 4096
+#: Training texts are dealt by a hash of the text into FOLDS; weights are learned on each fold with the counts of the others.
+FOLDS = 2
 #: At most HEAVY tokens with 1/HEAVY of all training tokens or more each are broadcast; the others are looked up by a join.
 HEAVY = 200_000
-#: Distinct tokens that a task counts before it hands them on, and words scored together.
-FLUSH, CHUNK = 150_000, 5_000
-#: Model rows that are made into one row for the driver.
+#: Distinct tokens that a task counts before it hands them on.
+FLUSH = 150_000
+#: Model rows that are handed on as one row.
 ROWS = 1 << 10
 
 #: The end of a text, as a token: no word has this byte.
@@ -58,19 +60,21 @@ def spelled(words: list[bytes]):
     return np.frombuffer(b"".join(each), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def context_rows(data, begin, sizes):
-    """Model rows of each byte of spelled words: one array per context."""
+def context_rows(data, begin, sizes, opens):
+    """Model rows of each byte of spelled words: one array per context. `opens`: the words that begin a text."""
     import numpy as np
 
     n = len(data)
     first = np.repeat(begin, sizes)
     into = np.arange(n) - first
+    start = np.maximum.accumulate(np.where(opens, begin, 0))
+    since = np.arange(n) - np.repeat(start, sizes)
     wide = data.astype(np.uint32) + np.uint32(1)
     last = []
     for back in range(1, 6):
         x = np.zeros(n, np.uint32)
         x[back:] = wide[:-back]
-        x[into < back] = 0
+        x[since < back] = 0
         last.append(x)
     put = lambda h, i: (((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - (_SIZES[i].bit_length() - 1))) + np.uint32(_OFFSETS[i])
     out = [np.minimum(last[0], 255)]
@@ -83,7 +87,13 @@ def context_rows(data, begin, sizes):
     # The word so far: sums of bytes times powers, as differences of running sums modulo 2**32.
     powers = np.cumprod(np.full(int(into.max(initial=0)) + 1, 0x01000193, np.uint32), dtype=np.uint32)
     runs = np.concatenate((np.zeros(1, np.uint32), np.cumsum(wide * powers[into], dtype=np.uint32)))
-    out.append(put((runs[:n] - runs[first]) * np.uint32(0xC2B2AE35) + into.astype(np.uint32), 4))
+    so_far = (runs[:n] - runs[first]) * np.uint32(0xC2B2AE35) + into.astype(np.uint32)
+    out.append(put(so_far, 4))
+    whole = runs[begin + sizes] - runs[begin]
+    before = np.concatenate((np.zeros(1, np.uint32), whole[:-1]))[: len(whole)]
+    before[opens] = 0
+    before = (before ^ (before >> np.uint32(13))) * np.uint32(0x27D4EB2F)
+    out.append(put((so_far ^ np.repeat(before, sizes)) * np.uint32(0x85EBCA6B), 5))
     return out
 
 
@@ -114,8 +124,102 @@ def logits_of(counts):
     return out, np.searchsorted(GATE, level[:, 0], side="right").astype(np.uint8)
 
 
+class Laid:
+    """Texts laid out to be counted or coded: bytes, context rows, what the match foretells, and the runs of bytes of each text.
+
+    `texts`: (owner, words, words at the front that only give contexts). A run has SPAN bytes at the most.
+    """
+
+    def __init__(self, texts):
+        import numpy as np
+
+        words = [w for _, t, _ in texts for w in t]
+        self.data, begin, sizes = spelled(words)
+        counts = np.fromiter((len(t) for _, t, _ in texts), np.int64, len(texts))
+        at = np.cumsum(counts) - counts
+        opens = np.zeros(len(words), bool)
+        opens[at] = True
+        self.rows = [r.astype(np.int32) for r in context_rows(self.data, begin, sizes, opens)]
+        ends = np.append(begin, len(self.data))
+        lead = np.fromiter((x for _, _, x in texts), np.int64, len(texts))
+        starts, stops = ends[at + lead], ends[at + counts]
+        runs = -(-(stops - starts) // SPAN)
+        which = np.repeat(np.arange(len(texts)), runs)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.begin = starts[which] + nth * SPAN
+        self.length = np.minimum(stops[which] - self.begin, SPAN)
+        self.owner = np.fromiter((i for i, _, _ in texts), np.int64, len(texts))[which]
+        self.coded = np.ones(len(self.data), bool)
+        for i in np.flatnonzero(lead):
+            self.coded[ends[at[i]] : starts[i]] = False
+        self._words, self._begin, self._sizes, self._texts = words, begin, sizes, texts
+
+    def guesses(self):
+        """(byte foretold, level) by byte: 0 without a match, else 1 + the words foretold in a row; up to and with the first wrong byte of a word."""
+        import numpy as np
+
+        level, wrong, i = np.zeros(len(self._words), np.uint8), [], 0
+        for _, t, _ in self._texts:
+            seen: dict = {}
+            one, two, run = b"", b"", 0
+            for w in t:
+                key = (two, one)
+                was = seen.get(key)
+                if was is None:
+                    run = 0
+                else:
+                    level[i] = run + 1
+                    if was == w:
+                        run = min(run + 1, 3)
+                    else:
+                        wrong.append((i, was))
+                        run = 0
+                seen[key] = w
+                two, one = one, w
+                i += 1
+        guess, levels = self.data.copy(), np.repeat(level, self._sizes)
+        for i, was in wrong:
+            said = was if was == END else was + b" "
+            at, size = int(self._begin[i]), int(self._sizes[i])
+            came = self.data[at : at + size].tobytes()
+            m = 1
+            while m < min(len(said), size) and said[m - 1] == came[m - 1]:
+                m += 1
+            guess[at : at + m] = np.frombuffer(said[:m], np.uint8)
+            levels[at + m : at + size] = 0
+        return guess, levels
+
+
+def laid_out(texts):
+    """The texts (None for null) as Laid, of about PIECE bytes each. Of a longer text each part but the first has the six words before it in front."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        words = [*tokens_of(text), END]
+        n = len(text or "") + 1
+        if n <= PIECE:
+            parts = [(words, 0)]
+        else:
+            cuts, n = [0], 0
+            for k, w in enumerate(words):
+                n += len(w) + 1
+                if n > PIECE:
+                    cuts.append(k + 1)
+                    n = 0
+            cuts = sorted({*cuts, len(words)})
+            parts = [(words[max(a - 6, 0) : b], min(a, 6)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for part, lead in parts:
+            long = sum(map(len, part)) + len(part)
+            if held and size + long > PIECE:
+                yield Laid(held)
+                held, size = [], 0
+            held.append((i, part, lead))
+            size += long
+    if held:
+        yield Laid(held)
+
+
 class Mixer:
-    """The mixing model over words: counts' logits by context row, gated weights, and the refinement.
+    """The mixing model: counts' logits by context row and the match's, gated weights, and the refinement.
 
     `code`, `cost`: the alphabet. Until it is taught, weights are STARTS and the refinement changes nothing.
     """
@@ -124,66 +228,91 @@ class Mixer:
         import numpy as np
 
         self.code, self.cost = code, cost
-        self.weights = np.tile(np.array(STARTS, np.float32) / np.float32(SCALE), (BITS, len(GATE) + 1, 1))
+        self.weights = np.tile(np.array(STARTS, np.float32) / np.float32(SCALE), (BITS, GATES, 1))
         centres = (np.arange(CELLS, dtype=np.float32) - (CELLS - 1) / 2) * np.float32(0.75)
-        self.refined = np.tile(1 / (1 + np.exp(-centres)), (len(GATE) + 1, 1)).astype(np.float32)
+        self.refined = np.tile(1 / (1 + np.exp(-centres)), (GATES, 1)).astype(np.float32)
+        # What learning gathers: bits by bit position and gate, and bits and ones by refinement cell.
+        self.met, self.seen, self.ones = np.zeros((BITS, GATES)), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
+
+    def bits(self, words: list[bytes], table, gates):
+        """log2 of the probability of each word as a text of its own without an end."""
+        import numpy as np
 
-    def bits(self, words: list[bytes], table, gates, learn: bool = False):
-        """log2 of the probability of each word, bit by bit; with `learn`, weights and refinement then move towards what came.
+        out = np.zeros(len(words))
+        if words:
+            laid = Laid([(i, [w], 0) for i, w in enumerate(words)])
+            np.add.at(out, laid.owner, self.run(laid, table, gates))
+        return out
 
-        Words stand side by side, longest first, and go on byte by byte together. Each context row gives a logit
-        for the next bit; the weights of the gate mix them; the refinement maps the mixed logit to how such
-        bits came out in learning, and the mean of both is the prediction.
+    def run(self, laid: Laid, table, gates, learn: bool = False):
+        """log2 of the probability of each run of bytes, bit by bit.
+
+        Runs stand side by side, longest first, and go on byte by byte together. Each context row and the match
+        give a logit for the next bit; the weights of the gate mix them; the refinement maps the mixed logit
+        to how such bits came out in learning, and the mean of both is the prediction. After every bit the weights
+        move towards what came: those of the run itself, or with `learn` the ones that all runs share.
         """
         import numpy as np
 
         f32 = np.float32
-        if not words:
-            return np.zeros(0)
-        data, begin, length = spelled(words)
-        rows = np.stack(context_rows(data, begin, length)).astype(np.int64)
-        symbols, gate_of = self.code[data], gates[rows[-1]].astype(np.int64)
+        guess, level = laid.guesses()
+        symbols, foretold_ = self.code[laid.data].astype(np.int32), self.code[guess].astype(np.int32) + CELL
+        strong = np.array((0.0, *MATCH), f32)[level] * f32(SCALE)
+        rows = np.stack(laid.rows)
+        gate_of = gates[rows[BY_WORD]].astype(np.int32) + np.where(level > 0, len(GATE) + 1, 0).astype(np.int32)
         rows *= CELL
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        most = int(length[0])
+        order = np.argsort(-laid.length, kind="stable")
+        begin, length = laid.begin[order], laid.length[order]
+        most = int(length[0]) if len(length) else 0
         alive = np.searchsorted(-length, -np.arange(most), side="left").tolist()
-        total = np.zeros(len(words))
+        total = np.zeros(len(length))
         flat = self.refined.ravel()
+        if learn:
+            own = [w.copy() for w in self.weights]
+        else:
+            own = [np.tile(w, (len(length), 1)) for w in self.weights]
+        offset = np.arange(len(length), dtype=np.int64) * (0 if learn else GATES)
+        rate = f32((RATE if learn else ONLINE) / SCALE / SCALE)
+        logit = np.empty((len(STARTS), len(length)), f32)
         for t in range(most):
             n = alive[t]
             here = begin[:n] + t
-            base, symbol, gate = rows[:, here], symbols[here], gate_of[here]
-            cell0 = gate * CELLS
-            chance, node = np.ones(n, f32), np.ones(n, np.int64)
+            base, symbol, gate, said, strength = rows[:, here], symbols[here], gate_of[here], foretold_[here], strong[here]
+            at, cell0 = offset[:n] + gate, gate * CELLS + (CELLS - 1) // 2
+            chance, node = np.ones(n, f32), np.ones(n, np.int32)
+            x = logit[:, :n]
+            if learn:
+                many = np.bincount(gate, minlength=GATES)
+                gated = (np.arange(GATES)[:, None] == gate).astype(f32)
+                pace = (rate * np.minimum(1, TOGETHER / np.maximum(many, 1)))[:, None].astype(f32)
             for b in range(BITS):
                 bit = (symbol >> (BITS - 1 - b)) & 1
-                logit = table[base + node].astype(f32)
-                mixed = np.einsum("kn,nk->n", logit, self.weights[b][gate])
+                x[:-1] = np.take(table, base + node)
+                x[-1] = strength * ((said >> (BITS - b)) == node) * (((said >> (BITS - 1 - b)) & 1) * 2 - 1)
+                w = np.take(own[b], at, axis=0)
+                mixed = np.einsum("kn,nk->n", x, w)
                 np.clip(mixed, -11, 11, out=mixed)
+                cell = cell0 + np.rint(mixed * f32(4 / 3)).astype(np.int32)
                 p = 1 / (1 + np.exp(-mixed))
-                cell = cell0 + np.rint(mixed * f32(4 / 3)).astype(np.int64) + (CELLS - 1) // 2
-                q = (p + flat[cell]) * f32(0.5)
                 known = bit.astype(f32)
+                q = (p + np.take(flat, cell)) * f32(0.5)
                 chance *= np.abs((1 - known) - q)
+                wrong = known - p
                 if learn:
-                    slope = logit * ((known - p) * f32(RATE / SCALE / SCALE))
-                    np.add.at(self.weights[b], gate, slope.T)
-                    seen = np.bincount(cell, minlength=len(flat))
-                    ones = np.bincount(cell, known, len(flat))
-                    some = seen > 0
-                    flat[some] += (ones[some] / seen[some] - flat[some]) * (1 - (1 - REFINE) ** seen[some])
+                    own[b] += (gated @ (x * wrong).T) * pace
+                    self.met[b] += many
+                    self.seen += np.bincount(cell, minlength=len(flat))
+                    self.ones += np.bincount(cell, known, len(flat))
+                else:
+                    own[b][at] = w + (x * (wrong * rate)).T
                 node += node + bit
             total[:n] += np.log2(chance, dtype=np.float64)
-        out = np.empty(len(words))
+        if learn:
+            self.weights = np.stack(own)
+        out = np.empty(len(total))
         out[order] = total
-        return out + np.add.reduceat(self.cost[data], np.cumsum(np.concatenate(([0], np.array([len(w) + (w != END) for w in words[:-1]], np.int64)))))
-
-    def teach(self, words: list[bytes], table, gates) -> None:
-        """Learn from the words in order, TOGETHER at a time, PASSES times over."""
-        for _ in range(PASSES):
-            for i in range(0, len(words), TOGETHER):
-                self.bits(words[i : i + TOGETHER], table, gates, learn=True)
+        runs = np.concatenate((np.zeros(1), np.cumsum(self.cost[laid.data])))
+        return out + runs[laid.begin + laid.length] - runs[laid.begin]
 
 
 def foretold(words: list[bytes]):
@@ -197,7 +326,7 @@ def foretold(words: list[bytes]):
     from math import exp, log2
 
     seen: dict = {}
-    logits = list(MATCH)
+    logits = [0.0, *MATCH[1:]]
     total, left = 0.0, []
     one, two, run = b"", b"", 0
     for w in words:
@@ -210,11 +339,11 @@ def foretold(words: list[bytes]):
             p = 1 / (1 + exp(-logits[run]))
             if was == w:
                 total += log2(p)
-                logits[run] = min(logits[run] + MATCH_RATE * (1 - p), 9.0)
+                logits[run] = min(logits[run] + 0.3 * (1 - p), 9.0)
                 run = min(run + 1, 3)
             else:
                 total += log2(1 - p)
-                logits[run] = max(logits[run] - MATCH_RATE * 3 * p, -9.0)
+                logits[run] = max(logits[run] - 0.9 * p, -9.0)
                 left.append(w)
                 run = 0
         seen[key] = w
@@ -222,52 +351,8 @@ def foretold(words: list[bytes]):
     return total, left
 
 
-def _add_contexts(into, words: list[bytes], times, code) -> None:
-    """Add `times` to each word's cells of `into` [TOTAL * CELL]."""
-    import numpy as np
-
-    data, begin, sizes = spelled(words)
-    wide, symbols = np.repeat(times, sizes), code[data]
-    for rows in context_rows(data, begin, sizes):
-        np.add.at(into, rows.astype(np.int64) * CELL + symbols, wide)
-
-
-class Kinds:
-    """KINDS unigram distributions over telling words, learned from a sample of texts without labels."""
-
-    def __init__(self, sample: list[list[bytes]]):
-        from collections import Counter
-
-        import numpy as np
-
-        often = Counter(w for t in sample for w in t)
-        self.words = {w: i for i, (w, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:TELLING])}
-        counts = np.zeros((len(sample), max(len(self.words), 1)))
-        for row, t in zip(counts, sample, strict=True):
-            np.add.at(row, [self.words[w] for w in t if w in self.words], 1)
-        best, self.logs, self.prior = -np.inf, np.zeros((counts.shape[1], KINDS)), np.zeros(KINDS)
-        for seed in range(RESTARTS if len(sample) else 0):
-            share = np.random.default_rng(seed).dirichlet(np.full(KINDS, 0.3), len(sample))
-            for _ in range(ROUNDS):
-                each = share.T @ counts + 0.05
-                logs, prior = np.log(each / each.sum(axis=1, keepdims=True)).T, np.log((share.sum(axis=0) + 0.1) / (len(sample) + 0.1 * KINDS))
-                joint = counts @ logs + prior
-                top = joint.max(axis=1, keepdims=True)
-                share = np.exp(joint - top)
-                found = float((top[:, 0] + np.log(share.sum(axis=1))).sum())
-                share /= share.sum(axis=1, keepdims=True)
-            if found > best:
-                best, self.logs, self.prior = found, logs, prior
-
-    def of(self, words: list[bytes]) -> int:
-        """The likeliest kind of a text."""
-        at = [i for i in map(self.words.get, words) if i is not None]
-        return int((self.logs[at].sum(axis=0) + self.prior).argmax())
-
-
-def count_tokens(docs: DataFrame, training, kinds: Kinds, text_col: str = "text") -> DataFrame:
-    """Every token of all texts, ends included, with how often it stands in training texts of each kind: `token` binary, `n0`, `n1`, ... and `n` long."""
-    names = [f"n{k}" for k in range(KINDS)]
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """Every token of all `_text`, ends included, with how often it stands in training texts (`_taught`): `token` binary, `n` long."""
 
     def count(batches):
         from collections import Counter
@@ -276,45 +361,31 @@ def count_tokens(docs: DataFrame, training, kinds: Kinds, text_col: str = "text"
 
         from quire.llm.common import slices
 
-        seen, other = [Counter() for _ in names], set()
+        seen, other = Counter(), set()
 
         def flush():
-            words = list(other.union(*seen))
+            words = list(other.union(seen))
             for i in range(0, len(words), 50_000):
                 some = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), *[pa.array([c[w] for w in some], pa.int64()) for c in seen]], names=["token", *names])
-            for c in (*seen, other):
-                c.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([seen[w] for w in some], pa.int64())], names=["token", "n"])
+            seen.clear()
+            other.clear()
 
         for batch in batches:
             for part in slices(batch, "_text"):
                 for text, taught in zip(part.column("_text").to_pylist(), part.column("_taught").to_pylist(), strict=True):
-                    words = [*tokens_of(text), END]
-                    seen[kinds.of(words)].update(words) if taught else other.update(words)
-                if sum(map(len, seen)) + len(other) > FLUSH:
+                    (seen if taught else other).update([*tokens_of(text), END])
+                if len(seen) + len(other) > FLUSH:
                     yield from flush()
         yield from flush()
 
-    texts = docs.select(F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_taught"))
-    found = texts.mapInArrow(count, "token binary, " + ", ".join(f"{c} long" for c in names))
-    sums = found.groupBy("token").agg(*[F.sum(c).alias(c) for c in names])
-    return sums.withColumn("n", sum((F.col(c) for c in names[1:]), F.col(names[0])))
-
+    return docs.select("_text", "_taught").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-def learn(tokens: DataFrame, sample: list[list[bytes]]):
-    """The model that the training tokens teach: (Mixer, table of logits, gates), for the mixer's bits().
-
-    Contexts are counted over all training tokens, in Spark; the driver gets TOTAL rows of CELL bytes, whatever
-    the size of the corpus. `sample`: the words of a few training texts, from which weights and refinement are
-    learned, by a table that leaves those texts out.
-    """
-    from collections import Counter
 
+def bytes_of(tokens: DataFrame):
+    """How often each byte stands in the spelled training tokens."""
     import numpy as np
 
-    spark = tokens.sparkSession
-    taught = tokens.where("n > 0").select("token", "n")
-
     def count_bytes(batches):
         import pyarrow as pa
 
@@ -324,88 +395,85 @@ def learn(tokens: DataFrame, sample: list[list[bytes]]):
             sums += np.bincount(data, np.repeat(batch.column(1).to_numpy(), sizes), 256)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(sums.astype(np.int64))], names=["byte", "n"])
 
-    bytes_n = np.zeros(256)
-    for r in taught.mapInArrow(count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        bytes_n[r["byte"]] = r["n"]
-    code, cost = alphabet_of(bytes_n)
-    wide = ROWS * CELL
-    own = Counter(w for t in sample for w in t)
-    data, begin, sizes = spelled(list(own))
-    cells = [rows.astype(np.int64) * CELL + code[data] for rows in context_rows(data, begin, sizes)] if own else [np.zeros(0, np.int64)]
-    times = np.repeat(np.array(list(own.values()), np.int64), sizes)
-    touched, place = np.unique(np.concatenate(cells), return_inverse=True)
-    without = spark.sparkContext.broadcast((touched, np.bincount(place, np.tile(times, len(cells)) if own else None, len(touched))))
-
-    def count(batches):
-        import pyarrow as pa
+    out = np.zeros(256)
+    for r in tokens.where("n > 0").select("token", "n").mapInArrow(count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        out[r["byte"]] = r["n"]
+    return out
 
-        names = ["slot", "n"]
-        cells, held = None, 0
 
-        def flush():
-            for at in range(0, len(cells), wide):
-                some = np.flatnonzero(cells[at : at + wide]) + at
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some].astype(np.int64))], names=names)
-            cells.fill(0)
+def count_contexts(docs: DataFrame, code) -> DataFrame:
+    """Logits and gates of the context counts over all training texts: `row` int; `table`, `gates` binary, and for each fold `table0`, `gates0`, ... by the counts of the other folds."""
+    import numpy as np
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(i, CHUNK)
-                words, n = part.column(0).to_pylist(), part.column(1).to_numpy()
-                weight = n * np.fromiter(map(len, words), np.int64, len(words)) + n  # most that a word adds to one cell
-                often = weight >= 1 << 18
-                if often.any():  # these would not fit the 32-bit counts, and they are few
-                    data, begin, sizes = spelled([w for w, o in zip(words, often, strict=True) if o])
-                    times = np.repeat(n[often], sizes)
-                    for rows in context_rows(data, begin, sizes):
-                        yield pa.RecordBatch.from_arrays([pa.array((rows.astype(np.int64) * CELL + code[data]).astype(np.int32)), pa.array(times)], names=names)
-                    words, n = [w for w, o in zip(words, often, strict=True) if not o], n[~often]
-                total = int(weight[~often].sum())  # of CHUNK words, so below 2**32
-                cells = np.zeros(TOTAL * CELL, np.uint32) if cells is None else cells
-                if held + total >= 1 << 32:
-                    yield from flush()
-                    held = 0
-                if words:
-                    _add_contexts(cells, words, n.astype(np.uint32), code)
-                held += total
-        if cells is not None:
+    wide = ROWS * CELL
+    cell_of = np.dtype([("at", "<u2"), ("n", "<u4")])
+
+    def counter(fold):
+        def count(batches):
+            import pyarrow as pa
+
+            from quire.llm.common import slices
+
+            cells, held = np.zeros(TOTAL * CELL, np.uint32), 0
+
+            def flush():
+                for row in range(-(-TOTAL // ROWS)):
+                    some = cells[row * wide : (row + 1) * wide]
+                    at = np.flatnonzero(some)
+                    if len(at):
+                        packed = np.empty(len(at), cell_of)
+                        packed["at"], packed["n"] = at, some[at]
+                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([fold], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["row", "fold", "cells"])
+                cells.fill(0)
+
+            for batch in batches:
+                for part in slices(batch, "_text"):
+                    for laid in laid_out(part.column("_text").to_pylist()):
+                        symbols = code[laid.data].astype(np.int32)
+                        for rows in laid.rows:
+                            np.add.at(cells, (rows * CELL + symbols)[laid.coded], np.uint32(1))
+                        held += len(laid.data)
+                        if held >= 1 << 31:
+                            yield from flush()
+                            held = 0
             yield from flush()
 
-    slots = taught.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = slots.groupBy((F.col("slot") / wide).cast("int").alias("row")).agg(F.collect_list(F.struct((F.col("slot") % wide).alias("at"), F.col("n").alias("n"))).alias("cells"))
+        return count
+
+    found = None
+    for fold in range(FOLDS):
+        part = docs.where(F.col("_taught") & (F.col("_fold") == fold)).select("_text").mapInArrow(counter(fold), "row int, fold int, cells binary")
+        found = part if found is None else found.unionAll(part)
+    gathered = found.groupBy("row").agg(F.collect_list(F.struct("fold", "cells")).alias("parts"))
+    names = ["table", "gates", *[f"{k}{f}" for f in range(FOLDS) for k in ("table", "gates")]]
 
     def shrink(batches):
         import pyarrow as pa
 
-        where, minus = without.value
         for batch in batches:
-            for row, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = cells.values
-                c = np.zeros(wide)
-                c[values.field("at").to_numpy()] = values.field("n").to_numpy()
-                made = [x.tobytes() for x in logits_of(c.reshape(-1, CELL))]
-                a, b = np.searchsorted(where, (row * wide, (row + 1) * wide))
-                c[where[a:b] - row * wide] -= minus[a:b]
-                made += [x.tobytes() for x in logits_of(np.maximum(c, 0).reshape(-1, CELL))]
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), *[pa.array([m], pa.binary()) for m in made]], names=["row", "table", "gates", "fit_table", "fit_gates"])
+            for i in range(batch.num_rows):
+                parts = batch.column(1)[i].values
+                sums = np.zeros((FOLDS, wide))
+                for fold, cells in zip(parts.field("fold").to_pylist(), parts.field("cells"), strict=True):
+                    packed = np.frombuffer(cells.as_py(), cell_of)
+                    sums[fold, packed["at"]] += packed["n"]
+                whole = sums.sum(axis=0)
+                made = [x.tobytes() for c in (whole, *[whole - s for s in sums]) for x in logits_of(c.reshape(-1, CELL))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([m], pa.binary()) for m in made]], names=["row", *names])
 
-    size = -(-TOTAL // ROWS) * ROWS
-    made = {k: np.zeros(size * (CELL if "table" in k else 1), np.int8 if "table" in k else np.uint8) for k in ("table", "gates", "fit_table", "fit_gates")}
-    for r in rows.mapInArrow(shrink, "row int, table binary, gates binary, fit_table binary, fit_gates binary").collect():
-        for k, into in made.items():
-            each = wide if "table" in k else ROWS
-            into[r["row"] * each : (r["row"] + 1) * each] = np.frombuffer(r[k], into.dtype)
-    mixer = Mixer(code, cost)
-    mixer.teach([w for t in sample for w in foretold(t)[1]], made["fit_table"], made["fit_gates"])
-    return mixer, made["table"], made["gates"]
-
-
-def heavy_table(rows):
-    """({token: row}, base [row], bits [row, kind])."""
+    return store(gathered.mapInArrow(shrink, "row int, " + ", ".join(f"{n} binary" for n in names)), "contexts")
+
+
+def tables_of(contexts: DataFrame, which: str):
+    """(table of logits, gates) of count_contexts() on the driver: TOTAL rows of CELL bytes, whatever the size of the corpus."""
     import numpy as np
 
-    return {w: i for i, (w, _, _) in enumerate(rows)}, np.array([b for _, b, _ in rows]), np.array([x for _, _, x in rows], np.float32).reshape(-1, KINDS).astype(np.float64)
+    size = -(-TOTAL // ROWS) * ROWS
+    table, gates = np.zeros(size * CELL, np.int8), np.zeros(size, np.uint8)
+    for r in contexts.select("row", F.col(f"table{which}").alias("t"), F.col(f"gates{which}").alias("g")).toLocalIterator():
+        table[r["row"] * ROWS * CELL : (r["row"] + 1) * ROWS * CELL] = np.frombuffer(r["t"], np.int8)
+        gates[r["row"] * ROWS : (r["row"] + 1) * ROWS] = np.frombuffer(r["g"], np.uint8)
+    return table, gates
 
 
 def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -413,103 +481,81 @@ def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] |
 
     `training` is a condition (null counts as false) on rows to learn from. A text is its lower-cased words and an end.
     base_score: log10 of its unigram probability with add-one smoothing over the training tokens and one unknown token.
-    score: log10 of the probability that the model gives the same tokens: the match foretells words that
-    came after the same two words before; any other word is taken from the training tokens in proportion to
-    their counts in texts of this kind or, with the chance that a training token is a singleton, spelled bit by bit by the
-    mixer. The kinds weigh as their chances after the words so far, so the mixture follows the text. bits_per_byte: the same by the bytes of the tokens, a space after each word.
+    score: log10 of the probability that the mixer gives the bits of the same tokens, every word of every text spelled in its place: counts of
+    contexts that cross words, of the word so far (the words' own counts), and of it after the word before, and the match with
+    what came earlier in the text are predictors; the weights go on learning with every bit.
+    bits_per_byte: the same by the bytes of the tokens, a space after each word.
     Null text counts as empty: an end only. Nothing to learn from: N = V = 0, every token unknown, an untaught mixer.
     `carry`: the input columns to keep (default: all).
 
-    The texts are not shuffled, only tokens are: their counts, and the lookup of those that fall under 1/HEAVY of the
-    training tokens (the others, HEAVY at most by that very bound, are broadcast, as is the model). A word is spelled
-    once for the whole corpus, however often it stands in it.
+    Counts, starting weights and refinement are learned over all training texts. Texts longer than SPAN bytes are coded in runs of SPAN
+    side by side, each with all of its contexts, its weights starting from the learned ones. Learning steps through the texts of a task in turn, so
+    the last digits of scores depend on how the input is partitioned.
+
+    The texts are not shuffled, only tokens and context counts are, and the lookup of tokens that fall under 1/HEAVY of the
+    training tokens (the others, HEAVY at most by that very bound, are broadcast, as is the model).
     """
-    from math import log2, log10
+    from math import log10
+
+    import numpy as np
 
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
-    few = docs.where(training).select(F.col(text_col).alias("_text")).orderBy(F.xxhash64("_text", F.lit("fit")), "_text").limit(FIT)
-    sample = [[*tokens_of(r["_text"]), END] for r in few.collect()]
-    tokens = store(count_tokens(docs, training, Kinds(sample), text_col), "tokens")
-    per_kind = [f"n{k}" for k in range(KINDS)]
-    sums = tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *per_kind]], *[F.coalesce(F.sum(F.when(F.col("token") == F.lit(END), F.col(c))), F.lit(0)).alias(f"docs_{c}") for c in per_kind], F.count(F.when(F.col("n") > 0, 1)).alias("V"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).first()
-    n_all, n_distinct, n_kind = int(sums["n"]), int(sums["V"]), [int(sums[c]) for c in per_kind]
-    prior = [(sums[f"docs_{c}"] + 0.1) / (sum(sums[f"docs_{c}"] for c in per_kind) + 0.1 * KINDS) for c in per_kind]
-    spell = min(max(sums["once"] / n_all, 1e-4), 0.5) if n_all else 1.0
-    mixer, table, gates = learn(tokens, sample)
-    model = spark.sparkContext.broadcast((mixer, table, gates))
-    per_bits = [f"b{k}" for k in range(KINDS)]
-
-    def spell_all(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        mixer, table, gates = model.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(i, CHUNK)
-                n = part.column("n").to_numpy()
-                spelled_bits = mixer.bits(part.column("token").to_pylist(), table, gates) + log2(spell)
-                out = []
-                for c, total in zip(per_kind, n_kind, strict=True):
-                    share = (OWN * part.column(c).to_numpy() / max(total, 1) + (1 - OWN) * n / max(n_all, 1)) * (1 - spell)
-                    out.append(pa.array(np.logaddexp2(spelled_bits, np.log2(np.maximum(share, 1e-300))).astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([part.column("token"), part.column("n"), pa.array(np.log10((n + 1) / (n_all + n_distinct + 1))), *out], names=["token", "n", "base", *per_bits])
-
-    words = store(tokens.mapInArrow(spell_all, "token binary, n long, base double, " + ", ".join(f"{b} float" for b in per_bits)), "words")
+    texts = docs.select(F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_taught"), F.pmod(F.xxhash64(F.col(text_col), F.lit("fold")), F.lit(FOLDS)).alias("_fold"))
+    tokens = store(count_tokens(texts), "tokens")
+    sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("V")).first()
+    n_all, n_distinct = int(sums["n"]), int(sums["V"])
+    mixer = Mixer(*alphabet_of(bytes_of(tokens)))
+    contexts = count_contexts(texts, mixer.code)
+    model = spark.sparkContext.broadcast((mixer, *tables_of(contexts, "")))
+    words = tokens.withColumn("base", F.log10((F.col("n") + 1) / F.lit(float(n_all + n_distinct + 1))))
     least = max(n_all / HEAVY, 1)
-    heavy = [(bytes(r["token"]), r["base"], [r[b] for b in per_bits]) for r in words.where(F.col("n") >= least).toLocalIterator()]
-    common = spark.sparkContext.broadcast(heavy_table(heavy))
+    heavy = [(bytes(r["token"]), r["base"]) for r in words.where(F.col("n") >= least).select("token", "base").toLocalIterator()]
+    common = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(heavy)}, np.array([b for _, b in heavy])))
     del heavy
     packed = docs.select(F.col(text_col).alias("_text"), F.struct(*carry, F.lit(0).alias("_pad")).alias("_row"))
     from pyspark.sql.types import StructType
 
-    schema = StructType([packed.schema["_row"], *StructType.fromDDL("n_tokens long, n_known long, base double, bits double, bytes long, rest array<binary>, times array<int>, spelled array<int>").fields, *StructType.fromDDL(", ".join(f"{b} double" for b in per_bits)).fields])
+    schema = StructType([packed.schema["_row"], *StructType.fromDDL("n_tokens long, n_known long, base double, bits double, bytes long, rest array<binary>, times array<int>").fields])
 
     def run(batches):
         from collections import Counter
 
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
         from quire.llm.common import slices
 
-        index, base, bits = common.value
-        kinds = [f.type for f in list(schema_arrow())[1:]]
+        index, base = common.value
+        mixer, table, gates = model.value
+        kinds = [f.type for f in list(to_arrow_schema(schema))[1:]]
         for batch in batches:
             for part in slices(batch, "_text"):
                 cols = [[] for _ in kinds]
-                for text in part.column("_text").to_pylist():
+                texts = part.column("_text").to_pylist()
+                bits = np.zeros(len(texts))
+                for laid in laid_out(texts):
+                    np.add.at(bits, laid.owner, mixer.run(laid, table, gates))
+                for text, told in zip(texts, bits.tolist(), strict=True):
                     words = [*tokens_of(text), END]
-                    told, left = foretold(words)
                     known = [i for i in map(index.get, words) if i is not None]
-                    found = [i for i in map(index.get, left) if i is not None] if len(left) < len(words) else known
                     rest = Counter([w for w in words if w not in index]) if len(known) < len(words) else {}
-                    coded = Counter([w for w in left if w not in index]) if len(found) < len(left) else {}
-                    row = (len(words), len(known), float(base[known].sum()), told, sum(map(len, words)) + len(words) - 1, list(rest), list(rest.values()), [coded[w] if coded else 0 for w in rest], *bits[found].sum(axis=0).tolist())
+                    row = (len(words), len(known), float(base[known].sum()), told, sum(map(len, words)) + len(words) - 1, list(rest), list(rest.values()))
                     for col, x in zip(cols, row, strict=True):
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=schema.names)
 
-    def schema_arrow():
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return to_arrow_schema(schema)
-
     scored = store(packed.mapInArrow(run, schema).withColumn("_at", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("_at", F.explode(F.arrays_zip("rest", "times", "spelled")).alias("_x")).select("_at", F.col("_x.rest").alias("token"), F.col("_x.times").alias("times"), F.col("_x.spelled").alias("spelled"))
+    rare = scored.select("_at", F.explode(F.arrays_zip("rest", "times")).alias("_x")).select("_at", F.col("_x.rest").alias("token"), F.col("_x.times").alias("times"))
     looked = rare.join(words.where(F.col("n") < least), "token")  # every token is in the table, so no row is lost
-    sums = looked.groupBy("_at").agg(F.sum(F.col("base") * F.col("times")).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"), *[F.sum(F.col(b) * F.col("spelled")).alias(f"_{b}") for b in per_bits])
+    sums = looked.groupBy("_at").agg(F.sum(F.col("base") * F.col("times")).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
     out = scored.join(sums, "_at", "left")
-    # The kinds' chances after each word make a mixture whose product over the text is this sum.
-    each = [scored[b] + F.coalesce(F.col(f"_{b}"), F.lit(0.0)) + F.lit(log2(p)) for b, p in zip(per_bits, prior, strict=True)]
-    top = F.greatest(*each)
-    bits = F.col("bits") + top + F.log2(sum((F.pow(F.lit(2.0), e - top) for e in each[1:]), F.pow(F.lit(2.0), each[0] - top)))
     return out.select(
         *[F.col("_row")[c].alias(c) for c in carry],
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (bits * F.lit(log10(2))).alias("score"),
-        (-bits / F.col("bytes")).alias("bits_per_byte"),
+        (F.col("bits") * F.lit(log10(2))).alias("score"),
+        (-F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
     )

@@ -258,6 +258,31 @@ def test_scores(spark, empty, monkeypatch):
     assert untaught["n_known"] == untaught["train_tokens"] == 0 and np.isfinite(untaught["score"])
 
 
+def test_known_words_are_coded_in_context(spark):
+    """Known words cost what their neighbours make of them: the same words in an order never seen cost more, over many texts."""
+    rng = np.random.default_rng(5)
+    pairs = [(f"{chr(97 + i)}lpha{i}", f"{chr(122 - i)}eta{i}") for i in range(12)]
+    rows = [(i, " ".join(w for x in rng.permutation(12)[:8] for w in pairs[x]), True) for i in range(200)]
+    for i in range(20):
+        some = [pairs[x] for x in rng.permutation(12)[:8]]
+        rows += [(1000 + i, " ".join(w for p in some for w in p), False), (2000 + i, " ".join(w for k, p in enumerate(some) for w in (p[0], some[k - 1][1])), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, taught boolean")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.col("taught"), carry=["doc_id"]).collect()}
+    assert sum(got[1000 + i] for i in range(20)) > 0.8 * sum(got[2000 + i] for i in range(20))
+
+
+def test_long_texts_are_coded_whole(monkeypatch):
+    """Every byte is coded once, with the words before it as context, however a text is cut into pieces and runs."""
+    monkeypatch.setattr(lm, "PIECE", 64)
+    monkeypatch.setattr(lm, "SPAN", 16)
+    texts = ["one two three four five six seven eight " * 9, None, "short one", "x" * 100]
+    sizes = np.zeros(len(texts), int)
+    for laid in lm.laid_out(texts):
+        np.add.at(sizes, laid.owner, laid.length)
+        assert laid.length.max() <= 16 and laid.coded.sum() == laid.length.sum()
+    assert sizes.tolist() == [sum(len(w) + 1 for w in lm.tokens_of(t)) + 1 for t in texts]
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
