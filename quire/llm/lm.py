@@ -27,6 +27,8 @@ CELLS = 33
 MATCH = (0.5, 2.0, 3.5, 4.5)
 #: Bytes of text laid out at a time, and bytes coded one after another: longer texts go on side by side in runs of SPAN, each from the learned weights.
 PIECE, SPAN = 3 << 20, 4096
+#: Bytes of texts whose contexts are hashed at a time.
+LAY = 1 << 18
 #: Training texts are dealt by a hash of the text into FOLDS; weights are learned on each fold with the counts of the others.
 FOLDS = 2
 #: At most HEAVY tokens with 1/HEAVY of all training tokens or more each are broadcast; the others are looked up by a join.
@@ -139,8 +141,13 @@ class Laid:
         at = np.cumsum(counts) - counts
         opens = np.zeros(len(words), bool)
         opens[at] = True
-        self.rows = [r.astype(np.int32) for r in context_rows(self.data, begin, sizes, opens)]
         ends = np.append(begin, len(self.data))
+        self.rows = np.empty((len(CONTEXTS), len(self.data)), np.int32)
+        # A group of texts at a time, as the hashing takes many times their bytes.
+        groups = np.flatnonzero(np.diff(ends[at] // LAY, prepend=-1)) if len(at) else []
+        marks = [*at[groups].tolist(), len(words)]
+        for a, b in zip(marks, marks[1:], strict=False):
+            self.rows[:, ends[a] : ends[b]] = context_rows(self.data[ends[a] : ends[b]], begin[a:b] - begin[a], sizes[a:b], opens[a:b])
         lead = np.fromiter((x for _, _, x in texts), np.int64, len(texts))
         starts, stops = ends[at + lead], ends[at + counts]
         runs = -(-(stops - starts) // SPAN)
@@ -190,26 +197,27 @@ class Laid:
         return guess, levels
 
 
-def laid_out(texts):
-    """The texts (None for null) as Laid, of about PIECE bytes each. Of a longer text each part but the first has the six words before it in front."""
+def laid_out(texts, most: int | None = None):
+    """The texts (None for null) as Laid, of about `most` (PIECE) bytes each. Of a longer text each part but the first has the six words before it in front."""
+    most = PIECE if most is None else most
     held, size = [], 0
     for i, text in enumerate(texts):
         words = [*tokens_of(text), END]
         n = len(text or "") + 1
-        if n <= PIECE:
+        if n <= most:
             parts = [(words, 0)]
         else:
             cuts, n = [0], 0
             for k, w in enumerate(words):
                 n += len(w) + 1
-                if n > PIECE:
+                if n > most:
                     cuts.append(k + 1)
                     n = 0
             cuts = sorted({*cuts, len(words)})
             parts = [(words[max(a - 6, 0) : b], min(a, 6)) for a, b in zip(cuts, cuts[1:], strict=False)]
         for part, lead in parts:
             long = sum(map(len, part)) + len(part)
-            if held and size + long > PIECE:
+            if held and size + long > most:
                 yield Laid(held)
                 held, size = [], 0
             held.append((i, part, lead))
@@ -258,9 +266,8 @@ class Mixer:
         guess, level = laid.guesses()
         symbols, foretold_ = self.code[laid.data].astype(np.int32), self.code[guess].astype(np.int32) + CELL
         strong = np.array((0.0, *MATCH), f32)[level] * f32(SCALE)
-        rows = np.stack(laid.rows)
+        rows = laid.rows
         gate_of = gates[rows[BY_WORD]].astype(np.int32) + np.where(level > 0, len(GATE) + 1, 0).astype(np.int32)
-        rows *= CELL
         order = np.argsort(-laid.length, kind="stable")
         begin, length = laid.begin[order], laid.length[order]
         most = int(length[0]) if len(length) else 0
@@ -277,7 +284,7 @@ class Mixer:
         for t in range(most):
             n = alive[t]
             here = begin[:n] + t
-            base, symbol, gate, said, strength = rows[:, here], symbols[here], gate_of[here], foretold_[here], strong[here]
+            base, symbol, gate, said, strength = rows[:, here] * CELL, symbols[here], gate_of[here], foretold_[here], strong[here]
             at, cell0 = offset[:n] + gate, gate * CELLS + (CELLS - 1) // 2
             chance, node = np.ones(n, f32), np.ones(n, np.int32)
             x = logit[:, :n]
@@ -427,8 +434,8 @@ def count_contexts(docs: DataFrame, code) -> DataFrame:
                 cells.fill(0)
 
             for batch in batches:
-                for part in slices(batch, "_text"):
-                    for laid in laid_out(part.column("_text").to_pylist()):
+                for part in slices(batch, "_text", LAY * 4):
+                    for laid in laid_out(part.column("_text").to_pylist(), LAY * 2):
                         symbols = code[laid.data].astype(np.int32)
                         for rows in laid.rows:
                             np.add.at(cells, (rows * CELL + symbols)[laid.coded], np.uint32(1))
@@ -476,6 +483,50 @@ def tables_of(contexts: DataFrame, which: str):
     return table, gates
 
 
+def teach(mixer: Mixer, docs: DataFrame, contexts: DataFrame) -> None:
+    """Learn starting weights and refinement over all training texts.
+
+    Every task steps through its texts of a fold with the counts of the other folds, so no text, nor a copy of it, is
+    foretold by its own counts. Weights are then averaged by the bits that each task met; the refinement's
+    counts are added up.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    start = mixer.weights
+    sums: dict = {}
+    for fold in range(FOLDS):
+        model = spark.sparkContext.broadcast((mixer, *tables_of(contexts, str(fold))))
+
+        def work(batches, model=model):
+            from copy import deepcopy
+
+            import pyarrow as pa
+
+            from quire.llm.common import slices
+
+            mixer, table, gates = model.value
+            mine = deepcopy(mixer)
+            for batch in batches:
+                for part in slices(batch, "_text"):
+                    for laid in laid_out(part.column("_text").to_pylist()):
+                        mine.run(laid, table, gates, learn=True)
+            out = np.concatenate(((mine.weights * mine.met[:, :, None]).ravel(), mine.met.ravel(), mine.seen, mine.ones))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["at", "x"])
+
+        found = docs.where(F.col("_taught") & (F.col("_fold") == fold)).select("_text").mapInArrow(work, "at int, x double")
+        for r in found.groupBy("at").agg(F.sum("x").alias("x")).collect():
+            sums[r["at"]] = sums.get(r["at"], 0.0) + r["x"]
+        model.destroy()
+    k = len(STARTS)
+    flat = np.array([sums.get(i, 0.0) for i in range(BITS * GATES * (k + 1) + 2 * GATES * CELLS)])
+    weights, met, seen, ones = np.split(flat, np.cumsum([BITS * GATES * k, BITS * GATES, GATES * CELLS]))
+    weights, met = weights.reshape(BITS, GATES, k), met.reshape(BITS, GATES, 1)
+    mixer.weights = np.where(met > 0, weights / np.maximum(met, 1), start).astype(np.float32)
+    mixer.met = met[:, :, 0]
+    mixer.refined = ((ones + 20 * mixer.refined.ravel()) / (seen + 20)).reshape(GATES, CELLS).astype(np.float32)
+
+
 def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Add to every document `n_tokens`, `n_known`, `train_tokens` long, `base_score`, `score`, `bits_per_byte` double.
 
@@ -507,6 +558,7 @@ def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] |
     n_all, n_distinct = int(sums["n"]), int(sums["V"])
     mixer = Mixer(*alphabet_of(bytes_of(tokens)))
     contexts = count_contexts(texts, mixer.code)
+    teach(mixer, texts, contexts)
     model = spark.sparkContext.broadcast((mixer, *tables_of(contexts, "")))
     words = tokens.withColumn("base", F.log10((F.col("n") + 1) / F.lit(float(n_all + n_distinct + 1))))
     least = max(n_all / HEAVY, 1)

@@ -283,6 +283,18 @@ def test_long_texts_are_coded_whole(monkeypatch):
     assert sizes.tolist() == [sum(len(w) + 1 for w in lm.tokens_of(t)) + 1 for t in texts]
 
 
+def test_weights_are_learned_from_all_training_texts(spark):
+    """Every bit of every training text steps the weights; copies of one text don't fill a sample."""
+    rows = [("the same text again and again",)] * 300 + [(f"text {i} of its own with {i * i} in it",) for i in range(60)]
+    texts = spark.createDataFrame(rows, "_text string").select("_text", F.lit(True).alias("_taught"), F.pmod(F.xxhash64("_text"), F.lit(lm.FOLDS)).alias("_fold"))
+    tokens = lm.count_tokens(texts).cache()
+    mixer = lm.Mixer(*lm.alphabet_of(lm.bytes_of(tokens)))
+    start = mixer.weights
+    lm.teach(mixer, texts, lm.count_contexts(texts, mixer.code))
+    assert mixer.met.sum() == lm.BITS * sum(len(w) + (w != lm.END) for (t,) in rows for w in [*lm.tokens_of(t), lm.END])
+    assert np.isfinite(mixer.weights).all() and (mixer.weights != start).any()
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
