@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import DataFrame
 
@@ -53,9 +55,49 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# The other common licences by name: notices, the same in other words, and standard headers.
+_NAMED = {
+    "AGPL-3.0": ("GNU Affero General Public License", "version 3"),
+    "GPL-1.0": ("GNU General Public License", "version 1"),
+    "GPL-2.0": ("GNU General Public License", "version 2"),
+    "LGPL-2.0": ("GNU Library General Public License", "version 2"),
+    "LGPL-2.1": ("GNU Lesser General Public License", "version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License", "version 3"),
+}
+for _name, (_title, _version) in _NAMED.items():
+    TEMPLATES[_name] = f"This work is licensed under the {_title}, {_version}."
+    TEMPLATES[f"{_name}-header"] = TEMPLATES["GPL-3.0-header"].replace("version 3", _version).replace("GNU General Public License", _title)
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _kind, _title in _CC.items():
+    for _version, _port in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        for _name, _text in ((f"CC-{_kind}-{_version}", f"Licensed under CC {_kind} {_version}."), (f"CC-{_kind}-{_version}-notice", f"This work is licensed under a Creative Commons {_title} {_version} {_port} License.")):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[_name if _name not in TEMPLATES else f"{_name}-short"] = _text
+TEMPLATES |= {
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "ISC-notice": "Released under the ISC License.",
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "ISC-text": TEMPLATES["ISC"] + (
+        " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
+@cache
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the whole texts in licence_texts/, these under the licence's name and -text."""
+    found = resources.files("quire.llm") / "licence_texts"
+    texts = {f"{f.name.removesuffix('.txt')}-text": f.read_text("utf-8") for f in sorted(found.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    return TEMPLATES | texts
+
+
 def words_of(text: str | None) -> list[str]:
     """Normalised words: lower-cased runs of letters and digits."""
     return _WORD.findall(text.lower()) if text else []
@@ -142,10 +184,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """Add `license` string, `dice` double, `first_word`, `end_word` int, `matches` array<struct<license,dice,first_word,end_word>>.
 
     The first four describe the best match (ties: the first name); null and an empty array if there is none. Null and empty texts, and texts of one word, have none.
-    `templates`: name to text (default: TEMPLATES), a list of fixed size that goes to every task. `carry`: the
+    `templates`: name to text (default: all_templates()), a list of fixed size that goes to every task. `carry`: the
     input columns to keep (default: all); columns named as outputs are replaced. No shuffle.
     """
-    scanner = Scanner(TEMPLATES if templates is None else templates, least)
+    scanner = Scanner(all_templates() if templates is None else templates, least)
 
     def work():
         def do(texts):

@@ -133,6 +133,20 @@ def test_licence_scan_is_the_best_window():
     assert scanner.scan(None) == scanner.scan("") == scanner.scan("one") == []
 
 
+def test_licences_and_versions_are_told_apart():
+    scanner = licences.Scanner(licences.all_templates())
+    best = lambda t: (scanner.scan(t) or [(None, 0)])[0][:2]
+    for name, text in licences.all_templates().items():
+        found = scanner.scan(f"Some words first. {text} And some after.")
+        assert (name, 1.0) in [f[:2] for f in found]
+        kind = re.sub("-(text|header|notice|short)$", "", name)
+        assert re.sub("-(text|header|notice|short)$", "", found[0][0]) == kind
+    assert best("Licensed under CC BY 4.0.")[0] == "CC-BY-4.0-short"
+    assert best("This work is licensed under the GNU General Public License, version 2.")[0] == "GPL-2.0"
+    whole = {n.removesuffix("-text") for n in licences.all_templates() if n.endswith("-text")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "MIT", "Unlicense", "CC0-1.0", "ISC"} <= whole
+
+
 def test_filters_give_every_language_of_a_gram():
     f = langid.Filters({"a": [1, 2, 3], "b": [3, 4], "c": []})
     slots = f.slots(np.array([3], np.uint32))
