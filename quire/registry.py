@@ -313,6 +313,13 @@ def u01_deterministic_plan(spark, sf_dir):
     return plan.where(plain).select("doc_id", "chunk_no", "pos", "role", "target_lang", "translated_text", F.col("quality_flags")[0].alias("flag"))
 
 
+@query()
+def u01_whole_plan(spark, sf_dir):
+    """u01_deterministic_plan of all blocks, also those with signs, on which SQL cannot follow the formula rule."""
+    plan = translation.deterministic(source_blocks(spark, sf_dir), "zh")
+    return plan.select("doc_id", "chunk_no", "pos", "role", "target_lang", "translated_text", F.col("quality_flags")[0].alias("flag"))
+
+
 def broken_plan(spark, sf_dir):
     """A plan that lacks every 17th block, shortens every 13th and blanks every 11th."""
     plan = translation.deterministic(source_blocks(spark, sf_dir), "fr").where("pos % 17 <> 3")
@@ -326,6 +333,12 @@ def j02_plan_coverage(spark, sf_dir):
     return out.where("code <> 'missing_token'").select("doc_id", "pos", "code")
 
 
+@query()
+def j02_all_issues(spark, sf_dir):
+    """j02_plan_coverage with all of its codes."""
+    return translation.coverage_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir)).select("doc_id", "pos", "code", "detail")
+
+
 @query(
     f"""
 WITH {LINES}, p AS (SELECT *, CASE WHEN pos % 11 = 5 THEN ' ' WHEN pos % 13 = 4 THEN ('[fr] ' || text)[1:9] ELSE '[fr] ' || text END AS t FROM lines)
@@ -338,6 +351,13 @@ def j01_rendered_blocks(spark, sf_dir):
     return out.join(line_blocks(spark, sf_dir).where(~F.col("text").contains("=") & ~F.col("text").rlike(r"[+*/^_<>\-\\]")).select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
 
 
+@query()
+def j01_all_blocks(spark, sf_dir):
+    """j01_rendered_blocks of all blocks."""
+    out = translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
+    return out.select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
+
+
 @query()
 def j19_quality_issues(spark, sf_dir):
     return translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr")

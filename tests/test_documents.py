@@ -176,3 +176,33 @@ def test_schemas():
     from quire import schemas
 
     assert schemas.schema("block")["box"].dataType["x0"] and '"plan_block"' in schemas.export()
+
+
+def test_whole_plans_against_brute_force(spark, tmp_path):
+    """All blocks and all codes, with signs, references and lost tokens."""
+    import re
+
+    from quire import registry
+
+    some = ["A plain line", "x = y + z - 1", "See {{formula:F1}} and {{formula:F2}} here.", "{{formula:F1}}", "<b>well-known</b> a_b ^ c", "back\\slash * 2 / 3", "A long line about {{formula:F3}} that ends in a stop."]
+    texts = {d: [some[(i * step) % 7] for i in range(60)] for d, step in ((1, 1), (2, 3))}
+    spark.createDataFrame([(d, "\n".join(t)) for d, t in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, shown, issues = set(), set(), set()
+    for d, lines in texts.items():
+        for i, t in enumerate(lines):
+            refs = re.findall(r"\{\{formula:\w+\}\}", t)
+            copied = refs and t == refs[0]
+            plans.add((d, i, t if copied else "【译】" + t, "formula_preserved_without_translation" if copied else "mock_translation"))
+            fr = t if copied else "[fr] " + t
+            fr = " " if i % 11 == 5 else fr[:9] if i % 13 == 4 else fr
+            if i % 17 == 3:
+                issues.add((d, i, "missing_block", ""))
+                shown.add((d, i, t, "missing_translation"))
+            else:
+                issues |= {(d, i, "missing_token", r) for r in refs if r not in fr}
+                shown.add((d, i, t, "empty_translation") if fr == " " else (d, i, fr, ""))
+    rows = lambda name, *cols: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*cols).collect())
+    assert rows("u01_whole_plan", "doc_id", "pos", "translated_text", "flag") == sorted(plans)
+    assert rows("j02_all_issues", "doc_id", "pos", "code", "detail") == sorted(issues)
+    assert rows("j01_all_blocks", "doc_id", "pos", "shown_text", "flags") == sorted(shown)
+    assert {c for *_, c, _ in issues} == {"missing_block", "missing_token"} and any(f.startswith("formula") for *_, f in plans)
