@@ -6,15 +6,19 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quire.llm.common import map_texts
+from quire.llm.common import map_texts, slices, store
 
-#: Most distinct pieces whose ids a task remembers.
-CACHE = 150_000
+#: Most words that are merged once for the corpus and broadcast, and rarer words whose ids a task remembers.
+TABLE, CACHE = 150_000, 100_000
 #: Bytes of text that a task works on at once, and bytes of words that are merged together.
-SLICE, TOGETHER = 2 << 20, 1 << 18
+SLICE, TOGETHER = 2 << 20, 1 << 20
+#: Distinct words that a task counts before it hands them on.
+FLUSH = 300_000
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
 
@@ -130,84 +134,172 @@ class MergeReplay:
         return out
 
 
-def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[str, ...] = ("ids",), text_col: str = "text", carry: list[str] | None = None, by_space: bool = True) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str, by_space: bool) -> DataFrame:
+    """How often each word of the texts that are cut at spaces stands in the whole table: `word` string (with the space before it), `n` long."""
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        cut = cutter(by_space)
+        seen: Counter = Counter()
+
+        def flush():
+            words = list(seen)
+            for at in range(0, len(words), 50_000):
+                some = words[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([seen[w] for w in some], pa.int64())], names=["word", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for part in slices(batch, "_text", SLICE):
+                for text in part.column("_text").to_pylist():
+                    seen.update(cut(text) or ())
+                if len(seen) > FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def cutter(by_space: bool):
+    """A function that cuts a text before each space, or gives None where a match of the pattern may cross such a place."""
+    loose = re.compile(r"\s ").search
+
+    def cut(text):
+        if not text or not by_space or loose(text):
+            return None
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+
+    return cut
+
+
+def common_words(counts: DataFrame, most: int) -> DataFrame:
+    """The words with the highest counts: all that stand as often as some least count, and `most` at the most."""
+    top = 1 << 16
+    by_count = {r["n"]: r["words"] for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    least, words = top + 1, 0
+    for n in sorted(by_count, reverse=True):
+        words += by_count[n]
+        if words > most:
+            break
+        least = n
+    return counts.where(F.least("n", F.lit(top)) >= least)
+
+
+class Words:
+    """Encodes words by the pattern and the merges, many at a time; what it makes of a word is (ids in decimal, their count, int32 bytes, decoded bytes)."""
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        import regex
+
+        self.tokens = tokens
+        self.replay = MergeReplay(tokens)
+        self.split = regex.compile(pattern).findall
+
+    def pieces(self, pieces) -> dict[str, list[int]]:
+        """The ids of distinct pieces: a piece that is a token takes its id, all others are merged over one index (TOGETHER bytes at a time)."""
+        rank, out, some, size = self.replay.rank, {}, [], 0
+        for piece in pieces:
+            raw = piece.encode()
+            r = rank.get(raw)
+            if r is not None:
+                out[piece] = [r]
+                continue
+            some.append((piece, raw))
+            size += len(raw)
+            if size >= TOGETHER:
+                out |= zip([p for p, _ in some], self.replay.encode([b for _, b in some]), strict=True)
+                some, size = [], 0
+        return out | dict(zip([p for p, _ in some], self.replay.encode([b for _, b in some]), strict=True))
+
+    def entry(self, ids: list[int]):
+        return " ".join(map(str, ids)), len(ids), array("i", ids).tobytes(), b"".join([self.tokens[i] for i in ids])
+
+    def learn(self, words) -> dict:
+        """What is made of each of the words."""
+        cut = {w: self.split(w) for w in words}
+        known = self.pieces(set().union(*cut.values()))
+        return {w: self.entry(known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]]) for w, p in cut.items()}
+
+
+def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[str, ...] = ("ids",), text_col: str = "text", carry: list[str] | None = None, by_space: bool = True, table: int = TABLE) -> DataFrame:
     """Encode every whole text; each match of `pattern` is encoded on its own, without special tokens.
 
     `outputs` chooses from OUTPUTS: the ids, their count, the SHA-256 of the
     decimal ids joined by a space, and the bytes that those ids decode to, or
-    their SHA-256. A piece that is a token takes its id; the others of a slice of
-    SLICE bytes are merged by MergeReplay, TOGETHER bytes at a time, and a task remembers
-    CACHE words. `by_space` says that in the pattern a space before a character that isn't white space starts a match
-    and that no other match takes in a space and what follows it; texts in which no space follows white space are then cut there first. Null text counts as empty: no ids. `carry` lists the
-    input columns to keep (default: all); columns named as outputs are replaced.
-    No shuffle. The vocabulary is broadcast; its size does not depend on the data.
+    their SHA-256. Null text counts as empty: no ids. `carry` lists the
+    input columns to keep (default: all); columns named as outputs are replaced. No rows: no rows.
+
+    The distinct words of the corpus are counted, and the commonest (`table` at the most) are merged once for the corpus, many
+    together over one index, and broadcast with their ids and decoded bytes. Words beyond that table are rare: each task merges
+    those of its own slices in the same way and remembers CACHE of them. A bound on what is broadcast is the reason for
+    the second half; the ids are the same.
+
+    `by_space` says that in the pattern a space before a character that isn't white space starts a match
+    and that no other match takes in a space and what follows it; texts in which no space follows white space are then cut
+    there into words first. Other texts are cut by the pattern alone.
+    Only words and counts are shuffled, no texts. The vocabulary is broadcast; its size does not depend on the data.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(tokens)
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(tokens)
+    made = {}
+    if by_space and table:
+        counts = store(word_counts(docs, text_col, by_space), "words")
+
+        def merge(batches):
+            import pyarrow as pa
+
+            words = Words(shipped.value, pattern)
+            for batch in batches:
+                got = words.learn(batch.column(0).to_pylist())
+                cols = zip(*got.values(), strict=True) if got else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)]], names=["word", "ids", "n", "packed", "decoded"])
+
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        found = common_words(counts, table).select("word").repartition(parts).mapInArrow(merge, "word string, ids string, n long, packed binary, decoded binary").toArrow()
+        made = dict(zip(found.column(0).to_pylist(), zip(*[c.to_pylist() for c in found.columns[1:]], strict=True), strict=True))
+    common = spark.sparkContext.broadcast(made)
 
     def work():
         import numpy as np
         import pyarrow as pa
-        import regex
 
-        tokens = shipped.value
-        replay = MergeReplay(tokens)
-        rank, split = replay.rank, regex.compile(pattern).findall
-        loose = re.compile(r"\s ").search
-        known: dict[str, str] = {}  # ids of pieces
-        first: dict[str, str] = {}  # ids of words at the start of a text
-        spaced: dict[str, str] = {}  # ids of words after a space
-        decode = {str(i): t for i, t in enumerate(tokens)}.__getitem__
-
-        def learn(pieces):
-            new = []
-            for word in pieces:
-                if word not in known:
-                    r = rank.get(word.encode())
-                    if r is None:
-                        new.append(word)
-                    else:
-                        known[word] = str(r)
-            some, size = [], 0
-            for i, word in enumerate(new):
-                some.append(word)
-                size += len(word)
-                if size >= TOGETHER or i + 1 == len(new):
-                    for w, ids in zip(some, replay.encode([w.encode() for w in some]), strict=True):
-                        known[w] = " ".join(map(str, ids))
-                    some, size = [], 0
+        words, cut = Words(shipped.value, pattern), cutter(by_space)
+        known = common.value
+        pieces: dict[str, tuple] = {}
+        rare: dict[str, tuple] = {}
 
         def do(texts):
-            if max(len(known), len(spaced)) > CACHE:
-                known.clear(), first.clear(), spaced.clear()
-            # Where no space follows white space, no piece crosses the place before a space,
-            # so what stands between spaces can be split and remembered as a whole.
-            close = [bool(t) and by_space and not loose(t) for t in texts]
-            words = [t.split(" ") if c else split(t) if t else [] for t, c in zip(texts, close, strict=True)]
-            heads = {w[0]: split(w[0]) for w, c in zip(words, close, strict=True) if c and w[0] not in first}
-            tails = {w: split(" " + w) for w in set().union(*[w[1:] for w, c in zip(words, close, strict=True) if c]) if w not in spaced}
-            learn(set().union(*heads.values(), *tails.values(), *[w for w, c in zip(words, close, strict=True) if not c]))
-            for into, found in ((first, heads), (spaced, tails)):
-                for w, p in found.items():
-                    into[w] = " ".join([known[x] for x in p])
-            joined = []
-            for w, c in zip(words, close, strict=True):
-                if not c:
-                    joined.append(" ".join([known[x] for x in w]))
+            if max(len(rare), len(pieces)) > CACHE:
+                rare.clear(), pieces.clear()
+            cuts = [cut(t) for t in texts]
+            new = {w for c in cuts if c for w in c if w not in known and w not in rare}
+            rare.update(words.learn(new))
+            wild = [words.split(t) if t and c is None else None for t, c in zip(texts, cuts, strict=True)]
+            new = {p for w in wild if w for p in w if p not in pieces}
+            pieces.update((p, words.entry(ids)) for p, ids in words.pieces(new).items())
+            ids, count, packed, back = [], [], [], []
+            for c, w in zip(cuts, wild, strict=True):
+                if c:
+                    got = [known.get(x) or rare[x] for x in c]
                 else:
-                    rest = " ".join([spaced[x] for x in w[1:]])
-                    joined.append(f"{first[w[0]]} {rest}".strip() if rest else first[w[0]])
-            out = {}
+                    got = [pieces[x] for x in w or ()]
+                a, n, b, d = zip(*got, strict=True) if got else ((), (), (), ())
+                ids.append(" ".join(a))
+                count.append(sum(n))
+                packed.append(b"".join(b))
+                back.append(b"".join(d))
+            out = {"n_tokens": count, "decoded": back}
             if "ids" in outputs:
-                each = [np.array(s.split(), np.int32) for s in joined]
-                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
-                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
-            if "n_tokens" in outputs:
-                out["n_tokens"] = [s.count(" ") + 1 if s else 0 for s in joined]
+                ends = np.cumsum([0, *count]).astype(np.int32)
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             if "ids_sha256" in outputs:
-                out["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for s in joined]
-            if "decoded" in outputs or "decoded_sha256" in outputs:
-                back = [b"".join(map(decode, s.split())) for s in joined]
-                out |= {"decoded": back, "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back]}
+                out["ids_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for s in ids]
+            if "decoded_sha256" in outputs:
+                out["decoded_sha256"] = [hashlib.sha256(b).hexdigest() for b in back]
             return {k: out[k] for k in outputs}
 
         return do
@@ -217,8 +309,6 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
 
 def decode(rows: DataFrame, tokens: list[bytes], ids_col: str = "ids") -> DataFrame:
     """Add `text`: the ids of `ids_col` decoded as UTF-8, wrong bytes replaced. Null ids: null."""
-    from pyspark.sql import functions as F
-
     shipped = rows.sparkSession.sparkContext.broadcast(tokens)
 
     @F.pandas_udf("string")

@@ -186,10 +186,20 @@ def test_bpe(docs, empty):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == (r["text"] or "").encode()
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert len(got) == len(ROWS) and bpe.encode(empty, tokens, public_tokenizers.PATTERN).count() == 0
+    for table in (0, 3, 1000):  # words merged for the corpus, in the task, or both: the ids are the same
+        some = bpe.encode(docs, tokens, public_tokenizers.PATTERN, ("ids", "decoded_sha256"), table=table).collect()
+        assert sorted(r["ids"] for r in some) == sorted(enc.encode_ordinary(r[1] or "") for r in ROWS)
+        assert {r["decoded_sha256"] for r in some} == {hashlib.sha256((r[1] or "").encode()).hexdigest() for r in ROWS}
     back = bpe.decode(bpe.encode(docs, tokens, public_tokenizers.PATTERN, carry=["doc_id"]), tokens)
     assert {r["text"] for r in back.collect()} == {r[1] or "" for r in ROWS}
 
 
+def test_common_words_are_bounded(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1 << 40)], "word string, n long")
+    for most, want in ((0, ""), (1, "d"), (2, "ad"), (3, "ad"), (4, "abcd")):
+        assert "".join(sorted(r["word"] for r in bpe.common_words(counts, most).collect())) == want
+
+
 def test_shards(spark, docs, empty):
     rows = [(i, f"text {i % 300} " * (i % 300 % 11 + 1), "en" if i % 3 else None, f"s{i % 4}", 1) for i in range(900)]
     got = hilbert.shard(spark.createDataFrame(rows, SCHEMA).unionByName(docs), carry=["doc_id", "text"]).collect()
