@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -11,12 +12,14 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_texts, slices, store
+from quire.llm.common import commonest, map_texts, slices, store
 
 #: Most words that are merged once for the corpus and broadcast, and rarer words whose ids a task remembers.
-TABLE, CACHE = 150_000, 100_000
+TABLE, CACHE = 150_000, 200_000
 #: Bytes of text that a task works on at once, and bytes of words that are merged together.
-SLICE, TOGETHER = 2 << 20, 1 << 20
+SLICE, TOGETHER = 4 << 20, 1 << 20
+#: Bytes of the longest pieces that are merged in waves; and the rank of a pair that doesn't merge.
+SHORT, NEVER = 48, (1 << 31) - 1
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
@@ -134,15 +137,14 @@ class MergeReplay:
         return out
 
 
-def word_counts(docs: DataFrame, text_col: str, by_space: bool) -> DataFrame:
-    """How often each word of the texts that are cut at spaces stands in the whole table: `word` string (with the space before it), `n` long."""
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """How often each word after a space stands in the texts that can be cut there: `word` string, `n` long."""
 
     def count(batches):
         from collections import Counter
 
         import pyarrow as pa
 
-        cut = cutter(by_space)
         seen: Counter = Counter()
 
         def flush():
@@ -155,7 +157,7 @@ def word_counts(docs: DataFrame, text_col: str, by_space: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
                 for text in part.column("_text").to_pylist():
-                    seen.update(cut(text) or ())
+                    seen.update(spaced(text)[1:])
                 if len(seen) > FLUSH:
                     yield from flush()
         yield from flush()
@@ -163,66 +165,164 @@ def word_counts(docs: DataFrame, text_col: str, by_space: bool) -> DataFrame:
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def cutter(by_space: bool):
-    """A function that cuts a text before each space, or gives None where a match of the pattern may cross such a place."""
-    loose = re.compile(r"\s ").search
+_LOOSE = re.compile(r"\s ").search
 
-    def cut(text):
-        if not text or not by_space or loose(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
-    return cut
+def spaced(text: str | None) -> list[str]:
+    """What stands between the spaces of a text in which no space follows white space; else nothing."""
+    return text.split(" ") if text and not _LOOSE(text) else []
 
 
-def common_words(counts: DataFrame, most: int) -> DataFrame:
-    """The words with the highest counts: all that stand as often as some least count, and `most` at the most."""
-    top = 1 << 16
-    by_count = {r["n"]: r["words"] for r in counts.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()}
-    least, words = top + 1, 0
-    for n in sorted(by_count, reverse=True):
-        words += by_count[n]
-        if words > most:
-            break
-        least = n
-    return counts.where(F.least("n", F.lit(top)) >= least)
+def pair_table(tokens: list[bytes]):
+    """(keys, ranks): an open-addressing hash table of the pairs of tokens that merge, keyed by left << 32 | right; -1 where empty."""
+    import numpy as np
+
+    rank = {t: i for i, t in enumerate(tokens)}
+    pairs = [(rank[t[:k]] << 32 | rank[t[k:]], r) for t, r in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank]
+    size = 1 << max(4, (3 * len(pairs)).bit_length())
+    keys, ranks = np.full(size, -1, np.int64), np.full(size, NEVER, np.int32)
+    new = np.array([p[0] for p in pairs], np.int64)
+    values = np.array([p[1] for p in pairs], np.int32)
+    at = slot_of(new, size)
+    while len(new):
+        # Of those that want the same free slot the first gets it; the others look one further.
+        free = keys[at] == -1
+        _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+        won = first[free[first]]
+        keys[at[won]], ranks[at[won]] = new[won], values[won]
+        rest = np.ones(len(new), bool)
+        rest[won] = False
+        new, values, at = new[rest], values[rest], (at[rest] + 1) & (size - 1)
+    return keys, ranks
+
+
+def slot_of(keys, size: int):
+    """Where the search for each key begins in a table of `size` slots (a power of two)."""
+    import numpy as np
+
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def merge_waves(words: list[bytes], single, table):
+    """(ids of all words one after another, where each word's begin and the end): the leftmost lowest-ranked pair of every word is merged in each wave.
+
+    `single`: the ids of the 256 bytes. A wave gives new ranks only to the pairs on either side of a merge; words without a pair
+    that merges leave. The waves are as many as the most merges of a word, so long words are better left to MergeReplay.
+    """
+    import numpy as np
+
+    keys, ranks = table
+    size = len(keys)
+
+    def rank_of(left, right):
+        want = left.astype(np.int64) << 32 | right
+        at = slot_of(want, size)
+        out = np.full(len(want), NEVER, np.int32)
+        todo = np.arange(len(want))
+        while len(todo):
+            here = keys[at]
+            hit = here == want
+            out[todo[hit]] = ranks[at[hit]]
+            go = ~hit & (here != -1)
+            todo, want, at = todo[go], want[go], (at[go] + 1) & (size - 1)
+        return out
+
+    data = np.frombuffer(b"".join(words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    symbols, word = single[data], np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    pairs = np.full(len(symbols), NEVER, np.int32)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    pairs[inner] = rank_of(symbols[inner], symbols[inner + 1])
+    done_ids, done_words = [], []
+    while len(symbols):
+        starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1]))
+        least = np.minimum.reduceat(pairs, starts)
+        over = least == NEVER
+        if over.any():
+            out = np.repeat(over, sizes)
+            done_ids.append(symbols[out])
+            done_words.append(word[out])
+            symbols, word, pairs = symbols[~out], word[~out], pairs[~out]
+            sizes, least = sizes[~over], least[~over]
+            if not len(symbols):
+                break
+        hits = np.flatnonzero(pairs == np.repeat(least, sizes))
+        owner = word[hits]
+        at = hits[np.concatenate(([True], owner[1:] != owner[:-1]))]  # the leftmost of each word
+        symbols[at] = least
+        keep = np.ones(len(symbols), bool)
+        keep[at + 1] = False
+        symbols, word, pairs = symbols[keep], word[keep], pairs[keep]
+        sizes = sizes - 1
+        at = at - np.arange(len(at))
+        for left in (at[at > 0] - 1, at[at + 1 < len(symbols)]):
+            left = left[word[left] == word[left + 1]]
+            pairs[left] = rank_of(symbols[left], symbols[left + 1])
+        ends = np.cumsum(sizes) - 1  # the last symbol of each word begins no pair
+        pairs[ends] = NEVER
+    ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int32)
+    owner = np.concatenate(done_words) if done_words else np.zeros(0, np.int32)
+    return ids[np.argsort(owner, kind="stable")], np.concatenate((np.zeros(1, np.int64), np.cumsum(np.bincount(owner, minlength=len(words)))))
 
 
 class Words:
-    """Encodes words by the pattern and the merges, many at a time; what it makes of a word is (ids in decimal, their count, int32 bytes, decoded bytes)."""
+    """Encodes words by the pattern and the merges, many at a time; what it makes of a word is (ids in decimal, their count, decoded bytes[, int32 bytes])."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, table=None, packing: bool = True):
         import regex
 
+        self.packing = packing
         self.tokens = tokens
+        self.decimal = list(map(str, range(len(tokens))))
         self.replay = MergeReplay(tokens)
+        self.table = table
         self.split = regex.compile(pattern).findall
+        self.held: dict[str, tuple] = {}
 
-    def pieces(self, pieces) -> dict[str, list[int]]:
-        """The ids of distinct pieces: a piece that is a token takes its id, all others are merged over one index (TOGETHER bytes at a time)."""
-        rank, out, some, size = self.replay.rank, {}, [], 0
+    def pieces(self, pieces) -> dict[str, tuple]:
+        """What is made of distinct pieces: one that is a token takes its id, all others are merged over one index (TOGETHER bytes at a time), or in waves if there is a pair table."""
+        rank, out, some, short, size = self.replay.rank, {}, [], [], 0
         for piece in pieces:
             raw = piece.encode()
             r = rank.get(raw)
             if r is not None:
-                out[piece] = [r]
-                continue
-            some.append((piece, raw))
-            size += len(raw)
-            if size >= TOGETHER:
-                out |= zip([p for p, _ in some], self.replay.encode([b for _, b in some]), strict=True)
-                some, size = [], 0
-        return out | dict(zip([p for p, _ in some], self.replay.encode([b for _, b in some]), strict=True))
+                out[piece] = self.entry([r])
+            elif self.table is not None and len(raw) <= SHORT:
+                short.append((piece, raw))
+            else:
+                some.append((piece, raw))
+                size += len(raw)
+                if size >= TOGETHER:
+                    out |= zip([p for p, _ in some], map(self.entry, self.replay.encode([b for _, b in some])), strict=True)
+                    some, size = [], 0
+        out |= zip([p for p, _ in some], map(self.entry, self.replay.encode([b for _, b in some])), strict=True)
+        if short:
+            ids, ends = merge_waves([b for _, b in short], self.replay.single, self.table)
+            packed, flat, ends = ids.tobytes(), ids.tolist(), ends.tolist()
+            decimal, tokens = [self.decimal[i] for i in flat], [self.tokens[i] for i in flat]
+            for (p, _), a, b in zip(short, ends, ends[1:], strict=False):
+                made = " ".join(decimal[a:b]), b - a, b"".join(tokens[a:b])
+                out[p] = (*made, packed[4 * a : 4 * b]) if self.packing else made
+        return out
 
     def entry(self, ids: list[int]):
-        return " ".join(map(str, ids)), len(ids), array("i", ids).tobytes(), b"".join([self.tokens[i] for i in ids])
-
-    def learn(self, words) -> dict:
-        """What is made of each of the words."""
-        cut = {w: self.split(w) for w in words}
-        known = self.pieces(set().union(*cut.values()))
-        return {w: self.entry(known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]]) for w, p in cut.items()}
+        made = " ".join([self.decimal[i] for i in ids]), len(ids), b"".join([self.tokens[i] for i in ids])
+        return (*made, array("i", ids).tobytes()) if self.packing else made
+
+    def learn(self, words, known: dict, front: str = "") -> dict:
+        """What is made of each of the words with `front` before it; `known` (words after a space) and `held` are looked up for their pieces first."""
+        held = self.held
+        cut = {w: self.split(front + w) for w in words}
+        held |= self.pieces({p for c in cut.values() for p in c if not (p[0] == " " and p[1:] in known) and p not in held})
+        out = {}
+        for w, c in cut.items():
+            got = [held.get(p) or known[p[1:]] for p in c]
+            if len(got) > 1:
+                ids, n, *parts = zip(*got, strict=True)
+                out[w] = (" ".join(ids), sum(n), *map(b"".join, parts))
+            else:
+                out[w] = got[0] if got else self.entry([])
+        return out
 
 
 def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[str, ...] = ("ids",), text_col: str = "text", carry: list[str] | None = None, by_space: bool = True, table: int = TABLE) -> DataFrame:
@@ -234,8 +334,8 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
     input columns to keep (default: all); columns named as outputs are replaced. No rows: no rows.
 
     The distinct words of the corpus are counted, and the commonest (`table` at the most) are merged once for the corpus, many
-    together over one index, and broadcast with their ids and decoded bytes. Words beyond that table are rare: each task merges
-    those of its own slices in the same way and remembers CACHE of them. A bound on what is broadcast is the reason for
+    together over one index in rank order, and broadcast with their ids and decoded bytes. Words beyond that table are rare: each task merges
+    the pieces of its own slices that the table lacks, all words together in waves, and remembers CACHE of them. A bound on what is broadcast is the reason for
     the second half; the ids are the same.
 
     `by_space` says that in the pattern a space before a character that isn't white space starts a match
@@ -244,22 +344,24 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
     Only words and counts are shuffled, no texts. The vocabulary is broadcast; its size does not depend on the data.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(tokens)
-    made = {}
+    shipped, pairs = spark.sparkContext.broadcast(tokens), spark.sparkContext.broadcast(pair_table(tokens))
+    packing, made = "ids" in outputs, {}
     if by_space and table:
-        counts = store(word_counts(docs, text_col, by_space), "words")
+        counts = store(word_counts(docs, text_col), "words")
 
         def merge(batches):
             import pyarrow as pa
 
             words = Words(shipped.value, pattern)
             for batch in batches:
-                got = words.learn(batch.column(0).to_pylist())
+                words.held.clear()
+                got = words.learn(batch.column(0).to_pylist(), {}, " ")
                 cols = zip(*got.values(), strict=True) if got else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)]], names=["word", "ids", "n", "packed", "decoded"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), *[pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)]], names=["word", "ids", "n", "decoded", "packed"])
 
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        found = common_words(counts, table).select("word").repartition(parts).mapInArrow(merge, "word string, ids string, n long, packed binary, decoded binary").toArrow()
+        found = commonest(counts, table)[0].select("word").repartition(parts).mapInArrow(merge, "word string, ids string, n long, decoded binary, packed binary")
+        found = (found if packing else found.drop("packed")).toArrow()
         made = dict(zip(found.column(0).to_pylist(), zip(*[c.to_pylist() for c in found.columns[1:]], strict=True), strict=True))
     common = spark.sparkContext.broadcast(made)
 
@@ -267,33 +369,33 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, outputs: tuple[st
         import numpy as np
         import pyarrow as pa
 
-        words, cut = Words(shipped.value, pattern), cutter(by_space)
-        known = common.value
-        pieces: dict[str, tuple] = {}
-        rare: dict[str, tuple] = {}
+        words, known = Words(shipped.value, pattern, pairs.value, packing), common.value
+        held = dict(known)  # and the rare words
+        gc.freeze()  # the table is not to be searched for garbage again and again
 
         def do(texts):
-            if max(len(rare), len(pieces)) > CACHE:
-                rare.clear(), pieces.clear()
-            cuts = [cut(t) for t in texts]
-            new = {w for c in cuts if c for w in c if w not in known and w not in rare}
-            rare.update(words.learn(new))
-            wild = [words.split(t) if t and c is None else None for t, c in zip(texts, cuts, strict=True)]
-            new = {p for w in wild if w for p in w if p not in pieces}
-            pieces.update((p, words.entry(ids)) for p, ids in words.pieces(new).items())
-            ids, count, packed, back = [], [], [], []
+            if len(held) - len(known) + len(words.held) > CACHE:
+                words.held.clear(), held.clear()
+                held.update(known)
+            cuts = [spaced(t) if by_space else [] for t in texts]
+            held.update(words.learn(set().union(*[c[1:] for c in cuts]).difference(held), held, " "))
+            heads = words.learn({c[0] for c in cuts if c}, held)
+            wild = [words.split(t) if t and not c else () for t, c in zip(texts, cuts, strict=True)]
+            pieces = words.pieces(set().union(*wild))
+            ids, count, back, packed = [], [], [], []
             for c, w in zip(cuts, wild, strict=True):
                 if c:
-                    got = [known.get(x) or rare[x] for x in c]
+                    got = [heads[c[0]], *map(held.__getitem__, c[1:])]
                 else:
-                    got = [pieces[x] for x in w or ()]
-                a, n, b, d = zip(*got, strict=True) if got else ((), (), (), ())
-                ids.append(" ".join(a))
-                count.append(sum(n))
-                packed.append(b"".join(b))
-                back.append(b"".join(d))
+                    got = [*map(pieces.__getitem__, w)]
+                parts = [*zip(*got, strict=True)] or [()] * 4
+                ids.append(" ".join(parts[0]) if c and c[0] or not c else " ".join(parts[0][1:]))
+                count.append(sum(parts[1]))
+                back.append(b"".join(parts[2]))
+                if packing:
+                    packed.append(b"".join(parts[3]))
             out = {"n_tokens": count, "decoded": back}
-            if "ids" in outputs:
+            if packing:
                 ends = np.cumsum([0, *count]).astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             if "ids_sha256" in outputs:

@@ -55,6 +55,27 @@ def with_outputs(row: str, df: DataFrame, **out: Column) -> DataFrame:
     return df.select(*[F.col(row)[f].alias(f) for f in fields], *[c.alias(k) for k, c in out.items()])
 
 
+def unclashed(columns: list[str], outputs: tuple[str, ...]) -> list[str]:
+    """The columns that no output replaces (names are compared without case, as Spark does)."""
+    return [c for c in columns if c.lower() not in {o.lower() for o in outputs}]
+
+
+def commonest(counts: DataFrame, most: int, top: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(the rows with the highest `n`, the rest): all rows with some least `n` or more, `most` at the most.
+
+    Counts from `top` on are alike. The driver gets the number of rows for each count up to `top`.
+    """
+    at = F.least("n", F.lit(top))
+    rows = {r["n"]: r["rows"] for r in counts.groupBy(at.alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    least, held = top + 1, 0
+    for n in sorted(rows, reverse=True):
+        held += rows[n]
+        if held > most:
+            break
+        least = n
+    return counts.where(at >= least), counts.where(at < least)
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
     """Equi-join on long columns `keys` that AQE can split where a key is hot.
 
