@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import store
+from quire.llm.common import commonest, slices, store, unclashed
 
-#: Contexts, each a predictor: (name, slots). The bytes cross words; the last two are whole-word contexts. Their counts are hashed into `slots` rows of 64 bit nodes.
-CONTEXTS = (("one byte", 1 << 8), ("two bytes", 1 << 13), ("three bytes", 1 << 15), ("five bytes", 1 << 17), ("word so far", 1 << 18), ("word before and word so far", 1 << 18))
+#: Contexts whose counts are taken from the whole corpus, each a predictor: (name, slots). The bytes cross words; the last two are whole-word contexts. Counts are hashed into `slots` rows of 64 symbols.
+CONTEXTS = (("two bytes", 1 << 13), ("three bytes", 1 << 15), ("five bytes", 1 << 17), ("word so far", 1 << 17), ("word before and word so far", 1 << 17))
 #: The context by whose counts weights are chosen.
-BY_WORD = 4
+BY_WORD = 3
+#: Inputs of the mixer: the contexts, the match, and the predictor that learns from the text alone.
+INPUTS = len(CONTEXTS) + 2
 #: Logits are kept as logit * SCALE in 8 bits.
 SCALE = 14.0
-#: The gate: weights are chosen by how often the word so far has been seen (below 1, 2, 4, ...), by whether the match foretells, and by bit position.
-GATE = (1, 2, 4, 16, 64, 512)
+#: The gate: weights are chosen by how often the word so far has been seen (below 1, 8, 512, ...) and by whether the match foretells.
+GATE = (1, 8, 512)
 GATES = 2 * (len(GATE) + 1)
-#: Rates of the weights, while they are learned from many texts together and while one text is scored; and their start: one for each context and the match.
-RATE, ONLINE = 0.002, 0.004
-STARTS = (0.05, 0.1, 0.2, 0.3, 0.3, 0.3, 0.6)
-#: In learning, bits of one gate that step together count as this many at the most.
-TOGETHER = 128
-#: Cells of the refinement by the mixed logit.
-CELLS = 33
+#: Weights at the start of a text, one for each input, and the rate at which they move.
+STARTS = (0.15, 0.2, 0.3, 0.3, 0.3, 0.5, 0.2)
+RATE = 0.02
+#: Bits that are coded with the same weights.
+STEP = 4
+#: The refinement: cells by mixed logit, cells a unit of logit, and the rate at which they learn.
+CELLS, FINE, REFINE = 33, 4 / 3, 0.02
+#: The predictor that learns in the text: slots by word so far and bit node, and its rate.
+SLOTS, PACE = 1 << 12, 0.8
 #: The match: logit of what it foretells, by the words foretold in a row (0 to 3).
 MATCH = (0.5, 2.0, 3.5, 4.5)
-#: Bytes of text laid out at a time, and bytes coded one after another: longer texts go on side by side in runs of SPAN, each from the learned weights.
+#: Bytes of text laid out at a time, and bytes coded one after another: longer texts go on side by side in runs of SPAN, each from the starting weights.
 PIECE, SPAN = 3 << 20, 4096
-#: Bytes of texts whose contexts are hashed at a time.
-LAY = 1 << 18
-#: Training texts are dealt by a hash of the text into FOLDS; weights are learned on each fold with the counts of the others.
-FOLDS = 2
-#: At most HEAVY tokens with 1/HEAVY of all training tokens or more each are broadcast; the others are looked up by a join.
-HEAVY = 200_000
+#: Bytes of texts whose contexts are hashed at a time; steps whose inputs are looked up at a time.
+LAY, BLOCK = 1 << 18, 32
+#: The commonest tokens, HEAVY at the most, are broadcast; the others are looked up by a join.
+HEAVY = 100_000
 #: Distinct tokens that a task counts before it hands them on.
-FLUSH = 150_000
+FLUSH = 300_000
 #: Model rows that are handed on as one row.
 ROWS = 1 << 10
 
 #: The end of a text, as a token: no word has this byte.
 END = b"\n"
-#: Bits of a symbol: the 63 commonest bytes have one each, and the last symbol comes before any other byte.
-BITS = 6
-CELL = 1 << BITS
+#: Symbols: the 63 commonest bytes have one each, and the last symbol comes before any other byte.
+CELL = 64
 _SIZES = [slots for _, slots in CONTEXTS]
 _OFFSETS = [sum(_SIZES[:i]) for i in range(len(_SIZES))]
 TOTAL = sum(_SIZES)
@@ -54,7 +57,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def spelled(words: list[bytes]):
-    """(bytes, where each word begins): each word as it is scored, with a space after it; the end has none."""
+    """(bytes, where each word begins, sizes): each word as it is scored, with a space after it; the end has none."""
     import numpy as np
 
     each = [w if w == END else w + b" " for w in words]
@@ -63,7 +66,7 @@ def spelled(words: list[bytes]):
 
 
 def context_rows(data, begin, sizes, opens):
-    """Model rows of each byte of spelled words: one array per context. `opens`: the words that begin a text."""
+    """Where the model row of each byte of spelled words begins in the table: one array per context. `opens`: the words that begin a text."""
     import numpy as np
 
     n = len(data)
@@ -78,52 +81,76 @@ def context_rows(data, begin, sizes, opens):
         x[back:] = wide[:-back]
         x[since < back] = 0
         last.append(x)
-    put = lambda h, i: (((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - (_SIZES[i].bit_length() - 1))) + np.uint32(_OFFSETS[i])
-    out = [np.minimum(last[0], 255)]
+    put = lambda h, i: ((((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - (_SIZES[i].bit_length() - 1))) + np.uint32(_OFFSETS[i])) * np.uint32(CELL)
+    out = []
     h = last[0] * np.uint32(0x9E3779B1) + last[1]
-    out.append(put(h * np.uint32(0x85EBCA6B), 1))
+    out.append(put(h * np.uint32(0x85EBCA6B), 0))
     h = h * np.uint32(0x9E3779B1) + last[2]
-    out.append(put(h * np.uint32(0x85EBCA6B), 2))
+    out.append(put(h * np.uint32(0x85EBCA6B), 1))
     h = (h * np.uint32(0x9E3779B1) + last[3]) * np.uint32(0x9E3779B1) + last[4]
-    out.append(put(h * np.uint32(0x85EBCA6B), 3))
+    out.append(put(h * np.uint32(0x85EBCA6B), 2))
     # The word so far: sums of bytes times powers, as differences of running sums modulo 2**32.
     powers = np.cumprod(np.full(int(into.max(initial=0)) + 1, 0x01000193, np.uint32), dtype=np.uint32)
     runs = np.concatenate((np.zeros(1, np.uint32), np.cumsum(wide * powers[into], dtype=np.uint32)))
     so_far = (runs[:n] - runs[first]) * np.uint32(0xC2B2AE35) + into.astype(np.uint32)
-    out.append(put(so_far, 4))
+    out.append(put(so_far, 3))
     whole = runs[begin + sizes] - runs[begin]
     before = np.concatenate((np.zeros(1, np.uint32), whole[:-1]))[: len(whole)]
     before[opens] = 0
     before = (before ^ (before >> np.uint32(13))) * np.uint32(0x27D4EB2F)
-    out.append(put((so_far ^ np.repeat(before, sizes)) * np.uint32(0x85EBCA6B), 5))
+    out.append(put((so_far ^ np.repeat(before, sizes)) * np.uint32(0x85EBCA6B), 4))
     return out
 
 
-def alphabet_of(counts):
-    """(symbol of each byte, log2 of the chance of a byte after the last symbol) from the counts of 256 bytes."""
+def alphabet_of(counts) -> dict:
+    """The symbols and their Huffman code from the counts of 256 bytes.
+
+    symbol: of each byte. cost: log2 of the chance of a byte after the last symbol. length, node, bit: of each symbol the bits of its
+    code and the tree node at which each is decided. ones, zeros: 64 x 64 matrices of which symbols lie on each side of a node.
+    """
     import numpy as np
 
-    order = np.argsort(-np.asarray(counts), kind="stable")
-    code = np.full(256, CELL - 1, np.int64)
-    code[order[: CELL - 1]] = np.arange(CELL - 1)
-    rare = code == CELL - 1
+    counts = np.asarray(counts, float)
+    order = np.argsort(-counts, kind="stable")
+    symbol = np.full(256, CELL - 1, np.int64)
+    symbol[order[: CELL - 1]] = np.arange(CELL - 1)
+    rare = symbol == CELL - 1
     cost = np.zeros(256)
-    cost[rare] = np.log2((np.asarray(counts)[rare] + 1.0) / (np.asarray(counts)[rare] + 1.0).sum())
-    return code, cost
+    cost[rare] = np.log2((counts[rare] + 1.0) / (counts[rare] + 1.0).sum())
+    weight = np.bincount(symbol, counts, CELL)
+    weight += weight.sum() / 4096 + 1  # no code is much longer than 12 bits
+    heap = [(w, s, None) for s, w in enumerate(weight.tolist())]
+    heapq.heapify(heap)
+    node = CELL - 1
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        node -= 1
+        heapq.heappush(heap, (a[0] + b[0], CELL + node, (node, a, b)))
+    paths: dict[int, list[tuple[int, int]]] = {}
+    stack = [(heap[0], [])]
+    while stack:
+        (_, s, inner), path = stack.pop()
+        if inner is None:
+            paths[s] = path
+        else:
+            at, a, b = inner
+            stack += [(a, [*path, (at, 0)]), (b, [*path, (at, 1)])]
+    most = max(map(len, paths.values()))
+    out = {"symbol": symbol, "cost": cost, "length": np.array([len(paths[s]) for s in range(CELL)]), "node": np.zeros((CELL, most), np.uint8), "bit": np.zeros((CELL, most), np.uint8), "ones": np.zeros((CELL, CELL)), "zeros": np.zeros((CELL, CELL))}
+    for s, path in paths.items():
+        for i, (at, bit) in enumerate(path):
+            out["node"][s, i], out["bit"][s, i] = at, bit
+            out["ones" if bit else "zeros"][s, at] = 1
+    return out
 
 
-def logits_of(counts):
-    """Rows of symbol counts as rows of bit nodes: node 1 the first bit, nodes 2n and 2n + 1 what follows a 0 or 1; and each row's gate."""
+def logits_of(counts, alphabet):
+    """Rows of symbol counts as rows of bit nodes of the code, and each row's gate."""
     import numpy as np
 
-    out = np.zeros(counts.shape, np.int8)
-    level = counts.astype(np.float64)
-    for depth in range(BITS - 1, -1, -1):
-        pair = level.reshape(len(counts), 1 << depth, 2)
-        logit = np.log((pair[:, :, 1] + 0.3) / (pair[:, :, 0] + 0.3))
-        out[:, 1 << depth : 2 << depth] = np.clip(np.rint(logit * SCALE), -127, 127)
-        level = pair.sum(axis=2)
-    return out, np.searchsorted(GATE, level[:, 0], side="right").astype(np.uint8)
+    counts = counts.astype(np.float64)
+    logit = np.log((counts @ alphabet["ones"] + 0.3) / (counts @ alphabet["zeros"] + 0.3))
+    return np.clip(np.rint(logit * SCALE), -127, 127).astype(np.int8), np.searchsorted(GATE, counts.sum(axis=1), side="right").astype(np.uint8)
 
 
 class Laid:
@@ -162,10 +189,13 @@ class Laid:
         self._words, self._begin, self._sizes, self._texts = words, begin, sizes, texts
 
     def guesses(self):
-        """(byte foretold, level) by byte: 0 without a match, else 1 + the words foretold in a row; up to and with the first wrong byte of a word."""
+        """(byte foretold, level) by byte: 0 without a match, else 1 + the words foretold in a row; up to and with the first wrong byte of a word.
+
+        After two words that have come before in the text, the word is foretold that followed them last.
+        """
         import numpy as np
 
-        level, wrong, i = np.zeros(len(self._words), np.uint8), [], 0
+        level, wrong, i = bytearray(len(self._words)), [], 0
         for _, t, _ in self._texts:
             seen: dict = {}
             one, two, run = b"", b"", 0
@@ -184,7 +214,7 @@ class Laid:
                 seen[key] = w
                 two, one = one, w
                 i += 1
-        guess, levels = self.data.copy(), np.repeat(level, self._sizes)
+        guess, levels = self.data.copy(), np.repeat(np.frombuffer(level, np.uint8), self._sizes)
         for i, was in wrong:
             said = was if was == END else was + b" "
             at, size = int(self._begin[i]), int(self._sizes[i])
@@ -226,136 +256,115 @@ def laid_out(texts, most: int | None = None):
         yield Laid(held)
 
 
-class Mixer:
-    """The mixing model: counts' logits by context row and the match's, gated weights, and the refinement.
+def bits_of(laid: Laid, alphabet: dict):
+    """The bits of the laid-out bytes by their codes, one after another.
 
-    `code`, `cost`: the alphabet. Until it is taught, weights are STARTS and the refinement changes nothing.
+    (first bit of each byte and the end, byte of each bit, node, bit, logit of the match in 8 bits)
     """
+    import numpy as np
 
-    def __init__(self, code, cost):
-        import numpy as np
-
-        self.code, self.cost = code, cost
-        self.weights = np.tile(np.array(STARTS, np.float32) / np.float32(SCALE), (BITS, GATES, 1))
-        centres = (np.arange(CELLS, dtype=np.float32) - (CELLS - 1) / 2) * np.float32(0.75)
-        self.refined = np.tile(1 / (1 + np.exp(-centres)), (GATES, 1)).astype(np.float32)
-        # What learning gathers: bits by bit position and gate, and bits and ones by refinement cell.
-        self.met, self.seen, self.ones = np.zeros((BITS, GATES)), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS)
-
-    def bits(self, words: list[bytes], table, gates):
-        """log2 of the probability of each word as a text of its own without an end."""
-        import numpy as np
+    symbols = alphabet["symbol"][laid.data]
+    sizes = alphabet["length"][symbols]
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    byte = np.repeat(np.arange(len(symbols), dtype=np.int32), sizes)
+    most = alphabet["node"].shape[1]
+    place = (symbols * most - ends[:-1])[byte]
+    place += np.arange(len(byte))
+    node, bit = alphabet["node"].ravel()[place], alphabet["bit"].ravel()[place]
+    guess, level = laid.guesses()
+    match = np.zeros(len(byte), np.int8)
+    said = np.flatnonzero(level[byte])
+    if len(said):
+        at = byte[said]
+        other = alphabet["symbol"][guess[at]]
+        into = said - ends[at]
+        here = other * most + into
+        same = (into < alphabet["length"][other]) & (alphabet["node"].ravel()[here % (CELL * most)] == node[said])
+        strength = np.rint(np.array((0.0, *MATCH)) * SCALE).astype(np.int8)[level[at]]
+        match[said] = np.where(same, np.where(alphabet["bit"].ravel()[here % (CELL * most)] == 1, strength, -strength), 0)
+    return ends, byte, node, bit, match
+
+
+def code_runs(laid: Laid, alphabet: dict, table, gates):
+    """log2 of the probability of each run of bytes, bit by bit.
+
+    Runs stand side by side, longest first, and go on together by STEP bits. Each context row, the match and the predictor that
+    learns from the text give a logit for a bit; the weights of the gate mix them; the refinement maps the mixed logit
+    to how such bits have come out in this run, and the mean of both is the prediction. After every step the weights, the refinement and that predictor
+    move towards what came; a run has its own.
+    """
+    import numpy as np
 
-        out = np.zeros(len(words))
-        if words:
-            laid = Laid([(i, [w], 0) for i, w in enumerate(words)])
-            np.add.at(out, laid.owner, self.run(laid, table, gates))
-        return out
+    f32 = np.float32
+    ends, byte_of, node_of, bit_of, match_of = bits_of(laid, alphabet)
+    rows = laid.rows
+    gate_of = gates[rows[BY_WORD] >> 6]
+    gate_of += np.where(match_of[ends[:-1]] != 0, len(GATE) + 1, 0).astype(np.uint8)
+    starts, stops = ends[laid.begin], ends[laid.begin + laid.length]
+    order = np.argsort(starts - stops, kind="stable")
+    starts, stops = starts[order], stops[order]
+    lengths = stops - starts
+    lanes, steps = len(order), -(-int(lengths[0]) // STEP) if len(order) else 0
+    alive = np.searchsorted(-lengths, -np.arange(0, (steps + 1) * STEP, STEP), side="left").tolist()  # runs with more bits than that
+    lane = np.arange(lanes)
+    weights = np.repeat(np.tile(np.array(STARTS, f32)[:, None] / f32(SCALE), (1, GATES)), lanes, axis=1)
+    centres = (np.arange(CELLS, dtype=f32) - (CELLS - 1) // 2) / f32(FINE)
+    refined = np.tile(1 / (1 + np.exp(-centres)), lanes).astype(f32)
+    own = np.zeros(lanes * SLOTS, f32)
+    rate, pace = f32(RATE / SCALE / SCALE), f32(PACE * SCALE)
+    total = np.zeros(lanes)
+    each = np.arange(STEP)[None, :, None]
+    edge, fine = f32((CELLS - 1) // 2 / FINE), f32(FINE)
+    home = lane * CELLS + (CELLS - 1) // 2
+    for t0 in range(0, steps, BLOCK):
+        n0, many = alive[t0], min(BLOCK, steps - t0)
+        at = np.minimum(starts[:n0] + (np.arange(t0, t0 + many)[:, None, None] * STEP + each), stops[:n0] - 1)
+        byte, node, bits = byte_of[at], node_of[at].astype(np.int32), bit_of[at].astype(f32)
+        x = np.empty((many, INPUTS, STEP, n0), f32)
+        for k in range(len(CONTEXTS)):
+            x[:, k] = table[rows[k][byte] + node]
+        x[:, -2] = match_of[at]
+        slot = ((rows[BY_WORD][byte].view(np.uint32) + node.view(np.uint32)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - (SLOTS.bit_length() - 1))
+        slot = slot.astype(np.int64) + lane[:n0] * SLOTS
+        gated = gate_of[byte[:, 0]].astype(np.int64) * lanes + lane[:n0]
+        for i in range(many):
+            n, whole = alive[t0 + i], alive[t0 + i + 1]
+            if not n:
+                break
+            here, known, mine, g = x[i, :, :, :n], bits[i, :, :n], slot[i, :, :n], gated[i, :n]
+            learned = own[mine]
+            here[-1] = learned
+            w = weights[:, g]
+            mixed = (here * w[:, None, :]).sum(axis=0)
+            np.clip(mixed, -edge, edge, out=mixed)
+            p = 1 / (1 + np.exp(-mixed))
+            cell = home[:n] + np.rint(mixed * fine).astype(np.int64)
+            r = refined[cell]
+            chance = np.abs((1 - known) - (p + r) * f32(0.5))
+            wrong = known - p
+            if whole < n:  # runs that end within this step
+                past = (starts[whole:n] + (t0 + i) * STEP + each[0]) >= stops[whole:n]
+                chance[:, whole:][past] = 1
+                wrong[:, whole:][past] = 0
+            total[:n] += np.log2(chance.prod(axis=0))
+            refined[cell] = r + (known - r) * f32(REFINE)
+            own[mine] = np.clip(learned + (known - 1 / (1 + np.exp(learned * f32(-1 / SCALE)))) * pace, -127, 127)
+            weights[:, g] = w + (here * (wrong * rate)).sum(axis=1)
+    out = np.empty(lanes)
+    out[order] = total
+    costs = np.concatenate((np.zeros(1), np.cumsum(alphabet["cost"][laid.data])))
+    return out + costs[laid.begin + laid.length] - costs[laid.begin]
+
+
+def code_texts(texts, alphabet: dict, table, gates):
+    """log2 of the probability of each text; equal texts are coded once."""
+    import numpy as np
 
-    def run(self, laid: Laid, table, gates, learn: bool = False):
-        """log2 of the probability of each run of bytes, bit by bit.
-
-        Runs stand side by side, longest first, and go on byte by byte together. Each context row and the match
-        give a logit for the next bit; the weights of the gate mix them; the refinement maps the mixed logit
-        to how such bits came out in learning, and the mean of both is the prediction. After every bit the weights
-        move towards what came: those of the run itself, or with `learn` the ones that all runs share.
-        """
-        import numpy as np
-
-        f32 = np.float32
-        guess, level = laid.guesses()
-        symbols, foretold_ = self.code[laid.data].astype(np.int32), self.code[guess].astype(np.int32) + CELL
-        strong = np.array((0.0, *MATCH), f32)[level] * f32(SCALE)
-        rows = laid.rows
-        gate_of = gates[rows[BY_WORD]].astype(np.int32) + np.where(level > 0, len(GATE) + 1, 0).astype(np.int32)
-        order = np.argsort(-laid.length, kind="stable")
-        begin, length = laid.begin[order], laid.length[order]
-        most = int(length[0]) if len(length) else 0
-        alive = np.searchsorted(-length, -np.arange(most), side="left").tolist()
-        total = np.zeros(len(length))
-        flat = self.refined.ravel()
-        if learn:
-            own = [w.copy() for w in self.weights]
-        else:
-            own = [np.tile(w, (len(length), 1)) for w in self.weights]
-        offset = np.arange(len(length), dtype=np.int64) * (0 if learn else GATES)
-        rate = f32((RATE if learn else ONLINE) / SCALE / SCALE)
-        logit = np.empty((len(STARTS), len(length)), f32)
-        for t in range(most):
-            n = alive[t]
-            here = begin[:n] + t
-            base, symbol, gate, said, strength = rows[:, here] * CELL, symbols[here], gate_of[here], foretold_[here], strong[here]
-            at, cell0 = offset[:n] + gate, gate * CELLS + (CELLS - 1) // 2
-            chance, node = np.ones(n, f32), np.ones(n, np.int32)
-            x = logit[:, :n]
-            if learn:
-                many = np.bincount(gate, minlength=GATES)
-                gated = (np.arange(GATES)[:, None] == gate).astype(f32)
-                pace = (rate * np.minimum(1, TOGETHER / np.maximum(many, 1)))[:, None].astype(f32)
-            for b in range(BITS):
-                bit = (symbol >> (BITS - 1 - b)) & 1
-                x[:-1] = np.take(table, base + node)
-                x[-1] = strength * ((said >> (BITS - b)) == node) * (((said >> (BITS - 1 - b)) & 1) * 2 - 1)
-                w = np.take(own[b], at, axis=0)
-                mixed = np.einsum("kn,nk->n", x, w)
-                np.clip(mixed, -11, 11, out=mixed)
-                cell = cell0 + np.rint(mixed * f32(4 / 3)).astype(np.int32)
-                p = 1 / (1 + np.exp(-mixed))
-                known = bit.astype(f32)
-                q = (p + np.take(flat, cell)) * f32(0.5)
-                chance *= np.abs((1 - known) - q)
-                wrong = known - p
-                if learn:
-                    own[b] += (gated @ (x * wrong).T) * pace
-                    self.met[b] += many
-                    self.seen += np.bincount(cell, minlength=len(flat))
-                    self.ones += np.bincount(cell, known, len(flat))
-                else:
-                    own[b][at] = w + (x * (wrong * rate)).T
-                node += node + bit
-            total[:n] += np.log2(chance, dtype=np.float64)
-        if learn:
-            self.weights = np.stack(own)
-        out = np.empty(len(total))
-        out[order] = total
-        runs = np.concatenate((np.zeros(1), np.cumsum(self.cost[laid.data])))
-        return out + runs[laid.begin + laid.length] - runs[laid.begin]
-
-
-def foretold(words: list[bytes]):
-    """log2 of the probability of what the match says, and the words that are left for the mixer.
-
-    After two words that have come before in the text, the match foretells the word (or the end) that
-    followed them last. Whether it is right is a bit: its chance is a logit by the words foretold
-    rightly in a row, learned as the text goes on. If right, the word is done; if not, or
-    without a match, the mixer spells it.
-    """
-    from math import exp, log2
-
-    seen: dict = {}
-    logits = [0.0, *MATCH[1:]]
-    total, left = 0.0, []
-    one, two, run = b"", b"", 0
-    for w in words:
-        key = (two, one)
-        was = seen.get(key)
-        if was is None:
-            left.append(w)
-            run = 0
-        else:
-            p = 1 / (1 + exp(-logits[run]))
-            if was == w:
-                total += log2(p)
-                logits[run] = min(logits[run] + 0.3 * (1 - p), 9.0)
-                run = min(run + 1, 3)
-            else:
-                total += log2(1 - p)
-                logits[run] = max(logits[run] - 0.9 * p, -9.0)
-                left.append(w)
-                run = 0
-        seen[key] = w
-        two, one = one, w
-    return total, left
+    distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    bits = np.zeros(len(distinct))
+    for laid in laid_out(distinct):
+        np.add.at(bits, laid.owner, code_runs(laid, alphabet, table, gates))
+    return bits[[distinct[t] for t in texts]]
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -366,8 +375,6 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        from quire.llm.common import slices
-
         seen, other = Counter(), set()
 
         def flush():
@@ -408,163 +415,116 @@ def bytes_of(tokens: DataFrame):
     return out
 
 
-def count_contexts(docs: DataFrame, code) -> DataFrame:
-    """Logits and gates of the context counts over all training texts: `row` int; `table`, `gates` binary, and for each fold `table0`, `gates0`, ... by the counts of the other folds."""
+def count_contexts(docs: DataFrame, alphabet: dict) -> DataFrame:
+    """Logits and gates of the context counts over all training texts: `row` int, `table`, `gates` binary.
+
+    Tasks are two for each core, each over many partitions, as what a task hands on is up to the size of the table.
+    """
     import numpy as np
+    import zstandard
 
     wide = ROWS * CELL
     cell_of = np.dtype([("at", "<u2"), ("n", "<u4")])
+    symbol = alphabet["symbol"].astype(np.int32)
 
-    def counter(fold):
-        def count(batches):
-            import pyarrow as pa
-
-            from quire.llm.common import slices
-
-            cells, held = np.zeros(TOTAL * CELL, np.uint32), 0
-
-            def flush():
-                for row in range(-(-TOTAL // ROWS)):
-                    some = cells[row * wide : (row + 1) * wide]
-                    at = np.flatnonzero(some)
-                    if len(at):
-                        packed = np.empty(len(at), cell_of)
-                        packed["at"], packed["n"] = at, some[at]
-                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([fold], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["row", "fold", "cells"])
-                cells.fill(0)
-
-            for batch in batches:
-                for part in slices(batch, "_text", LAY * 4):
-                    for laid in laid_out(part.column("_text").to_pylist(), LAY * 2):
-                        symbols = code[laid.data].astype(np.int32)
-                        for rows in laid.rows:
-                            np.add.at(cells, (rows * CELL + symbols)[laid.coded], np.uint32(1))
-                        held += len(laid.data)
-                        if held >= 1 << 31:
-                            yield from flush()
-                            held = 0
-            yield from flush()
-
-        return count
-
-    found = None
-    for fold in range(FOLDS):
-        part = docs.where(F.col("_taught") & (F.col("_fold") == fold)).select("_text").mapInArrow(counter(fold), "row int, fold int, cells binary")
-        found = part if found is None else found.unionAll(part)
-    gathered = found.groupBy("row").agg(F.collect_list(F.struct("fold", "cells")).alias("parts"))
-    names = ["table", "gates", *[f"{k}{f}" for f in range(FOLDS) for k in ("table", "gates")]]
+    def count(batches):
+        import pyarrow as pa
+
+        cells, held, pack = np.zeros(TOTAL * CELL, np.uint32), 0, zstandard.ZstdCompressor(1).compress
+
+        def flush():
+            for row in range(-(-TOTAL // ROWS)):
+                some = cells[row * wide : (row + 1) * wide]
+                at = np.flatnonzero(some)
+                if len(at):
+                    packed = np.empty(len(at), cell_of)
+                    packed["at"], packed["n"] = at, some[at]
+                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([pack(packed["at"].tobytes() + packed["n"].tobytes())], pa.binary())], names=["row", "cells"])
+            cells.fill(0)
+
+        for batch in batches:
+            for part in slices(batch, "_text", LAY * 4):
+                for laid in laid_out(part.column("_text").to_pylist(), LAY * 2):
+                    symbols = symbol[laid.data]
+                    some = slice(None) if laid.coded.all() else laid.coded
+                    for rows in laid.rows:
+                        np.add.at(cells, (rows + symbols)[some], np.uint32(1))
+                    held += len(laid.data)
+                    if held >= 1 << 31:
+                        yield from flush()
+                        held = 0
+        yield from flush()
+
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, 1)
+    found = docs.where("_taught").select("_text").coalesce(tasks).mapInArrow(count, "row int, cells binary")
+    gathered = found.groupBy("row").agg(F.collect_list("cells").alias("parts"))
 
     def shrink(batches):
         import pyarrow as pa
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = batch.column(1)[i].values
-                sums = np.zeros((FOLDS, wide))
-                for fold, cells in zip(parts.field("fold").to_pylist(), parts.field("cells"), strict=True):
-                    packed = np.frombuffer(cells.as_py(), cell_of)
-                    sums[fold, packed["at"]] += packed["n"]
-                whole = sums.sum(axis=0)
-                made = [x.tobytes() for c in (whole, *[whole - s for s in sums]) for x in logits_of(c.reshape(-1, CELL))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([m], pa.binary()) for m in made]], names=["row", *names])
+                sums = np.zeros(wide)
+                for cells in batch.column(1)[i].values:
+                    raw = unpack(cells.as_py())
+                    n = len(raw) // 6
+                    sums[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+                made = [x.tobytes() for x in logits_of(sums.reshape(-1, CELL), alphabet)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([m], pa.binary()) for m in made]], names=["row", "table", "gates"])
 
-    return store(gathered.mapInArrow(shrink, "row int, " + ", ".join(f"{n} binary" for n in names)), "contexts")
+    return store(gathered.mapInArrow(shrink, "row int, table binary, gates binary"), "contexts")
 
 
-def tables_of(contexts: DataFrame, which: str):
+def tables_of(contexts: DataFrame):
     """(table of logits, gates) of count_contexts() on the driver: TOTAL rows of CELL bytes, whatever the size of the corpus."""
     import numpy as np
 
     size = -(-TOTAL // ROWS) * ROWS
     table, gates = np.zeros(size * CELL, np.int8), np.zeros(size, np.uint8)
-    for r in contexts.select("row", F.col(f"table{which}").alias("t"), F.col(f"gates{which}").alias("g")).toLocalIterator():
-        table[r["row"] * ROWS * CELL : (r["row"] + 1) * ROWS * CELL] = np.frombuffer(r["t"], np.int8)
-        gates[r["row"] * ROWS : (r["row"] + 1) * ROWS] = np.frombuffer(r["g"], np.uint8)
+    for r in contexts.toLocalIterator():
+        table[r["row"] * ROWS * CELL : (r["row"] + 1) * ROWS * CELL] = np.frombuffer(r["table"], np.int8)
+        gates[r["row"] * ROWS : (r["row"] + 1) * ROWS] = np.frombuffer(r["gates"], np.uint8)
     return table, gates
 
 
-def teach(mixer: Mixer, docs: DataFrame, contexts: DataFrame) -> None:
-    """Learn starting weights and refinement over all training texts.
-
-    Every task steps through its texts of a fold with the counts of the other folds, so no text, nor a copy of it, is
-    foretold by its own counts. Weights are then averaged by the bits that each task met; the refinement's
-    counts are added up.
-    """
-    import numpy as np
-
-    spark = docs.sparkSession
-    start = mixer.weights
-    sums: dict = {}
-    for fold in range(FOLDS):
-        model = spark.sparkContext.broadcast((mixer, *tables_of(contexts, str(fold))))
-
-        def work(batches, model=model):
-            from copy import deepcopy
-
-            import pyarrow as pa
-
-            from quire.llm.common import slices
-
-            mixer, table, gates = model.value
-            mine = deepcopy(mixer)
-            for batch in batches:
-                for part in slices(batch, "_text"):
-                    for laid in laid_out(part.column("_text").to_pylist()):
-                        mine.run(laid, table, gates, learn=True)
-            out = np.concatenate(((mine.weights * mine.met[:, :, None]).ravel(), mine.met.ravel(), mine.seen, mine.ones))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["at", "x"])
-
-        found = docs.where(F.col("_taught") & (F.col("_fold") == fold)).select("_text").mapInArrow(work, "at int, x double")
-        for r in found.groupBy("at").agg(F.sum("x").alias("x")).collect():
-            sums[r["at"]] = sums.get(r["at"], 0.0) + r["x"]
-        model.destroy()
-    k = len(STARTS)
-    flat = np.array([sums.get(i, 0.0) for i in range(BITS * GATES * (k + 1) + 2 * GATES * CELLS)])
-    weights, met, seen, ones = np.split(flat, np.cumsum([BITS * GATES * k, BITS * GATES, GATES * CELLS]))
-    weights, met = weights.reshape(BITS, GATES, k), met.reshape(BITS, GATES, 1)
-    mixer.weights = np.where(met > 0, weights / np.maximum(met, 1), start).astype(np.float32)
-    mixer.met = met[:, :, 0]
-    mixer.refined = ((ones + 20 * mixer.refined.ravel()) / (seen + 20)).reshape(GATES, CELLS).astype(np.float32)
-
-
 def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Add to every document `n_tokens`, `n_known`, `train_tokens` long, `base_score`, `score`, `bits_per_byte` double.
 
     `training` is a condition (null counts as false) on rows to learn from. A text is its lower-cased words and an end.
     base_score: log10 of its unigram probability with add-one smoothing over the training tokens and one unknown token.
     score: log10 of the probability that the mixer gives the bits of the same tokens, every word of every text spelled in its place: counts of
-    contexts that cross words, of the word so far (the words' own counts), and of it after the word before, and the match with
-    what came earlier in the text are predictors; the weights go on learning with every bit.
+    contexts that cross words, of the word so far (the words' own counts), and of it after the word before, the match with
+    what came earlier in the text, and a predictor that learns from the text are mixed; weights, refinement and that predictor go on learning as the text is coded.
     bits_per_byte: the same by the bytes of the tokens, a space after each word.
-    Null text counts as empty: an end only. Nothing to learn from: N = V = 0, every token unknown, an untaught mixer.
-    `carry`: the input columns to keep (default: all).
+    Null text counts as empty: an end only. Nothing to learn from: N = V = 0, every token unknown, no context counts. No rows: no rows. A text's score
+    depends on the text and the counts alone, so equal texts have equal scores.
+    `carry`: the input columns to keep (default: all); columns named as outputs are replaced.
 
-    Counts, starting weights and refinement are learned over all training texts. Texts longer than SPAN bytes are coded in runs of SPAN
-    side by side, each with all of its contexts, its weights starting from the learned ones. Learning steps through the texts of a task in turn, so
-    the last digits of scores depend on how the input is partitioned.
+    Counts are gathered over all training texts. Texts longer than SPAN bytes are coded in runs of SPAN
+    side by side, each with all of its contexts, its weights starting anew.
 
-    The texts are not shuffled, only tokens and context counts are, and the lookup of tokens that fall under 1/HEAVY of the
-    training tokens (the others, HEAVY at most by that very bound, are broadcast, as is the model).
+    The texts are not shuffled, only tokens and context counts are, and the lookup of tokens that are not among the HEAVY
+    commonest (which are broadcast, as is the model).
     """
     from math import log10
 
     import numpy as np
 
     spark = docs.sparkSession
-    carry = docs.columns if carry is None else carry
-    texts = docs.select(F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_taught"), F.pmod(F.xxhash64(F.col(text_col), F.lit("fold")), F.lit(FOLDS)).alias("_fold"))
+    outputs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    carry = unclashed(docs.columns if carry is None else carry, outputs)
+    texts = docs.select(F.col(text_col).alias("_text"), F.coalesce(training, F.lit(False)).alias("_taught"))
     tokens = store(count_tokens(texts), "tokens")
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("V")).first()
     n_all, n_distinct = int(sums["n"]), int(sums["V"])
-    mixer = Mixer(*alphabet_of(bytes_of(tokens)))
-    contexts = count_contexts(texts, mixer.code)
-    teach(mixer, texts, contexts)
-    model = spark.sparkContext.broadcast((mixer, *tables_of(contexts, "")))
+    alphabet = alphabet_of(bytes_of(tokens))
+    model = spark.sparkContext.broadcast((alphabet, *tables_of(count_contexts(texts, alphabet))))
     words = tokens.withColumn("base", F.log10((F.col("n") + 1) / F.lit(float(n_all + n_distinct + 1))))
-    least = max(n_all / HEAVY, 1)
-    heavy = [(bytes(r["token"]), r["base"]) for r in words.where(F.col("n") >= least).select("token", "base").toLocalIterator()]
-    common = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(heavy)}, np.array([b for _, b in heavy])))
-    del heavy
+    heavy, light = commonest(words, HEAVY)
+    found = heavy.select("token", "base", "n").toArrow()
+    common = spark.sparkContext.broadcast(({w: i for i, w in enumerate(found.column(0).to_pylist())}, found.column(1).to_numpy(), found.column(2).to_numpy() > 0))
+    del found
     packed = docs.select(F.col(text_col).alias("_text"), F.struct(*carry, F.lit(0).alias("_pad")).alias("_row"))
     from pyspark.sql.types import StructType
 
@@ -576,30 +536,27 @@ def score(docs: DataFrame, training, text_col: str = "text", carry: list[str] |
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from quire.llm.common import slices
-
-        index, base = common.value
-        mixer, table, gates = model.value
+        index, base, met = common.value
+        coded = model.value
         kinds = [f.type for f in list(to_arrow_schema(schema))[1:]]
         for batch in batches:
             for part in slices(batch, "_text"):
                 cols = [[] for _ in kinds]
                 texts = part.column("_text").to_pylist()
-                bits = np.zeros(len(texts))
-                for laid in laid_out(texts):
-                    np.add.at(bits, laid.owner, mixer.run(laid, table, gates))
-                for text, told in zip(texts, bits.tolist(), strict=True):
+                for text, told in zip(texts, code_texts(texts, *coded).tolist(), strict=True):
                     words = [*tokens_of(text), END]
-                    known = [i for i in map(index.get, words) if i is not None]
-                    rest = Counter([w for w in words if w not in index]) if len(known) < len(words) else {}
-                    row = (len(words), len(known), float(base[known].sum()), told, sum(map(len, words)) + len(words) - 1, list(rest), list(rest.values()))
+                    at = [index.get(w, -1) for w in words]
+                    known = np.array(at)
+                    rest = Counter([w for w, i in zip(words, at, strict=True) if i < 0])
+                    known = known[known >= 0]
+                    row = (len(words), int(met[known].sum()), float(base[known].sum()), told, sum(map(len, words)) + len(words) - 1, list(rest), list(rest.values()))
                     for col, x in zip(cols, row, strict=True):
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([part.column("_row"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=schema.names)
 
     scored = store(packed.mapInArrow(run, schema).withColumn("_at", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_at", F.explode(F.arrays_zip("rest", "times")).alias("_x")).select("_at", F.col("_x.rest").alias("token"), F.col("_x.times").alias("times"))
-    looked = rare.join(words.where(F.col("n") < least), "token")  # every token is in the table, so no row is lost
+    looked = rare.join(light, "token")  # every token is in the table, so no row is lost
     sums = looked.groupBy("_at").agg(F.sum(F.col("base") * F.col("times")).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_known"))
     out = scored.join(sums, "_at", "left")
     return out.select(

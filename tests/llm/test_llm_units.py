@@ -148,34 +148,159 @@ def test_licences_and_versions_are_told_apart():
 
 
 def test_filters_give_every_language_of_a_gram():
-    f = langid.Filters({"a": [1, 2, 3], "b": [3, 4], "c": []})
-    slots = f.slots(np.array([3], np.uint32))
-    mask = int(f.planes[0][slots[0]] & f.planes[0][slots[1]])
-    assert mask & 3 == 3
-    model = {"x": langid.grams_of(langid.fold("alpha beta")).tolist(), "y": langid.grams_of(langid.fold("gamma delta")).tolist()}
-    got = langid.Filters(model).decide(["ALPHA, beta", "gamma", "", None, "123 !!", "qqqq", "alpha " * 600_000], "x")
-    assert [g[0] for g in got] == ["x", "y", "und", "und", "und", "x", "x"] and all(0 <= g[1] <= 1 for g in got)
-    assert langid.Filters({}).decide(["text"], "und") == [("und", 0.0)]
-
-
-def test_mixer_is_a_probability():
-    """Over all words of up to two letters of an alphabet of symbols, probabilities sum to one at most, and close to the mass of short words."""
-    code, cost = lm.alphabet_of(np.bincount(np.frombuffer(b"ab ab ba a ", np.uint8), minlength=256))
-    table, gates = np.zeros(lm.TOTAL * lm.CELL, np.int8), np.zeros(lm.TOTAL, np.uint8)
-    mixer = lm.Mixer(code, cost)
-    one = mixer.bits([bytes([b]) for b in range(256) if b not in (32, 10)], table, gates)
-    # After the first byte a space follows; without counts each bit has one half.
-    assert np.isfinite(one).all() and np.exp2(one).sum() < 1
-    first = np.exp2(mixer.bits([lm.END], table, gates))[0]
-    assert 0 < first < 1
-
-
-def test_match_and_words():
-    words = lm.tokens_of("A b c A b c a B C")
-    total, left = lm.foretold([*words, lm.END])
-    assert words == [b"a", b"b", b"c"] * 3 and total < 0 and len(left) < len(words) + 1
-    assert lm.foretold([lm.END]) == (0.0, [lm.END])
-    assert lm.tokens_of(None) == [] and lm.tokens_of("\t \x0b") == []
+    planes = langid.filled({0: [1, 2, 3], 1: [3, 4], 70: [3]}, 71)
+    slots = langid.slots_of(np.array([3], np.uint32), planes.shape[1])
+    masks = [int(p[slots[0][0]] & p[slots[1][0]]) for p in planes]
+    assert masks[0] & 3 == 3 and masks[1] >> 6 & 1
+    grams = lambda t: langid.grams_of(langid.fold(t)).tolist()
+    filters = langid.Filters(["x", "y"], langid.filled({0: grams("alpha beta"), 1: grams("gamma delta")}, 2))
+    got = filters.decide(["ALPHA, beta", "gamma", "", None, "123 !!", "qqqq", "alpha " * 600_000, "\u00b2 \u00bd \u2167", "\u4e2d"], "x")
+    assert [g[0] for g in got] == ["x", "y", "und", "und", "und", "x", "x", "und", "x"] and all(0 <= g[1] <= 1 for g in got)
+    assert langid.Filters([], langid.filled({}, 0)).decide(["text"], "und") == [("und", 0.0)]
+
+
+def test_popcounts_are_what_counting_gram_by_gram_gives(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(50)]
+    grams = {i: [int(g) for t in texts[i::7] for g in langid.grams_of(langid.fold(t))] for i in range(70)}
+    filters = langid.Filters([f"l{i:02d}" for i in range(70)], langid.filled(grams, 70, 1 << 12))
+    slots = [{tuple(int(s[0]) for s in langid.slots_of(np.array([g], np.uint32), 1 << 12)) for g in some} for some in grams.values()]
+    bits = [{x for s in some for x in s} for some in slots]
+    for piece in (1 << 21, 64):  # the second cuts texts into pieces
+        monkeypatch.setattr(langid, "PIECE", piece)
+        total, hits = filters.hits([langid.fold(t) for t in texts])
+        for t, n, row in zip(texts, total, hits, strict=True):
+            each = langid.grams_of(langid.fold(t)).tolist()
+            assert n == len(each)
+            where = [tuple(int(s[0]) for s in langid.slots_of(np.array([g], np.uint32), 1 << 12)) for g in each]
+            assert row.tolist() == [sum(a in b and c in b for a, c in where) for b in bits]
+
+
+def model_of(texts):
+    """(alphabet, table, gates) of the contexts of some texts, counted one byte at a time."""
+    words = [w for t in texts for w in [*lm.tokens_of(t), lm.END]]
+    alphabet = lm.alphabet_of(np.bincount(lm.spelled(words)[0], minlength=256))
+    cells = np.zeros((lm.TOTAL, lm.CELL))
+    for t in texts:
+        for byte, rows, _ in slow_bytes(t):
+            for r in rows:
+                cells[r // lm.CELL, alphabet["symbol"][byte]] += 1
+    table, gates = lm.logits_of(cells, alphabet)
+    return alphabet, table.ravel(), gates
+
+
+def slow_bytes(text):
+    """(byte, its context rows, (byte foretold, level) or None) of each byte of a text, one after another."""
+    words, m32 = [*lm.tokens_of(text), lm.END], 0xFFFFFFFF
+    put = lambda h, i: (((((h ^ h >> 15) * 0x2C1B3C6D) & m32) >> (32 - (lm.CONTEXTS[i][1].bit_length() - 1))) + sum(n for _, n in lm.CONTEXTS[:i])) * lm.CELL
+    gone, seen, before, run = [], {}, 0, 0
+    for n, w in enumerate(words):
+        came = w if w == lm.END else w + b" "
+        key = (words[n - 2] if n > 1 else b"", words[n - 1] if n else b"")
+        was = seen.get(key)
+        level = 0 if was is None else run + 1
+        said = b"" if was is None else was if was == lm.END else was + b" "
+        run = min(run + 1, 3) if was == w else 0
+        seen[key] = w
+        so_far, right = 0, True
+        for i, byte in enumerate(came):
+            last = [gone[-k] + 1 if k <= len(gone) else 0 for k in range(1, 6)]
+            rows, h = [], (last[0] * 0x9E3779B1 + last[1]) & m32
+            rows.append(put(h * 0x85EBCA6B & m32, 0))
+            h = (h * 0x9E3779B1 + last[2]) & m32
+            rows.append(put(h * 0x85EBCA6B & m32, 1))
+            h = ((h * 0x9E3779B1 + last[3]) * 0x9E3779B1 + last[4]) & m32
+            rows.append(put(h * 0x85EBCA6B & m32, 2))
+            word = (so_far * 0xC2B2AE35 + i) & m32
+            rows.append(put(word, 3))
+            rows.append(put((word ^ before) * 0x85EBCA6B & m32, 4))
+            yield byte, rows, (said[i], level) if level and right and i < len(said) else None
+            right = right and i < len(said) and said[i] == byte
+            so_far = (so_far + (byte + 1) * pow(0x01000193, i + 1, 1 << 32)) & m32
+            gone.append(byte)
+        before = ((so_far ^ so_far >> 13) * 0x27D4EB2F) & m32
+
+
+def slow_score(text, alphabet, table, gates):
+    """The same model bit by bit, in plain Python."""
+    from math import exp, log2
+
+    out, weights, refined, own, step = 0.0, None, None, None, []
+
+    def learn():
+        moves = {}
+        for g, x, p, known, cell, slot in step:
+            for k in range(lm.INPUTS):
+                moves[k] = moves.get(k, 0) + (known - p) * x[k]
+        for k, d in moves.items():
+            weights[step[0][0]][k] += d * lm.RATE / lm.SCALE**2
+        old_r, old_o = {c[4]: refined[c[4]] for c in step}, {c[5]: own.get(c[5], 0.0) for c in step}
+        for _, _, _, known, cell, slot in step:
+            refined[cell] = old_r[cell] + (known - old_r[cell]) * lm.REFINE
+            own[slot] = max(-127, min(127, old_o[slot] + (known - 1 / (1 + exp(-old_o[slot] / lm.SCALE))) * lm.PACE * lm.SCALE))
+        step.clear()
+
+    edge = (lm.CELLS - 1) // 2 / lm.FINE
+    for n, (byte, rows, told) in enumerate(slow_bytes(text)):
+        if n % lm.SPAN == 0:
+            step.clear()
+            weights = [[w / lm.SCALE for w in lm.STARTS] for _ in range(lm.GATES)]
+            refined = [1 / (1 + exp(-(c - (lm.CELLS - 1) // 2) / lm.FINE)) for c in range(lm.CELLS)]
+            own = {}
+        s = alphabet["symbol"][byte]
+        out += alphabet["cost"][byte]
+        gate = int(gates[rows[lm.BY_WORD] // lm.CELL]) + (len(lm.GATE) + 1 if told else 0)
+        path = {}
+        if told:
+            other = alphabet["symbol"][told[0]]
+            path = {int(alphabet["node"][other, i]): int(alphabet["bit"][other, i]) for i in range(alphabet["length"][other])}
+        for i in range(alphabet["length"][s]):
+            node, bit = int(alphabet["node"][s, i]), int(alphabet["bit"][s, i])
+            slot = ((rows[lm.BY_WORD] + node) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - (lm.SLOTS.bit_length() - 1))
+            match = round(lm.MATCH[told[1] - 1] * lm.SCALE) * (2 * path[node] - 1) if node in path else 0
+            x = [float(table[r + node]) for r in rows] + [match, own.get(slot, 0.0)]
+            g = step[0][0] if step else gate
+            mixed = max(-edge, min(edge, sum(a * b for a, b in zip(weights[g], x, strict=True))))
+            p = 1 / (1 + exp(-mixed))
+            cell = round(mixed * lm.FINE) + (lm.CELLS - 1) // 2
+            out += log2(abs(1 - bit - (p + refined[cell]) / 2))
+            step.append((g, x, p, bit, cell, slot))
+            if len(step) == lm.STEP:
+                learn()
+    return out
+
+
+def test_scores_are_those_of_a_slow_byte_by_byte_model(monkeypatch):
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "g\u00e4mma", "delta!", "x", "\U0001f600"]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 3, 30, 31, 60, 25)] + ["a\tb  c\n" * 9, None, "q" * 70]
+    model = model_of(texts[:5])
+    for span in (4096, 50):  # the second codes texts in runs
+        monkeypatch.setattr(lm, "SPAN", span)
+        got = lm.code_texts([*texts, texts[3]], *model)
+        assert got[-1] == got[3]
+        for t, bits in zip(texts, got, strict=False):
+            assert bits == pytest.approx(slow_score(t, *model), rel=2e-3, abs=0.02), t
+
+
+def test_the_mixer_makes_the_score():
+    """Without what the contexts have counted, a text that is like the others costs far more."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["lorem", "ipsum", "dolor", "amet", "elit"], k=40)) for _ in range(12)]
+    alphabet, table, gates = model_of(texts[:10])
+    flat = lm.code_texts(texts[10:], alphabet, np.zeros_like(table), np.zeros_like(gates))
+    assert (lm.code_texts(texts[10:], alphabet, table, gates) > 0.6 * flat).all()
+
+
+def test_bits_are_probabilities():
+    """The chances of all symbols at the start of a text, and of all bytes after the last symbol, sum to one."""
+    alphabet, table, gates = model_of(["ab ab ba a", "b"])
+    length = alphabet["length"].astype(float)
+    assert np.exp2(-length).sum() == pytest.approx(1)
+    assert np.exp2(alphabet["cost"][alphabet["symbol"] == lm.CELL - 1]).sum() == pytest.approx(1)
+    assert 0 < np.exp2(lm.code_texts([""], alphabet, table, gates)[0]) < 1
+    assert lm.tokens_of(None) == [] and lm.tokens_of("\t \x0b") == [] and lm.tokens_of("A b") == [b"a", b"b"]
 
 
 def fingerprint(text):
