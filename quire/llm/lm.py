@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import commonest, slices, store, unclashed
 
 #: Contexts whose counts are taken from the whole corpus, each a predictor: (name, slots). The bytes cross words; the last two are whole-word contexts. Counts are hashed into `slots` rows of 64 symbols.
-CONTEXTS = (("two bytes", 1 << 13), ("three bytes", 1 << 15), ("five bytes", 1 << 17), ("word so far", 1 << 17), ("word before and word so far", 1 << 17))
+CONTEXTS = (("three bytes", 1 << 15), ("five bytes", 1 << 17), ("word so far", 1 << 17), ("word before and word so far", 1 << 17))
 #: The context by whose counts weights are chosen.
-BY_WORD = 3
+BY_WORD = 2
 #: Inputs of the mixer: the contexts, the match, and the predictor that learns from the text alone.
 INPUTS = len(CONTEXTS) + 2
 #: Logits are kept as logit * SCALE in 8 bits.
@@ -21,18 +21,18 @@ SCALE = 14.0
 GATE = (1, 8, 512)
 GATES = 2 * (len(GATE) + 1)
 #: Weights at the start of a text, one for each input, and the rate at which they move.
-STARTS = (0.15, 0.2, 0.3, 0.3, 0.3, 0.5, 0.2)
-RATE = 0.02
+STARTS = (0.25, 0.25, 0.4, 0.3, 0.5, 0.3)
+RATE = 0.01
 #: Bits that are coded with the same weights.
 STEP = 4
 #: The refinement: cells by mixed logit, cells a unit of logit, and the rate at which they learn.
 CELLS, FINE, REFINE = 33, 4 / 3, 0.02
 #: The predictor that learns in the text: slots by word so far and bit node, and its rate.
-SLOTS, PACE = 1 << 12, 0.8
+SLOTS, PACE = 1 << 11, 0.8
 #: The match: logit of what it foretells, by the words foretold in a row (0 to 3).
 MATCH = (0.5, 2.0, 3.5, 4.5)
 #: Bytes of text laid out at a time, and bytes coded one after another: longer texts go on side by side in runs of SPAN, each from the starting weights.
-PIECE, SPAN = 3 << 20, 4096
+PIECE, SPAN = 3 << 19, 4096
 #: Bytes of texts whose contexts are hashed at a time; steps whose inputs are looked up at a time.
 LAY, BLOCK = 1 << 18, 32
 #: The commonest tokens, HEAVY at the most, are broadcast; the others are looked up by a join.
@@ -83,22 +83,20 @@ def context_rows(data, begin, sizes, opens):
         last.append(x)
     put = lambda h, i: ((((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - (_SIZES[i].bit_length() - 1))) + np.uint32(_OFFSETS[i])) * np.uint32(CELL)
     out = []
-    h = last[0] * np.uint32(0x9E3779B1) + last[1]
+    h = (last[0] * np.uint32(0x9E3779B1) + last[1]) * np.uint32(0x9E3779B1) + last[2]
     out.append(put(h * np.uint32(0x85EBCA6B), 0))
-    h = h * np.uint32(0x9E3779B1) + last[2]
-    out.append(put(h * np.uint32(0x85EBCA6B), 1))
     h = (h * np.uint32(0x9E3779B1) + last[3]) * np.uint32(0x9E3779B1) + last[4]
-    out.append(put(h * np.uint32(0x85EBCA6B), 2))
+    out.append(put(h * np.uint32(0x85EBCA6B), 1))
     # The word so far: sums of bytes times powers, as differences of running sums modulo 2**32.
     powers = np.cumprod(np.full(int(into.max(initial=0)) + 1, 0x01000193, np.uint32), dtype=np.uint32)
     runs = np.concatenate((np.zeros(1, np.uint32), np.cumsum(wide * powers[into], dtype=np.uint32)))
     so_far = (runs[:n] - runs[first]) * np.uint32(0xC2B2AE35) + into.astype(np.uint32)
-    out.append(put(so_far, 3))
+    out.append(put(so_far, 2))
     whole = runs[begin + sizes] - runs[begin]
     before = np.concatenate((np.zeros(1, np.uint32), whole[:-1]))[: len(whole)]
     before[opens] = 0
     before = (before ^ (before >> np.uint32(13))) * np.uint32(0x27D4EB2F)
-    out.append(put((so_far ^ np.repeat(before, sizes)) * np.uint32(0x85EBCA6B), 4))
+    out.append(put((so_far ^ np.repeat(before, sizes)) * np.uint32(0x85EBCA6B), 3))
     return out
 
 
@@ -263,19 +261,21 @@ def bits_of(laid: Laid, alphabet: dict):
     """
     import numpy as np
 
-    symbols = alphabet["symbol"][laid.data]
+    symbols = alphabet["symbol"].astype(np.int32)[laid.data]
     sizes = alphabet["length"][symbols]
     ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-    byte = np.repeat(np.arange(len(symbols), dtype=np.int32), sizes)
     most = alphabet["node"].shape[1]
-    place = (symbols * most - ends[:-1])[byte]
-    place += np.arange(len(byte))
+    byte = np.repeat(np.arange(len(symbols), dtype=np.int32), sizes)
+    place = np.arange(len(byte), dtype=np.int32)
+    place += np.repeat((symbols * most - ends[:-1]).astype(np.int32), sizes)
     node, bit = alphabet["node"].ravel()[place], alphabet["bit"].ravel()[place]
+    del place
     guess, level = laid.guesses()
     match = np.zeros(len(byte), np.int8)
-    said = np.flatnonzero(level[byte])
-    if len(said):
-        at = byte[said]
+    at = np.flatnonzero(level)
+    if len(at):
+        at = np.repeat(at, sizes[at])
+        said = np.arange(len(at)) + np.repeat(*_shifts(ends, sizes, np.flatnonzero(level)))
         other = alphabet["symbol"][guess[at]]
         into = said - ends[at]
         here = other * most + into
@@ -285,6 +285,14 @@ def bits_of(laid: Laid, alphabet: dict):
     return ends, byte, node, bit, match
 
 
+def _shifts(ends, sizes, some):
+    """For the bits of the bytes `some`, one after another: how far each byte's bits stand from their place in all bits, and how many there are."""
+    import numpy as np
+
+    n = sizes[some]
+    return ends[some] - (np.cumsum(n) - n), n
+
+
 def code_runs(laid: Laid, alphabet: dict, table, gates):
     """log2 of the probability of each run of bytes, bit by bit.
 

@@ -81,6 +81,9 @@ def test_mix(spark, docs, empty):
     assert abs(sum(v[2] for v in by.values()) - 1.5 * sum(v[3] for v in by.values())) < 1e-6 * sum(v[3] for v in by.values())
     assert all(abs(by[f"s{i}"][0] - by[f"s{i}"][2]) < 0.1 * by[f"s{i}"][2] for i in range(5))
     assert mixing.mix(many).count() == sum(r["copies"] for r in got)
+    nameless = spark.createDataFrame([(None, f"text {i} of one", "en", "ab"[i % 2], 1) for i in range(2000)], SCHEMA)
+    sums = {r["source"]: (r["t"], r["w"]) for r in mixing.plan_mix(nameless).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()}
+    assert all(abs(t - w) < 0.1 * w for t, w in sums.values())
     assert mixing.plan_mix(empty).count() == 0
 
 
@@ -120,6 +123,8 @@ def test_near_components(spark, docs, empty):
     want = sorted(((r[0] if r[0] is not None else -1), f, least.get(c, -1)) for r, f, c in zip(rows, fps, root, strict=True))
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["fp"] % (1 << 64), r["component_id"] if r["component_id"] is not None else -1) for r in got) == want
     assert simhash.near_components(empty).count() == 0
+    clash = simhash.near_components(docs.withColumn("FP", F.lit("x")).withColumn("component_id", F.lit("y")), carry=["doc_id", "FP", "component_id"])
+    assert clash.columns == ["doc_id", "fp", "root", "component_id"] and clash.count() == len(ROWS)
 
 
 def test_large_buckets_lose_no_link(spark):
@@ -160,6 +165,8 @@ def test_search(spark):
         assert [f[0] for f in found] == list(range(1, 21)) and all(f[2] == s[f[1]] for f in found)
         hit += len({f[1] for f in found} & set(best.tolist()))
     assert hit / (30 * 20) >= 0.9
+    tied = [r[1] for r in sorted(by[100]) if r[2] == by[100][0][2]]  # 60 rows are equal: the smaller ids, in order
+    assert tied == sorted(tied) and set(tied) <= set(range(101, 160)) and tied[0] == 101
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -217,6 +224,26 @@ def test_shards(spark, docs, empty):
     assert hilbert.shard(empty).count() == 0
 
 
+def test_order_prunes_files(spark):
+    """A shard covers a compact part of the dimensions: fewer pairs of language and source stand in it than in all."""
+    rows = [(i, "w" * (i % 97 + 1) + f" {i}", f"l{i * 7 % 5}", f"s{i * 11 % 8}", 1) for i in range(4000)]
+    got = hilbert.shard(spark.createDataFrame(rows, SCHEMA).repartition(5), carry=["lang", "source"])
+    pairs = [r["n"] for r in got.groupBy("shard").agg(F.count_distinct("lang", "source").alias("n")).collect()]
+    assert len(pairs) == 8 and sum(pairs) / 8 < 40 / 2
+
+
+def test_a_large_group_of_short_texts_is_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "SALTED", 50)
+    rows = [(i % 700 if i % 3 else None, None if i % 2 else "", "en", "s", 1) for i in range(1400)] + [(9000 + i, "long text " * 40 + str(i), "en", "s", 1) for i in range(100)]
+    got = hilbert.shard(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    slots, sums = {}, {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+    assert len(got) == 1500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(sums) == 8 and max(sums.values()) < 1.3 * min(sums.values())
+
+
 def test_large_group_is_cut(spark):
     rows = [(i, "same text" if i < 600 else f"other {i}", "en", "s", 1) for i in range(1000)]
     got = hilbert.shard(spark.createDataFrame(rows, SCHEMA)).groupBy("shard").agg(F.sum("size").alias("s")).collect()
@@ -237,6 +264,29 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_executors_need_no_installed_package(tmp_path):
+    """From another folder, with the repository on the driver's path only: the workers can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from quire.llm import bpe, langid, licences, lm, simhash
+from pyspark.sql import functions as F
+docs = spark.createDataFrame([(i, f"some words of text {{i}}", "en") for i in range(30)], "doc_id long, text string, lang string")
+print(langid.identify(docs, langid.learn(docs)).where("lang_pred = 'en'").count(), lm.score(docs, F.col("doc_id") > 3).count(), simhash.near_components(docs).count(), licences.scan(docs).count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == ["30"] * 4, out.stderr[-3000:]
+
+
 def test_scan(docs, empty, spark):
     some = spark.createDataFrame([(1, "Some words.\nReleased under the MIT License.\nMore.", None, None, 0)], SCHEMA)
     r = licences.scan(some.withColumn("dice", F.lit("clash"))).first()
@@ -295,8 +345,33 @@ def test_long_texts_are_coded_whole(monkeypatch):
     assert sizes.tolist() == [sum(len(w) + 1 for w in lm.tokens_of(t)) + 1 for t in texts]
 
 
-def test_shared_folder_is_read_from_the_session(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder_is_read_from_the_session(spark, tmp_path, monkeypatch):
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Elsewhere)
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    kept = common.store(spark.range(3), "numbers")
+    assert kept.count() == 3 and list(tmp_path.glob("quire-*/numbers/*.parquet"))
+    common.free(kept)
+    assert not list(tmp_path.glob("quire-*"))
+    common.free(spark.range(3))
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as c
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    n = "null id " + " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "de", "s", 1), (None, a, "en", "s", 1), (None, n, "en", "s", 1), (None, n, "en", "t", 1), (7, "z y x w v", "en", "s", 1), (7, "z y x w v", "en", "s", 1)]
+    got = c.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted(((r["doc_id"] or 0), r["text"][:4]) for r in got) == [(0, "null"), (1, "a0 a"), (1, "b0 b"), (7, "z y ")]
 
 
 def test_pipeline_stages(docs, empty):

@@ -206,15 +206,13 @@ def slow_bytes(text):
         so_far, right = 0, True
         for i, byte in enumerate(came):
             last = [gone[-k] + 1 if k <= len(gone) else 0 for k in range(1, 6)]
-            rows, h = [], (last[0] * 0x9E3779B1 + last[1]) & m32
-            rows.append(put(h * 0x85EBCA6B & m32, 0))
-            h = (h * 0x9E3779B1 + last[2]) & m32
-            rows.append(put(h * 0x85EBCA6B & m32, 1))
+            h = ((last[0] * 0x9E3779B1 + last[1]) * 0x9E3779B1 + last[2]) & m32
+            rows = [put(h * 0x85EBCA6B & m32, 0)]
             h = ((h * 0x9E3779B1 + last[3]) * 0x9E3779B1 + last[4]) & m32
-            rows.append(put(h * 0x85EBCA6B & m32, 2))
+            rows.append(put(h * 0x85EBCA6B & m32, 1))
             word = (so_far * 0xC2B2AE35 + i) & m32
-            rows.append(put(word, 3))
-            rows.append(put((word ^ before) * 0x85EBCA6B & m32, 4))
+            rows.append(put(word, 2))
+            rows.append(put((word ^ before) * 0x85EBCA6B & m32, 3))
             yield byte, rows, (said[i], level) if level and right and i < len(said) else None
             right = right and i < len(said) and said[i] == byte
             so_far = (so_far + (byte + 1) * pow(0x01000193, i + 1, 1 << 32)) & m32
