@@ -77,29 +77,63 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     candidates. Rows with repeated ids are candidates each for itself; of queries with the same id the one with the least vector counts. Rows with a null id or a vector that
     is null, empty, zero or not finite take no part, and vectors of different lengths are never compared. No queries or no candidates: no rows.
 
-    All rows are indexed: every task keeps the one-bit codes of its rows, with norm and factor. Queries come in blocks
-    of QUERIES, each broadcast and compared with all codes; what could be among the k nearest by its estimate and error bound
-    is scored exactly. A task hands on k rows a query, which the last step merges.
+    The index, written once, has the one-bit code of every row with its norm and factor. Queries come in blocks
+    of QUERIES, one after another: each is broadcast, compared with all codes, and what could be among the k nearest by its estimate and error bound
+    is scored exactly; the block's results are written before the next block is fetched, so the driver and the tasks hold one block at a time. A task hands on k rows a query,
+    which the last step merges. Every query meets every code, so the work grows with queries times rows.
     """
     spark = vectors.sparkSession
-    usable = store(valid(vectors, id_col, vec_col), "vectors")
-    asked = store(usable.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_v").alias("_v")), "queries")
-    n = asked.count()
-    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(max(-(-n // QUERIES), 1))).cast("int")) if n else asked
-    parts = []
-    for b in range(-(-n // QUERIES)):
+    usable = valid(vectors, id_col, vec_col)
+    index = store(usable.mapInArrow(_encoded, "_id long, _v array<double>, _code binary, _norm double, _factor double"), "index")
+    asked = index.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("_v").alias("_v"))
+    sums = index.where(F.col("_id") % every == 0).agg(F.count_distinct("_id").alias("n")).first()
+    blocks = -(-sums["n"] // QUERIES)
+    numbered = store(asked.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(max(blocks, 1))).cast("int")), "queries")
+    found = None
+    for b in range(blocks):
         block = numbered.where(F.col("_block") == b).select("_id", "_v").toArrow()
-        parts.append(_against(usable, spark.sparkContext.broadcast((block.column(0).to_pylist(), block.column(1).to_pylist())), k, sigmas))
-    if not parts:
+        shipped = spark.sparkContext.broadcast((block.column(0).to_pylist(), block.column(1).to_pylist()))
+        part = store(_against(index, shipped, k, sigmas), "found")
+        shipped.destroy()
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _against(usable: DataFrame, shipped, k: int, sigmas: float) -> DataFrame:
+def _by_length(lists, rows=None):
+    """(rows, matrix of their lists) for each length among the lists of an Arrow column."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = np.diff(lists.offsets.to_numpy())
+    for dim in np.unique(sizes).tolist():
+        if rows is None or dim in rows:
+            some = np.flatnonzero(sizes == dim)
+            yield dim, some, lists.take(pa.array(some)).flatten().to_numpy().reshape(-1, dim)
+
+
+def _encoded(batches):
+    """The rows of (id, vector) with code, norm and factor."""
+    import numpy as np
+    import pyarrow as pa
+
+    turns: dict = {}
+    for batch in batches:
+        n = batch.num_rows
+        codes, norms, factors = [b""] * n, np.zeros(n), np.zeros(n)
+        for dim, rows, matrix in _by_length(batch.column(1)):
+            turn = turns[dim] = turns[dim] if dim in turns else rotation(dim)
+            for at in range(0, len(rows), PIECE):
+                some = rows[at : at + PIECE]
+                c, norms[some], factors[some] = encode(matrix[at : at + PIECE], turn)
+                for i, code in zip(some.tolist(), c, strict=True):
+                    codes[i] = code.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary()), pa.array(norms), pa.array(factors)], names=["_id", "_v", "_code", "_norm", "_factor"])
+
+
+def _against(index: DataFrame, shipped, k: int, sigmas: float) -> DataFrame:
     """The k nearest in each task's rows to each query of a block."""
 
     def run(batches):
@@ -115,30 +149,26 @@ def _against(usable: DataFrame, shipped, k: int, sigmas: float) -> DataFrame:
         blocks = {d: (np.array(i), np.array(v, float), rotation(d)) for d, (i, v) in by_dim.items()}
         best = {d: (np.full((len(i), k), -np.inf), np.full((len(i), k), np.iinfo(np.int64).max)) for d, (i, _, _) in blocks.items()}
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            for dim in np.unique(sizes).tolist():
-                if dim not in blocks:
-                    continue
-                rows = np.flatnonzero(sizes == dim)
-                some = lists.take(pa.array(rows)).flatten().to_numpy().reshape(-1, dim)
+            ids, norms, factors = (batch.column(i).to_numpy() for i in (0, 3, 4))
+            for dim, rows, matrix in _by_length(batch.column(1), blocks):
+                codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
                 for at in range(0, len(rows), PIECE):
-                    _piece(blocks[dim], best[dim], ids[rows[at : at + PIECE]], some[at : at + PIECE], k, sigmas)
+                    part, some = slice(at, at + PIECE), rows[at : at + PIECE]
+                    _piece(blocks[dim], best[dim], ids[some], matrix[part], codes[part], norms[some], factors[some], k, sigmas)
         for d, (asked, _, _) in blocks.items():
             scores, who = best[d]
             q, j = np.nonzero(np.isfinite(scores))
             yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(who[q, j]), pa.array(scores[q, j])], names=["query_id", "vec_id", "score"])
 
-    return usable.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _piece(block, best, ids, vectors, k: int, sigmas: float) -> None:
+def _piece(block, best, ids, vectors, codes, norms, factors, k: int, sigmas: float) -> None:
     """Bring `best` (scores and ids, sorted) up to date with some more vectors."""
     import numpy as np
 
     asked, queries, turn = block
     dim = queries.shape[1]
-    codes, norms, factors = encode(vectors, turn)
     slack = norms * np.sqrt(np.maximum(1 - factors**2, 0)) / factors * (sigmas / np.sqrt(max(dim - 1, 1)))
     for at in range(0, len(asked), TOGETHER):
         part = slice(at, at + TOGETHER)
