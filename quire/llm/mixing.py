@@ -24,7 +24,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     source's size stops there and the excess is shared again by weight until
     none is above. That fixed point is found in one pass: with the sources
     ordered by cap/weight, those below the water level are capped.
-    The windows run over one row per source, never over documents.
+    The windows run over one row per source, never over documents, and in one task: sources are meant to be
+    names (a hundred thousand are no matter), not addresses of single pages.
     """
     by_source = sizes.groupBy("_source").agg(F.sum("_size").alias("_ssize"))
     everything = W.partitionBy()
@@ -44,9 +45,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("_source", "_ssize", target.alias("_target")).withColumn("_rate", F.when(F.col("_ssize") > 0, F.col("_target") / F.col("_ssize")).otherwise(0.0))
 
 
-def draw(id_col: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) decided by the id and the seed: 52 bits of an MD5."""
-    key = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|" + seed))
+def draw(id_col: Column, text_col: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) decided by the id, or by the text where the id is null, and the seed: 52 bits of an MD5."""
+    own = F.concat(F.lit("|"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
+    key = F.concat(F.coalesce(id_col.cast("string"), own), F.lit("|" + seed))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
@@ -56,8 +58,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     `copies` is the whole part of the source's rate (target / source size),
     and one more if the document's draw is below the fraction. Null text has
     size 0. Null is a source like any other, last in order; sources without words
-    have target 0 and take nothing. Rows with the same id draw alike; a null id
-    draws as an empty one. No rows: no rows. Input columns with the names of outputs are replaced.
+    have target 0 and take nothing. Rows with the same id draw alike; rows with a null id
+    draw by their text, so those of equal texts draw alike. No rows: no rows. Input columns with the names of outputs are replaced.
     The table of sources is written first, so Spark knows its size when it plans the join onto the documents: below
     spark.sql.autoBroadcastJoinThreshold it is broadcast and the documents stay where they are; above, both sides are
     shuffled and AQE splits hot sources.
@@ -65,10 +67,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     size = F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long")
     targets = store(source_targets(docs.select(F.col(source_col).alias("_source"), size.alias("_size")), weights, share, most), "targets")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), F.struct(*(docs.columns if carry is None else carry)).alias("_row"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_src"), size.alias("_size"), F.struct(*(docs.columns if carry is None else carry)).alias("_row"))
     out = rows.join(targets, F.col("_src").eqNullSafe(F.col("_source")))
     whole = F.floor("_rate").cast("int")
-    out = out.withColumn("_n", whole + (draw(F.col("_id"), seed) < F.col("_rate") - whole).cast("int"))
+    out = out.withColumn("_n", whole + (draw(F.col("_id"), F.col("_text"), seed) < F.col("_rate") - whole).cast("int"))
     return with_outputs("_row", out, size=F.col("_size"), source_size=F.col("_ssize"), target=F.col("_target"), copies=F.col("_n"), taken=F.col("_size") * F.col("_n"))
 
 

@@ -52,7 +52,7 @@ OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
          CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|quire-mix-1'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '|' || md5(coalesce(text, ''))) || '|quire-mix-1'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
