@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_texts, skew_join, store
+from quire.llm.common import map_texts, skew_join, store, unclashed
 from quire.llm.components import components
 
 #: Words in a shingle, and the most differing bits of a link.
@@ -165,7 +165,8 @@ def bucket_links(fps: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     The 64 bits are cut into m blocks; two values within the radius agree in at least m - RADIUS
     of them, so each choice of m - RADIUS blocks is a table keyed by their bits, and
     every link shows up in one. m follows the count `n` (see PLANS). A bucket of more
-    than 2 * `chunk` values is cut by a hash into chunks and each pair of chunks is a bucket of its own.
+    than 2 * `chunk` values is cut by a hash into chunks and each pair of chunks is a bucket of its own: n values of one bucket
+    cost (n / chunk)**2 / 2 comparisons of chunks, each value n / chunk rows; exact, but dear where very many different texts agree in whole blocks.
     """
     m = next(m for most, m in PLANS if n < most)
     cuts = [round(64 * i / m) for i in range(m + 1)]
@@ -212,19 +213,19 @@ def bucket_links(fps: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: `carry` columns (default: the id), `fp` long, `component_id` (the least id that links reach, itself included).
+    """One row per document: `carry` columns (default: the id), `fp` long, `root` long (the least fingerprint of the component), `component_id` (the least id that links reach, itself included).
 
     Links are between fingerprints with RADIUS or fewer differing bits, and components are their transitive closure. Only distinct fingerprints are compared, so exact
     copies cost nothing, and no pair of documents is ever written. Null ids are passed over by the minimum; a component
-    of null ids alone has a null id. Texts without words have fingerprint 0 and link like any other. Empty table: no rows.
+    of null ids alone has a null id; ids that repeat can name two components alike, roots can't. Columns named as outputs are replaced. Texts without words have fingerprint 0 and link like any other. Empty table: no rows.
     """
-    carry = [id_col] if carry is None else carry
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.struct(*carry).alias("_carried"))
+    carry = unclashed([id_col] if carry is None else carry, ("fp", "root", "component_id"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.struct(*carry, F.lit(0).alias("_pad")).alias("_carried"))
     marked = store(fingerprints(rows, "_t", ["_id", "_carried"]), "fingerprints")
     nodes = store(marked.groupBy("fp").agg(F.min("_id").alias("_least")), "nodes")
     found = components(bucket_links(nodes.select("fp"), nodes.count()))
     rooted = skew_join(nodes, found.select(F.col("node").alias("fp"), "root"), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("_component"))
-    by_fp = skew_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "_component")
+    by_fp = skew_join(rooted.select("fp", "root"), least, ["root"]).select("fp", "root", "_component")
     out = skew_join(marked, by_fp, ["fp"])
-    return out.select("_carried.*", F.col("fp").alias("fp"), F.col("_component").alias("component_id"))
+    return out.select(*[F.col("_carried")[c].alias(c) for c in carry], "fp", "root", F.col("_component").alias("component_id"))
