@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, langid, lines, mixing, simhash
-from quire.llm.common import skew_join, store
+from quire.llm.common import free, skew_join, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,15 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each SimHash component (rows with a null id stay; of rows with the same id, one)."""
-    classes = simhash.near_components(docs.select("doc_id", "text"))
-    kept = store(classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    ided = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
-    one = ided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = skew_join(ided, kept, ["doc_id"], merge=True)
-    if one.limit(1).count():  # ids that repeat: one row of each, the first by text
-        out = out.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_r")).select("doc_id", "_r.*")
-    return out.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """Keep one row of each SimHash component: the one with the least id (null last), then by a hash of the text.
+
+    Rows are told apart by id and text, so different texts that share an id are judged each for itself, and rows with a null id are
+    deduplicated like any other. Rows that repeat id and text are one row (the first by the other columns).
+    """
+    hashes = {"_h1": F.xxhash64(F.col("text").isNull(), "text"), "_h2": F.xxhash64(F.lit(7), "text")}
+    docs = docs.select(*COLUMNS)
+    key = ["doc_id", *hashes]
+    classes = store(simhash.near_components(docs.select("doc_id", "text").withColumns(hashes), carry=key).groupBy("root", *key).agg(F.count(F.lit(1)).alias("_n")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), *key, "_n")).alias("_first")
+    kept = store(classes.groupBy("root").agg(first).select(F.col("_first.doc_id").alias("_kept"), "_first._h1", "_first._h2", "_first._n"), "kept")
+    out = skew_join(docs.withColumns(hashes), kept, ["_h1", "_h2"], merge=True).where(F.col("doc_id").eqNullSafe(F.col("_kept")))
+    once = out.where("_n = 1").select(*COLUMNS)
+    if kept.where("_n > 1").limit(1).count():
+        again = out.where("_n > 1").groupBy("_h1", "_h2").agg(F.min(F.struct(*COLUMNS)).alias("_r")).select("_r.*")
+        once = once.unionByName(again)
+    return once
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = store(docs, f"stage{i + 1}")
+            out, done = store(out, f"stage{i + 1}"), docs
+            free(done)  # what a stage has read is not needed any more
+        docs = out
     return docs
