@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import FORMULA_REF, LONG_WORDS, PROSE_BOUNDARY, compact, repair, squeeze
+from quire.functions.text import FORMULA_REF, LONG_WORDS, PROSE_BOUNDARY, repair, squeeze, strip
 
 CAPTION_LABEL = r"(?i)^\s*(?:(?:fig\.|figure|table)\s*[A-Z]?\d+(?:[.\-][A-Za-z0-9]+)*\s*[.:：)]|(?:图|表)\s*[A-Z]?\d+(?:[.\-][A-Za-z0-9]+)*\s*[.:：、)])"
 MATH_SIGNAL = r"[=+*/^_<>≤≥≠≈∑∫√∞∂∇±×÷·\\]|[α-ωΑ-Ω]"
@@ -60,12 +60,13 @@ def boilerplate(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, he
     return (t != "") & (copyright_line | F.coalesce(stamp | (foot & (low.contains("doi:") | journal)), F.lit(False)))
 
 
-def block_role(text: Column, page_index: Column, block_index: Column, font_size: Column, y0: Column | None = None, height: Column | None = None) -> Column:
-    """PF01: the first rule that holds gives the role of a block."""
-    t = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
-    low, one = F.lower(t), squeeze(text)
+def block_role(text: Column, page_index: Column, block_index: Column, font_size: Column, y0: Column | None = None, height: Column | None = None, squeezed: Column | None = None) -> Column:
+    """PF01: the first rule that holds gives the role of a block. `squeezed`: the squeezed text, if it is at hand; `text` is then taken as stripped."""
+    t = strip(text) if squeezed is None else text
+    low, one = F.lower(t), squeeze(text) if squeezed is None else squeezed
+    fixed = repair(t)
     operator = t.contains("=") | t.rlike("[≤≥∑∫]") | t.rlike(r"\b\d+\s*[+\-*/]\s*\d+\b") | t.rlike(r"\b[A-Za-zα-ωΑ-Ω]\s*[+\-*/]\s*[A-Za-z0-9α-ωΑ-Ω]\b")
-    formula = operator & ~prose(t) & t.rlike(r"^[A-Za-z0-9\s+\-*/=().,<>\[\]{}\\≤≥∑∫α-ωΑ-Ω^_]+$")
+    formula = operator & t.rlike(r"^[A-Za-z0-9\s+\-*/=().,<>\[\]{}\\≤≥∑∫α-ωΑ-Ω^_]+$") & ~prose(t, fixed)
     role = (
         F.when((page_index == 0) & (block_index == 0), "title")
         .when(low.rlike(r"^abstract\.?$") | low.startswith("abstract "), "abstract")
@@ -153,9 +154,8 @@ SECTION_RULES = (
 FIRST_LEVEL = ("title", "cover", "abstract", "keywords", "toc", "list_of_figures", "list_of_tables", "references", "appendix", "acknowledgements")
 
 
-def section_kind(text: Column, role: Column) -> Column:
-    """PF14: the section kind of a block: the first rule that holds, over its first 140 characters."""
-    short = compact(text, 140)
+def section_kind(short: Column, role: Column) -> Column:
+    """PF14: the section kind of a block: the first rule that holds, over its first 140 characters (compact())."""
     kind = None
     for name, where, pattern, by_role in SECTION_RULES:
         holds = F.lit(False)
@@ -167,9 +167,8 @@ def section_kind(text: Column, role: Column) -> Column:
     return kind.otherwise("body")
 
 
-def section_title(text: Column, kind: Column) -> Column:
-    """PF14: '' for body text, else the first 100 characters, or the kind itself."""
-    short = compact(text, 100)
+def section_title(short: Column, kind: Column) -> Column:
+    """PF14: '' for body text, else the first 100 characters (compact()), or the kind itself."""
     return F.when(kind == "body", "").when(short == "", kind).otherwise(short)
 
 

@@ -99,9 +99,14 @@ def expand_ligatures(text: Column) -> Column:
     return replace_all(text, LIGATURES)
 
 
-def compact(text: Column, limit: int) -> Column:
-    """ST19: squeezed, and cut to limit - 1 characters and an ellipsis if longer."""
-    text = squeeze(text)
+def strip(text: Column) -> Column:
+    """White space off both ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+
+
+def compact(text: Column, limit: int, squeezed: bool = False) -> Column:
+    """ST19: squeezed (unless it is), and cut to limit - 1 characters and an ellipsis if longer."""
+    text = text if squeezed else squeeze(text)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
 
 
@@ -216,14 +221,39 @@ def token_kind(token: Column) -> Column:
     )
 
 
+# Widths in hundredths of an em, by the first class that holds: tabs, white space, wide scripts, capitals, digits, other ASCII, all else.
+WIDTHS = {"tab": 200, "blank": 34, "wide": 100, "capital": 64, "digit": 56, "ascii": 52, "other": 72}
+WIDE = r"\u1100-\u11FF\u2E80-\uA4CF\uAC00-\uD7AF\uF900-\uFAFF\uFE30-\uFE6F\uFF00-\uFFEF"
+BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+DIGIT = r"\p{Nd}\xB2\xB3\xB9\u2070\u2074-\u2079\u2080-\u2089"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def width_hundredths(text: Column) -> Column:
+    """ST24: the width of a text in hundredths of an em, a whole number."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    tabs, blanks, wide = count(r"\t"), count(f"[{BLANK}]"), count(f"[{WIDE}&&[^{BLANK}]]")
+    capitals = count(f"[\\p{{IsUppercase}}&&[^{WIDE}]]")
+    digits = count(f"[{DIGIT}&&[^{WIDE}]]")
+    narrow = count(r"[\x00-\x7F&&[^\x09-\x0D\x1C-\x20A-Z0-9]]")
+    rest = F.char_length(text) - blanks - wide - capitals - digits - narrow
+    w = WIDTHS
+    return tabs * w["tab"] + (blanks - tabs) * w["blank"] + wide * w["wide"] + capitals * w["capital"] + digits * w["digit"] + narrow * w["ascii"] + rest * w["other"]
+
+
 def width_units(text: Column) -> Column:
-    """ST24: the width of a text in ems: wide scripts 1, blanks .3, capitals .65, other .5."""
-    wide = F.regexp_count(text, F.lit(r"[\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\uFF00-\uFFEF]"))
-    blank, capital = F.regexp_count(text, F.lit(r"\s")), F.regexp_count(text, F.lit("[A-Z]"))
-    rest = F.length(text) - wide - blank - capital
-    return wide * 1.0 + blank * 0.3 + capital * 0.65 + rest * 0.5
+    """ST24: the width of a text in ems."""
+    return width_hundredths(text) / 100.0
+
+
+def hard_lines(text: Column) -> Column:
+    """The lines of a text; a break at its end begins no new one."""
+    lines = F.split(text, LINE_BREAK, -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
 
 
 def wrapped_lines(text: Column, width: Column, font_size: Column) -> Column:
-    """ST24: lines that a text takes up at a width; at least one."""
-    return F.greatest(F.lit(1), F.ceil(width_units(text) * font_size / F.greatest(width, F.lit(1.0)))).cast("int")
+    """ST24: lines that a text takes up at a width: none for no text, one where the width or the font is nothing, else one or more for each of its own lines."""
+    each = F.transform(hard_lines(text), lambda t: F.greatest(F.lit(1), F.ceil(width_units(t) * font_size / width)).cast("int"))
+    total = F.aggregate(each, F.lit(0), lambda a, x: a + x)
+    return F.when(F.coalesce(text, F.lit("")) == "", 0).when((width <= 0) | (font_size <= 0), 1).otherwise(total)

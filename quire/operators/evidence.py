@@ -7,15 +7,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
+from quire.functions.text import squeeze
 
 
-def formula_asset(box: Column, alt_text: Column, page_height: Column, band: float = 0.08) -> Column:
-    """PF09: whether a picture has the size, shape and place of a formula and no other description."""
-    wide, high = g.width(box), g.height(box)
-    ratio = wide / F.greatest(high, F.lit(0.01))
-    inside = (box["y0"] >= page_height * band) & (box["y1"] <= page_height * (1 - band))
-    other = F.lower(F.coalesce(alt_text, F.lit(""))).rlike("logo|photo|figure|chart|table|icon")
-    return g.area(box).between(180, 80000) & ratio.between(1.4, 16.0) & (high <= 110) & inside & ~other
+# Words in a picture's description that rule a formula out.
+NOT_FORMULAS = ("banner", "header", "logo", "decorative", "placeholder")
+
+
+def formula_asset(box: Column, alt_text: Column, page_height: Column | None = None) -> Column:
+    """PF09: whether a picture has the size, shape and place of a formula and no description that rules it out.
+
+    In the top 12 % of a page low (70 points) or long (4 : 1) pictures are no formulas, nor are low ones that reach into the bottom 8 %. A page without a known height has no bands.
+    """
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    ratio = F.when(high > 0, wide / high)
+    shaped = (wide > 0) & (high > 0) & (wide * high).between(180, 80000) & ratio.between(1.4, 16.0) & (high <= 110)
+    other = F.lower(F.coalesce(alt_text, F.lit(""))).rlike("|".join(NOT_FORMULAS))
+    if page_height is None:
+        return F.coalesce(shaped, F.lit(False)) & ~other
+    tall = F.coalesce(page_height, F.lit(0.0))
+    top = (box["y0"] <= tall * 0.12) & ((high <= 70) | (ratio >= 4.0))
+    foot = (box["y1"] >= tall - tall * 0.08) & (high <= 70)
+    return F.coalesce(shaped & ~((tall > 0) & (top | foot)), F.lit(False)) & ~other
 
 
 def in_scope(blocks: DataFrame, pages: list[int] | None = None, block_ids: list[str] | None = None) -> DataFrame:
@@ -30,11 +43,31 @@ def unknown_scope(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.join(blocks, ["doc_id", "block_id"], "left_anti").select("doc_id", "block_id")
 
 
-def suppression(text: Column, role: Column, box: Column, math: Column) -> Column:
-    """PF13: why a block is not rendered: boilerplate or a tiny scrap of mathematics; null if it is."""
-    short = F.length(F.trim(text)) <= 3
-    tiny = (g.height(box) < 6) | (g.width(box) < 6)
-    return F.when(F.lower(text).rlike(r"^©|all rights reserved|^\d{1,4}$") & role.isin("footnote", "paragraph"), "boilerplate").when(short & tiny & math, "tiny_source_artifact")
+# How boilerplate begins, and the names of mathematical fonts.
+COPYRIGHT = r"(?iU)^©\s*(?:(?:the\s+)?author\(s\)|authors?|作者)\b"
+SITE_LINKS = ("view online", "export citation", "crossmark")
+MATH_FONTS = r"^(?:CM|MSAM|MSBM|STIX|MTEX)"
+
+
+def suppressed(text: Column, translation_text: Column, role: Column, box: Column, font: Column) -> Column:
+    """PF13: whether a block is left out when pages are set: blank, boilerplate of publishers, or a tiny scrap (a number or a Greek letter of a mathematical font) that stands on its own."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    low, wide, high = F.lower(t), g.width(box), g.height(box)
+    begins = F.lit(False)
+    for link in SITE_LINKS:
+        begins = begins | low.startswith(link)
+    plain = F.translate(t, "−–", "--")
+    scrap = plain.rlike(r"^[+-]?\d{1,4}$") | (F.upper(F.coalesce(font, F.lit(""))).rlike(MATH_FONTS) & plain.rlike("^[+-]?[α-ωΑ-Ω]$"))
+    tiny = role.isin("paragraph", "footnote", "unknown") & (F.trim(F.coalesce(translation_text, F.lit(""))) == "") & (wide <= 16) & (high <= 24) & scrap
+    return (
+        (t == "")
+        | t.rlike(COPYRIGHT)
+        | (low.contains("doi:") & t.rlike(r"(?U)\bj\.\s+[A-Za-z]"))
+        | ((wide <= 8) & (high >= 40) & t.rlike(r"\d{4}"))
+        | ((role == "footnote") & low.rlike(r"(?U)\bdoi:\s*\S+"))
+        | begins
+        | tiny
+    )
 
 
 def attachment(accepted: Column, source_kind: Column, has_asset: Column, confidence: Column, least: float = 0.5) -> Column:
@@ -104,20 +137,44 @@ def mean_confidence(blocks: DataFrame, assets: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.bround(F.avg("confidence"), 4).alias("confidence"))
 
 
-def column_issues(traces: DataFrame, start: float = 0.15, underfilled: float = 0.45) -> DataFrame:
-    """AG17: pages (`page_height`) whose first item stands in the right column, or begins low there, or whose left column is left empty below."""
-    first = F.min_by("column", F.struct("box.y0", "box.x0", "pos"))
-    right = F.min(F.when(F.col("column") == 1, F.col("box.y0")))
-    left = F.max(F.when(F.col("column") == 0, F.col("box.y1")))
-    page = traces.groupBy("doc_id", "page_id").agg(first.alias("_first"), right.alias("_right"), left.alias("_left"), F.max("page_height").alias("h"))
-    flags = F.array_compact(F.array(F.when(F.col("_first") == 1, "right_column_first"), F.when(F.col("_right") > F.col("h") * start, "right_column_starts_low"), F.when(F.col("_right").isNotNull() & (F.col("h") - F.col("_left") > F.col("h") * underfilled), "left_column_underfilled")))
-    return page.select("doc_id", "page_id", flags.alias("flags")).where(F.size("flags") > 0)
-
-
-def key_phrases(text: Column, pattern: str = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", most: int = 12) -> Column:
-    """SL02: the first distinct phrases of a pattern, but for those that begin with this, that or these."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.slice(F.filter(found, lambda p: ~F.lower(p).rlike(r"^(?:this|that|these)\b")), 1, most)
+def column_issues(traces: DataFrame, layouts: DataFrame, start: float = 0.15, underfilled: float = 0.45) -> DataFrame:
+    """AG17: what is wrong with the flow of two columns: `doc_id`, `page_id`, `kind`, `left_bottom`, `right_top`, `left_whitespace`.
+
+    `traces`: (`doc_id`, `page_id`, `pos`, `span`, `column`, `box`); those that span one column count. `layouts`: (`doc_id`, `mode`, `column_count`, `height`,
+    `margin_top`, `margin_bottom`); only documents of mode continuous_reflow in two columns are looked at. right_column_page_start: the first item of a page, by y, x
+    and place, stands in the right column. left_column_underfilled_before_right_column: the right column begins near the top (within `start` of the content's
+    height), the left one leaves `underfilled` of it empty, and the right one goes 24 points deeper. Numbers to 4 digits, null for the first kind.
+    """
+    two = layouts.where((F.col("mode") == "continuous_reflow") & (F.col("column_count") == 2))
+    bottom = F.when(F.col("height") > F.col("margin_bottom"), F.col("height") - F.col("margin_bottom")).otherwise(0.0)
+    two = two.select("doc_id", F.coalesce("margin_top", F.lit(0.0)).alias("_top"), bottom.alias("_bottom"))
+    column = lambda n, f, c: f(F.when(F.col("column") == n, F.col(c)))
+    page = traces.where((F.col("span") == "column") & F.col("column").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("doc_id", "page_id").agg(
+        F.min_by("column", F.struct("box.y0", "box.x0", "pos")).alias("_first"),
+        column(1, F.min, "box.y0").alias("right_top"),
+        column(1, F.max, "box.y1").alias("_right"),
+        column(0, F.max, "box.y1").alias("_left"),
+    )
+    page = page.join(two, "doc_id").withColumn("left_bottom", F.coalesce("_left", "_top")).withColumn("_high", F.greatest(F.lit(1.0), F.col("_bottom") - F.col("_top")))
+    page = page.withColumn("left_whitespace", F.greatest(F.lit(0.0), F.col("_bottom") - F.col("left_bottom")) / F.col("_high"))
+    left = F.col("right_top").isNotNull() & (F.col("right_top") <= F.col("_top") + F.col("_high") * start) & (F.col("left_whitespace") >= underfilled) & (F.col("_right") > F.col("left_bottom") + 24.0)
+    number = [F.bround(c, 4).alias(c) for c in ("left_bottom", "right_top", "left_whitespace")]
+    none = [F.lit(None).cast("double").alias(c) for c in ("left_bottom", "right_top", "left_whitespace")]
+    first = page.where("_first = 1").select("doc_id", "page_id", F.lit("right_column_page_start").alias("kind"), *none)
+    return first.unionByName(page.where(left).select("doc_id", "page_id", F.lit("left_column_underfilled_before_right_column").alias("kind"), *number))
+
+
+# Key phrases: two to five words of three letters and more (four, if the word begins small), but for those that begin so.
+PHRASE_WORD = r"(?:[A-Z][A-Za-z0-9-]{2,}|[a-z][A-Za-z0-9-]{3,})"
+PHRASE = rf"\b{PHRASE_WORD}(?:\s+{PHRASE_WORD}){{1,4}}\b"
+NO_PHRASE = ("this ", "that ", "these ")
+
+
+def key_phrases(text: Column, most: int = 12) -> Column:
+    """SL02: the first distinct key phrases of a text, squeezed, in order."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?U){PHRASE}"), F.lit(0)), squeeze))
+    kept = F.filter(found, lambda x: ~(F.lower(x).startswith(NO_PHRASE[0]) | F.lower(x).startswith(NO_PHRASE[1]) | F.lower(x).startswith(NO_PHRASE[2])))
+    return F.slice(kept, 1, most)
 
 
 def provider_order(providers: Column, visual: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import predicates as p
 from quire.functions import text as t
+from quire.functions.fence import fenced
 
 # Fixed value: signs and commands of mathematics.
 SIGNAL = (
@@ -18,8 +19,24 @@ SIGNAL = (
     r"pm|mp|in|notin|subset|subseteq|supset|supseteq|cup|cap|cdot|times|div|mathbb|mathcal|mathrm|mathbf|operatorname|bar|dot|hat|vec|left|right)|"
     r"\b[A-Za-zα-ωΑ-Ω]\s*[+\-*/^_]\s*[A-Za-z0-9α-ωΑ-Ω])"
 )
-#: AR01: a relation with one short side each, as it stands inside prose.
-INLINE = r"[A-Za-zα-ωΑ-Ω\\][A-Za-z0-9α-ωΑ-Ω_^{}'\\]{0,15}(?:\([A-Za-z0-9,α-ωΑ-Ω]{1,12}\))?\s*[=≤≥≈≠<>]\s*[A-Za-z0-9α-ωΑ-Ω+\-*/^_().\\{}]{1,32}"
+# What a formula inside prose looks like, by precedence, and the script that may follow it.
+INLINE = (
+    r"@[A-Za-z][A-Za-z0-9_]*\s*=\s*@?[A-Za-z][A-Za-z0-9_]*(?:\s*[+\-−*/·]\s*[A-Za-z0-9_@().,\[\]α-ωΑ-Ω∇]+)*",
+    r"[A-Za-zα-ωΑ-Ω]\[[A-Za-z0-9_]+\](?:\s*(?:=|¼)\s*[−-]?[A-Za-z0-9α-ωΑ-Ω.\[\]_]+)+",
+    r"\b[A-Za-zα-ωΑ-Ω][A-Za-z0-9_]*\s*=\s*(?:\([^)]{1,32}\)|[A-Za-z0-9α-ωΑ-Ω_{}+\-−*/^.,\[\]]+)(?:\s*[+\-−*/=]\s*(?:\([^)]{1,32}\)|[A-Za-z0-9α-ωΑ-Ω_{}+\-−*/^.,\[\]]+)){0,6}",
+    r"(?:\\[A-Za-z]+|∫|∑|∇)[A-Za-z0-9α-ωΑ-Ω_{}()\[\]\s+\-−*/=.,\\]+",
+)
+SCRIPT = r"\s*(?:[_^]\s*(?:\{[^{}\n\r]{1,32}\}|\\?[A-Za-z0-9α-ωΑ-Ω+\-–−]+))[)\]]*"
+#: AR01, ST16: each pattern with all the scripts and closing brackets after it.
+INLINE_WHOLE = tuple(f"(?U)(?:{x})(?:{SCRIPT})*[)\\]]*" for x in INLINE)
+# Links, labels and citations that are no formulas; the signs that are counted; noise words; what ends a formula's tail; relations before a full stop.
+NO_FORMULA = r"(?U)@\S+\.\S+|\b(?:doi|http|https|Fig|Figure|Table|Section|Sec)\b"
+CITATION = r"(?U)^\([A-Z][A-Za-z'’\-]+,?\s+\d{4}[a-z]?\)$"
+SIGNS = (r"=|≤|≥", r"[∂∇∫∑]|\\[A-Za-z]+", r"[@^_]", r"\[[A-Za-z0-9_]+\]")
+NOISE_WORDS = r"(?iU)\b(?:coll|dx|vn|n)\b(?=\s*[,:;)]|$)"
+TAIL = r"(?isU)\b(?:defined\s+as|equation|into\s+the|where|while|with|holds?|shown|represents?)\b.*"
+RELATION_END = r"(?:=|≤|≥|<|>|≠|≈|\\(?:le|leq|ge|geq|ne|neq|approx|sim))\s*[A-Za-z0-9α-ωΑ-Ω]+[)\]}]*\.$"
+EDGES = r"[ \t\n\r,;。；]+"
 
 
 def balanced(rows: DataFrame, column: str) -> DataFrame:
@@ -27,46 +44,100 @@ def balanced(rows: DataFrame, column: str) -> DataFrame:
 
     A column a step: the text is cut at the closing brackets, and put together without the surplus ones.
     """
-    rows = rows.withColumn(column, F.regexp_replace(column, r"\s*(?:[_^]\s*)+$", ""))
+    rows = fenced(rows, (column, F.regexp_replace(column, r"\s*(?:[_^]\s*)+$", "")))
     for left, right in ("()", "[]", "{}"):
-        rows = rows.withColumns({"_parts": F.split(column, "\\" + right, -1), "_open": F.regexp_count(column, F.lit("\\" + left))})
-        rows = rows.withColumn("_kept", F.least(F.size("_parts") - 1, F.col("_open")))
+        rows = fenced(rows, ("_parts", F.split(column, "\\" + right, -1)), ("_open", F.regexp_count(column, F.lit("\\" + left))), ("_kept", F.least(F.size("_parts") - 1, F.col("_open"))))
         joined = F.concat(F.array_join(F.slice("_parts", F.lit(1), F.col("_kept") + 1), right), F.array_join(F.slice("_parts", F.col("_kept") + 2, F.size("_parts")), ""), F.repeat(F.lit(right), F.greatest(F.col("_open") - F.size("_parts") + 1, F.lit(0))))
-        rows = rows.withColumn(column, joined)
+        rows = fenced(rows, (column, joined))
     return rows.drop("_parts", "_open", "_kept")
 
 
-def cut_at_prose(text: Column) -> Column:
-    """ST10: a formula's text up to the first word of prose or sentence mark, without stray punctuation at its ends."""
-    cut = F.regexp_replace(t.repair(text), f"(?is){t.PROSE_BOUNDARY.removeprefix('(?i)')}.*", "")
-    cut = F.regexp_replace(cut, r"(?s)[。；;].*", "")
-    return F.regexp_replace(F.regexp_replace(cut, r"^[\s,;。；]+", ""), r"[\s,;。；]+$", "")
+def trimmed(text: Column) -> Column:
+    """Blanks, commas, semicolons and Chinese full stops off both ends."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{EDGES}", ""), f"{EDGES}$", "")
+
 
+def cut_steps(source: Column, to: str, raw: bool = False) -> list[tuple[str, Column]]:
+    """ST10: steps for fenced() that leave in `to` a formula's text up to the first word of prose or sentence mark, and in `to`_whole what it was cut from.
 
-def slash_glyphs(text: Column) -> Column:
-    """ST04: where a text layer is corrupt, the equals signs that were slashes."""
-    marked = text.rlike("[\\x01-\\x04¼þðÞÐ\ufb00-\ufb04]|@[A-Za-z]")
+    `raw`: only squeezed first, not repaired; hyphens join words, and three long words in a row end a formula too.
+    """
+    c, boundary = F.col(to), f"(?is){t.PROSE_BOUNDARY.removeprefix('(?i)')}"
+    before, after = F.regexp_extract(c, "(?s)^([^,]*),", 1), F.regexp_extract(c, "(?s)^[^,]*,(.*)$", 1)
+    noise = t.squeeze(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f]+", " "), NOISE_WORDS, ""))
+    prose = F.regexp_replace(c, f"{boundary}.*", "")
+    if raw:
+        prose = F.regexp_replace(prose, f"(?s){t.LONG_WORDS}.*", "")
+    stop = c.endswith(".") & (c.rlike(RELATION_END) | ~c.rlike(r"\d\.$"))
+    return [
+        (f"{to}_whole", F.regexp_replace(trimmed(source), r"(?U)\s+", " ") if raw else trimmed(t.repair(source))),
+        (to, t.join_hyphenated(F.col(f"{to}_whole")) if raw else F.col(f"{to}_whole")),
+        (to, noise),
+        (to, F.regexp_replace(prose, r"(?s)[。；;].*", "")),
+        (to, trimmed(F.when(c.contains(",") & F.concat(F.lit(" "), F.trim(after)).rlike(boundary), before).otherwise(c))),
+        (to, F.when(stop, F.rtrim(F.regexp_replace(c, r"\.$", ""))).otherwise(c)),
+        (to, F.regexp_replace(c, r"([A-Za-z]\d*)\.\d{1,3}$", "$1")),
+        (to, F.regexp_replace(F.regexp_replace(trimmed(c), TAIL, ""), f"{EDGES}$", "")),
+    ]
+
+
+def math_signs(fixed: Column) -> Column:
+    """PF07: how many relations, operators, scripts and indices a repaired text has."""
+    return reduce(lambda a, b: a + b, [F.regexp_count(fixed, F.lit(x)) for x in SIGNS])
+
+
+def formula_steps(source: Column, to: str) -> list[tuple[str, Column]]:
+    """PF07: steps for fenced() that tell in `to` whether a text looks like a formula and in `to`_display whether one that stands by itself; `to`_fixed is the repaired text, `to`_signs its signs."""
+    n, signs, prose, noise = F.col(f"{to}_fixed"), F.col(f"{to}_signs"), F.col(f"{to}_prose"), F.col(f"{to}_noise")
+    words = F.regexp_count(n, F.lit(r"(?<!\\)\b[A-Za-z]{4,}\b"))
+    return [
+        (f"{to}_fixed", t.repair(source)),
+        (f"{to}_noise", p.noise(n, n)),
+        (f"{to}_prose", p.prose(n, n)),
+        (f"{to}_signs", math_signs(n)),
+        (to, (F.length(n) >= 3) & ~noise & ~n.rlike(NO_FORMULA) & ~n.rlike(CITATION) & (words < 3) & ~(prose & (signs < 2)) & (signs >= 1) & n.rlike("[A-Za-zα-ωΑ-Ω@∇∫∑]")),
+        (f"{to}_display", F.col(to) & (F.length(n) <= 260) & ~prose & ~n.rlike("[\u4e00-\u9fff]") & (signs >= F.when(F.length(n) <= 24, 1).otherwise(2))),
+    ]
+
+
+def slash_glyphs(text: Column, source: Column | None = None) -> Column:
+    """ST04: where a text layer (the text, or the source that it was made from) is corrupt, the equals signs that were slashes."""
+    marked = (text if source is None else F.concat_ws(" ", source, text)).rlike("[\\x01-\\x04¼þðÞÐ\ufb00-\ufb04]|@[A-Za-z]")
     fixed = F.regexp_replace(text, r"@([A-Za-z][A-Za-z0-9_']*)\s*=\s*@([A-Za-z][A-Za-z0-9_']*)", "@$1 / @$2")
     fixed = F.regexp_replace(fixed, r"\b([fqmn]\s*0\s*[sn])\s*=\s*([A-Za-z][A-Za-z0-9_']{0,5})\b", "$1 / $2")
     fixed = F.regexp_replace(fixed, r"\b([a-z][a-z0-9_']{1,5})\s*=\s*([a-z][a-z0-9_']{1,5})\b", "$1 / $2")
     return F.when(marked & text.contains("="), fixed).otherwise(text)
 
 
+# What is left of an underbrace and its label, with ligatures as filler.
+_FILLER = "(?:ffl|ffi|ff|fi|fl|[\\s\ufb00-\ufb04])"
+UNDERBRACE = f"(?U)\\|\\s*{_FILLER}*\\{{\\s*z((?:ffl|ffi|ff|fi|fl|[\\s\ufb00-\ufb04A-Za-z0-9+\\-−])*)\\}}"
+UNDERBRACE_RESTS = (r"(?U)\|\s*\{\s*z\s*[^}]*\}", r"(?U)\|\s*(?:ffl|ffi|ff|fi|fl|\s)+\{\s*z(?:\s*(?:ffl|ffi|ff|fi|fl))*\s*\}")
+
+
 def underbraces(text: Column) -> Column:
-    """ST03: what is left of an underbrace, as a subscript or nothing."""
-    labelled = F.regexp_replace(text, r"\|\s*(?:ffl|ffi|ff|fi|fl|\s)*\{\s*z\s*([A-Za-z0-9+\-−]+)\s*\}", "_{$1}")
-    return F.regexp_replace(labelled, r"\|\s*(?:ffl|ffi|ff|fi|fl|\s)*\{\s*z[^}]*\}", "")
+    """ST03: what is left of an underbrace, as a subscript, or nothing where its label is only filler; squeezed if anything was mended."""
+    label = lambda x: F.regexp_replace(t.expand_ligatures(x), r"(?U)(?:ffl|ffi|ff|fi|fl|\s)+", "")
+    subscripts = F.transform(F.regexp_extract_all(text, F.lit(UNDERBRACE), F.lit(1)), lambda x: F.when(label(x) == "", "").otherwise(F.concat(F.lit("_{"), label(x), F.lit("}"))))
+    between = F.split(text, UNDERBRACE, -1)
+    joined = F.array_join(F.zip_with(between, subscripts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    mended = reduce(lambda c, x: F.regexp_replace(c, x, ""), UNDERBRACE_RESTS, joined)
+    return F.when(text.contains("|") & text.contains("{") & (mended != text), t.squeeze(mended)).otherwise(text)
+
+
+# Integrals and the reals whose glyphs fell apart, in order.
+FALLEN_APART = (
+    (r"(?U)\bZ\s+I\s*R[_^]\{?([A-Za-z0-9+\-/]+)\}?", r"\\int_{\\mathbb{R}^{$1}}"),
+    (r"(?U)\bZ\s+I\s*R", r"\\int_{\\mathbb{R}}"),
+    (r"(?U)\bI\s*R\s*[\^_]\s*\{?([A-Za-z0-9+\-/]+)\}?", r"\\mathbb{R}^{$1}"),
+    (r"(?U)\bI\s*R", r"\\mathbb{R}"),
+    (r"(?U)\bZ\s+(?=(?:\\?[A-Za-zα-ωΑ-Ω])[^=]{0,64}(?:\(|d[A-Za-z]|\\,d))", r"\\int "),
+)
 
 
 def real_spaces(text: Column) -> Column:
-    """ST05: integrals over and powers of the reals whose glyphs fell apart."""
-    rules = (
-        (r"\bZ\s+I\s*R[_^]\{?([A-Za-z0-9+\-/]+)\}?", r"\\int_{\\mathbb{R}^{$1}}"),
-        (r"\bZ\s+I\s*R", r"\\int_{\\mathbb{R}}"),
-        (r"\bI\s*R\s*[\^_]\s*\{?([A-Za-z0-9+\-/]+)\}?", r"\\mathbb{R}^{$1}"),
-        (r"\bI\s*R", r"\\mathbb{R}"),
-    )
-    return reduce(lambda c, r: F.regexp_replace(c, *r), rules, text)
+    """ST05: integrals, also over the reals, and powers of the reals whose glyphs fell apart."""
+    return reduce(lambda c, r: F.regexp_replace(c, *r), FALLEN_APART, text)
 
 
 def with_latex(rows: DataFrame, source: str, latex: str = "latex", flags: str = "flags") -> DataFrame:
@@ -80,20 +151,20 @@ def with_latex(rows: DataFrame, source: str, latex: str = "latex", flags: str =
     steps = (
         ("_ligatures", t.expand_ligatures(raw)),
         ("_braces", underbraces(F.col("_ligatures"))),
-        ("_slashes", slash_glyphs(F.col("_braces"))),
-        ("_fixed", t.repair(F.col("_slashes"))),
-        ("_cut", cut_at_prose(F.col("_slashes"))),
+        ("_slashes", slash_glyphs(F.col("_braces"), raw)),
+        *cut_steps(F.col("_slashes"), "_cut"),
         ("_empty", (F.col("_cut") == "") | p.noise(F.col("_cut"), F.col("_cut"))),
         ("_number", t.equation_number(F.col("_cut"))),
         ("_bare", F.when(F.col("_number") != "", F.regexp_replace("_cut", r"[,;:]?\s*\([A-Za-z]?\d+(?:[.\-]\d+)*[a-z]?\)\s*$", "")).otherwise(F.col("_cut"))),
         ("_spaces", real_spaces(F.col("_bare"))),
         ("_named", F.regexp_replace(t.to_latex_symbols(F.col("_spaces")), r"@([A-Za-z][A-Za-z0-9_]*)", r"\\partial $1")),
+        ("_named", F.regexp_replace(F.regexp_replace("_named", r"\b([A-Za-z])\s+([0-9])\b", "$1$2"), r"\b([0-9])\s+([A-Za-z])\b", "$1$2")),
         ("_partial", t.compact_partials(F.col("_named"))),
         ("_waves", t.wave_names(F.col("_partial"))),
         ("_closed", t.squeeze(F.col("_waves"))),
+        ("_fixed", t.repair(F.col("_slashes"))),
     )
-    for name, value in steps:
-        rows = rows.withColumn(name, value)
+    rows = fenced(rows, *steps)
     rows = balanced(rows, "_closed")
     tagged = F.concat("_closed", F.lit(" \\tag{"), F.regexp_replace("_number", "[()]", ""), F.lit("}"))
     some = ~F.col("_empty")
@@ -102,14 +173,15 @@ def with_latex(rows: DataFrame, source: str, latex: str = "latex", flags: str =
         ("formula_pdf_ligature_repaired", F.col("_ligatures") != raw),
         ("formula_underbrace_artifact_repaired", F.col("_braces") != F.col("_ligatures")),
         ("formula_slash_glyph_repaired", F.col("_slashes") != F.col("_braces")),
-        ("formula_text_truncated", F.col("_cut") != F.col("_fixed")),
+        ("formula_text_truncated", F.col("_cut") != F.col("_cut_whole")),
         ("formula_equation_number_preserved", some & (F.col("_number") != "")),
         ("formula_pdf_math_degradation_repaired", some & (F.col("_spaces") != F.col("_bare"))),
         ("formula_compact_partial_repaired", some & (F.col("_partial") != F.col("_named"))),
         ("formula_compact_variable_repaired", some & (F.col("_waves") != F.col("_partial"))),
         ("formula_low_confidence", F.col("_empty")),
     )
-    found = F.array_distinct(F.concat(t.corruption_flags(raw), F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))))
+    told = [F.when(c, F.lit(n)) for n, c in rules]
+    found = F.array_distinct(F.concat(F.array_compact(F.array(told[0])), t.corruption_flags(raw), F.array_compact(F.array(*told[1:]))))
     value = F.when(F.col("_empty"), "").when(F.col("_number") != "", tagged).otherwise(F.col("_closed"))
     return rows.withColumns({made[0]: value, made[1]: found}).drop("_raw", *[n for n, _ in steps])
 
@@ -120,8 +192,8 @@ def with_acceptance(rows: DataFrame, latex: str, source: str, mode: str, name: s
     The rules in order: empty, corrupt (for display formulas), prose, too few signs; an external renderer is taken as absent and so finds no error.
     """
     n = F.col("_n")
-    rows = rows.withColumn("_n", t.repair(F.col(latex)))
-    rows = rows.withColumns({"_signals": F.regexp_count(n, F.lit(SIGNAL)), "_words": F.regexp_count(n, F.lit("[A-Za-z]{3,}")), "_corrupt": t.corruption_flags(F.when(F.coalesce(source, F.lit("")) != "", F.col(source)).otherwise(F.col(latex)), n), "_prose": p.prose(n, n)})
+    corrupt = t.corruption_flags(F.when(F.coalesce(source, F.lit("")) != "", F.col(source)).otherwise(F.col(latex)), n)
+    rows = fenced(rows, ("_n", t.repair(F.col(latex))), ("_signals", F.regexp_count(n, F.lit(SIGNAL))), ("_words", F.regexp_count(n, F.lit("[A-Za-z]{3,}"))), ("_corrupt", corrupt), ("_prose", p.prose(n, n)))
     signals, words, flags = F.col("_signals"), F.col("_words"), F.col("_corrupt")
     unrepaired = n.rlike(r"[A-Za-z]_?[A-Za-z]\s*=\s*k(?:\^?\d|\{\d\})|[A-Za-z]\s*0\s*[A-Za-z]")
     structured = n.rlike(r"\\(?:frac|dfrac|tfrac|sum|int|partial|nabla|sqrt)\b|\\begin\{")
@@ -130,16 +202,14 @@ def with_acceptance(rows: DataFrame, latex: str, source: str, mode: str, name: s
     like_prose = (F.col("_prose") & (words >= 2)) | (n.rlike(r"[,.;]\s+[A-Za-z]{3,}") & (words >= 4)) | ((F.length(n) > 80) & (words >= 6) & (signals < 3)) | ((words >= 10) & (signals <= F.greatest(F.lit(1), F.floor(words / 8))))
     relation = (F.length(n) <= 64) & n.rlike(r"[A-Za-z0-9α-ωΑ-Ω\\})]\s*(?:=|≤|≥|≠|≈|\\(?:le|leq|ge|geq|ne|neq|approx|sim))\s*[A-Za-z0-9α-ωΑ-Ω\\{(]")
     least = F.when(relation | (F.length(n) <= 24), 1).otherwise(2)
-    rows = rows.withColumn("_status", F.when(n == "", "empty").when((F.col(mode) == "display") & severe, "corrupt_text_layer").when(like_prose, "prose_like").when(signals < least, "not_math").otherwise("accepted"))
+    rows = fenced(rows, ("_status", F.when(n == "", "empty").when((F.col(mode) == "display") & severe, "corrupt_text_layer").when(like_prose, "prose_like").when(signals < least, "not_math").otherwise("accepted")))
     status = F.col("_status")
     tagged = n.rlike(r"\\tag\{\d+(?:\.\d+)*\}$")
     low = (F.length(n) <= 8) | ((signals <= 1) & (F.regexp_count(n, F.lit("[A-Za-z]{1,2}")) >= 4)) | (~tagged & (F.regexp_count(n, F.lit("=")) >= 3) & (signals < 3)) | (F.size(flags) > 0)
     level = F.when(status != "accepted", "fallback_required").when(low, "accepted_low_confidence").otherwise("accepted_structured")
     fallback = F.when(status == "corrupt_text_layer", "formula_asset_image").when(status != "accepted", "source_text_plaintext")
     verdict = F.struct(status.alias("status"), (status == "accepted").alias("accepted"), level.alias("level"), fallback.alias("fallback"), signals.alias("signals"))
-    # The condition is always true; being no function of the row, it keeps filters on the verdict above it,
-    # which would else be pushed down with the whole chain of steps written out in each reference.
-    return rows.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, verdict)).drop("_n", "_signals", "_words", "_corrupt", "_prose", "_status")
+    return fenced(rows, (name, verdict)).drop("_n", "_signals", "_words", "_corrupt", "_prose", "_status")
 
 
 def inline_false_positive(text: Column) -> Column:
@@ -157,33 +227,39 @@ def inline_formula(text: Column, fixed: Column | None = None) -> Column:
 def inline_candidates(blocks: DataFrame) -> DataFrame:
     """AR01: candidates inside blocks (`doc_id`, `pos`, `text`): `n` from 1, `source_text`, `start` (0-based), `end`.
 
-    Matches are found from left to right and don't overlap; the place of each follows from the text before it.
+    The patterns are tried in order, each from left to right; a match takes the scripts and brackets after it (ST16), is cut where prose
+    begins (ST10), and has to look like a formula (PF07). Of overlapping ones the first found stays.
     """
-    plain = blocks.where(~F.col("text").rlike(t.FORMULA_REF))
-    found = plain.select("doc_id", "pos", "text", F.regexp_extract_all("text", F.lit(INLINE), F.lit(0)).alias("m")).where(F.size("m") > 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,t:string>>").alias("out"))
+    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<k:int,s:int,t:string>>").alias("out"))
+
+    def located(k, pattern):
+        def one(acc, m):
+            s = F.call_function("locate", m, F.col("text"), acc["at"] + 1) - 1
+            return F.struct((s + F.length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(k).alias("k"), s.alias("s"), m.alias("t")))).alias("out"))
 
-    def locate(acc, m):
-        s = F.call_function("locate", m, F.col("text"), acc["at"] + 1) - 1
-        return F.struct((s + F.length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), m.alias("t")))).alias("out"))
+        return F.aggregate(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), place, one, lambda a: a["out"])
 
-    each = found.withColumn("o", F.aggregate("m", start, locate, lambda a: a["out"])).select("doc_id", "pos", F.posexplode("o").alias("i", "x"))
-    cut = F.regexp_replace("x.t", r"[\s,;.]+$", "")
-    out = each.select("doc_id", "pos", cut.alias("source_text"), F.col("x.s").alias("start"), (F.col("x.s") + F.length(cut)).alias("end"))
-    # A window keeps the filter above it, and with it one repaired text for all its tests.
-    fixed = out.withColumn("_fixed", t.repair(F.col("source_text"))).withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "pos").orderBy("start")))
-    out = fixed.where(inline_formula(F.col("source_text"), F.col("_fixed"))).drop("_fixed", "_n")
-    return out.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "pos").orderBy("start")))
+    signed = blocks.where(F.col("text").rlike(r"[=¼∫∑∇]|\\[A-Za-z]"))
+    found = signed.select("doc_id", "pos", F.explode(F.concat(*[located(k, x) for k, x in enumerate(INLINE_WHOLE)])).alias("x"))
+    found = fenced(found.select("doc_id", "pos", "x.*"), *cut_steps(F.col("t"), "_c", raw=True), *formula_steps(F.col("_c"), "_f"))
+    here = F.greatest(F.call_function("locate", F.col("_c"), F.col("t")) - 1, F.lit(0))
+    kept = found.where(F.col("_f")).select("doc_id", "pos", F.struct("k", "s", (F.col("s") + here).alias("start"), (F.col("s") + here + F.length("_c")).alias("end"), F.col("_c").alias("text")).alias("m"))
+    taken = F.array().cast("array<struct<k:int,s:int,start:int,end:int,text:string>>")
+    free = lambda acc, m: F.when(F.exists(acc, lambda c: (m["start"] < c["end"]) & (m["end"] > c["start"])), acc).otherwise(F.concat(acc, F.array(m)))
+    chosen = kept.groupBy("doc_id", "pos").agg(F.aggregate(F.array_sort(F.collect_list("m")), taken, free).alias("ms"))
+    ordered = F.array_sort(F.transform("ms", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("source_text"))))
+    return chosen.select("doc_id", "pos", F.posexplode(ordered).alias("n", "m")).select("doc_id", "pos", (F.col("n") + 1).alias("n"), "m.source_text", "m.start", "m.end")
 
 
 def detect(blocks: DataFrame) -> DataFrame:
     """Display candidates (whole blocks) and inline ones, one per place, in document order, with ids: `formula_id`, `mode`.
 
-    A block that is a formula by itself gives one display candidate and no inline ones.
+    A block that is a formula by itself, by its role and without prose or by its look, gives one display candidate and no inline ones; noise gives none.
     """
-    whole = blocks.where((F.col("role") == "formula") | p.display_formula_like(F.col("text"))).select("doc_id", "pos", F.lit(0).alias("n"), F.col("text").alias("source_text"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("display").alias("mode"))
-    rest = blocks.join(whole.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti")
-    inline = inline_candidates(rest).select("doc_id", "pos", "n", "source_text", "start", "end", F.lit("inline").alias("mode"))
+    told = fenced(blocks, *formula_steps(F.col("text"), "_f")).where(~F.col("_f_noise") & (F.col("_f_fixed") != ""))
+    told = told.withColumn("_whole", ((F.col("role") == "formula") & ~F.col("_f_prose")) | F.col("_f_display"))
+    whole = told.where("_whole").select("doc_id", "pos", F.lit(0).alias("n"), F.col("_f_fixed").alias("source_text"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("display").alias("mode"))
+    inline = inline_candidates(told.where(~F.col("_whole")).select("doc_id", "pos", "text")).select("doc_id", "pos", "n", "source_text", "start", "end", F.lit("inline").alias("mode"))
     both = whole.unionByName(inline)
     fid = F.concat(F.lit("f"), F.substring(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("pos").cast("string"), F.col("n").cast("string"), "source_text").cast("binary")), 1, 12))
     return both.withColumn("formula_id", fid)

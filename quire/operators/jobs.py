@@ -29,10 +29,16 @@ def matching_workflow(jobs: DataFrame, workflows: DataFrame) -> DataFrame:
 
 
 def resume_actions(jobs: DataFrame, uploads: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """What to do with unfinished jobs: continue (their document was extracted), restart (the upload is there) or fail."""
-    out = jobs.where(F.col("state").isin(*RESUMABLE))
-    out = out.join(uploads.select("doc_id").distinct().withColumn("_up", F.lit(True)), "doc_id", "left").join(artifacts.where("name = 'document-ir'").select("doc_id").distinct().withColumn("_ir", F.lit(True)), "doc_id", "left")
-    return out.select("job_id", "doc_id", "state", F.when(F.col("_ir"), "continue").when(F.col("_up"), "restart").otherwise("fail").alias("action"))
+    """What to do with unfinished jobs that have a document: continue, restart (the upload is there) or fail.
+
+    `artifacts`: (`doc_id`, `name`). A job continues if it was translating or rendering and both its document (`document-ir`) and its
+    `translation-chunks` are there.
+    """
+    out = jobs.where(F.col("state").isin(*RESUMABLE) & F.col("doc_id").isNotNull() & (F.col("doc_id").cast("string") != ""))
+    made = artifacts.groupBy("doc_id").agg(F.bool_or(F.col("name") == "document-ir").alias("_ir"), F.bool_or(F.col("name") == "translation-chunks").alias("_chunks"))
+    out = out.join(uploads.select("doc_id").distinct().withColumn("_up", F.lit(True)), "doc_id", "left").join(made, "doc_id", "left")
+    goes_on = F.col("state").isin("translating", "rendering") & F.col("_ir") & F.col("_chunks")
+    return out.select("job_id", "doc_id", "state", F.when(goes_on, "continue").when(F.col("_up"), "restart").otherwise("fail").alias("action"))
 
 
 def guard(commands: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, ids, predicates, text
+from quire.functions.fence import fenced
 from quire.operators import chunks, events, formulas, integrity, jobs, layout, sections
 from quire.plans import translation
 from quire.session import table
@@ -149,8 +150,8 @@ SELECT doc_id, pos, CASE WHEN page_index = 0 AND block_index = 0 THEN 'title' WH
 """
 )
 def pf01_block_roles(spark, sf_dir):
-    b = line_blocks(spark, sf_dir)
-    role = predicates.block_role(F.col("text"), F.floor(F.col("pos") / 20), F.col("pos") % 20, 8 + F.col("pos") % 6)
+    b = fenced(line_blocks(spark, sf_dir), ("_stripped", text.strip(F.col("text"))), ("_squeezed", text.squeeze(F.col("text"))))
+    role = predicates.block_role(F.col("_stripped"), F.floor(F.col("pos") / 20), F.col("pos") % 20, 8 + F.col("pos") % 6, squeezed=F.col("_squeezed"))
     return b.select("doc_id", "pos", role.alias("role"))
 
 
@@ -182,7 +183,14 @@ def st19_compact(spark, sf_dir):
     return line_blocks(spark, sf_dir).select("doc_id", "pos", text.compact(F.col("text"), 60).alias("short"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-￯]')) * 1.0 + len(regexp_extract_all(text, '\s')) * 0.3 + len(regexp_extract_all(text, '[A-Z]')) * 0.65 + (len(text) - len(regexp_extract_all(text, '[⺀-鿿가-힯豈-﫿＀-￯]')) - len(regexp_extract_all(text, '\s')) - len(regexp_extract_all(text, '[A-Z]'))) * 0.5 AS ems FROM documents".replace(" * 1.0", " * 1.0::DOUBLE").replace("0.3 ", "0.3::DOUBLE ").replace("0.65 ", "0.65::DOUBLE ").replace("0.5 ", "0.5::DOUBLE "))
+@query(
+    r"""
+WITH a AS (SELECT doc_id, text, regexp_replace(text, '[\x{1100}-\x{11FF}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FFEF}]', '', 'g') AS thin FROM documents),
+b AS (SELECT doc_id, len(text) - len(thin) AS wide, len(thin) AS n, len(regexp_extract_all(thin, '\t')) AS tabs, len(regexp_extract_all(thin, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}]')) AS blanks,
+  len(regexp_extract_all(thin, '\p{Lu}')) AS capitals, len(regexp_extract_all(thin, '[\p{Nd}²³¹]')) AS digits, len(regexp_extract_all(thin, '[!-/:-@\[-~\x00-\x08\x0E-\x1B\x7F]')) AS narrow FROM a)
+SELECT doc_id, (tabs * 2.0::DOUBLE * 100 + (blanks - tabs) * 34 + wide * 100 + capitals * 64 + digits * 56 + narrow * 52 + (n - blanks - capitals - digits - narrow) * 72) / 100.0::DOUBLE AS ems FROM b
+"""
+)
 def st24_width_units(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.width_units(F.col("text")).alias("ems"))
 
@@ -220,22 +228,69 @@ def so05_sections_by_kind(spark, sf_dir):
     return out.select("doc_id", F.array_join("title", ",").alias("titles"), F.array_join("heading", ",").alias("headings"))
 
 
+#: Instructions as users write them, each by a document.
+INSTRUCTIONS = (
+    "Please set this graduation project proposal for my supervisor",
+    "An undergraduate thesis with a cover page, abstract, keywords, a table of contents, the main text, references and acknowledgements",
+    "Course paper in academic style with consistent citations and a bibliography",
+    "Thesis: 12-point SimSun main text, 1.5 line spacing, 16-point SimHei headings, page numbers from the main text on",
+    "Keep figures, tables and equations aligned in the thesis and add lists of figures and tables",
+    "A lab report, please",
+    "Book report: highlight important content, nothing promotional",
+    "Social practice report of approximately 5,000 words with headers",
+    "Group assignment: course name, project title and all group members",
+    "Homework with student name, student ID and submission date",
+    "实验报告，封面，摘要和参考文献",
+    "Just make it look nice",
+)
+
+
+def instructions(spark, sf_dir):
+    """An instruction for each document: `doc_id`, `instruction`."""
+    of = F.element_at(F.array(*map(F.lit, INSTRUCTIONS)), (F.col("doc_id") % len(INSTRUCTIONS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", of.alias("instruction"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ASKED = f"""asked AS (SELECT doc_id, lower([{", ".join(map(_quoted, INSTRUCTIONS))}][doc_id % {len(INSTRUCTIONS)} + 1]) AS low FROM documents),
+typed AS (SELECT *, CASE WHEN regexp_matches(low, '本科论文|毕业论文|学位论文|undergraduate\\s+thesis|\\bthesis\\b') THEN 'undergraduate_thesis' WHEN regexp_matches(low, 'social\\s+practice\\s+report|社会实践报告') THEN 'social_practice_report'
+  WHEN regexp_matches(low, 'group\\s+course\\s+assignment|group\\s+assignment|小组作业|团队作业') THEN 'group_assignment' WHEN regexp_matches(low, 'book\\s+report|读书报告|读后感') THEN 'book_report'
+  WHEN regexp_matches(low, '实验报告|lab(?:oratory)?\\s+report|experiment\\s+report') THEN 'lab_report' WHEN regexp_matches(low, '开题报告|proposal\\s+report|research\\s+proposal|graduation\\s+project\\s+proposal') THEN 'proposal_report'
+  WHEN regexp_matches(low, '课程论文|course\\s+paper|term\\s+paper') THEN 'course_paper' WHEN regexp_matches(low, '普通作业|作业|homework|assignment') THEN 'homework' ELSE 'generic_academic' END AS document_kind FROM asked)"""
+
+
 def _requirements_sql() -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, '{r}' AS requirement_id, '{c}' AS category, [{', '.join(repr(x) for x in k)}] AS kinds FROM documents WHERE regexp_matches(lower(text), '{p}')" for r, c, k, p in sections.REQUIREMENTS)
+    """Every rule as a SELECT of its own, in order."""
+    parts, n = [], 0
+    for kind, rules in sections.BY_DOCUMENT_KIND.items():
+        for r, c, k in rules:
+            parts.append((r, c, k, f"document_kind = '{kind}'"))
+    for r, c, k, pattern in sections.BY_KEYWORD:
+        parts.append((r, c, k, f"regexp_matches(low, {_quoted(pattern)})"))
+    out = []
+    for n, (r, c, k, test) in enumerate(parts):
+        out.append(f"SELECT doc_id, {n} AS rule, '{r}' AS requirement_id, '{c}' AS category, CAST([{', '.join(map(_quoted, k))}] AS VARCHAR[]) AS kinds FROM typed WHERE {test}")
+    return " UNION ALL ".join(out)
+
+
+@query(f"WITH {_ASKED}, hits AS ({_requirements_sql()}), k AS (SELECT doc_id, requirement_id, arg_min(category, rule) AS category, list_distinct(flatten(list(kinds))) AS kinds FROM hits GROUP BY doc_id, requirement_id) SELECT doc_id, requirement_id, category, array_to_string(list_sort(kinds), ',') AS kinds FROM k")
+def pf18_requirements(spark, sf_dir):
+    return sections.requirements(instructions(spark, sf_dir)).select("doc_id", "requirement_id", "category", F.array_join(F.array_sort("section_kinds"), ",").alias("kinds"))
 
 
 @query(
     f"""
-WITH {SECTIONS}, wanted AS ({_requirements_sql()}), present AS (SELECT DISTINCT doc_id, kind FROM sections),
-each_kind AS (SELECT doc_id, requirement_id, category, unnest(kinds) AS kind FROM wanted)
-SELECT e.doc_id, e.requirement_id, e.category, CASE WHEN count(*) FILTER (p.kind IS NULL) = 0 THEN 'satisfied' ELSE 'missing' END AS status,
-  coalesce(string_agg(e.kind, ',' ORDER BY e.kind) FILTER (p.kind IS NULL), '') AS missing
-FROM each_kind e LEFT JOIN present p ON e.doc_id = p.doc_id AND e.kind = p.kind GROUP BY ALL
+WITH {SECTIONS}, {_ASKED}, hits AS ({_requirements_sql()}), wanted AS (SELECT doc_id, requirement_id, arg_min(category, rule) AS category, list_distinct(flatten(list(kinds))) AS kinds FROM hits GROUP BY doc_id, requirement_id),
+present AS (SELECT doc_id, list(DISTINCT kind) AS have FROM sections GROUP BY doc_id),
+m AS (SELECT w.*, list_sort(list_filter(w.kinds, lambda x: NOT coalesce(list_contains(p.have, x), false))) AS missing FROM wanted w LEFT JOIN present p USING (doc_id))
+SELECT doc_id, requirement_id, category, CASE WHEN len(kinds) = 0 THEN 'recognized' WHEN len(missing) = 0 THEN 'satisfied' ELSE 'missing' END AS status, coalesce(array_to_string(missing, ','), '') AS missing FROM m
 """
 )
 def j17_requirement_coverage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("instruction"))
-    out = sections.coverage(sections.requirements(docs), sections.sections(line_blocks(spark, sf_dir)))
+    out = sections.coverage(sections.requirements(instructions(spark, sf_dir)), sections.sections(line_blocks(spark, sf_dir)))
     return out.withColumn("missing", F.array_join("missing", ","))
 
 
@@ -611,17 +666,21 @@ def ss03_sticky_states(spark, sf_dir):
 
 @query(
     """
-WITH u AS (SELECT concat_ws('-', user_id, event_id % 7) AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'canceled' WHEN 'signup' THEN 'queued' ELSE 'rendering' END AS state FROM events),
-j AS (SELECT job_id, job_id AS doc_id, CASE WHEN count(*) FILTER (state = 'canceled') > 0 THEN 'canceled' ELSE arg_max(state, seq) END AS state FROM u GROUP BY job_id)
-SELECT job_id, state, CASE WHEN right(job_id, 1) IN ('0', '1', '2') THEN 'continue' WHEN right(job_id, 1) IN ('3', '4') THEN 'restart' ELSE 'fail' END AS action FROM j WHERE state IN ('queued', 'parsing', 'translating', 'rendering')
+WITH j AS (SELECT o_orderkey AS job_id, o_custkey AS doc_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'queued' WHEN '2-HIGH' THEN 'parsing' WHEN '3-MEDIUM' THEN 'translating' WHEN '5-LOW' THEN 'rendering' ELSE 'completed' END AS state FROM orders),
+up AS (SELECT DISTINCT c_custkey AS doc_id FROM customer WHERE c_acctbal > 3000),
+have AS (SELECT c_custkey AS doc_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')), chunked AS (SELECT c_custkey AS doc_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_nationkey < 20)
+SELECT job_id, state, CASE WHEN state IN ('translating', 'rendering') AND doc_id IN (SELECT doc_id FROM have) AND doc_id IN (SELECT doc_id FROM chunked) THEN 'continue' WHEN doc_id IN (SELECT doc_id FROM up) THEN 'restart' ELSE 'fail' END AS action
+FROM j WHERE state IN ('queued', 'parsing', 'translating', 'rendering')
 """
 )
 def j25_resume_actions(spark, sf_dir):
-    j = jobs.sticky_status(updates(spark, sf_dir)).withColumn("doc_id", F.col("job_id"))
-    last = F.substring("doc_id", -1, 1)
-    docs = j.select("doc_id")
-    out = jobs.resume_actions(j, docs.where(last.isin("0", "1", "2", "3", "4")), docs.where(last.isin("0", "1", "2")).withColumn("name", F.lit("document-ir")))
-    return out.select("job_id", "state", "action")
+    p = F.col("o_orderpriority")
+    state = F.when(p == "1-URGENT", "queued").when(p == "2-HIGH", "parsing").when(p == "3-MEDIUM", "translating").when(p == "5-LOW", "rendering").otherwise("completed")
+    j = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("doc_id"), state.alias("state"))
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc_id")
+    made = lambda name, test: c.where(test).select("doc_id", F.lit(name).alias("name"))
+    artifacts = made("document-ir", "c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").unionByName(made("translation-chunks", "c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_nationkey < 20"))
+    return jobs.resume_actions(j, c.where("c_acctbal > 3000").select("doc_id"), artifacts).select("job_id", "state", "action")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS workflow_id, arg_max(event_type, event_id) AS name, count(*) AS n_steps, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY user_id")
@@ -642,9 +701,14 @@ def formula_blocks(spark, sf_dir):
     return e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), body.alias("text"), F.when(F.col("event_id") % 4 == 0, "formula").otherwise("paragraph").alias("role"))
 
 
-@query("SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 4 = 0 THEN 'display' ELSE 'inline' END AS mode, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 15 END AS start FROM events")
+#: The blocks of formula_blocks(), and what is a formula in them, told from their texts: the relation that a letter begins, up to a full stop or a word of prose.
+FORMULA_BLOCKS = """b AS (SELECT user_id AS doc_id, event_id AS pos, CASE WHEN event_id % 4 = 0 THEN 'E_' || (event_id % 9) || ' = m c^2 + ' || (event_id % 9) || ' (' || (event_id % 9) || ')' ELSE 'Here the value x_' || (event_id % 9) || '=α+' || (event_id % 9) || ' holds for all users, which is known.' END AS text FROM events),
+found AS (SELECT *, NOT regexp_matches(text, '[A-Za-z]{4,}') AS whole, regexp_extract(text, '[A-Za-zα-ωΑ-Ω][A-Za-z0-9_]*\\s*=\\s*[A-Za-z0-9α-ωΑ-Ω_+]+') AS m FROM b)"""
+
+
+@query(f"WITH {FORMULA_BLOCKS} SELECT doc_id, pos, CASE WHEN whole THEN 'display' ELSE 'inline' END AS mode, CAST(CASE WHEN whole THEN 0 ELSE instr(text, m) - 1 END AS INTEGER) AS start, CASE WHEN whole THEN text ELSE m END AS source_text FROM found WHERE m <> ''")
 def w15_formula_candidates(spark, sf_dir):
-    return formulas.detect(formula_blocks(spark, sf_dir)).select("doc_id", "pos", "mode", "start")
+    return formulas.detect(formula_blocks(spark, sf_dir)).select("doc_id", "pos", "mode", "start", "source_text")
 
 
 @query()
@@ -652,7 +716,7 @@ def u08_recognised_formulas(spark, sf_dir):
     return formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir))).select("doc_id", "pos", "mode", "latex", "confidence", "status", "accepted")
 
 
-@query("SELECT user_id AS doc_id, count(*) FILTER (event_id % 4 <> 0) AS n_inline, count(*) FILTER (event_id % 4 = 0) AS n_display FROM events GROUP BY user_id")
+@query(f"WITH {FORMULA_BLOCKS} SELECT doc_id, count(*) FILTER (NOT whole AND m <> '') AS n_inline, count(*) FILTER (whole AND m <> '') AS n_display FROM found GROUP BY doc_id")
 def ag02_formula_summary(spark, sf_dir):
     return formulas.summary(formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir)))).select("doc_id", "n_inline", "n_display")
 

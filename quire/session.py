@@ -22,6 +22,18 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+#: Tables of less than this many bytes are left in the partitions in which they are read.
+SMALL = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """The Parquet table `name` of a data folder, by Spark's own reader (any file system)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table `name` of a data folder, by Spark's own reader (any file system).
+
+    A file of one row group is read by one task, whatever the number of cores. Where a table has fewer partitions than there are
+    cores it is dealt out over them; a table of many files or row groups is left as it is, so at scale nothing is shuffled here.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SMALL:
+        df = df.repartition(cores)
+    return df

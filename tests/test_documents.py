@@ -118,6 +118,70 @@ def test_formulas(spark):
     assert refs[0]["text_with_refs"].startswith("We set {{formula:f") and refs[2]["text_with_refs"] == "No math at all."
 
 
+def test_inline_formulas_take_their_scripts_and_end_at_prose(spark):
+    rows = ("We have @u = @x + 2 and v[i] = 3 then y = (a+b) / c_{12} where z.", "the term k = a_1 ^{n+1}) holds", "∫ f_0 + g_{ij} = 2; next", "See Fig. 2 = good", "a = b, where c = d")
+    got = formulas.inline_candidates(blocks(spark, *[("paragraph", x) for x in rows])).orderBy("pos", "n").collect()
+    found = {}
+    for r in got:
+        assert rows[r["pos"]][r["start"] : r["end"]] == r["source_text"]
+        found.setdefault(r["pos"], []).append(r["source_text"])
+    assert found[0] == ["@u = @x + 2", "v[i] = 3", "y = (a+b) / c_{12}"]
+    assert found[1] == ["k = a_1 ^{n+1})"] and found[2] == ["∫ f_0 + g_{ij} = 2"] and 3 not in found and found[4] == ["a = b", "c = d"]
+
+
+def test_text_layers_are_mended(spark):
+    cases = {
+        "a |ffl{z ffi x1 } b": "a _{x1} b",
+        "p |{ z } q": "p q",
+        "Z I R^n f": r"\int_{\mathbb{R}^{n}} f",
+        "Z f(x) = 2": r"\int f(x) = 2",
+        "I R_2 = 0": r"\mathbb{R}^{2} = 0",
+        "x 2 = y": "x2 = y",
+        "E = m c^2, where m is": "E = m c^2",
+        "A = b12.": "A = b12",
+        "k = B2.34": "k = B2",
+        "y = 3 n, dx": "y = 3",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["latex"] for r in formulas.with_latex(rows, "t").collect()}
+    assert got == cases
+
+
+def test_instructions_ask_for_requirements(spark):
+    """The ten kinds of demands: what each document kind and each keyword asks for."""
+    rows = {
+        "graduation project proposal for a supervisor": {"formal_academic_style", "supervisor_submission", "clear_title", "main_text"},
+        "thesis with cover page, abstract, keywords, table of contents, main text, references, acknowledgements": {"clear_title", "main_text", "references", "cover_page", "abstract", "keywords", "table_of_contents", "acknowledgements"},
+        "course paper, consistent citations and references": {"academic_style", "clear_title", "readable_body_text", "consistent_citations_references", "references"},
+        "lists of figures and tables": {"list_of_figures", "list_of_tables", "asset_alignment", "figure_numbering", "table_numbering", "formula_numbering"},
+        "": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, instruction string")
+    got = {}
+    for r in sections.requirements(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["requirement_id"])
+    assert [got.get(i, set()) for i in range(len(rows))] == list(rows.values())
+    two = {r["requirement_id"]: r for r in sections.requirements(spark.createDataFrame([(1, "proposal report, professional, main text")], "doc_id int, instruction string")).collect()}
+    assert two["main_text"]["section_kinds"] == ["body"] and two["formal_academic_style"]["category"] == "style"
+
+
+def test_unfinished_jobs_go_on_only_with_their_chunks(spark):
+    j = spark.createDataFrame([("a", "d1", "translating"), ("b", "d2", "translating"), ("c", "d3", "queued"), ("e", "d1", "queued"), ("f", None, "queued"), ("g", "d1", "completed")], "job_id string, doc_id string, state string")
+    up = spark.createDataFrame([("d2",)], "doc_id string")
+    art = spark.createDataFrame([("d1", "document-ir"), ("d1", "translation-chunks"), ("d2", "document-ir")], "doc_id string, name string")
+    assert {r["job_id"]: r["action"] for r in jobs.resume_actions(j, up, art).collect()} == {"a": "continue", "b": "restart", "c": "fail", "e": "fail"}
+
+
+def test_widths(spark):
+    from quire.functions import text
+
+    cases = {"aA1 ": 52 + 64 + 56 + 34, "\t": 200, "图é": 100 + 72, "ＡA": 164, "": 0, "x²": 52 + 56, "\u00a0": 34}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["w"] for r in df.select("t", text.width_hundredths(F.col("t")).alias("w")).collect()} == cases
+    lines = lambda t, w: spark.createDataFrame([(t,)], "t string").select(text.wrapped_lines(F.col("t"), F.lit(w), F.lit(10.0)).alias("n")).first()["n"]
+    assert [lines("", 50.0), lines("aaaa", 0.0), lines("a" * 20, 52.0), lines("a\n\nb\r\n", 52.0)] == [0, 1, 2, 3]
+
+
 def test_balanced(spark):
     df = spark.createDataFrame([("(a))^",), ("[x",), ("{a}}b}",), ("",)], "t string")
     assert [r["t"] for r in formulas.balanced(df, "t").collect()] == ["(a)", "[x]", "{a}b", ""]
@@ -126,9 +190,9 @@ def test_balanced(spark):
 def test_sections_and_requirements(spark):
     b = blocks(spark, ("title", "My paper"), ("heading", "References"), ("paragraph", "The method is new"))
     assert [(r["section_id"], r["kind"]) for r in sections.sections(b).orderBy("pos").collect()] == [("title_01", "title"), ("references_02", "references"), ("experiment_steps_03", "experiment_steps")]
-    want = spark.createDataFrame([("d", "with references and an appendix")], "doc_id string, instruction string")
+    want = spark.createDataFrame([("d", "with references and an abstract")], "doc_id string, instruction string")
     got = {r["requirement_id"]: r["status"] for r in sections.coverage(sections.requirements(want), sections.sections(b)).collect()}
-    assert got == {"references": "satisfied", "appendix": "missing"}
+    assert got == {"references": "satisfied", "abstract": "missing"}
 
 
 def test_log_keeps_first_of_repeats_and_the_tail(spark):
