@@ -16,7 +16,7 @@ def stable_id(prefix: Column, *parts: Column, digits: int = 12, separator: str =
 
 def block_id(page_id: Column, box: Column, text: Column) -> Column:
     """HS01: the id of a block from its page, its box in tenths (half up, this library's own rule) and its squeezed text."""
-    tenths = F.concat_ws(",", *[F.format_number(F.round(box[c], 1), "0.0") for c in ("x0", "y0", "x1", "y1")])
+    tenths = F.concat_ws(",", *[F.format_string("%.1f", F.round(box[c], 1)) for c in ("x0", "y0", "x1", "y1")])
     return stable_id(F.concat(page_id, F.lit("_b")), page_id, tenths, squeeze(text))
 
 

@@ -333,6 +333,15 @@ fold AS (
 chunked AS (SELECT f.doc_id, f.pos, f.role, f.chunk_no, l.text FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.pos = f.pos)"""
 
 
+def TRANSLATED(mark: str) -> str:  # noqa: N802
+    """SQL: the deterministic translation of `text`: a mark in front, but for texts of nothing but formula references."""
+    return rf"CASE WHEN regexp_full_match(text, '(?:\s*\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}\s*)+') THEN text ELSE '{mark}' || text END"
+
+
+#: The lines with their broken translation, as broken_plan() has it, but for those that it leaves out.
+BROKEN = f"broken AS (SELECT *, CASE WHEN pos % 11 = 5 THEN ' ' WHEN pos % 13 = 4 THEN ({TRANSLATED('[fr] ')})[1:9] ELSE {TRANSLATED('[fr] ')} END AS t FROM lines)"
+
+
 def source_blocks(spark, sf_dir):
     return chunks.source_blocks(line_blocks(spark, sf_dir), 600)
 
@@ -361,16 +370,9 @@ def w04_chunk_context(spark, sf_dir):
     return out.select("doc_id", "chunk_id", "index", "total", "n_blocks", "n_chars", F.when(tail != "", tail).alias("tail"))
 
 
-@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_no, pos, role, 'zh' AS target_lang, '【译】' || text AS translated_text, 'mock_translation' AS flag FROM chunked WHERE NOT contains(text, '=') AND NOT regexp_matches(text, '[+*/^_<>\\-\\\\]')")
+@query(f"WITH RECURSIVE {CHUNKS}, p AS (SELECT *, {TRANSLATED('【译】')} AS t FROM chunked) SELECT doc_id, chunk_no, pos, role, 'zh' AS target_lang, t AS translated_text, CASE WHEN t = text THEN 'formula_preserved_without_translation' ELSE 'mock_translation' END AS flag FROM p")
 def u01_deterministic_plan(spark, sf_dir):
-    plan = translation.deterministic(source_blocks(spark, sf_dir), "zh")
-    plain = ~F.col("translated_text").contains("=") & ~F.col("translated_text").rlike(r"[+*/^_<>\-\\]")
-    return plan.where(plain).select("doc_id", "chunk_no", "pos", "role", "target_lang", "translated_text", F.col("quality_flags")[0].alias("flag"))
-
-
-@query()
-def u01_whole_plan(spark, sf_dir):
-    """u01_deterministic_plan of all blocks, also those with signs, on which SQL cannot follow the formula rule."""
+    """A plan of all blocks. Lines have no formula role, so of the two formula rules only that for texts of references applies."""
     plan = translation.deterministic(source_blocks(spark, sf_dir), "zh")
     return plan.select("doc_id", "chunk_no", "pos", "role", "target_lang", "translated_text", F.col("quality_flags")[0].alias("flag"))
 
@@ -382,33 +384,42 @@ def broken_plan(spark, sf_dir):
     return plan.withColumn("translated_text", cut)
 
 
-@query(f"WITH {LINES} SELECT doc_id, pos, 'missing_block' AS code FROM lines WHERE pos % 17 = 3")
+@query(
+    rf"""
+WITH {LINES}, {BROKEN}, r AS (SELECT DISTINCT doc_id, pos, t, unnest(regexp_extract_all(text, '\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}')) AS ref FROM broken WHERE pos % 17 <> 3)
+SELECT doc_id, pos, 'missing_block' AS code, '' AS detail FROM lines WHERE pos % 17 = 3 UNION ALL SELECT doc_id, pos, 'missing_token', ref FROM r WHERE NOT contains(t, ref)
+"""
+)
 def j02_plan_coverage(spark, sf_dir):
-    out = translation.coverage_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
-    return out.where("code <> 'missing_token'").select("doc_id", "pos", "code")
-
-
-@query()
-def j02_all_issues(spark, sf_dir):
-    """j02_plan_coverage with all of its codes."""
+    """All issues. All tokens stand among the inline items, so only formula references can be lost; j02_lost_refs loses others too."""
     return translation.coverage_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir)).select("doc_id", "pos", "code", "detail")
 
 
 @query(
     f"""
-WITH {LINES}, p AS (SELECT *, CASE WHEN pos % 11 = 5 THEN ' ' WHEN pos % 13 = 4 THEN ('[fr] ' || text)[1:9] ELSE '[fr] ' || text END AS t FROM lines)
-SELECT doc_id, pos, CASE WHEN pos % 17 = 3 OR trim(t) = '' THEN text ELSE t END AS shown_text,
-  CASE WHEN pos % 17 = 3 THEN 'missing_translation' WHEN trim(t) = '' THEN 'empty_translation' ELSE '' END AS flags FROM p WHERE NOT contains(text, '=') AND NOT regexp_matches(text, '[+*/^_<>\\-\\\\]')
+WITH {LINES} SELECT doc_id, pos, 'missing_token' AS code, '{{{{formula:q' || (pos % 4) || '}}}}' AS detail FROM lines WHERE pos % 3 = 1
+UNION ALL SELECT doc_id, pos, 'missing_token', '[7]' FROM lines WHERE pos % 6 = 4
+UNION ALL SELECT doc_id, pos + 100000, 'unknown_block', '' FROM lines WHERE pos % 5 = 0
 """
 )
-def j01_rendered_blocks(spark, sf_dir):
-    out = translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
-    return out.join(line_blocks(spark, sf_dir).where(~F.col("text").contains("=") & ~F.col("text").rlike(r"[+*/^_<>\-\\]")).select("doc_id", "pos"), ["doc_id", "pos"], "left_semi").select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
+def j02_lost_refs(spark, sf_dir):
+    """Plans that lose a formula reference in every third block, a citation in every sixth (also from the inline items), and make up every fifth block once more."""
+    ref = F.concat(F.lit("{{formula:q"), (F.col("pos") % 4).cast("string"), F.lit("}}"))
+    src = line_blocks(spark, sf_dir).select("doc_id", F.lit(1).alias("chunk_no"), "pos", F.array(ref, F.lit("[7]")).alias("preserve_tokens"))
+    shown = F.when(F.col("pos") % 3 == 1, F.lit("nothing")).otherwise(F.concat(ref, F.lit(" kept")))
+    items = F.when(F.col("pos") % 6 == 4, F.array().cast("array<struct<kind:string,text:string>>")).otherwise(F.array(F.struct(F.lit("citation").alias("kind"), F.lit("[7]").alias("text")), F.struct(F.lit("formula").alias("kind"), ref.alias("text"))))
+    plan = src.select("doc_id", "chunk_no", "pos", shown.alias("translated_text"), items.alias("inline_items"))
+    more = plan.where("pos % 5 = 0").withColumn("pos", F.col("pos") + 100_000)
+    return translation.coverage_issues(src, plan.unionByName(more)).select("doc_id", "pos", "code", "detail")
 
 
-@query()
-def j01_all_blocks(spark, sf_dir):
-    """j01_rendered_blocks of all blocks."""
+@query(
+    f"""
+WITH {LINES}, {BROKEN}
+SELECT doc_id, pos, CASE WHEN pos % 17 = 3 OR trim(t) = '' THEN text ELSE t END AS shown_text, CASE WHEN pos % 17 = 3 THEN 'missing_translation' WHEN trim(t) = '' THEN 'empty_translation' ELSE '' END AS flags FROM broken
+"""
+)
+def j01_rendered_blocks(spark, sf_dir):
     out = translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))
     return out.select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
 

@@ -266,7 +266,7 @@ def test_whole_plans_against_brute_force(spark, tmp_path):
                 issues |= {(d, i, "missing_token", r) for r in refs if r not in fr}
                 shown.add((d, i, t, "empty_translation") if fr == " " else (d, i, fr, ""))
     rows = lambda name, *cols: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*cols).collect())
-    assert rows("u01_whole_plan", "doc_id", "pos", "translated_text", "flag") == sorted(plans)
-    assert rows("j02_all_issues", "doc_id", "pos", "code", "detail") == sorted(issues)
-    assert rows("j01_all_blocks", "doc_id", "pos", "shown_text", "flags") == sorted(shown)
+    assert rows("u01_deterministic_plan", "doc_id", "pos", "translated_text", "flag") == sorted(plans)
+    assert rows("j02_plan_coverage", "doc_id", "pos", "code", "detail") == sorted(issues)
+    assert rows("j01_rendered_blocks", "doc_id", "pos", "shown_text", "flags") == sorted(shown)
     assert {c for *_, c, _ in issues} == {"missing_block", "missing_token"} and any(f.startswith("formula") for *_, f in plans)
