@@ -424,9 +424,23 @@ def j01_rendered_blocks(spark, sf_dir):
     return out.select("doc_id", "pos", "shown_text", F.array_join("flags", ",").alias("flags"))
 
 
-@query()
+def _bare(text: str) -> str:
+    """SQL: a text without its tokens, references and numeric citations, squeezed and trimmed."""
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(list_reduce(list_prepend({text}, tokens), lambda a, b: replace(a, b, ' ')), '\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}', ' ', 'g'), '\[[0-9,\-\s;]+\]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    rf"""
+WITH {LINES}, {BROKEN}, k AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(text, '{TOKENS}', 0), lambda x: trim(x))), lambda x: {{'at': instr(text, x), 'n': -len(x), 't': x}})), lambda s: s.t) AS tokens FROM broken
+  WHERE pos % 17 <> 3 AND NOT regexp_full_match(text, '(?:\s*\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}\s*)+')),
+q AS (SELECT doc_id, pos, {_bare("text")} AS s, {_bare("t")} AS u FROM k), r AS (SELECT *, len(u) / len(s) AS ratio FROM q WHERE s <> '')
+SELECT doc_id, pos, 'translation_quality_empty' AS flag, 'severe' AS severity FROM r WHERE u = ''
+UNION ALL SELECT doc_id, pos, 'translation_quality_suspiciously_short', 'severe' FROM r WHERE u <> '' AND len(s) >= 80 AND ratio < 0.18
+UNION ALL SELECT doc_id, pos, 'translation_quality_suspiciously_long', 'warning' FROM r WHERE u <> '' AND len(s) >= 80 AND ratio > 2.8
+"""
+)
 def j19_quality_issues(spark, sf_dir):
-    return translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr")
+    return translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr").select("doc_id", "pos", "flag", "severity")
 
 
 @query(f"WITH {LINES} SELECT doc_id, arg_min(text, pos) FILTER (role = 'title') AS title, array_to_string((list(text ORDER BY pos) FILTER (role = 'heading'))[1:6], ' | ') AS headings, array_to_string((list(text ORDER BY pos) FILTER (role = 'paragraph'))[1:3], ' | ') AS paragraphs FROM lines GROUP BY doc_id".replace("array_to_string(", "coalesce(array_to_string(").replace(", ' | ')", ", ' | '), '')"))
@@ -525,7 +539,17 @@ def j10_best_asset(spark, sf_dir):
     return layout.best_asset(b.where("kind = 'text'").withColumnRenamed("item_id", "candidate_id"), b.where("kind <> 'text'").withColumnRenamed("item_id", "asset_id"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {BOXES}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY y0, x0, item_id) AS k FROM boxes WHERE kind = 'figure'),
+s AS (SELECT a.doc_id, a.page_id, a.item_id AS asset_id, a.k, c.item_id AS caption_id, greatest(0.0, c.y0 - a.y1, a.y0 - c.y1) + CASE WHEN c.y1 <= a.y0 THEN 30.0 ELSE 0.0 END + abs((a.x0 + a.x1) / 2 - (c.x0 + c.x1) / 2) * 0.05::DOUBLE AS score
+  FROM a JOIN boxes c ON c.doc_id = a.doc_id AND c.page_id = a.page_id AND c.kind = 'text' WHERE greatest(0.0, c.y0 - a.y1, a.y0 - c.y1) <= 90),
+o AS (SELECT a.doc_id, a.page_id, a.item_id AS asset_id, a.k, list({{'score': s.score, 'caption': s.caption_id}} ORDER BY s.score, s.caption_id) FILTER (s.caption_id IS NOT NULL) AS near FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.page_id = a.page_id AND s.asset_id = a.item_id GROUP BY ALL),
+f AS (SELECT doc_id, page_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS asset_id, CAST(NULL AS STRUCT(score DOUBLE, caption VARCHAR)) AS pick, CAST([] AS VARCHAR[]) AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.page_id, o.k, o.asset_id, list_filter(o.near, lambda x: NOT list_contains(f.used, x.caption))[1], list_append(f.used, coalesce(list_filter(o.near, lambda x: NOT list_contains(f.used, x.caption))[1].caption, '')) FROM f JOIN o ON o.doc_id = f.doc_id AND o.page_id = f.page_id AND o.k = f.k + 1)
+SELECT doc_id, page_id, asset_id, pick.caption AS caption_id, pick.score AS score FROM f WHERE pick IS NOT NULL
+"""
+)
 def j11_caption_pairs(spark, sf_dir):
     b = boxes(spark, sf_dir)
     return layout.caption_pairs(b.where("kind = 'text'").withColumnRenamed("item_id", "caption_id"), b.where("kind = 'figure'").withColumnRenamed("item_id", "asset_id"))
@@ -732,7 +756,12 @@ def ag02_formula_summary(spark, sf_dir):
     return formulas.summary(formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir)))).select("doc_id", "n_inline", "n_display")
 
 
-@query()
+@query(
+    f"""
+WITH {FORMULA_BLOCKS}, r AS (SELECT *, '{{{{formula:f' || substr(sha1(concat_ws('|', doc_id, pos, CASE WHEN whole THEN 0 ELSE 1 END, CASE WHEN whole THEN text ELSE m END)), 1, 12) || '}}}}' AS ref FROM found)
+SELECT doc_id, pos, CASE WHEN m = '' THEN text WHEN whole THEN ref ELSE replace(text, m, ref) END AS text_with_refs FROM r
+"""
+)
 def ar01_texts_with_refs(spark, sf_dir):
     b = formula_blocks(spark, sf_dir)
     return formulas.with_refs(b, formulas.recognise(formulas.detect(b))).select("doc_id", "pos", "text_with_refs")

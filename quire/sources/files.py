@@ -62,7 +62,7 @@ def read_jobs(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
 
 def data_url(mime, content):
     """IO23: bytes as a data URL."""
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))  # Spark may break base64 into lines
 
 
 def input_summary(sources: DataFrame, blocks: DataFrame, assets: DataFrame) -> DataFrame:
