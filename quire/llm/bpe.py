@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from quire.llm.common import commonest, map_texts, slices, store
 
 #: Most words that are merged once for the corpus and broadcast, and rarer words whose ids a task remembers.
-TABLE, CACHE = 150_000, 200_000
+TABLE, CACHE = 120_000, 60_000
 #: Bytes of text that a task works on at once, and bytes of words that are merged together.
-SLICE, TOGETHER = 4 << 20, 1 << 20
+SLICE, TOGETHER = 2 << 20, 1 << 20
 #: Bytes of the longest pieces that are merged in waves; and the rank of a pair that doesn't merge.
 SHORT, NEVER = 48, (1 << 31) - 1
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
+FLUSH = 200_000
 OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
 
