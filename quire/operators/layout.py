@@ -195,14 +195,6 @@ def bands(items: DataFrame, tolerance: float = 10.0) -> DataFrame:
     return items.withColumn("_new", new).withColumn("band", F.sum("_new").over(page.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def split_pages(rows: DataFrame, page_lines: int) -> DataFrame:
-    """Texts (`doc_id`, `pos`, `text`) cut into fragments of at most `page_lines` lines: `fragment` from 0, `text`."""
-    lines = F.split("text", "\n", -1)
-    n = F.greatest(F.lit(1), F.ceil(F.size(lines) / page_lines)).cast("int")
-    part = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(lines, i * page_lines + 1, page_lines), "\n"))
-    return rows.select("doc_id", "pos", F.posexplode(part).alias("fragment", "text"))
-
-
 def intent_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Blocks whose render intent differs, or that only one side has."""
     side = lambda df, n: df.select("doc_id", "block_id", F.col("render_intent").alias(n))
