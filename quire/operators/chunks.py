@@ -46,10 +46,16 @@ def assign_chunks(blocks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
 
 def nearby_titles(blocks: DataFrame, most: int = 2) -> DataFrame:
-    """Adds `nearby_titles`, the last `most` titles or headings before a block, in order."""
+    """Adds `nearby_titles`, the last `most` titles or headings before a block, in order.
+
+    A title carries the titles before it, one more with each of `most` windows, so a block never holds more than `most`.
+    """
     before = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    titles = F.collect_list(F.when(F.col("role").isin(*HEADINGS) & (F.col("text") != ""), F.col("text"))).over(before)
-    return blocks.withColumn("nearby_titles", F.slice(titles, F.greatest(F.size(titles) - most + 1, F.lit(1)), most))
+    own = F.when(F.col("role").isin(*HEADINGS) & (F.col("text") != ""), F.array("text"))
+    out = blocks.withColumn("nearby_titles", F.last(own, ignorenulls=True).over(before))
+    for _ in range(most - 1):
+        out = out.withColumn("nearby_titles", F.last(F.when(own.isNotNull(), F.concat(F.coalesce("nearby_titles", F.array().cast("array<string>")), own)), ignorenulls=True).over(before))
+    return out.withColumn("nearby_titles", F.coalesce("nearby_titles", F.array().cast("array<string>")))
 
 
 def source_blocks(blocks: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -11,8 +11,8 @@ from quire.functions.predicates import chinese_target, render_intent, reviewable
 from quire.functions.text import remove_tokens, token_kind
 
 
-def deterministic(sources: DataFrame, lang: str) -> DataFrame:
-    """A plan row per source block: `translated_text`, `inline_items`, `render_intent`, `quality_flags`.
+def deterministic(sources: DataFrame, lang: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A plan row per source block: `translated_text`, `inline_items`, `render_intent`, `quality_flags`, and the columns of `carry`.
 
     Text to translate gets a mark of the language in front; other text is copied.
     """
@@ -29,6 +29,7 @@ def deterministic(sources: DataFrame, lang: str) -> DataFrame:
         items.alias("inline_items"),
         render_intent(F.col("role")).alias("render_intent"),
         F.array(F.when(wanted, "mock_translation").otherwise("formula_preserved_without_translation")).alias("quality_flags"),
+        *carry,
     )
 
 
@@ -56,6 +57,18 @@ def translate(sources: DataFrame, lang: str, model: Callable[[list[str]], list[s
     return joined.withColumn("translated_text", F.coalesce("_text", "translated_text")).withColumn("quality_flags", F.coalesce("_flags", "quality_flags")).drop("_text", "_flags")
 
 
+def lost_tokens(tokens: Column, translated: Column, items: Column) -> Column:
+    """Tokens that a plan row loses: neither in the translation nor among the inline items; a formula reference must be in the translation."""
+    names = F.transform(items, lambda i: i["text"])
+    return F.filter(tokens, lambda t: ~translated.contains(t) & (t.startswith("{{formula:") | ~F.array_contains(names, t)))
+
+
+def self_checked(sources: DataFrame, lang: str) -> DataFrame:
+    """The deterministic plan with what each row has `lost` of its source's tokens; it has a row for each source block and no other."""
+    plan = deterministic(sources, lang, ("preserve_tokens",))
+    return plan.withColumn("lost", lost_tokens(F.col("preserve_tokens"), F.col("translated_text"), F.col("inline_items")))
+
+
 def coverage_issues(sources: DataFrame, plan: DataFrame) -> DataFrame:
     """`doc_id`, `chunk_no`, `pos`, `code`, `detail`: blocks that the plan lacks or makes up, and tokens that it loses.
 
@@ -65,9 +78,7 @@ def coverage_issues(sources: DataFrame, plan: DataFrame) -> DataFrame:
     missing = sources.join(plan, keys, "left_anti").select(*keys, F.lit("missing_block").alias("code"), F.lit("").alias("detail"))
     unknown = plan.join(sources, keys, "left_anti").select(*keys, F.lit("unknown_block").alias("code"), F.lit("").alias("detail"))
     both = sources.select(*keys, "preserve_tokens").join(plan.select(*keys, "translated_text", "inline_items"), keys)
-    items = F.transform("inline_items", lambda i: i["text"])
-    lost = F.filter("preserve_tokens", lambda t: ~F.col("translated_text").contains(t) & (t.startswith("{{formula:") | ~F.array_contains(items, t)))
-    tokens = both.select(*keys, F.explode(lost).alias("detail")).select(*keys, F.lit("missing_token").alias("code"), "detail")
+    tokens = both.select(*keys, F.explode(lost_tokens(F.col("preserve_tokens"), F.col("translated_text"), F.col("inline_items"))).alias("detail")).select(*keys, F.lit("missing_token").alias("code"), "detail")
     return missing.unionByName(unknown).unionByName(tokens)
 
 
@@ -87,9 +98,13 @@ def quality_issues(sources: DataFrame, plan: DataFrame, lang: str, terms: DataFr
     out = both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.flag", "x.severity")
     if terms is None:
         return out
-    useful = terms.where((F.trim("source_term") != "") & (F.trim("target_term") != "") & (F.lower(F.trim("source_term")) != F.lower(F.trim("target_term"))))
-    # A glossary is a short list, but not one of proven size: Spark broadcasts it if it is below its threshold.
-    hits = both.join(useful, F.lower("text").contains(F.lower("source_term")) & ~F.lower("translated_text").contains(F.lower("target_term")))
+    pair = terms.select(F.lower(F.trim("source_term")).alias("_from"), F.lower(F.trim("target_term")).alias("_to")).where((F.col("_from") != "") & (F.col("_to") != "") & (F.col("_from") != F.col("_to"))).distinct()
+    # A term is looked up by its first three characters (or all, if it is shorter) among those of the block, so a glossary of any length needs no pairs of blocks and terms.
+    low = F.lower("text")
+    grams = F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
+    near = both.select(*keys, F.explode(grams).alias("_key")).join(pair.withColumn("_key", F.substring("_from", 1, 3)), "_key").drop("_key")
+    texts = both.select(*keys, low.alias("_low"), F.lower("translated_text").alias("_shown"))
+    hits = near.join(texts, keys).where(F.col("_low").contains(F.col("_from")) & ~F.col("_shown").contains(F.col("_to")))
     return out.unionByName(hits.select(*keys, F.lit("translation_quality_missing_key_term").alias("flag"), F.lit("severe").alias("severity")).distinct())
 
 

@@ -443,6 +443,23 @@ def j19_quality_issues(spark, sf_dir):
     return translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr").select("doc_id", "pos", "flag", "severity")
 
 
+#: A glossary: source terms and what they are to become in French.
+TERMS = (("the", "le"), ("and", "et"), ("tion", "cion"), ("Er", "ER"), ("x y", "y x"), ("a", "à"), ("zz top", "haut"))
+
+
+@query(
+    rf"""
+WITH {LINES}, {BROKEN}, g AS (SELECT unnest([{", ".join(f"{{'s': '{a.lower()}', 't': '{b.lower()}'}}" for a, b in TERMS)}]) AS g), k AS (SELECT doc_id, pos, text, t, list_transform(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(text, '{TOKENS}', 0), lambda x: trim(x))), lambda x: {{'at': instr(text, x), 'n': -len(x), 't': x}})), lambda s: s.t) AS tokens FROM broken
+  WHERE pos % 17 <> 3 AND NOT regexp_full_match(text, '(?:\s*\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}\s*)+')), q AS (SELECT * FROM k WHERE {_bare("text")} <> '')
+SELECT DISTINCT doc_id, pos FROM q, g WHERE g.s <> g.t AND contains(lower(text), g.s) AND NOT contains(lower(t), g.t)
+"""
+)
+def j19_u04_key_terms(spark, sf_dir):
+    terms = spark.createDataFrame(list(TERMS), "source_term string, target_term string")
+    out = translation.quality_issues(source_blocks(spark, sf_dir), broken_plan(spark, sf_dir), "fr", terms)
+    return out.where("flag = 'translation_quality_missing_key_term'").select("doc_id", "pos")
+
+
 @query(f"WITH {LINES} SELECT doc_id, arg_min(text, pos) FILTER (role = 'title') AS title, array_to_string((list(text ORDER BY pos) FILTER (role = 'heading'))[1:6], ' | ') AS headings, array_to_string((list(text ORDER BY pos) FILTER (role = 'paragraph'))[1:3], ' | ') AS paragraphs FROM lines GROUP BY doc_id".replace("array_to_string(", "coalesce(array_to_string(").replace(", ' | ')", ", ' | '), '')"))
 def ag20_brief(spark, sf_dir):
     return translation.brief(line_blocks(spark, sf_dir)).select("doc_id", "title", F.array_join("headings", " | ").alias("headings"), F.array_join("paragraphs", " | ").alias("paragraphs"))
@@ -450,11 +467,12 @@ def ag20_brief(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(max(chunk_no) AS INTEGER) AS n_chunks, count(*) AS n_blocks, CAST(0 AS BIGINT) AS n_issues FROM chunked GROUP BY doc_id")
 def plan_report(spark, sf_dir):
-    """The smallest whole path: texts, blocks, chunks, a plan, its check, a report per document."""
-    sources = source_blocks(spark, sf_dir)
-    issues = translation.coverage_issues(sources, translation.deterministic(sources, "zh")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_issues"))
-    counts = sources.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"))
-    return counts.join(issues, "doc_id", "left").select("doc_id", "n_chunks", "n_blocks", F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"))
+    """The smallest whole path: texts, blocks, chunks, a plan, its check, a report per document.
+
+    The plan of a block is a function of the block, so the check is too: one pass over the blocks, without a join.
+    """
+    plan = translation.self_checked(source_blocks(spark, sf_dir), "zh")
+    return plan.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"), F.sum(F.size("lost")).cast("long").alias("n_issues"))
 
 
 @query()
@@ -515,10 +533,11 @@ def j12_overlaps(spark, sf_dir):
     return layout.overlaps(boxes(spark, sf_dir))
 
 
-@query(f"WITH {BOXES} SELECT b.doc_id, b.page_id, b.item_id FROM boxes b JOIN pages_ p USING (doc_id, page_id) WHERE b.x1 > 560.01 OR b.y1 > 700.01 OR b.x0 < -0.01 OR b.y0 < -0.01")
+@query(f"WITH {BOXES} SELECT b.doc_id, b.page_id, b.item_id FROM boxes b JOIN pages_ p USING (doc_id, page_id) WHERE b.x1 > 440.01 OR b.y1 > 600.01 OR b.x0 < -0.01 OR b.y0 < -0.01")
 def j12_outside_page(spark, sf_dir):
-    items = boxes(spark, sf_dir)
-    return layout.outside_page(items, box_pages(spark, sf_dir))
+    """Boxes that pass the edges of smaller pages, of 440 x 600 points."""
+    pages = box_pages(spark, sf_dir).withColumns({"width": F.lit(440.0), "height": F.lit(600.0)})
+    return layout.outside_page(boxes(spark, sf_dir), pages)
 
 
 NEAR = "greatest(0.0, b.y0 - a.y1, a.y0 - b.y1) <= 90 AND greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / greatest(1.0, least(a.x1 - a.x0, b.x1 - b.x0)) >= 0.35"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.predicates import text_role
@@ -36,19 +37,22 @@ def virtual_pages(blocks: DataFrame, page: dict = PAGE) -> DataFrame:
     """IO06: adds `page_no` int from 1, `y0`, `y1` double to blocks (`doc_id`, `pos`, `text`, `role`).
 
     A cursor runs down the page; a block that would pass the bottom margin begins a new page, unless the page is
-    empty. The break depends on all before it, so it is an ordered fold over a document's blocks.
+    empty. The break depends on all before it, so it is an ordered fold over the heights of a document's blocks, which keeps
+    the starts of pages only; places on a page are running sums.
     """
     top, bottom, gap = page["margin"], page["height"] - page["margin"], page["gap"]
     rows = blocks.withColumn("h", block_height(F.col("text"), F.col("role"), page["font"], page["width"] - 2 * page["margin"]))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "role", "h"))).alias("b"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(0).alias("n"), F.lit(top).alias("y"), F.array().cast("array<struct<page:int,y:double>>").alias("out"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("b"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(top).alias("y"), F.array().cast("array<int>").alias("starts"))
 
     def place(acc, b):
-        turn = (acc["n"] > 0) & (acc["y"] + b["h"] > bottom)
-        at, no = F.when(turn, top).otherwise(acc["y"]), F.when(turn, acc["page"] + 1).otherwise(acc["page"])
-        here = F.struct(no.alias("page"), at.alias("y"))
-        return F.struct(no.alias("page"), F.when(turn, 1).otherwise(acc["n"] + 1).alias("n"), (at + b["h"] + gap).alias("y"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    placed = docs.withColumn("p", F.aggregate("b", start, place, lambda a: a["out"]))
-    each = placed.select("doc_id", F.explode(F.arrays_zip("b", "p")).alias("x"))
-    return each.select("doc_id", "x.b.pos", "x.b.text", "x.b.role", F.col("x.p.page").alias("page_no"), F.col("x.p.y").alias("y0"), F.least(F.lit(bottom), F.col("x.p.y") + F.col("x.b.h")).alias("y1"))
+        turn = (acc["n"] == 0) | (acc["y"] + b["h"] > bottom)
+        return F.struct((acc["n"] + 1).alias("n"), (F.when(turn, top).otherwise(acc["y"]) + b["h"] + gap).alias("y"), F.when(turn, F.concat(acc["starts"], F.array(b["pos"].cast("int")))).otherwise(acc["starts"]).alias("starts"))
+
+    folded = docs.select("doc_id", F.aggregate("b", start, place, lambda a: a["starts"]).alias("starts"))
+    turns = folded.select("doc_id", F.explode("starts").alias("pos"), F.lit(1).alias("_turn"))
+    by_doc = W.partitionBy("doc_id").orderBy("pos")
+    paged = rows.join(turns, ["doc_id", "pos"], "left").withColumn("page_no", F.count("_turn").over(by_doc.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    before = F.sum(F.col("h") + gap).over(W.partitionBy("doc_id", "page_no").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    placed = paged.withColumn("y0", F.lit(top) + F.coalesce(before, F.lit(0.0)))
+    return placed.select("doc_id", "pos", "text", "role", "page_no", "y0", F.least(F.lit(bottom), F.col("y0") + F.col("h")).alias("y1"))
