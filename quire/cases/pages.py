@@ -109,7 +109,7 @@ def js03_repaired_plans(spark, sf_dir):
 
 @query(
     """
-WITH c AS (SELECT user_id AS doc_id, count(*) AS candidate_count, count(*) FILTER (event_id % 3 = 0) AS crop_count, round_even(sum(event_id % 8 * 0.25), 2) AS text_ms, count(*) FILTER (event_type = 'click') AS cache_hit_count,
+WITH c AS (SELECT user_id AS doc_id, count(*) AS candidate_count, count(*) FILTER (event_id % 3 = 0) AS crop_count, CAST(round_even(sum(event_id % 8 * 0.25), 2) AS DOUBLE) AS text_ms, count(*) FILTER (event_type = 'click') AS cache_hit_count,
   count(*) FILTER (event_type IN ('view', 'error')) AS visual_attempt_count, count(*) FILTER (event_id % 5 = 0) AS skipped_visual_count, round_even(sum(CASE WHEN event_type = 'view' THEN event_id % 4 * 0.5 END), 2) AS view_ms FROM events GROUP BY user_id)
 SELECT doc_id, candidate_count, crop_count, text_ms, cache_hit_count, visual_attempt_count, skipped_visual_count, CAST(view_ms AS DOUBLE) AS view_ms FROM c
 """
@@ -183,3 +183,132 @@ def io25_layered_config(spark, sf_dir):
     layer = lambda rows, value: rows.select("name", F.lit(value).alias("value"))
     blank = e.where("name = 'error'").select("name", F.lit(None).cast("string").alias("value"))
     return styles.layered({"defaults": layer(e, "default"), "environment": layer(e.where("name IN ('view', 'click')"), "env"), "persisted": layer(e.where("name = 'click'"), "stored").unionByName(blank)})
+
+
+def written(spark):
+    """A function that writes a table into the folder of spark.checkpoint.dir and reads it back; where the whole of Spark is one local process without such a folder, it keeps it in memory."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+
+    def write(df, name):
+        if not folder:
+            return df.cache()
+        path = f"{folder.rstrip('/')}/quire-workflow-{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return write
+
+
+# --- formulas of blocks, layout items, workflows ---------------------------------------------------------
+
+LAYERS = Options("E = m c^2 + k (3)", "x_3=α+3", "ends with = Ω (A1)", "β ≤ γ and more prose", "", "@u = @x (2)")
+
+
+@query("WITH " + LAYERS.sql() + r""", c AS (SELECT event_id, regexp_replace(text, '\s+and more prose$', '') AS c FROM t WHERE true),
+n AS (SELECT event_id, CASE WHEN c LIKE 'ends with%' THEN 'ends' ELSE c END AS c, CASE WHEN c LIKE 'ends with%' THEN '' ELSE regexp_extract(c, '\(([A-Za-z]?\d+)\)$', 1) END AS number FROM c),
+s AS (SELECT *, CASE WHEN c = '@u = @x (2)' THEN '\partial u / \partial x' ELSE trim(regexp_replace(replace(replace(replace(replace(regexp_replace(c, '\s*\([A-Za-z]?\d+\)$', ''), 'α', ' \alpha '), 'β', ' \beta '), '≤', ' \le '), 'γ', ' \gamma '), '\s+', ' ', 'g')) END AS l FROM n)
+SELECT event_id, CASE WHEN c = '' THEN '' WHEN number <> '' THEN l || ' \tag{' || number || '}' ELSE l END AS latex, CASE c WHEN '' THEN 'empty' WHEN 'ends' THEN 'not_math' ELSE 'accepted' END AS status FROM s""")
+def st09_st31_latex(spark, sf_dir):
+    from quire.operators import formulas
+
+    rows = LAYERS.rows(spark, sf_dir).withColumn("mode", F.lit("inline"))
+    out = formulas.with_acceptance(formulas.with_latex(rows, "text"), "latex", "text", "mode")
+    return out.select("event_id", "latex", F.col("verdict.status").alias("status"))
+
+
+SUFFIXED = Options("so k = a_1 ^{n+1}) holds", "so v[i] = 3_{j} now", "∫ f_0 dx", "plain", "w = q")
+
+
+@query("WITH " + SUFFIXED.sql() + r" SELECT event_id AS pos, regexp_extract(text, '(k = a_1 \^\{n\+1\}\)|v\[i\] = 3_|∫ f_0|w = q)') AS source_text, CAST(instr(text, regexp_extract(text, '(k = a_1 \^\{n\+1\}\)|v\[i\] = 3_|∫ f_0|w = q)')) - 1 AS INTEGER) AS start FROM t WHERE text <> 'plain'")
+def st16_ar01_scripts_after(spark, sf_dir):
+    from quire.operators import formulas
+
+    rows = SUFFIXED.rows(spark, sf_dir).select(F.lit("d").alias("doc_id"), F.col("event_id").alias("pos"), "text")
+    return formulas.inline_candidates(rows).select("pos", "source_text", "start")
+
+
+SHORT = Options("AB-1234", "x_1 = 2", "re-use", "a-b", "see doi 10", "∞ values", "abc", "x^2")
+
+
+@query("WITH " + SHORT.sql() + r" SELECT event_id, regexp_matches(text, '^[A-Za-z]{1,3}-\d{3,}$|^[A-Za-z]{1,2}-[A-Za-z]{3,}$|^[A-Za-z]{3,}-[A-Za-z]{2,}$|^∞\s*[A-Za-z]{3,}$') AS false_positive, text IN ('x_1 = 2', 'a-b', 'x^2') AS formula FROM t")
+def pf08_inline_guards(spark, sf_dir):
+    from quire.operators import formulas
+
+    return SHORT.rows(spark, sf_dir).select("event_id", formulas.inline_false_positive(F.col("text")).alias("false_positive"), formulas.inline_formula(F.col("text")).alias("formula"))
+
+
+PARTS = Options("{{formula:a}}", "x = 1", "the long words of prose go on", "a", "(b)", "Σ+1", "", "k 2 l")
+
+
+@query("WITH " + PARTS.sql() + r" SELECT event_id, event_id % 5 <> 0 AND event_id % 3 <> 0 AND text <> '' AND NOT (text = '{{formula:a}}' AND event_id % 2 = 0 AND event_id % 7 = 0) AND (event_id % 11 = 0 OR text IN ('{{formula:a}}', 'x = 1', '(b)', 'Σ+1')) AS part FROM t")
+def pf10_cluster_parts(spark, sf_dir):
+    from quire.functions.fence import fenced
+    from quire.operators import formulas
+
+    n = F.col("event_id")
+    role, height = F.when(n % 5 == 0, "heading").otherwise("paragraph"), F.when(n % 3 == 0, 90.0).otherwise(12.0)
+    alone = (F.col("text") == "{{formula:a}}") & (n % 14 == 0)
+    steps = formulas.cluster_steps(F.col("text"), role, height, F.when(n % 11 == 0, "f"), alone, "_c")
+    return fenced(PARTS.rows(spark, sf_dir), *steps).select("event_id", F.col("_c").alias("part"))
+
+
+@query("SELECT l_orderkey AS o, l_linenumber AS l, l_partkey AS p, l_suppkey AS s, CAST(700 - (y0 + 30) AS DOUBLE) AS top, CASE WHEN least(x0 + 40, 250) > greatest(x0, 100) AND least(y0 + 30, 300) > greatest(y0, 150) THEN greatest(0, x0 - 100) END::DOUBLE AS local_x0, least(x0 + 40, 250) > greatest(x0, 100) AND least(y0 + 30, 300) > greatest(y0, 150) AS touching FROM (SELECT *, l_partkey % 400 AS x0, l_suppkey % 600 AS y0 FROM lineitem)")
+def gm05_transforms(spark, sf_dir):
+    from quire.functions import geometry as g
+
+    box = lambda x0, y0, x1, y1: F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
+    x, y = F.col("l_partkey") % 400, F.col("l_suppkey") % 600
+    b, source = box(x, y, x + 40, y + 30), box(F.lit(100), F.lit(150), F.lit(250), F.lit(300))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), g.from_bottom(b, F.lit(700.0))["y0"].alias("top"), g.local(b, source)["x0"].alias("local_x0"), (g.intersection(b, source) > 0).alias("touching"))
+
+
+def layouts(spark, sf_dir):
+    """Orders as pages of layout JSON: an item per line, some of them twice, with two spans each."""
+    from quire.sources import layout_json
+
+    n = F.col("l_linenumber")
+    span = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("content"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("latex"), F.lit(None).cast("array<double>").alias("bbox"))
+    box = F.array(F.lit(10.0), (n * 20).cast("double"), F.lit(200.0), (n * 20 + 15).cast("double"))
+    kind = F.when(n == 1, "title").when(n % 3 == 0, "interline_equation").when(n == 5, "header").otherwise("text")
+    none = F.lit(None).cast("string")
+    item = F.struct(kind.alias("type"), ((10 - n) * 100_000 + F.col("l_partkey")).cast("int").alias("index"), box.alias("bbox"), none.alias("text"), none.alias("content"), none.alias("html"), none.alias("table_body"), none.alias("img_path"), F.array(F.struct(box.alias("bbox"), F.array(span("text", F.concat(F.lit("part "), F.col("l_partkey").cast("string"))), span("inline_equation", F.lit("x=1"))).alias("spans"))).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber"), item.alias("item")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))).alias("i"))
+    items = F.transform("i", lambda x: x["item"])
+    other = F.array().cast(f"array<{layout_json.ITEM}>")
+    page = F.struct(F.lit(0).alias("page_idx"), F.array(F.lit(612.0), F.lit(792.0)).alias("page_size"), items.alias("para_blocks"), F.slice(items, 1, 2).alias("images"), other.alias("tables"), other.alias("interline_equations"), F.slice(items, 1, 1).alias("discarded_blocks"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.array(page).alias("pages"))
+
+
+@query(
+    """
+WITH i AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS n, l_partkey AS p, 'part ' || l_partkey || ' x=1' AS text FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (10 - n) * 100000 + p) - 1 AS pos FROM i)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN n = 1 THEN 'heading' WHEN n % 3 = 0 THEN 'formula' ELSE 'paragraph' END AS role, text, n * 20.0::DOUBLE AS y0 FROM o WHERE n <> 5
+"""
+)
+def io02_io03_io04_io20_layout_blocks(spark, sf_dir):
+    """Blocks of layout items, each with a number of its own for its place."""
+    from quire.sources import layout_json
+
+    return layout_json.blocks(layouts(spark, sf_dir)).select("doc_id", "pos", "role", "text", F.col("box.y0").alias("y0"))
+
+
+@query(
+    """
+WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 10 = 0 THEN 'read' WHEN o_orderkey % 10 = 1 THEN 'validate' END AS breaks, o_custkey % 4 AS repairs, o_custkey % 2 = 0 AS translates FROM orders)
+SELECT doc_id, CAST(CASE WHEN breaks IS NULL THEN least(repairs, 2) ELSE 0 END AS INTEGER) AS attempt, CASE breaks WHEN 'read' THEN 1 WHEN 'validate' THEN 6 ELSE 10 + 4 * least(repairs, 2) END AS n_steps, CASE breaks WHEN 'read' THEN 'read_input' WHEN 'validate' THEN 'fail' ELSE 'complete' END AS last_node FROM d
+"""
+)
+def ss04_ss05_workflows(spark, sf_dir):
+    """Orders as documents: some fail at once, some in validation, the others want none to three repairs, of which two are made."""
+    from quire.plans import workflow
+
+    n = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(n.alias("doc_id"), F.when(n % 10 == 0, "read").when(n % 10 == 1, "validate").alias("breaks"), (F.col("o_custkey") % 4).cast("int").alias("repairs"), (F.col("o_custkey") % 2 == 0).alias("translates"))
+    fails = lambda name: lambda rows: rows.withColumn("error", F.when(F.col("breaks") == name, "broken").otherwise(F.col("error")))
+    planned = lambda rows: rows.withColumn("has_plans", F.lit(True))
+    nodes = {"read_input": fails("read"), "validate_layout_plan": fails("validate"), "build_source_plans": planned, "translate_chunks": planned, "evaluate_render": lambda rows: rows.withColumn("repair_recommended", F.col("attempt") < F.col("repairs"))}
+    final, steps = workflow.run(docs, nodes, written(spark))
+    last = steps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_steps"), F.max_by("node", "step").alias("last_node"))
+    return final.select("doc_id", "attempt").join(last, "doc_id")

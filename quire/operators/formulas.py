@@ -334,3 +334,25 @@ def raw_tex(texts: DataFrame) -> DataFrame:
     """J29, ST28: TeX that stands bare in a text (`doc_id`, `pos`, `text`): delimited by dollars or brackets."""
     pattern = r"\$\$[^$]+\$\$|\$[^$\n]+\$|\\\([^)]*\\\)|\\\[[^\]]*\\\]"
     return texts.select("doc_id", "pos", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("n", "tex"))
+
+
+# Limits of blocks that may be parts of one formula, what may stand between their letters and digits, and roles that are never such parts.
+CLUSTER_LENGTH, CLUSTER_WORDS, CLUSTER_HEIGHT = 96, 3, (7.0, 72.0)
+NO_CLUSTER = ("title", "heading", "footnote", "reference")
+
+
+def cluster_steps(text: Column, role: Column, height: Column, formula_id: Column, independent: Column, to: str) -> list[tuple[str, Column]]:
+    """PF10: steps for fenced() that tell in `to` whether a block may be a part of a formula that is spread over blocks.
+
+    It has a fitting role, height and length, is no reference to a formula of its own (`independent`), and has a formula's id, is a reference, or looks like a formula
+    with three words of three letters at the most.
+    """
+    stripped = F.trim(text)
+    bare = t.squeeze(F.regexp_replace(t.repair(stripped), t.FORMULA_REF, " "))
+    words = F.regexp_count(F.col(f"{to}_bare"), F.lit(r"(?<!\\)\b[A-Za-z]{3,}\b"))
+    prose_words = F.regexp_count(t.repair(stripped), F.lit(r"(?<!\\)\b[A-Za-z]{3,}\b"))
+    compact = F.replace(F.col(f"{to}_bare"), F.lit(" "), F.lit(""))
+    joined = compact.rlike(r"(?U)^[\p{L}\p{N}=+\-−×·()\[\]{}/*^_.,']+$") & compact.rlike(r"[=+\-−×·()\[\]{}]")
+    like = (F.length(stripped) <= CLUSTER_LENGTH) & ~(p.prose(stripped) & (prose_words > CLUSTER_WORDS)) & ((F.col(f"{to}_bare") == "") | ((words <= CLUSTER_WORDS) & (F.col(f"{to}_like") | joined)))
+    fits = ~role.isin(*NO_CLUSTER) & (stripped != "") & height.between(*CLUSTER_HEIGHT) & (F.length(stripped) <= CLUSTER_LENGTH) & ~independent
+    return [(f"{to}_bare", bare), *formula_steps(F.col(f"{to}_bare"), f"{to}_like"), (to, fits & (formula_id.isNotNull() | stripped.rlike(f"^{t.FORMULA_REF}$") | like))]

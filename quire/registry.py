@@ -475,7 +475,7 @@ def plan_report(spark, sf_dir):
     return plan.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"), F.sum(F.size("lost")).cast("long").alias("n_issues"))
 
 
-@query()
+@query(f"WITH {LINES}, {BROKEN}, p AS (SELECT *, CASE WHEN pos % 17 = 3 OR trim(t) = '' THEN text ELSE t END AS u FROM broken), e AS (SELECT doc_id, CASE role WHEN 'title' THEN 9 WHEN 'heading' THEN 9 ELSE 7 END + len(replace(replace(replace(u, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n FROM p) SELECT doc_id, CAST(16 + sum(n) + count(*) - 1 AS INTEGER) AS n FROM e GROUP BY doc_id")
 def io21_html(spark, sf_dir):
     return html_pages(translation.rendered(line_blocks(spark, sf_dir), broken_plan(spark, sf_dir))).select("doc_id", F.length("html").alias("n"))
 
@@ -765,7 +765,11 @@ def w15_formula_candidates(spark, sf_dir):
     return formulas.detect(formula_blocks(spark, sf_dir)).select("doc_id", "pos", "mode", "start", "source_text")
 
 
-@query()
+@query(
+    f"""
+WITH {FORMULA_BLOCKS} SELECT doc_id, pos, CASE WHEN whole THEN 'display' ELSE 'inline' END AS mode, CASE WHEN whole THEN regexp_replace(text, ' \\((\\d)\\)$', ' \\\\tag{{\\1}}') ELSE replace(m, 'α', ' \\alpha ') END AS latex, 0.96::DOUBLE AS confidence, 'accepted' AS status, true AS accepted FROM found WHERE m <> ''
+"""
+)
 def u08_recognised_formulas(spark, sf_dir):
     return formulas.recognise(formulas.detect(formula_blocks(spark, sf_dir))).select("doc_id", "pos", "mode", "latex", "confidence", "status", "accepted")
 
@@ -786,8 +790,9 @@ def ar01_texts_with_refs(spark, sf_dir):
     return formulas.with_refs(b, formulas.recognise(formulas.detect(b))).select("doc_id", "pos", "text_with_refs")
 
 
-@query()
+@query(f"WITH {FORMULA_BLOCKS} SELECT doc_id, 'f' || substr(sha1(concat_ws('|', doc_id, pos, 0, text)), 1, 12) AS formula_id, CAST(regexp_extract(text, '\\((\\d)\\)$', 1) AS INTEGER) AS number FROM found WHERE whole")
 def w10_formula_numbers(spark, sf_dir):
+    """All these formulas have numbers of their own; w10_running_numbers has none that do."""
     return formulas.numbered(formulas.detect(formula_blocks(spark, sf_dir)))
 
 

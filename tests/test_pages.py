@@ -49,3 +49,31 @@ def test_layers_and_rows(spark):
     assert shown == {"api_key": "[set]", "x_token": "[unset]", "n": "4"}
     rows = spark.createDataFrame([(1, None, 5), (2, None, 5), (3, "a", 5)], "n int, k string, v int")
     assert sorted(r["n"] for r in rollups.first_rows(rows, ["n"]).collect()) == [1, 3]
+
+
+def test_workflow_repairs_are_bounded_and_failures_end(spark):
+    from quire.plans import workflow
+
+    docs = spark.createDataFrame([("a", 0, None), ("b", 1, None), ("c", 9, None), ("d", 0, "lost")], "doc_id string, wants int, error string")
+    nodes = {"evaluate_render": lambda rows: rows.withColumn("repair_recommended", F.col("attempt") < F.col("wants"))}
+    final, steps = workflow.run(docs, nodes, lambda df, name: df.cache(), max_repairs=2)
+    assert {r["doc_id"]: (r["node"], r["attempt"]) for r in final.collect()} == {"a": ("end", 0), "b": ("end", 1), "c": ("end", 2), "d": ("end", 0)}
+    log = {}
+    for r in steps.orderBy("step").collect():
+        log.setdefault(r["doc_id"], []).append(r["node"])
+    assert log["d"] == ["read_input"] and log["a"] == ["read_input", "analyze_intent", "semantic_recognize", "build_layout_plan", "validate_layout_plan", "build_source_plans", "render_preview", "evaluate_render", "export_pdf", "complete"]
+    assert log["c"].count("repair_layout_plan") == 2 and log["c"][-1] == "complete"
+    none, no_steps = workflow.run(docs.limit(0), nodes, lambda df, name: df.cache())
+    assert none.count() == no_steps.count() == 0
+
+
+def test_one_bad_text_costs_only_itself(spark):
+    from quire.plans import workflow
+
+    def work(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([("a",), ("bad",), ("c",)], "text string").coalesce(1)
+    assert {r["text"]: (r["result"], r["failure"]) for r in workflow.failures_kept(rows, work).collect()} == {"a": ("A", None), "bad": (None, "ValueError: no"), "c": ("C", None)}
