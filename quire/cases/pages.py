@@ -186,17 +186,21 @@ def io25_layered_config(spark, sf_dir):
 
 
 def written(spark):
-    """A function that writes a table into the folder of spark.checkpoint.dir and reads it back; where the whole of Spark is one local process without such a folder, it keeps it in memory."""
+    """A function that writes a table into the folder of spark.checkpoint.dir (a temporary one only where Spark is one local process and none is set) and reads it back."""
+    import re
+    import tempfile
     import uuid
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
+    base = f"{folder.rstrip('/')}/quire-workflow-{uuid.uuid4().hex}"
 
     def write(df, name):
-        if not folder:
-            return df.cache()
-        path = f"{folder.rstrip('/')}/quire-workflow-{uuid.uuid4().hex}/{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     return write
 

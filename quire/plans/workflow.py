@@ -51,23 +51,22 @@ def run(documents: DataFrame, nodes: dict[str, Callable[[DataFrame], DataFrame]]
         here = [r["node"] for r in state.select("node").distinct().collect() if r["node"] != END]
         if not here:
             break
-        done = state.where(F.col("node") == END)
-        moved = None
-        for node in sorted(here):
+        working = [node for node in sorted(here) if node in nodes]
+        moved = state.where(~F.col("node").isin(*working)) if working else state
+        moved = moved.withColumn("attempt", F.col("attempt") + (F.col("node") == "repair_layout_plan").cast("int")).select(*columns)
+        for node in working:
             rows = state.where(F.col("node") == node)
             if node == "repair_layout_plan":
                 rows = rows.withColumn("attempt", F.col("attempt") + 1)
-            part = nodes.get(node, lambda x: x)(rows).select(*columns)
-            moved = part if moved is None else moved.unionByName(part)
+            moved = moved.unionByName(nodes[node](rows).select(*columns))
         moved = write(moved, f"step{turn}")
-        log = moved.select("doc_id", F.lit(turn).alias("step"), "node", "attempt", "error")
+        log = moved.where(F.col("node") != END).select("doc_id", F.lit(turn).alias("step"), "node", "attempt", "error")
         steps = log if steps is None else steps.unionByName(log)
-        following = None
-        for node in sorted(here):
+        following = F.lit(END)
+        for node in here:
             value = to[node]
-            part = moved.where(F.col("node") == node).withColumn("node", F.lit(value) if isinstance(value, str) else value)
-            following = part if following is None else following.unionByName(part)
-        state = write(done.select(*columns).unionByName(following.select(*columns)), f"round{turn + 1}")
+            following = F.when(F.col("node") == node, F.lit(value) if isinstance(value, str) else value).otherwise(following)
+        state = write(moved.withColumn("node", following), f"round{turn + 1}")
     if steps is None:
         steps = state.select("doc_id", F.lit(0).alias("step"), "node", "attempt", "error").where(F.lit(False))
     return state, steps
