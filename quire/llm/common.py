@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_temporary: dict[str, str] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the driver and all executors share. It has to be set, but where everything is one local process, which then gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(app)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _temporary[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
     return found.rstrip("/")
 
 

@@ -348,6 +348,7 @@ def test_long_texts_are_coded_whole(monkeypatch):
 def test_shared_folder_is_read_from_the_session(spark, tmp_path, monkeypatch):
     class Elsewhere:
         class sparkContext:
+            applicationId = "app"
             master = "spark://host:7077"
 
         class conf:
@@ -355,7 +356,13 @@ def test_shared_folder_is_read_from_the_session(spark, tmp_path, monkeypatch):
 
     with pytest.raises(ValueError):
         common.shared_dir(Elsewhere)
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.shared_dir(spark) == common.shared_dir(spark)
+
+    class Told(Elsewhere):
+        class conf:
+            get = staticmethod(lambda key, default: {"spark.checkpoint.dir": "hdfs://n/folder/"}[key])
+
+    assert common.shared_dir(Told) == "hdfs://n/folder"
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     kept = common.store(spark.range(3), "numbers")
     assert kept.count() == 3 and list(tmp_path.glob("quire-*/numbers/*.parquet"))
