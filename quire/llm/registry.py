@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, hilbert, iso, langid, licences, lines, lm, mixing, simhash
+from quire.llm import ann, bpe, hilbert, iso, kmeans, langid, licences, lines, lm, mixing, simhash
 from quire.session import table
 
 
@@ -122,5 +122,32 @@ def op10_license_scan(spark, sf_dir):
     return out.select("doc_id", "license", "dice", "first_word", "end_word", F.size("matches").alias("n_matches"))
 
 
-QUERIES = {"op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
+def op11_kd_filter(spark, sf_dir):
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    nearest = """(SELECT * FROM (SELECT e.rid, e.vec_id, e.v, c.c, CAST(list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+  FROM kept e CROSS JOIN {c} c) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""]
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED {nearest.format(c=f"c{i}")}, m{i} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v
+  FROM (SELECT c, pos, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM a{i}) GROUP BY c, pos) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)""")
+    last = f"c{rounds}"
+    steps.append(f"last AS MATERIALIZED {nearest.format(c=last)}")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT l.vec_id, CAST(l.c AS INTEGER) AS cluster, l.d AS distance, CAST(sum(l.d) OVER (PARTITION BY l.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(l.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM last l JOIN {last} k ON k.c = l.c
+"""
+
+
+QUERIES = {"op11_kd_filter": op11_kd_filter, "op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+ORACLES = {"op11_kd_filter": _op11_sql(), "op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
