@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, hilbert, iso, kmeans, langid, licences, lines, lm, mixing, simhash
+from quire.llm import ann, bpe, hilbert, iso, kmeans, langid, licences, lines, lm, mixing, repair, simhash
 from quire.session import table
 
 
@@ -149,5 +149,66 @@ FROM last l JOIN {last} k ON k.c = l.c
 """
 
 
-QUERIES = {"op11_kd_filter": op11_kd_filter, "op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
-ORACLES = {"op11_kd_filter": _op11_sql(), "op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
+def op12_cost_layers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows).withColumnsRenamed({"conv": "conv_id"}), rows)
+
+
+# The states nothing, s, u, a are z, s, u, a; each holds the least (cost, audit) so far. Closing inserts come last.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT conv_id, turn, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+           lambda h, b: list_reduce(range(8), lambda k, i: xor(k >> 1, CASE WHEN k & 1 = 1 THEN 3988292384 ELSE 0 END), xor(h, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS d
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations)
+), harmed AS (
+  SELECT c.conv_id, c.turn, CASE WHEN d = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(range(0, CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM conversations c JOIN crc ON crc.conv_id IS NOT DISTINCT FROM c.conv_id AND crc.turn IS NOT DISTINCT FROM c.turn WHERE d <> 0
+), rows AS MATERIALIZED (
+  SELECT *, row_number() OVER o AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again, left(role, 1) AS r, lag(left(role, 1)) OVER o AS before
+  FROM harmed WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), faults AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM rows
+), best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, {'c': CAST(0 AS BIGINT), 'e': ''} AS z, {'c': CAST(1000000000 AS BIGINT), 'e': ''} AS s, {'c': CAST(1000000000 AS BIGINT), 'e': ''} AS u, {'c': CAST(1000000000 AS BIGINT), 'e': ''} AS a
+  FROM (SELECT DISTINCT conv_id FROM faults)
+  UNION ALL
+  SELECT conv_id, n,
+         {'c': z.c + 3, 'e': z.e || 'D'},
+         list_min([{'c': s.c + 3, 'e': s.e || 'D'}, {'c': z.c + keep_s, 'e': z.e || 'K'}]),
+         list_min([{'c': u.c + 3, 'e': u.e || 'D'}, {'c': w.c + keep_u, 'e': w.e || 'K'}, {'c': w.c + title, 'e': w.e || 'R'}]),
+         list_min([{'c': a.c + 3, 'e': a.e || 'D'}, {'c': u.c + keep_a, 'e': u.e || 'K'}, {'c': u.c + title, 'e': u.e || 'R'}])
+  FROM (
+    SELECT *, list_min([z, s, a]) AS w FROM (
+      SELECT *, list_min([a0, {'c': u.c + 2, 'e': u.e || 'I'}]) AS a FROM (
+        SELECT b.conv_id, f.n, b.z, b.s, b.a AS a0,
+               list_min([b.u, {'c': b.z.c + 2, 'e': b.z.e || 'I'}, {'c': b.s.c + 2, 'e': b.s.e || 'I'}, {'c': b.a.c + 2, 'e': b.a.e || 'I'}]) AS u,
+               CASE WHEN r = 's' THEN c ELSE 1000000000 END AS keep_s, CASE WHEN r = 'u' THEN c ELSE 1000000000 END AS keep_u, CASE WHEN r = 'a' THEN c ELSE 1000000000 END AS keep_a, c + 2 AS title
+        FROM best b JOIN (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 1000000000 END AS c FROM faults) f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.n + 1
+      )
+    )
+  )
+), ended AS MATERIALIZED (
+  SELECT conv_id, list_min([z, a, {'c': u.c + 2, 'e': u.e || 'I'}, {'c': s.c + 4, 'e': s.e || 'II'}]) AS x
+  FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1
+), letters AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS n FROM (SELECT conv_id, x.e AS audit, unnest(range(1, len(x.e) + 1)) AS i, unnest(string_split(x.e, '')) AS e FROM ended WHERE x.e <> '')
+), kept AS (
+  SELECT l.conv_id, l.i, l.e, f.role, f.text, max(CASE WHEN l.e = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS first_s, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.i) AS k
+  FROM letters l LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.n = l.n AND l.e <> 'I' WHERE l.e <> 'D'
+), told AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - first_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS sha FROM kept GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank, CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.x.c, 0) AS BIGINT) AS cost, coalesce(e.x.e, '') AS audit, coalesce(t.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+QUERIES = {"op12_cost_layers": op12_cost_layers, "op11_kd_filter": op11_kd_filter, "op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+ORACLES = {"op12_cost_layers": OP12_SQL, "op11_kd_filter": _op11_sql(), "op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
