@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, hilbert, iso, kmeans, langid, licences, lines, lm, mixing, repair, simhash
+from quire.llm import ann, bpe, hilbert, iso, jaccard, kmeans, langid, licences, lines, lm, mixing, repair, simhash
 from quire.session import table
 
 
@@ -210,5 +210,29 @@ LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended
 """
 
 
-QUERIES = {"op12_cost_layers": op12_cost_layers, "op11_kd_filter": op11_kd_filter, "op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
-ORACLES = {"op12_cost_layers": OP12_SQL, "op11_kd_filter": _op11_sql(), "op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
+def op13_size_aware(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM split
+), grams AS MATERIALIZED (
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n, hash(unnest(g)) AS h FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT e.y, r.r FROM reach r JOIN (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links) e ON e.x = r.doc_id
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.r) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.g
+"""
+
+
+QUERIES = {"op13_size_aware": op13_size_aware, "op12_cost_layers": op12_cost_layers, "op11_kd_filter": op11_kd_filter, "op10_license_scan": op10_license_scan, "op5_one_bit_codes": op5_one_bit_codes, "op8_hilbert_shards": op8_hilbert_shards, "op2_context_mixing": op2_context_mixing, "op3_language_id": op3_language_id, "op6_media_columns": op6_media_columns, "op9_simhash": op9_simhash, "op7_byte_bpe": op7_byte_bpe, "op1_line_dedup": op1_line_dedup, "op4_source_mix": op4_source_mix}
+ORACLES = {"op13_size_aware": OP13_SQL, "op12_cost_layers": OP12_SQL, "op11_kd_filter": _op11_sql(), "op1_line_dedup": OP1_SQL, "op4_source_mix": OP4_SQL}
