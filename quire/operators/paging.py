@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.fitting import SENTENCE_MARKS
 from quire.functions.text import wrapped_lines
 
-# Where a text is split best, and where an overflowing one may be.
-SENTENCE_MARKS = ("。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
-BREAKS = (" ", "\n", "。", "，", ".", ",")
-
-
 def text_height(text: Column, width: Column, font_size: Column, line_height: Column) -> Column:
     """GM06: the height in points that a text takes up."""
     return wrapped_lines(text, width, font_size) * font_size * line_height
@@ -41,63 +37,16 @@ def continuations(rows: DataFrame, font_size: float, line_height: float) -> Data
     """Texts (`doc_id`, `pos`, `text`, `width`, `height`) cut into fragments that fit their box: `fragment` from 0, `text`. One that fits is one fragment.
 
     Lines are filled by glyph widths (ST24), and broken by the text's own line feeds. A cut moves back to the last blank or mark of BREAKS if that
-    lies beyond 60 % of the fragment. What is over goes on in a box of the same size. Each row is cut by itself; the cuts follow from running sums of widths.
+    lies beyond 60 % of the fragment. What is over goes on in a box of the same size. Each row is cut by itself, by searches in running sums of its widths, in time linear in the text.
     """
-    units = font_size
     boxed = rows.select("doc_id", "pos", F.coalesce("text", F.lit("")).alias("text"), "width", "height")
 
     @F.pandas_udf("array<string>")
     def cut(texts, widths, heights):
-        import unicodedata
-        from bisect import bisect_right
-        from itertools import accumulate
-
         import pandas as pd
 
-        def glyph(c):
-            n = ord(c)
-            if c == "\t":
-                return 200
-            if c.isspace():
-                return 34
-            if 0x1100 <= n <= 0x11FF or 0x2E80 <= n <= 0xA4CF or 0xAC00 <= n <= 0xD7AF or 0xF900 <= n <= 0xFAFF or 0xFE30 <= n <= 0xFE6F or 0xFF00 <= n <= 0xFFEF:
-                return 100
-            kind = unicodedata.category(c)
-            return 64 if kind == "Lu" else 56 if c.isdigit() else 52 if n < 128 else 72
-
-        def lines_of(text, wide):
-            """Ends of the lines of a text, in characters."""
-            ends, at = [], 0
-            while at < len(text):
-                stop = text.find("\n", at)
-                stop = len(text) if stop < 0 else stop
-                sums = [0, *accumulate(map(glyph, text[at:stop]))]
-                done = 0
-                while done < stop - at:
-                    done = max(bisect_right(sums, sums[done] + wide * 100) - 1, done + 1)
-                    ends.append(at + done)
-                if stop == at:
-                    ends.append(at)
-                at = stop + 1
-                ends[-1] = min(at, len(text))
-            return ends
-
-        def one(text, width, height):
-            wide = max(1, int(width / units)) if units > 0 else 1
-            many = max(1, int(height / (units * line_height))) if units * line_height > 0 else 1
-            out = []
-            while True:
-                ends = lines_of(text, wide)
-                if len(ends) <= many:
-                    return [*out, text] if text or not out else out
-                end = ends[many - 1]
-                back = max(text.rfind(b, 0, end) for b in BREAKS)
-                end = back + 1 if back >= max(1, int(end * 0.6)) else max(end, 1)
-                out.append(text[:end].rstrip())
-                text = text[end:].lstrip()
-                if not text:
-                    return out
-
-        return pd.Series([one(a, b, c) for a, b, c in zip(texts, widths, heights, strict=True)])
+        from quire.functions.fitting import boxed_fragments
+
+        return pd.Series([boxed_fragments(t, w, h, font_size, line_height) for t, w, h in zip(texts, widths, heights, strict=True)], dtype=object)
 
     return boxed.select("doc_id", "pos", F.posexplode(cut("text", "width", "height")).alias("fragment", "text"))
