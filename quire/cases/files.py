@@ -79,3 +79,47 @@ def io19_kept_assets(spark, sf_dir):
     kind = F.when(F.col("kind") == "table", "vector").otherwise(F.col("kind"))
     a = boxes(spark, sf_dir).select("doc_id", "page_id", "item_id", kind.alias("kind"), F.struct(*map(far, ("x0", "y0", "x1", "y1"))).alias("box")).withColumn("pos", F.struct("item_id", "kind"))
     return files.kept_assets(a).select("doc_id", "page_id", "item_id")
+
+
+# --- files of layout extractors -----------------------------------------------------------------------------
+
+
+def layout_files(spark, sf_dir):
+    """A folder of JSON files: a document per conversation, a page per four turns; turns as items with lines, with contents nested four levels deep, or with tags. Every third document has its items in a content list."""
+    from quire import scratch
+
+    q = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)  # noqa: E731  (a string as JSON)
+    t, n = F.col("text"), F.col("turn")
+    part = lambda i, k: q(F.substring(t, i, k))
+    lines = F.concat(F.lit('{"type":"Text","index":'), (100 - n).cast("string"), F.lit(',"bbox":[1,2,3,4],"lines":[{"spans":[{"content":'), part(1, 12), F.lit('},{"text":'), q(F.substring(t, 13, 100_000)), F.lit('},{"latex":"x"}]}],"odd":{"a":[1]}}'))
+    tree = F.concat(F.lit('{"type":"list","bbox":[5,'), n.cast("string"), F.lit(',9,9],"content":{"zz":'), part(1, 8), F.lit(',"aa":[{"content":'), part(9, 8), F.lit(',"children":[{"content":[{"content":'), part(17, 8), F.lit(',"children":['), q(F.substring(t, 25, 100_000)), F.lit(',{"content":7}]}]}]}],"level":3}}'))
+    tags = F.concat(F.lit('{"type":"table","index":"no number","table_body":'), q(F.concat(F.lit("<td>"), F.col("role"), F.lit("</td> "), t)), F.lit("}"))
+    item = F.when(n % 3 == 0, lines).when(n % 3 == 1, tree).otherwise(tags)
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    pages = c.groupBy("conv_id", F.floor(n / 4).cast("int").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x["item"]), ",").alias("items"))
+    docs = pages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("page", "items"))).alias("p"))
+    joined = lambda f: F.array_join(F.transform("p", f), ",")
+    listed = F.col("conv_id") % 3 == 0
+    own = F.concat(F.lit('{"pdf_info":['), joined(lambda x: F.concat(F.lit('{"para_blocks":['), F.when(listed, "").otherwise(x["items"]), F.lit("]}"))), F.lit("]}"))
+    other = F.concat(F.lit("["), joined(lambda x: F.concat(F.lit("["), x["items"], F.lit("]"))), F.lit("]"))
+    files = docs.select(F.col("conv_id").alias("doc"), F.explode(F.array(F.struct(F.lit("pages").alias("kind"), own.alias("value")), F.struct(F.lit("contents").alias("kind"), other.alias("value")))).alias("x")).select("doc", "x.kind", "x.value")
+    folder = scratch.new_folder(spark, "layouts")
+    files.repartition("doc").write.partitionBy("doc", "kind").text(folder)
+    return folder
+
+
+@query(
+    r"""
+WITH t AS (SELECT conv_id, turn, turn // 4 AS page, turn % 3 AS k, role, text FROM conversations), i AS (
+  SELECT *, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'list' ELSE 'table' END AS type, CASE WHEN k = 0 THEN 100 - turn END AS idx, CASE k WHEN 0 THEN 2 WHEN 1 THEN turn ELSE 0 END AS y, CASE k WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 0 END AS x,
+    trim(regexp_replace(CASE k WHEN 0 THEN text[1:12] || ' ' || text[13:] WHEN 1 THEN text[1:8] || ' ' || text[9:16] || ' ' || text[17:24] || ' ' || text[25:] ELSE role || ' ' || text END, '\s+', ' ', 'g')) AS told FROM t
+), once AS (SELECT *, row_number() OVER (PARTITION BY conv_id, page, type, idx, y, x, told[1:80] ORDER BY turn) AS again FROM i)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(page - first AS INTEGER) AS page_index, CAST(row_number() OVER (PARTITION BY conv_id, page ORDER BY coalesce(idx, 1000000), y, x, turn) - 1 AS INTEGER) AS pos, type, told AS text
+FROM once JOIN (SELECT conv_id, min(turn // 4) AS first FROM conversations GROUP BY conv_id) USING (conv_id) WHERE again = 1
+"""
+)
+def io02_io03_io04_files(spark, sf_dir):
+    from quire.sources import layout_tree
+
+    files = layout_tree.read_files(spark, layout_files(spark, sf_dir), "/kind=pages/", "/kind=contents/", r"/doc=([^/]+)/")
+    return layout_tree.items(files).select("doc_id", "page_index", "pos", "type", "text")
