@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,15 +12,40 @@ from quire.functions.predicates import boilerplate, caption_label
 PAGE = ["doc_id", "page_id"]
 
 
+#: Points of a grid tile, and the tiles that coordinates fall into at the least and at the most: what lies further out is in the outermost ones.
+TILE, FIRST_TILE, LAST_TILE = 64.0, -8, 39
+
+
+def _tile(at: Column) -> Column:
+    return F.least(F.greatest(F.floor(at / TILE), F.lit(FIRST_TILE)), F.lit(LAST_TILE)).cast("int")
+
+
+def tiled(items: DataFrame, box: str = "box", reach: float = 0.0) -> DataFrame:
+    """Adds `tx`, `ty`: a row for each tile that a box, made higher by `reach` up and down, lies in; boxes without coordinates have none."""
+    b = F.col(box)
+    across, down = F.sequence(_tile(b["x0"]), _tile(b["x1"])), F.sequence(_tile(b["y0"] - reach), _tile(b["y1"] + reach))
+    placed = b["x0"].isNotNull() & b["y0"].isNotNull() & b["x1"].isNotNull() & b["y1"].isNotNull()
+    return items.where(placed).withColumn("tx", F.explode(across)).withColumn("ty", F.explode(down))
+
+
+def _once(a: Column, b: Column, reach: float = 0.0) -> Column:
+    """Whether this tile is the one of two boxes that meet: that of the left upper corner of what they share. `reach`: by which the first one was made higher."""
+    return (F.col("tx") == _tile(F.greatest(a["x0"], b["x0"]))) & (F.col("ty") == _tile(F.greatest(a["y0"] - reach, b["y0"])))
+
+
 def overlaps(items: DataFrame, least: float = 0.12) -> DataFrame:
-    """Pairs of items of a page (`item_id`, `ord`) that share at least `least` of the smaller one's area.
+    """Pairs of items of a page (`item_id`, `ord`) that share at least `least` (above 0) of the smaller one's area.
 
-    A hash join on the page; order and overlap are its residual condition, so pairs never leave a page.
+    Boxes are laid out on the tiles of their page and joined by page and tile; a pair that meets in several counts in one. So a page with very many boxes is no single key,
+    and a box meets only those near it.
     """
-    a, b = items.alias("a"), items.alias("b")
-    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_id") == F.col("b.page_id"))
-    share = g.overlap_of_smaller(F.col("a.box"), F.col("b.box"))
-    return a.join(b, same & (F.col("a.ord") < F.col("b.ord")) & (share >= least)).select("a.doc_id", "a.page_id", F.col("a.item_id").alias("first_id"), F.col("b.item_id").alias("second_id"), share.alias("share"))
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    each = tiled(items.select(*PAGE, "item_id", "ord", "box"))
+    other = each.select(*PAGE, "tx", "ty", F.col("item_id").alias("second_id"), F.col("ord").alias("_ord"), F.col("box").alias("_box"))
+    share = g.overlap_of_smaller(F.col("box"), F.col("_box"))
+    pairs = each.join(other, [*PAGE, "tx", "ty"]).where((F.col("ord") < F.col("_ord")) & _once(F.col("box"), F.col("_box")) & (share >= least))
+    return pairs.select(*PAGE, F.col("item_id").alias("first_id"), "second_id", share.alias("share"))
 
 
 def outside_page(items: DataFrame, pages: DataFrame, slack: float = 0.01) -> DataFrame:
@@ -31,10 +56,11 @@ def outside_page(items: DataFrame, pages: DataFrame, slack: float = 0.01) -> Dat
 
 
 def near_assets(blocks: DataFrame, assets: DataFrame, distance: float = 90.0, overlap: float = 0.35) -> DataFrame:
-    """Blocks (`block_id`, `box`) with a figure, table or image of their page above or below within reach."""
-    side = assets.where(F.col("kind").isin("image", "figure", "table")).select(*[F.col(c).alias(f"_{c}") for c in PAGE], F.col("box").alias("_box"))
-    on = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_id") == F.col("_page_id")) & (g.vertical_distance(F.col("_box"), F.col("box")) <= distance) & (g.horizontal_overlap(F.col("_box"), F.col("box")) >= overlap)
-    return blocks.join(side, on, "left_semi")
+    """Blocks (`box`) with a figure, table or image of their page above or below within reach, overlapping by `overlap` (above 0) across. A semi-join by page and tile, as in overlaps()."""
+    side = tiled(assets.where(F.col("kind").isin("image", "figure", "table")).select(*PAGE, F.col("box").alias("_box")), "_box", distance)
+    near = (g.vertical_distance(F.col("_box"), F.col("box")) <= distance) & (g.horizontal_overlap(F.col("_box"), F.col("box")) >= overlap)
+    found = tiled(blocks.select(*PAGE, "box")).join(side, [*PAGE, "tx", "ty"]).where(near).select(*PAGE, "box").distinct()
+    return blocks.join(found, [*PAGE, "box"], "left_semi").select(blocks.columns)
 
 
 def refine_captions(blocks: DataFrame, assets: DataFrame) -> DataFrame:
@@ -47,10 +73,10 @@ def refine_captions(blocks: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def best_asset(candidates: DataFrame, assets: DataFrame, least: float = 0.6) -> DataFrame:
-    """For each candidate (`candidate_id`, `box`) the asset of its page that it overlaps most, if by `least` of the smaller; ties: the first asset id."""
-    side = assets.select(*PAGE, "asset_id", F.col("box").alias("_box"))
+    """For each candidate (`candidate_id`, `box`) the asset of its page that it overlaps most, if by `least` (above 0) of the smaller; ties: the first asset id. Joined by page and tile, as in overlaps()."""
+    side = tiled(assets.select(*PAGE, "asset_id", F.col("box").alias("_box")), "_box")
     share = g.overlap_of_smaller(F.col("box"), F.col("_box"))
-    hits = candidates.join(side, PAGE).withColumn("share", share).where(F.col("share") >= least)
+    hits = tiled(candidates.select(*PAGE, "candidate_id", "box")).join(side, [*PAGE, "tx", "ty"]).withColumn("share", share).where((F.col("share") >= least) & _once(F.col("box"), F.col("_box")))
     return hits.groupBy(*PAGE, "candidate_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "asset_id")).alias("x")).select(*PAGE, "candidate_id", "x.asset_id", (-F.col("x.s")).alias("share"))
 
 
