@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.cases.common import Options, query
+from quire.cases.flowing import GLYPHS
+from quire.cases.flowing import WIDE as WIDE_OF
 from quire.functions import formatting
 from quire.operators import paging, rollups, sections, spans
 from quire.plans import repair, styles
@@ -61,14 +63,13 @@ def st25_split_places(spark, sf_dir):
     return SPLITS.rows(spark, sf_dir).select("event_id", paging.split_place(F.col("text"), F.lit(20)).alias("place"))
 
 
-@query(f"WITH {LINES}, w AS (SELECT doc_id, pos, text, 100 + pos % 5 * 40 AS width, CASE WHEN regexp_matches(text, '^[ -~]*$') THEN len(regexp_extract_all(text, '[A-Z]')) * 64 + len(regexp_extract_all(text, '[0-9]')) * 56 + len(regexp_extract_all(text, ' ')) * 34 + len(regexp_extract_all(text, '[!-/:-@\\[-~]')) * 52 END AS h FROM lines) SELECT doc_id, pos, CASE WHEN h IS NULL THEN NULL ELSE greatest(1, ceil(h / 100.0 * 10 / width)) * 10 * 1.25 END::DOUBLE AS height, CASE WHEN h IS NULL THEN NULL ELSE greatest(1, ceil(h / 100.0 * 10 / width)) * 12.5 > 30 END AS over FROM w")
+@query(f"WITH {LINES}, {GLYPHS}, m AS MATERIALIZED (SELECT {WIDE_OF} AS m), w AS (SELECT doc_id, pos, text, 100 + pos % 5 * 40 AS width, list_sum(list_transform(string_split(text, ''), lambda c: m[c])) AS h FROM lines, m) SELECT doc_id, pos, (greatest(1, ceil(h / 100.0 * 10 / width)) * 10 * 1.25)::DOUBLE AS height, greatest(1, ceil(h / 100.0 * 10 / width)) * 12.5 > 30 AS over FROM w")
 def gm06_heights(spark, sf_dir):
-    """Heights of all lines; those of other than ASCII characters as null, as in the SQL (st24_width_units has them all)."""
-    b = line_blocks(spark, sf_dir)
-    width, ascii_ = (100 + F.col("pos") % 5 * 40).cast("double"), F.col("text").rlike(r"^[ -~]*$")
+    """Heights of all lines, and whether they pass a box of 30 points."""
+    width = (100 + F.col("pos") % 5 * 40).cast("double")
     box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), width.alias("x1"), F.lit(30.0).alias("y1"))
-    h = paging.text_height(F.col("text"), width, F.lit(10.0), F.lit(1.25))
-    return b.select("doc_id", "pos", F.when(ascii_, h).alias("height"), F.when(ascii_, paging.overflows(F.col("text"), box, F.lit(10.0), F.lit(1.25))).alias("over"))
+    h, over = paging.text_height(F.col("text"), width, F.lit(10.0), F.lit(1.25)), paging.overflows(F.col("text"), box, F.lit(10.0), F.lit(1.25))
+    return line_blocks(spark, sf_dir).select("doc_id", "pos", h.alias("height"), over.alias("over"))
 
 
 FRAGMENTS = Options("aaaa bbbb cccc dddd eeee ffff gggg", "short", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "")

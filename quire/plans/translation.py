@@ -63,23 +63,18 @@ def lost_tokens(tokens: Column, translated: Column, items: Column) -> Column:
     return F.filter(tokens, lambda t: ~translated.contains(t) & (t.startswith("{{formula:") | ~F.array_contains(names, t)))
 
 
-def self_checked(sources: DataFrame, lang: str) -> DataFrame:
-    """The deterministic plan with what each row has `lost` of its source's tokens; it has a row for each source block and no other."""
-    plan = deterministic(sources, lang, ("preserve_tokens",))
-    return plan.withColumn("lost", lost_tokens(F.col("preserve_tokens"), F.col("translated_text"), F.col("inline_items")))
-
-
 def coverage_issues(sources: DataFrame, plan: DataFrame) -> DataFrame:
     """`doc_id`, `chunk_no`, `pos`, `code`, `detail`: blocks that the plan lacks or makes up, and tokens that it loses.
 
     A token is kept if it is in the translation or among the inline items; a formula reference must be in the translation.
     """
     keys = ["doc_id", "chunk_no", "pos"]
-    missing = sources.join(plan, keys, "left_anti").select(*keys, F.lit("missing_block").alias("code"), F.lit("").alias("detail"))
-    unknown = plan.join(sources, keys, "left_anti").select(*keys, F.lit("unknown_block").alias("code"), F.lit("").alias("detail"))
-    both = sources.select(*keys, "preserve_tokens").join(plan.select(*keys, "translated_text", "inline_items"), keys)
-    tokens = both.select(*keys, F.explode(lost_tokens(F.col("preserve_tokens"), F.col("translated_text"), F.col("inline_items"))).alias("detail")).select(*keys, F.lit("missing_token").alias("code"), "detail")
-    return missing.unionByName(unknown).unionByName(tokens)
+    given = sources.select(*keys, "preserve_tokens", F.lit(True).alias("_source"))
+    both = given.join(plan.select(*keys, "translated_text", "inline_items", F.lit(True).alias("_plan")), keys, "full")
+    issue = lambda code, detail: F.struct(F.lit(code).alias("code"), detail.alias("detail"))
+    lost = F.transform(lost_tokens(F.col("preserve_tokens"), F.col("translated_text"), F.col("inline_items")), lambda t: issue("missing_token", t))
+    found = F.when(F.col("_plan").isNull(), F.array(issue("missing_block", F.lit("")))).when(F.col("_source").isNull(), F.array(issue("unknown_block", F.lit("")))).otherwise(lost)
+    return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.code", "x.detail")
 
 
 def quality_issues(sources: DataFrame, plan: DataFrame, lang: str, terms: DataFrame | None = None) -> DataFrame:

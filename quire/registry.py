@@ -465,14 +465,19 @@ def ag20_brief(spark, sf_dir):
     return translation.brief(line_blocks(spark, sf_dir)).select("doc_id", "title", F.array_join("headings", " | ").alias("headings"), F.array_join("paragraphs", " | ").alias("paragraphs"))
 
 
-@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(max(chunk_no) AS INTEGER) AS n_chunks, count(*) AS n_blocks, CAST(0 AS BIGINT) AS n_issues FROM chunked GROUP BY doc_id")
+@query(
+    rf"""
+WITH RECURSIVE {CHUNKS}, {BROKEN}, r AS (SELECT DISTINCT doc_id, pos, t, unnest(regexp_extract_all(text, '\{{\{{formula:[A-Za-z0-9_.:-]+\}}\}}')) AS ref FROM broken WHERE pos % 17 <> 3),
+i AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM lines WHERE pos % 17 = 3 UNION ALL SELECT doc_id FROM r WHERE NOT contains(t, ref)) GROUP BY doc_id)
+SELECT c.doc_id, CAST(max(chunk_no) AS INTEGER) AS n_chunks, count(*) AS n_blocks, CAST(coalesce(any_value(i.n), 0) AS BIGINT) AS n_issues FROM chunked c LEFT JOIN i ON i.doc_id = c.doc_id GROUP BY c.doc_id
+"""
+)
 def plan_report(spark, sf_dir):
-    """The smallest whole path: texts, blocks, chunks, a plan, its check, a report per document.
-
-    The plan of a block is a function of the block, so the check is too: one pass over the blocks, without a join.
-    """
-    plan = translation.self_checked(source_blocks(spark, sf_dir), "zh")
-    return plan.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"), F.sum(F.size("lost")).cast("long").alias("n_issues"))
+    """The smallest whole path: texts, blocks, chunks, a plan (broken_plan), its coverage of the blocks, a report per document."""
+    sources = source_blocks(spark, sf_dir)
+    issues = translation.coverage_issues(sources, broken_plan(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_issues"))
+    report = sources.groupBy("doc_id").agg(F.max("chunk_no").alias("n_chunks"), F.count(F.lit(1)).alias("n_blocks"))
+    return report.join(issues, "doc_id", "left").select("doc_id", "n_chunks", "n_blocks", F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"))
 
 
 @query(f"WITH {LINES}, {BROKEN}, p AS (SELECT *, CASE WHEN pos % 17 = 3 OR trim(t) = '' THEN text ELSE t END AS u FROM broken), e AS (SELECT doc_id, CASE role WHEN 'title' THEN 9 WHEN 'heading' THEN 9 ELSE 7 END + len(replace(replace(replace(u, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n FROM p) SELECT doc_id, CAST(16 + sum(n) + count(*) - 1 AS INTEGER) AS n FROM e GROUP BY doc_id")
