@@ -123,3 +123,37 @@ def io02_io03_io04_files(spark, sf_dir):
 
     files = layout_tree.read_files(spark, layout_files(spark, sf_dir), "/kind=pages/", "/kind=contents/", r"/doc=([^/]+)/")
     return layout_tree.items(files).select("doc_id", "page_index", "pos", "type", "text")
+
+
+# --- contracts ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL), c AS (SELECT DISTINCT conv_id FROM t),
+v AS (
+  SELECT conv_id, '$.source_blocks[' || i || '].role' AS path, 'enum' AS code FROM t WHERE role <> 'user'
+  UNION ALL SELECT conv_id, '$.source_blocks[' || i || '].block_id', 'too_short' FROM t WHERE turn % 5 = 4
+  UNION ALL SELECT conv_id, '$.source_blocks[' || i || '].source_text', 'missing' FROM t WHERE text IS NULL OR len(text) % 7 = 0
+  UNION ALL SELECT conv_id, '$.source_blocks[' || i || '].requires_translation', 'type' FROM t WHERE turn = 3
+  UNION ALL SELECT conv_id, '$.source_blocks[' || i || '].x0', 'extra' FROM t WHERE conv_id % 4 = 1
+  UNION ALL SELECT conv_id, '$.constraints.max_output_ratio', 'range' FROM c WHERE conv_id % 3 < 2
+  UNION ALL SELECT conv_id, '$.chunk_id', 'missing' FROM c WHERE conv_id % 6 = 5
+)
+SELECT * FROM v
+"""
+)
+def io24_violations(spark, sf_dir):
+    """Conversations as chunks to translate, with what their roles, texts and numbers do to the contract."""
+    from quire import contracts
+
+    n = F.col("turn")
+    block = F.struct(
+        F.when(n % 5 == 4, "").otherwise(n.cast("string")).alias("block_id"), F.when(F.col("role") == "user", "paragraph").otherwise(F.col("role")).alias("role"), F.when(F.length("text") % 7 != 0, F.col("text")).alias("source_text"),
+        F.when(n != 3, F.to_json(F.struct(F.lit(True).alias("x"))).substr(6, 4)).alias("requires_translation"), F.when(F.col("conv_id") % 4 == 1, 1).alias("x0"),
+    )
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))).alias("bs"))
+    chunk = F.struct(F.when(F.col("conv_id") % 6 != 5, F.col("conv_id").cast("string")).alias("chunk_id"), F.transform("bs", lambda x: x["b"]).alias("source_blocks"), F.struct((F.col("conv_id") % 3 - 1).alias("max_output_ratio")).alias("constraints"))
+    # Blocks say true as a word of JSON, and those of turn 3 as a text.
+    text = F.regexp_replace(F.regexp_replace(F.to_json(chunk), '"requires_translation":"true"', '"requires_translation":true'), '("role":"[a-z]*"(?:,"source_text":"(?:[^"\\\\]|\\\\.)*")?)(,"x0":1)?\\}', '$1,"requires_translation":"yes"$2}')
+    return contracts.violations(c.select("conv_id", text.alias("value")), "value", "translation-chunk").select("conv_id", "path", "code")
