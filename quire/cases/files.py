@@ -157,3 +157,52 @@ def io24_violations(spark, sf_dir):
     # Blocks say true as a word of JSON, and those of turn 3 as a text.
     text = F.regexp_replace(F.regexp_replace(F.to_json(chunk), '"requires_translation":"true"', '"requires_translation":true'), '("role":"[a-z]*"(?:,"source_text":"(?:[^"\\\\]|\\\\.)*")?)(,"x0":1)?\\}', '$1,"requires_translation":"yes"$2}')
     return contracts.violations(c.select("conv_id", text.alias("value")), "value", "translation-chunk").select("conv_id", "path", "code")
+
+
+# --- logs ---------------------------------------------------------------------------------------------------
+
+
+def job_sources(spark, sf_dir):
+    """(jobs, workflows, chunks, progress, artifacts): orders as jobs of a document each; their lines are steps, chunks and artifacts. Every seventh workflow belongs to another job."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()
+    k = F.col("o_orderkey")
+    job, doc = k.cast("string"), F.concat(F.lit("d"), k.cast("string"))
+    states = F.array(*[F.lit(x) for x in ("queued", "translating", "completed", "failed", "canceled")])
+    jobs = o.select(job.alias("job_id"), doc.alias("doc_id"), F.get(states, (F.col("o_custkey") % 5).cast("int")).alias("status"), (F.col("o_custkey") % 4 / 4).alias("progress"), F.concat(F.lit("m"), job).alias("message"), F.when(F.col("o_custkey") % 5 == 3, "broken").alias("error"), F.concat(job, F.lit(".pdf")).alias("filename"), F.lit("zh").alias("target_lang"))
+    i, n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")), F.col("l_linenumber")
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    names = F.array(*[F.lit(x) for x in ("read_input", "translate", "odd_step", "render")])
+    none = F.array().cast("array<string>")
+    workflows = i.select(F.concat(F.lit("d"), key.cast("string")).alias("doc_id"), F.when(key % 7 == 0, "other").when(key % 2 == 0, key.cast("string")).alias("workflow_job"), (n - 1).alias("n"), F.lit("").alias("step_id"), F.get(names, (part % 4).cast("int")).alias("name"),
+        F.when(n % 3 == 0, "failed").when(n % 3 == 1, "completed").otherwise("repaired").alias("status"), F.lit("").alias("message"), F.when(n % 3 == 0, F.concat(F.lit("e"), part.cast("string"))).alias("error"), (n * 0.5).alias("progress"), F.array(F.lit("in")).alias("inputs"), none.alias("outputs"), none.alias("flags"))
+    chunk = lambda rows, owner, name: rows.select(owner.alias(name), F.concat(F.lit("c"), n.cast("string")).alias("chunk_id"), n.alias("index"), F.lit(9).alias("total"), F.when(part % 3 == 0, "").otherwise("completed").alias("status"), F.concat(F.lit("p"), part.cast("string")).alias("message"), F.lit(None).cast("string").alias("error"), F.lit(0.25).alias("progress"), F.array(F.lit(" a  b "), F.lit("")).alias("flags"))
+    chunks = chunk(i.where(key % 3 == 0), key.cast("string"), "job_id")
+    progress = chunk(i, F.concat(F.lit("d"), key.cast("string")), "doc_id")
+    artifacts = i.select(F.concat(F.lit("d"), key.cast("string")).alias("doc_id"), n.alias("rank"), F.concat(F.lit("artifact"), n.cast("string")).alias("name"))
+    return jobs, workflows, chunks, progress, artifacts
+
+
+@query(
+    """
+WITH o AS (SELECT DISTINCT o_orderkey AS k, o_custkey AS c FROM orders), i AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2),
+j AS (SELECT k, ['queued', 'translating', 'completed', 'failed', 'canceled'][c % 5 + 1] AS status, c % 4 / 4.0 AS progress, 'm' || k AS message, CASE WHEN c % 5 = 3 THEN 'broken' END AS error, k % 7 = 0 AND k IN (SELECT k FROM i) AS stale FROM o),
+s AS (SELECT i.k, n, ['read_input', 'translate', 'odd_step', 'render'][p % 4 + 1] AS name, ['Read input', 'Translate chunks', 'Odd Step', 'Render preview'][p % 4 + 1] AS title, ['Read input', 'Translate chunks', 'odd_step', 'Render preview'][p % 4 + 1] AS message, CASE n % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' ELSE 'repaired' END AS status, CASE WHEN n % 3 = 0 THEN 'e' || p END AS error FROM i JOIN j ON j.k = i.k WHERE NOT stale),
+b AS (SELECT k, min(100 + (n - 1) * 100) AS base FROM s WHERE name = 'translate' GROUP BY k),
+c AS (SELECT i.k, n, CASE WHEN p % 3 = 0 THEN 'queued' ELSE 'completed' END AS status, 'p' || p AS message FROM i JOIN j ON j.k = i.k WHERE NOT stale OR i.k % 3 = 0),
+a AS (SELECT i.k, list('artifact' || n ORDER BY n) AS names FROM i JOIN j ON j.k = i.k WHERE NOT stale GROUP BY i.k),
+e AS (
+  SELECT k, concat_ws(chr(31), k, 'job', status, printf('%.4f', progress), message, coalesce(error, '')) AS raw, 10 AS sequence, 'job' AS source, CASE status WHEN 'completed' THEN 'success' WHEN 'failed' THEN 'error' WHEN 'canceled' THEN 'warning' ELSE 'info' END AS level,
+    CASE status WHEN 'queued' THEN 'Job queued' WHEN 'translating' THEN 'Translating content' ELSE 'Job ' || status END AS title, coalesce(error, message) AS message, 'File: ' || k || '.pdf|Target: zh' AS details FROM j
+  UNION ALL SELECT k, concat_ws(chr(31), k, 'workflow', n - 1, name, status, message, coalesce(error, '')), 100 + (n - 1) * 100, 'workflow', CASE status WHEN 'failed' THEN 'error' WHEN 'completed' THEN 'success' ELSE 'warning' END, title || ' ' || status, coalesce(error, message), 'Inputs: in' FROM s
+  UNION ALL SELECT c.k, concat_ws(chr(31), c.k, 'chunk', 'c' || n, status, '0.2500', message), coalesce(base, 600) + 1 + n, 'chunk', CASE status WHEN 'completed' THEN 'success' ELSE 'info' END, 'Chunk ' || n || '/9: ' || status, message, 'a b' FROM c LEFT JOIN b ON b.k = c.k
+  UNION ALL SELECT a.k, concat_ws(chr(31), a.k, 'artifact', array_to_string(names, chr(31))), 9000, 'artifact', CASE j.status WHEN 'completed' THEN 'success' ELSE 'info' END, 'Artifacts updated', len(names) || ' debug artifact(s) available', array_to_string(names, '|') FROM a JOIN j ON j.k = a.k
+)
+SELECT CAST(k AS VARCHAR) AS job_id, k || ':' || substr(sha1(raw), 1, 16) AS id, CAST(sequence AS BIGINT) AS sequence, source, level, title, message, details FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY sequence DESC, id DESC) <= 8
+"""
+)
+def w12_job_logs(spark, sf_dir):
+    """The last eight events of each job."""
+    from quire.operators import joblog
+
+    out = joblog.job_logs(*job_sources(spark, sf_dir), limit=8)
+    return out.select("job_id", "id", "sequence", "source", "level", "title", "message", F.array_join("details", "|").alias("details"))
