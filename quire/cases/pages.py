@@ -186,26 +186,6 @@ def io25_layered_config(spark, sf_dir):
     return styles.layered({"defaults": layer(e, "default"), "environment": layer(e.where("name IN ('view', 'click')"), "env"), "persisted": layer(e.where("name = 'click'"), "stored").unionByName(blank)})
 
 
-def written(spark):
-    """A function that writes a table into the folder of spark.checkpoint.dir (a temporary one only where Spark is one local process and none is set) and reads it back."""
-    import re
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
-    base = f"{folder.rstrip('/')}/quire-workflow-{uuid.uuid4().hex}"
-
-    def write(df, name):
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
-    return write
-
-
 # --- formulas of blocks, layout items, workflows ---------------------------------------------------------
 
 LAYERS = Options("E = m c^2 + k (3)", "x_3=α+3", "ends with = Ω (A1)", "β ≤ γ and more prose", "", "@u = @x (2)")
@@ -308,12 +288,13 @@ SELECT doc_id, CAST(CASE WHEN breaks IS NULL THEN least(repairs, 2) ELSE 0 END A
 def ss04_ss05_workflows(spark, sf_dir):
     """Orders as documents: some fail at once, some in validation, the others want none to three repairs, of which two are made."""
     from quire.plans import workflow
+    from quire.scratch import store
 
     n = F.col("o_orderkey")
     docs = table(spark, sf_dir, "orders").select(n.alias("doc_id"), F.when(n % 10 == 0, "read").when(n % 10 == 1, "validate").alias("breaks"), (F.col("o_custkey") % 4).cast("int").alias("repairs"), (F.col("o_custkey") % 2 == 0).alias("translates"))
     fails = lambda name: lambda rows: rows.withColumn("error", F.when(F.col("breaks") == name, "broken").otherwise(F.col("error")))
     planned = lambda rows: rows.withColumn("has_plans", F.lit(True))
     nodes = {"read_input": fails("read"), "validate_layout_plan": fails("validate"), "build_source_plans": planned, "translate_chunks": planned, "evaluate_render": lambda rows: rows.withColumn("repair_recommended", F.col("attempt") < F.col("repairs"))}
-    final, steps = workflow.run(docs, nodes, written(spark))
+    final, steps = workflow.run(docs, nodes, store)
     last = steps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_steps"), F.max_by("node", "step").alias("last_node"))
     return final.select("doc_id", "attempt").join(last, "doc_id")
