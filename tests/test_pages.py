@@ -52,19 +52,19 @@ def test_layers_and_rows(spark):
 
 
 def test_workflow_repairs_are_bounded_and_failures_end(spark):
-    from quire.cases.pages import written
+    from quire.scratch import store
     from quire.plans import workflow
 
     docs = spark.createDataFrame([("a", 0, None), ("b", 1, None), ("c", 9, None), ("d", 0, "lost")], "doc_id string, wants int, error string")
     nodes = {"evaluate_render": lambda rows: rows.withColumn("repair_recommended", F.col("attempt") < F.col("wants"))}
-    final, steps = workflow.run(docs, nodes, written(spark), max_repairs=2)
+    final, steps = workflow.run(docs, nodes, store, max_repairs=2)
     assert {r["doc_id"]: (r["node"], r["attempt"]) for r in final.collect()} == {"a": ("end", 0), "b": ("end", 1), "c": ("end", 2), "d": ("end", 0)}
     log = {}
     for r in steps.orderBy("step").collect():
         log.setdefault(r["doc_id"], []).append(r["node"])
     assert log["d"] == ["read_input"] and log["a"] == ["read_input", "analyze_intent", "semantic_recognize", "build_layout_plan", "validate_layout_plan", "build_source_plans", "render_preview", "evaluate_render", "export_pdf", "complete"]
     assert log["c"].count("repair_layout_plan") == 2 and log["c"][-1] == "complete"
-    none, no_steps = workflow.run(docs.limit(0), nodes, written(spark))
+    none, no_steps = workflow.run(docs.limit(0), nodes, store)
     assert none.count() == no_steps.count() == 0
 
 
