@@ -2,16 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from quire.scratch import free, shared_dir, store
+import atexit
+import contextlib
+import re
+import tempfile
+import uuid
 
-__all__ = ["WORD", "commonest", "free", "map_texts", "shared_dir", "skew_join", "slices", "store", "unclashed", "with_outputs"]
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_written: list[tuple[SparkSession, str]] = []
+_temporary: dict[str, str] = {}  # by application
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. It has to be set, but where everything is one local process, which then gets a temporary one."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _temporary.get(app)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _temporary[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
+    return found.rstrip("/")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs the tasks it ran, not the
+    stages before this table. Tables are deleted by free(), and when the driver ends or the session stops.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_sweep)
+        _sweep_at_stop()
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame) -> None:
+    """Delete the table that store() wrote for `df`; of any other table nothing."""
+    files = df.inputFiles()[:1]
+    for entry in [x for x in _written if files and f"/{x[1].rsplit('/', 2)[1]}/" in files[0]]:
+        _delete(*entry)
+        _written.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep() -> None:
+    while _written:
+        with contextlib.suppress(Exception):  # the JVM is gone: whoever owns the folder clears it
+            _delete(*_written.pop())
+
+
+def _sweep_at_stop() -> None:
+    """Sweep when a session is stopped, as its JVM is needed for that."""
+    stop = SparkSession.stop
+
+    def swept(self):
+        _sweep()
+        stop(self)
+
+    if not getattr(stop, "sweeps", False):
+        swept.sweeps = True
+        SparkSession.stop = swept
+
 
 def with_outputs(row: str, df: DataFrame, **out: Column) -> DataFrame:
     """The fields of struct column `row`, then `out`; an output replaces an input column of the same name."""
