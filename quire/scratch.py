@@ -74,6 +74,6 @@ def _sweep_at_stop() -> None:
         _sweep()
         stop(self)
 
-    if not getattr(stop, "sweeps", False):
-        swept.sweeps = True
+    if not getattr(stop, "sweeps_scratch", False):
+        swept.sweeps_scratch = True
         SparkSession.stop = swept
