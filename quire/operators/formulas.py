@@ -317,17 +317,14 @@ def summary(formulas: DataFrame) -> DataFrame:
 def numbered(formulas: DataFrame) -> DataFrame:
     """Display formulas get numbers in order; one with its own number keeps it and the count goes on from the larger.
 
-    The running number is the count of unnumbered formulas since the last larger own number, plus that number: a fold per document.
+    Two running windows per document: k, the count of formulas without a number so far, and the greatest of 0 and (own number - k) so far; both together are the running number.
     """
     own = F.regexp_extract("source_text", r"\((\d+)\)\s*$", 1).try_cast("int")
-    docs = formulas.where("mode = 'display'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "formula_id", own.alias("own")))).alias("fs"))
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<id:string,number:int>>").alias("out"))
-
-    def step(acc, f):
-        number = F.coalesce(f["own"], acc["last"] + 1)
-        return F.struct(F.greatest(acc["last"], number).alias("last"), F.concat(acc["out"], F.array(F.struct(f["formula_id"].alias("id"), number.alias("number")))).alias("out"))
-
-    return docs.select("doc_id", F.explode(F.aggregate("fs", start, step, lambda a: a["out"])).alias("x")).select("doc_id", F.col("x.id").alias("formula_id"), "x.number")
+    so_far = W.partitionBy("doc_id").orderBy("pos", "n", "formula_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = formulas.where("mode = 'display'").select("doc_id", "pos", "n", "formula_id", own.alias("_own"))
+    rows = rows.withColumn("_k", F.count_if(F.col("_own").isNull()).over(so_far))
+    ahead = F.greatest(F.lit(0), F.coalesce(F.max(F.col("_own") - F.col("_k")).over(so_far), F.lit(0)))
+    return rows.select("doc_id", "formula_id", F.coalesce("_own", F.col("_k") + ahead).cast("int").alias("number"))
 
 
 def raw_tex(texts: DataFrame) -> DataFrame:

@@ -87,3 +87,21 @@ def test_a_band_grows_up_and_keeps_to_its_column(spark):
 
 def test_no_blocks(spark):
     assert merged(spark, []) == {} and found(spark, "x") == {}
+
+
+def test_running_numbers(spark):
+    import random
+
+    from quire.operators import formulas
+
+    draw, rows, want = random.Random(2), [], {}
+    for doc in "ab":
+        last = 0
+        for pos in range(40):
+            own = draw.choice([None, None, None, 3, last, last + 5])
+            rows.append((doc, pos, 0, f"{doc}{pos}", f"x = {pos} ({own})" if own is not None else f"x = {pos}", "display" if pos % 9 else "inline"))
+            if pos % 9:
+                want[f"{doc}{pos}"] = own if own is not None else last + 1
+                last = max(last, want[f"{doc}{pos}"])
+    df = spark.createDataFrame(rows, "doc_id string, pos int, n int, formula_id string, source_text string, mode string")
+    assert {r["formula_id"]: r["number"] for r in formulas.numbered(df).collect()} == want
