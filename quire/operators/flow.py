@@ -124,7 +124,7 @@ class _Flow:
         """A figure with its caption: the room that it needs, and its scale where that is more than a page."""
         width, height = self.sized(item)
         style, text = item["style"], item["text"]
-        caption = style.height(item["measure"](text), self.width) if text else None
+        caption = style.height(item["units"], self.width) if text else None
         around = FIGURE_BETWEEN + style.before + caption + style.after if text else FIGURE_AFTER
         fixed, scale = FIGURE_BEFORE + around, 1.0
         if fixed + height > self.tallest + EPSILON:
@@ -177,7 +177,7 @@ class _Flow:
         if item["role"] == "reference" and self.texts:
             yield from self.break_page()
             back()
-        needs = style.height(item["measure"](text), width)
+        needs = style.height(item["units"], width)
         if item["role"] in ("title", "heading") and self.texts and self.y + needs + KEPT_BELOW > self.bottom:
             yield from self.break_page()
             back()
@@ -190,7 +190,7 @@ class _Flow:
         parts = style.fragments(text, width, self.tallest, first if self.texts else None)
         clipped: list[str] = []
         for i, part in enumerate(parts, 1):
-            height = style.height(item["measure"](part), width)
+            height = needs if len(parts) == 1 else style.height(item["measure"](part), width)
             if self.used and self.y + style.before + height > self.bottom:
                 if not (column and self.next_column()):
                     yield from self.break_page()
@@ -264,27 +264,35 @@ def reflow(items: DataFrame, pages: Pages = Pages()) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from quire.functions.fitting import Style, glyph_widths
+        from quire.functions.fitting import Style, glyph_widths, widths_of
 
         kinds = to_arrow_schema(schema)
         measure = lambda t: int(glyph_widths(t).sum())
+        styles: dict[tuple, Style] = {}
         flow, doc, out = None, None, []
 
         def handed():
-            made = pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=kinds)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
             out.clear()
             return made
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(names))]
-            for values in zip(*columns, strict=True):
-                item = {n: v.as_py() for n, v in zip(names, values, strict=True)}
+            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+            columns["units"] = widths_of(columns["text"])
+            fields = list(columns)
+            for values in zip(*columns.values(), strict=True):
+                item = dict(zip(fields, values, strict=True))
                 if flow is None or item["doc_id"] != doc:
                     out += [(doc, *r) for r in flow.finish()] if flow else []
                     flow, doc = _Flow(pages), item["doc_id"]
-                item |= {"style": Style(item["font_size"], item["line_height"], item["space_before"], item["space_after"], item["indent"]), "measure": measure}
+                look = (item["font_size"], item["line_height"], item["space_before"], item["space_after"], item["indent"])
+                if look not in styles:
+                    if len(styles) > 1000:
+                        styles.clear()
+                    styles[look] = Style(*look)
+                item["style"], item["measure"] = styles[look], measure
                 out += [(doc, *r) for r in flow.place(item)]
-                if len(out) > 2000:
+                if len(out) > 5000:
                     yield handed()
         if flow:
             out += [(doc, *r) for r in flow.finish()]
