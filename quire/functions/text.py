@@ -69,6 +69,21 @@ TOKEN = (
 )
 
 
+# Dollar signs at the ends of a text; thoughts, tokens and keys in diagnostics; words split by a hyphen; numbers of equations; partials and names that run together, and what they are.
+MATH_MARKS = (r"^\$\$?", r"\$\$?$")
+THOUGHTS, BEARER, SECRET_KEY = r"(?is)<think\b[^>]*>.*?</think>", r"(?i)bearer\s+[A-Za-z0-9._\-]+", r"\bsk-[A-Za-z0-9_\-]{6,}"
+HYPHENATED = r"\b([A-Za-z]{2,})-\s+([A-Za-z]{2,})\b"
+EQUATION_NUMBER = r"(?:[,;:]\s*)?(\([A-Za-z]?\d+(?:[.\-]\d+)*[a-z]?\))\s*$"
+COMPACT_PARTIAL = (r"\\partial\s+([txyz])([A-Za-z])\b", r"\\partial_{$1} $2")
+WAVE_NAMES = ((r"\b([fqmn])\s*0\s*([sn])\b", "$1'_$2"), (r"\b([fqmn])([sn])\b", "$1_$2"), (r"\bk([0-9])\b", "k^$1"))
+# Signs of a corrupt text layer, ligatures, slashes and primes that were read wrong, and such names left in LaTeX.
+CORRUPT, LIGATURE, PRIMES = "[\\x01-\\x04¼þðÞÐ\ufb00-\ufb04]|@[A-Za-z]", "[\ufb00-\ufb04]", r"\b[fqmn]\s*0\s*[sn]\b"
+SLASHES = (r"@[A-Za-z][A-Za-z0-9_']*\s*=\s*@[A-Za-z][A-Za-z0-9_']*", r"\b[a-z][a-z0-9_']{1,5}\s*=\s*[a-z][a-z0-9_']{1,5}\b")
+UNREPAIRED = r"\\partial\s+[A-Za-z]{2,}\s*=\s*\\partial|\b[fqmn]\s*0\s*[sn]\b|\b[fqmn]_?[sn]\s*=\s*k(?:\^?\d|\{\d\})\b"
+# What tells a token's kind: formulas, then markers of references; all else are citations.
+FORMULA_TOKEN, MARKER_TOKEN = (r"^\{\{formula:", r"[=<>≤≥∑∫^]"), (r"^\[[0-9,\-\s;]+\]$", r"(?i)^(?:Fig|Figure|Table|Eq|Equation|Sec|Section|Appendix)\b")
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -157,25 +172,25 @@ def strip_tags(text: Column) -> Column:
 
 def strip_math_marks(text: Column) -> Column:
     """ST23: dollar signs around a text removed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^\$\$?", ""), r"\$\$?$", ""))
+    return F.trim(reduce(lambda c, mark: F.regexp_replace(c, mark, ""), MATH_MARKS, F.trim(text)))
 
 
 def redact(text: Column) -> Column:
     """ST21: thoughts and secrets out of a diagnostic preview."""
-    text = F.regexp_replace(text, r"(?is)<think\b[^>]*>.*?</think>", "")
-    text = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._\-]+", "Bearer [redacted]")
-    text = F.regexp_replace(text, r"\bsk-[A-Za-z0-9_\-]{6,}", "sk-[redacted]")
+    text = F.regexp_replace(text, THOUGHTS, "")
+    text = F.regexp_replace(text, BEARER, "Bearer [redacted]")
+    text = F.regexp_replace(text, SECRET_KEY, "sk-[redacted]")
     return F.regexp_replace(text, CONTROL, " ")
 
 
 def join_hyphenated(text: Column, rounds: int = 4) -> Column:
     """ST11: words split by a hyphen and white space, joined; chains up to 2**rounds parts."""
-    return reduce(lambda c, _: F.regexp_replace(c, r"\b([A-Za-z]{2,})-\s+([A-Za-z]{2,})\b", "$1$2"), range(rounds), text)
+    return reduce(lambda c, _: F.regexp_replace(c, HYPHENATED, "$1$2"), range(rounds), text)
 
 
 def equation_number(text: Column) -> Column:
     """ST12: a number in parentheses at the end of a formula, or ''."""
-    return F.regexp_extract(text, r"(?:[,;:]\s*)?(\([A-Za-z]?\d+(?:[.\-]\d+)*[a-z]?\))\s*$", 1)
+    return F.regexp_extract(text, EQUATION_NUMBER, 1)
 
 
 def to_latex_symbols(text: Column) -> Column:
@@ -185,29 +200,24 @@ def to_latex_symbols(text: Column) -> Column:
 
 def compact_partials(text: Column) -> Column:
     """ST06: `\\partial tx` as `\\partial_{t} x`."""
-    return F.regexp_replace(text, r"\\partial\s+([txyz])([A-Za-z])\b", r"\\partial_{$1} $2")
+    return F.regexp_replace(text, *COMPACT_PARTIAL)
 
 
 def wave_names(text: Column) -> Column:
     """ST07: squeezed names such as f0s, qs and k2 as f'_s, q_s and k^2."""
-    text = F.regexp_replace(text, r"\b([fqmn])\s*0\s*([sn])\b", "$1'_$2")
-    text = F.regexp_replace(text, r"\b([fqmn])([sn])\b", "$1_$2")
-    return F.regexp_replace(text, r"\bk([0-9])\b", "k^$1")
+    return reduce(lambda c, name: F.regexp_replace(c, *name), WAVE_NAMES, text)
 
 
 def corruption_flags(text: Column, latex: Column | None = None) -> Column:
     """ST14: what is suspect about a formula's text and its LaTeX, as flags in order."""
     raw, made = F.coalesce(text, F.lit("")), F.coalesce(latex if latex is not None else F.lit(""), F.lit(""))
-    marked = raw.rlike("[\\x01-\\x04¼þðÞÐ\ufb00-\ufb04]|@[A-Za-z]")
-    ligature = "[\ufb00-\ufb04]"
-    slash = raw.rlike(r"@[A-Za-z][A-Za-z0-9_']*\s*=\s*@[A-Za-z][A-Za-z0-9_']*") | raw.rlike(r"\b[a-z][a-z0-9_']{1,5}\s*=\s*[a-z][a-z0-9_']{1,5}\b")
-    unrepaired = made.rlike(r"\\partial\s+[A-Za-z]{2,}\s*=\s*\\partial|\b[fqmn]\s*0\s*[sn]\b|\b[fqmn]_?[sn]\s*=\s*k(?:\^?\d|\{\d\})\b")
-    prime = r"\b[fqmn]\s*0\s*[sn]\b"
+    marked = raw.rlike(CORRUPT)
+    slash = raw.rlike(SLASHES[0]) | raw.rlike(SLASHES[1])
     flags = (
         ("formula_text_layer_corrupt", marked),
-        ("formula_pdf_ligature_corrupt", raw.rlike(ligature) | made.rlike(ligature)),
-        ("formula_slash_glyph_suspect", (marked & slash) | unrepaired),
-        ("formula_prime_glyph_suspect", (marked & raw.rlike(prime)) | made.rlike(prime)),
+        ("formula_pdf_ligature_corrupt", raw.rlike(LIGATURE) | made.rlike(LIGATURE)),
+        ("formula_slash_glyph_suspect", (marked & slash) | made.rlike(UNREPAIRED)),
+        ("formula_prime_glyph_suspect", (marked & raw.rlike(PRIMES)) | made.rlike(PRIMES)),
     )
     return F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in flags]))
 
@@ -215,8 +225,8 @@ def corruption_flags(text: Column, latex: Column | None = None) -> Column:
 def token_kind(token: Column) -> Column:
     """ST22: formula, reference_marker or citation."""
     return (
-        F.when(token.rlike(r"^\{\{formula:") | token.rlike(r"[=<>≤≥∑∫^]"), F.lit("formula"))
-        .when(token.rlike(r"^\[[0-9,\-\s;]+\]$") | token.rlike(r"(?i)^(?:Fig|Figure|Table|Eq|Equation|Sec|Section|Appendix)\b"), F.lit("reference_marker"))
+        F.when(token.rlike(FORMULA_TOKEN[0]) | token.rlike(FORMULA_TOKEN[1]), F.lit("formula"))
+        .when(token.rlike(MARKER_TOKEN[0]) | token.rlike(MARKER_TOKEN[1]), F.lit("reference_marker"))
         .otherwise(F.lit("citation"))
     )
 
