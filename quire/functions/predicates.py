@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import FORMULA_REF, LONG_WORDS, PROSE_BOUNDARY, repair, squeeze, strip
 
+# Labels of captions, signs of mathematics, roles of blocks that stand together, and of headings.
 CAPTION_LABEL = r"(?i)^\s*(?:(?:fig\.|figure|table)\s*[A-Z]?\d+(?:[.\-][A-Za-z0-9]+)*\s*[.:：)]|(?:图|表)\s*[A-Z]?\d+(?:[.\-][A-Za-z0-9]+)*\s*[.:：、)])"
 MATH_SIGNAL = r"[=+*/^_<>≤≥≠≈∑∫√∞∂∇±×÷·\\]|[α-ωΑ-Ω]"
 CLUSTERS = ("caption", "figure", "formula", "reference", "table")
@@ -239,6 +240,7 @@ DOCUMENT_KINDS = (
     ("course_paper", r"课程论文|course\s+paper|term\s+paper"),
     ("homework", r"普通作业|作业|homework|assignment"),
 )
+# Keyword rules for citation styles, and below for where a template comes from, in order.
 CITATION_STYLES = (
     ("gb_t_7714", r"gb/t\s*7714|gbt\s*7714|国标\s*7714|参考文献国标"),
     ("apa", r"\bapa\b"),
@@ -267,6 +269,7 @@ def intent_confidence(text: Column) -> Column:
     return F.when(named, 0.82).when(F.coalesce(text, F.lit("")) != "", 0.45).otherwise(0.35)
 
 
+# How instructions ask for two columns, for one, and for the gap between them.
 TWO_COLUMNS = r"(?i)双栏|两栏|双列|两列|(?:double|two|2)\s*[- ]?\s*col(?:umns?|umes?|ums?)"
 ONE_COLUMN = r"(?i)单栏|一栏|单列|(?:single|one|1)\s*[- ]?\s*col(?:umns?|umes?|ums?)"
 COLUMN_GAP = r"(?i)(?:栏距|列距|column\s+gap)\s*[:：=]?\s*(\d+(?:\.\d+)?)\s*(pt|mm|cm|毫米|厘米)?"
