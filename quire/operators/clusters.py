@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import predicates
 from quire.functions import text as t
 from quire.functions.fence import fenced
-from quire.operators.formulas import CLUSTER_HEIGHT, NO_CLUSTER, SIGNAL, cluster_steps
+from quire.operators.formulas import CLUSTER_HEIGHT, CLUSTER_LENGTH, NO_CLUSTER, SIGNAL, cluster_steps
 
 # Points by which a band reaches up and down, and by which boxes of two columns may stand apart; the longest weak fragment.
 REACH, APART, OVERLAP, WEAK = 10.0, 72.0, -4.0, 64
@@ -33,7 +33,10 @@ def cluster_members(blocks: DataFrame) -> DataFrame:
     """
     height = F.col("box.y1") - F.col("box.y0")
     stripped = F.trim(F.coalesce("text", F.lit("")))
-    told = fenced(blocks, *cluster_steps(stripped, F.coalesce("role", F.lit("")), height, F.col("formula_id"), F.coalesce("independent", F.lit(False)), "_part"), ("_fixed", t.repair(stripped)))
+    # Long texts and roles that take no part go before anything is searched in them: Java's regular expressions recurse on long texts.
+    short = F.length(F.replace(t.squeeze(F.regexp_replace(stripped, t.CONTROL, " ")), F.lit("\u00ad"), F.lit(""))) <= max(CLUSTER_LENGTH, WEAK)
+    likely = blocks.where(short & ~F.coalesce("role", F.lit("")).isin(*NO_CLUSTER))
+    told = fenced(likely, *cluster_steps(stripped, F.coalesce("role", F.lit("")), height, F.col("formula_id"), F.coalesce("independent", F.lit(False)), "_part"), ("_fixed", t.repair(stripped)))
     told = told.withColumn("_part", F.coalesce("_part", F.lit(False))).withColumn("_weak", F.coalesce(weak_fragment(F.col("_fixed"), F.coalesce("role", F.lit("")), height), F.lit(False)))
     rows = told.where("_part OR _weak").select(*PAGE, "ord", "block_id", "column", "_part", *[F.col(f"box.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
