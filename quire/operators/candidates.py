@@ -50,10 +50,11 @@ def union(blocks: DataFrame, spans: DataFrame, lines: DataFrame, assets: DataFra
     merged = store(clusters.merged(free).where("n_members > 1"), "clusters")
     found.append(_rows(merged, "cluster", "display", F.col("text"), start=F.lit(0), end=F.length("text"), flags=F.array(F.lit("formula_display_cluster")), members=F.col("members")))
     free = free.join(merged.select(*PAGE, F.explode("members").alias("block_id")), BLOCK, "left_anti")
-    free = fenced(free.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).where(F.col("formula_id").isNull() & ~F.col("text").rlike(_REF)), *formulas.formula_steps(F.col("text"), "_f"))
-    whole = (F.col("role") == "formula") & F.coalesce(F.col("_f_display"), F.lit(False))
-    found.append(_rows(free.where(whole), "block", "display", F.col("text"), start=F.lit(0), end=F.length("text")))
-    rest = free.where(~whole).select(*BLOCK, "role", "text", "box")
+    free = free.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).where(F.col("formula_id").isNull() & ~F.col("text").rlike(_REF))
+    # Only blocks with the role of a formula are told by their look; prose goes on as it is, and no other role gives a candidate.
+    whole = fenced(free.where("role = 'formula'"), *formulas.formula_steps(F.col("text"), "_f")).where("_f_display")
+    found.append(_rows(whole, "block", "display", F.col("text"), start=F.lit(0), end=F.length("text")))
+    rest = free.where(F.col("role").isin(*spanruns.ROLES)).select(*BLOCK, "role", "text", "box")
     # Blocks are told apart by page too.
     inside = spanruns.inline_runs(rest.withColumn("block_id", F.struct("page_id", "block_id")), *[_paged(x) for x in (spans, lines)])
     inside = inside.withColumns({"page_id": F.col("block_id.page_id"), "block_id": F.col("block_id.block_id")})

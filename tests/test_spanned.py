@@ -105,3 +105,15 @@ def test_running_numbers(spark):
                 last = max(last, want[f"{doc}{pos}"])
     df = spark.createDataFrame(rows, "doc_id string, pos int, n int, formula_id string, source_text string, mode string")
     assert {r["formula_id"]: r["number"] for r in formulas.numbered(df).collect()} == want
+
+
+def test_long_lines_of_prose(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import predicates
+    from quire.functions.fence import fenced
+    from quire.operators import formulas
+
+    rows = spark.createDataFrame([("word " * 20_000,), ("some words, here",), ("some words or here",)], "text string")
+    told = fenced(rows, *formulas.cut_steps(F.col("text"), "c", raw=True)).select(predicates.prose(F.col("text")).alias("prose"), "c")
+    assert [tuple(r) for r in told.collect()] == [(True, ""), (True, ""), (False, "some words or here")]
