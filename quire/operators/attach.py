@@ -37,11 +37,18 @@ def _last(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def _blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:
-    """A display formula makes its block a formula, whose text is the reference; inline ones take their place in the text, from right to left; other blocks stay."""
+def _blocks(blocks: DataFrame, new: DataFrame, held: DataFrame) -> DataFrame:
+    """A display formula makes its block a formula, whose text is the reference; inline ones take their place in the text, from right to left; other blocks stay.
+
+    Inline ones that stand in `held` (the document's formulas) at the same place have been put already, also where another one's reference was written over theirs since.
+    """
     of = ["doc_id", "page_id", "block_id"]
     display = _last(new.where("mode = 'display' AND source_block_id IS NOT NULL").withColumnRenamed("source_block_id", "block_id"), *of).select(*of, F.col("formula_id").alias("_display"))
-    inline = new.where("mode = 'inline' AND anchor_block_id IS NOT NULL").select("doc_id", "page_id", F.col("anchor_block_id").alias("block_id"), F.struct(F.coalesce("start", F.lit(-1)).alias("start"), "n", "end", "source_text", _ref(F.col("formula_id")).alias("ref")).alias("f"))
+    place = ["doc_id", "page_id", "formula_id", "mode", "anchor_block_id", "start", "end", "source_text"]
+    known = held.where("mode = 'inline' AND anchor_block_id IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in place])
+    inline = new.where("mode = 'inline' AND anchor_block_id IS NOT NULL")
+    inline = inline.join(known, [inline[c].eqNullSafe(known[f"_{c}"]) for c in place], "left_anti")
+    inline = inline.select("doc_id", "page_id", F.col("anchor_block_id").alias("block_id"), F.struct(F.coalesce("start", F.lit(-1)).alias("start"), "n", "end", "source_text", _ref(F.col("formula_id")).alias("ref")).alias("f"))
     inline = inline.groupBy(*of).agg(F.sort_array(F.collect_list("f"), asc=False).alias("_inline"))
 
     def put(text, f):
@@ -88,7 +95,7 @@ def _formulas(old: DataFrame, new: DataFrame, refused: DataFrame | None) -> Data
 def attach(document: Document, new: DataFrame, refused: DataFrame | None = None) -> Document:
     """`new` formulas (columns of Document.formulas) in all three tables at once. Rows that no formula touches stay as they are.
 
-    `refused`: `doc_id`, `quality_flags` of formulas that weren't accepted. Doing it again with the same formulas changes nothing: a reference that a text has isn't put into it again, and
+    `refused`: `doc_id`, `quality_flags` of formulas that weren't accepted. Doing it again with the same formulas changes nothing: neither a formula that the document has at the same place nor a reference that a text has is put into it again, and
     a row that a key has is replaced. Of several formulas for one block, asset or id the last by `n` counts. Formulas for blocks and pages that aren't there only stand in the formulas.
     """
-    return Document(_blocks(document.blocks, new), _assets(document.assets, document.blocks, new), _formulas(document.formulas, new, refused))
+    return Document(_blocks(document.blocks, new, document.formulas), _assets(document.assets, document.blocks, new), _formulas(document.formulas, new, refused))
