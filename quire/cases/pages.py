@@ -296,5 +296,7 @@ def ss04_ss05_workflows(spark, sf_dir):
     planned = lambda rows: rows.withColumn("has_plans", F.lit(True))
     nodes = {"read_input": fails("read"), "validate_layout_plan": fails("validate"), "build_source_plans": planned, "translate_chunks": planned, "evaluate_render": lambda rows: rows.withColumn("repair_recommended", F.col("attempt") < F.col("repairs"))}
     final, steps = workflow.run(docs, nodes, store)
-    last = steps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_steps"), F.max_by("node", "step").alias("last_node"))
-    return final.select("doc_id", "attempt").join(last, "doc_id")
+    # One aggregation over both: a join would send a row of each document through the driver, where its tables look small enough to be broadcast.
+    none = F.lit(None)
+    both = steps.select("doc_id", "step", "node", none.cast("int").alias("attempt")).unionByName(final.select("doc_id", none.cast("int").alias("step"), none.cast("string").alias("node"), "attempt"))
+    return both.groupBy("doc_id").agg(F.max("attempt").alias("attempt"), F.count("step").alias("n_steps"), F.max_by("node", "step").alias("last_node"))

@@ -36,8 +36,9 @@ def run(documents: DataFrame, nodes: dict[str, Callable[[DataFrame], DataFrame]]
     """SS04, SS05: all documents (`doc_id` and any columns) through the workflow; the final states and the steps (`doc_id`, `step` from 0, `node`, `attempt`, `error`).
 
     `nodes`: what a node does to the states that stand at it (by name; a missing one does nothing). A document moves one node a round, all documents of a node
-    together; repair_layout_plan counts an `attempt`. `write(df, name)` writes a table and reads it back: each round starts from the written states of the one before, so the
-    workflow goes on after a lost executor, and a new driver could go on from the last table. The rounds are bounded by the graph and `max_repairs`.
+    together; repair_layout_plan counts an `attempt`. `write(df, name)` writes a table and reads it back: each round is written once and starts from what the one before wrote, so the
+    workflow goes on after a lost executor, and a new driver could go on from the last table. Documents at the end are not carried on: the final states are read from the rounds in which they ended.
+    The rounds are bounded by the graph and `max_repairs`.
     """
     to = edges(max_repairs)
     state = documents
@@ -46,9 +47,10 @@ def run(documents: DataFrame, nodes: dict[str, Callable[[DataFrame], DataFrame]]
             state = state.withColumn(name, F.lit(value).cast(kind))
     columns = [*state.columns, "node", "attempt"]
     state = write(state.withColumns({"node": F.lit(START), "attempt": F.lit(0)}), "round0")
-    steps = None
+    steps = state.select("doc_id", F.lit(0).alias("step"), "node", "attempt", "error").where(F.lit(False))
+    final = state.where(F.lit(False))
     for turn in range(len(to) + 5 * max_repairs + 1):
-        here = [r["node"] for r in state.select("node").distinct().collect() if r["node"] != END]
+        here = [r["node"] for r in state.select("node").distinct().collect()]
         if not here:
             break
         working = [node for node in sorted(here) if node in nodes]
@@ -60,16 +62,17 @@ def run(documents: DataFrame, nodes: dict[str, Callable[[DataFrame], DataFrame]]
                 rows = rows.withColumn("attempt", F.col("attempt") + 1)
             moved = moved.unionByName(nodes[node](rows).select(*columns))
         moved = write(moved, f"step{turn}")
-        log = moved.where(F.col("node") != END).select("doc_id", F.lit(turn).alias("step"), "node", "attempt", "error")
-        steps = log if steps is None else steps.unionByName(log)
+        steps = steps.unionByName(moved.select("doc_id", F.lit(turn).alias("step"), "node", "attempt", "error"))
         following = F.lit(END)
         for node in here:
             value = to[node]
             following = F.when(F.col("node") == node, F.lit(value) if isinstance(value, str) else value).otherwise(following)
-        state = write(moved.withColumn("node", following), f"round{turn + 1}")
-    if steps is None:
-        steps = state.select("doc_id", F.lit(0).alias("step"), "node", "attempt", "error").where(F.lit(False))
-    return state, steps
+        routed = moved.withColumn("node", following)
+        final = final.unionByName(routed.where(F.col("node") == END))
+        state = routed.where(F.col("node") != END)
+    else:
+        final = final.unionByName(state)
+    return final, steps
 
 
 def failures_kept(rows: DataFrame, work: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:

@@ -78,3 +78,23 @@ def test_one_bad_text_costs_only_itself(spark):
 
     rows = spark.createDataFrame([("a",), ("bad",), ("c",)], "text string").coalesce(1)
     assert {r["text"]: (r["result"], r["failure"]) for r in workflow.failures_kept(rows, work).collect()} == {"a": ("A", None), "bad": (None, "ValueError: no"), "c": ("C", None)}
+
+
+def test_workflow_states_are_written_once_and_stay_off_the_driver(spark, tmp_path):
+    from quire.cases.pages import ss04_ss05_workflows
+    from quire.plans import workflow
+    from quire.scratch import store
+
+    written = {}
+
+    def write(df, name):
+        out = store(df, name)
+        written[name] = out.count()
+        return out
+
+    docs = spark.createDataFrame([(i, "broken" if i % 2 else None) for i in range(10)], "doc_id int, breaks string")
+    final, steps = workflow.run(docs, {"read_input": lambda rows: rows.withColumn("error", rows["breaks"])}, write)
+    assert sum(written.values()) == 10 + steps.count() and final.count() == 10
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = ss04_ss05_workflows(spark, str(tmp_path))
+    assert rows.count() == 100 and "Broadcast" not in rows._jdf.queryExecution().toString()
