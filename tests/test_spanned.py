@@ -117,3 +117,9 @@ def test_long_lines_of_prose(spark):
     rows = spark.createDataFrame([("word " * 20_000,), ("some words, here",), ("some words or here",)], "text string")
     told = fenced(rows, *formulas.cut_steps(F.col("text"), "c", raw=True)).select(predicates.prose(F.col("text")).alias("prose"), "c")
     assert [tuple(r) for r in told.collect()] == [(True, ""), (True, ""), (False, "some words or here")]
+
+
+def test_accents_are_edges_of_words_as_in_the_sql(spark):
+    math = "ABC+CMMI10"
+    got = found(spark, [[t("des "), t("Iees ", math), t("ciónción ", math), t("+1", math), t(" al"), t("go")]])
+    assert [k[2] for k in got] == ["Iees ciónción +1"]
