@@ -70,3 +70,11 @@ def test_ids(spark):
     got = one(spark, "a", lambda c: ids.stable_id(F.lit("p"), c, F.lit(3)))
     assert got == "p" + hashlib.sha1(b"a|3").hexdigest()[:12]
     assert spark.range(1).select(ids.ordered_distinct(F.array(*[F.lit(x) for x in ("b", "", "a", "b")])).alias("x")).first()["x"] == ["b", "a"]
+
+
+def test_widths_search_a_text_once_and_make_no_string_of_each_match(spark):
+    width = text.width_hundredths(F.col("t"))
+    assert "regexp_count" not in str(width) and str(width).count("regexp_replace(t,") == 1
+    cases = {"": 0, "ab": 104, "A1\t ": 64 + 56 + 200 + 34, "é表　²": 72 + 100 + 34 + 56, "Éz": 64 + 52, None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["w"] for r in df.select("t", width.alias("w")).collect()} == cases
