@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import chunks, events, formulas, integrity, jobs, layout, sections
 from quire.plans import translation
 from quire.sources import layout_json
@@ -270,3 +271,19 @@ def test_whole_plans_against_brute_force(spark, tmp_path):
     assert rows("j02_plan_coverage", "doc_id", "pos", "code", "detail") == sorted(issues)
     assert rows("j01_rendered_blocks", "doc_id", "pos", "shown_text", "flags") == sorted(shown)
     assert {c for *_, c, _ in issues} == {"missing_block", "missing_token"} and any(f.startswith("formula") for *_, f in plans)
+
+
+def test_formulas_are_detected_in_one_pass(spark):
+    """Whole blocks and places inside them come from one reading of the blocks, which costs most; rows that repeat a place keep their candidates."""
+    b = blocks(spark, ("formula", "E = m c^2"), ("paragraph", "the value x_1=a+2 holds"), ("formula", "y = 1"))
+    found = formulas.detect(b.unionByName(b.where("role = 'formula'")).localCheckpoint())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = sorted((r["pos"], r["n"], r["mode"], r["source_text"]) for r in found.collect())
+    assert got == [(0, 0, "display", "E = m c^2")] * 2 + [(1, 1, "inline", "x_1=a+2")] + [(2, 0, "display", "y = 1")] * 2
+
+
+def test_repair_leaves_nothing_out(spark):
+    """What tells whether a text is repaired at all knows everything that the repair changes."""
+    texts = [x + c + y for c in [*map(chr, range(0x250)), *text.PDF_REPLACEMENTS, "\u0304", "\u0307", "\u02d9", "\u2003", "\u2028", "\u3000", "  ", " "] for x in ("a", "") for y in ("b", "", " 1")]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert df.where(~text.repair(F.col("t")).eqNullSafe(text.squeeze(text.repair_fragment(F.col("t"))))).count() == 0
