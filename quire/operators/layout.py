@@ -12,8 +12,8 @@ from quire.functions.predicates import boilerplate, caption_label
 PAGE = ["doc_id", "page_id"]
 
 
-#: Points of a grid tile, and the tiles that coordinates fall into at the least and at the most: what lies further out is in the outermost ones.
-TILE, FIRST_TILE, LAST_TILE = 64.0, -8, 39
+#: Points of a grid tile (twice as many as a line of text or a small figure is wide, so that most boxes lie in one or two), and the tiles that coordinates fall into at the least and at the most: what lies further out is in the outermost ones.
+TILE, FIRST_TILE, LAST_TILE = 128.0, -4, 19
 
 
 def _tile(at: Column) -> Column:
@@ -28,24 +28,25 @@ def tiled(items: DataFrame, box: str = "box", reach: float = 0.0) -> DataFrame:
     return items.where(placed).withColumn("tx", F.explode(across)).withColumn("ty", F.explode(down))
 
 
-def _once(a: Column, b: Column, reach: float = 0.0) -> Column:
-    """Whether this tile is the one of two boxes that meet: that of the left upper corner of what they share. `reach`: by which the first one was made higher."""
-    return (F.col("tx") == _tile(F.greatest(a["x0"], b["x0"]))) & (F.col("ty") == _tile(F.greatest(a["y0"] - reach, b["y0"])))
+def _once(a: Column, b: Column, reach: float = 0.0, side: str = "") -> Column:
+    """Whether this tile (of the table `side`) is the one of two boxes that meet: that of the left upper corner of what they share. `reach`: by which the first one was made higher."""
+    return (F.col(f"{side}tx") == _tile(F.greatest(a["x0"], b["x0"]))) & (F.col(f"{side}ty") == _tile(F.greatest(a["y0"] - reach, b["y0"])))
 
 
 def overlaps(items: DataFrame, least: float = 0.12) -> DataFrame:
     """Pairs of items of a page (`item_id`, `ord`) that share at least `least` (above 0) of the smaller one's area.
 
     Boxes are laid out on the tiles of their page and joined by page and tile; a pair that meets in several counts in one. So a page with very many boxes is no single key,
-    and a box meets only those near it.
+    and a box meets only those near it. Both sides are the same table, without other names in it, so that Spark shuffles it once.
     """
     if least <= 0:
         raise ValueError("least must be above 0")
     each = tiled(items.select(*PAGE, "item_id", "ord", "box"))
-    other = each.select(*PAGE, "tx", "ty", F.col("item_id").alias("second_id"), F.col("ord").alias("_ord"), F.col("box").alias("_box"))
-    share = g.overlap_of_smaller(F.col("box"), F.col("_box"))
-    pairs = each.join(other, [*PAGE, "tx", "ty"]).where((F.col("ord") < F.col("_ord")) & _once(F.col("box"), F.col("_box")) & (share >= least))
-    return pairs.select(*PAGE, F.col("item_id").alias("first_id"), "second_id", share.alias("share"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    share = g.overlap_of_smaller(a("box"), b("box"))
+    same = [a(c) == b(c) for c in (*PAGE, "tx", "ty")]
+    pairs = each.alias("a").join(each.alias("b"), same).where((a("ord") < b("ord")) & _once(a("box"), b("box"), side="a.") & (share >= least))
+    return pairs.select(*map(a, PAGE), a("item_id").alias("first_id"), b("item_id").alias("second_id"), share.alias("share"))
 
 
 def outside_page(items: DataFrame, pages: DataFrame, slack: float = 0.01) -> DataFrame:

@@ -61,3 +61,16 @@ def test_a_page_of_very_many_boxes(spark):
     began = time.perf_counter()
     pairs = layout.overlaps(page).count()
     assert pairs > 10_000 and time.perf_counter() - began < 60  # all pairs would be 1.25 billion comparisons
+
+
+def test_the_tiles_of_a_page_are_shuffled_once(spark):
+    """Both sides of the join of overlaps() are the same table, so its exchange is used again."""
+    df = spark.createDataFrame([("d", "p", f"i{i}", f"i{i}", (10.0 * i, 0.0, 10.0 * i + 15, 20.0)) for i in range(6)], "doc_id string, page_id string, item_id string, ord string, box struct<x0:double,y0:double,x1:double,y1:double>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = layout.overlaps(df)
+        assert sorted((r["first_id"], r["second_id"]) for r in out.collect()) == [(f"i{i}", f"i{i + 1}") for i in range(5)]
+        assert "Reused" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
