@@ -29,9 +29,10 @@ def level(state, error=None):
 def merge_events(sources: list[DataFrame], key: str, limit: int = 80) -> DataFrame:
     """One log per `key` from sources of (key, `id`, `sequence`, ...): repeated ids keep the first by sequence, and the last `limit` by (sequence, id) stay.
 
-    The limit is the feature: a log's tail. 0 keeps all.
+    The limit is the feature: a log's tail. 0 keeps all. Rows are dealt out by key once, which serves both windows.
     """
     both = reduce(DataFrame.unionByName, sources)
+    both = both.repartition(key) if limit > 0 else both
     rest = [c for c in both.columns if c not in (key, "id", "sequence")]
     first = W.partitionBy(key, "id").orderBy("sequence", *rest)
     once = both.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")

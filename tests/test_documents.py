@@ -287,3 +287,11 @@ def test_repair_leaves_nothing_out(spark):
     texts = [x + c + y for c in [*map(chr, range(0x250)), *text.PDF_REPLACEMENTS, "\u0304", "\u0307", "\u02d9", "\u2003", "\u2028", "\u3000", "  ", " "] for x in ("a", "") for y in ("b", "", " 1")]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
     assert df.where(~text.repair(F.col("t")).eqNullSafe(text.squeeze(text.repair_fragment(F.col("t"))))).count() == 0
+
+
+def test_a_log_is_dealt_out_once(spark):
+    """Repeated ids and the tail of a log are told on the same partitions."""
+    rows = spark.createDataFrame([("j", f"i{i % 4}", i, "x") for i in range(6)] + [("k", "i0", 1, "y")], "job_id string, id string, sequence long, title string").localCheckpoint()
+    out = events.merge_events([rows, rows], "job_id", 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r["job_id"], r["id"], r["sequence"]) for r in out.collect()) == [("j", "i2", 2), ("j", "i3", 3), ("k", "i0", 1)]
