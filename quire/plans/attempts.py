@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.fence import fenced
 from quire.functions.model_answers import first_object
 from quire.functions.predicates import chinese_target, reviewable, untranslated
 from quire.functions.text import TOKEN, remove_tokens
@@ -86,23 +87,29 @@ def asked(chunks: DataFrame, model: Model, attempt: int) -> DataFrame:
     return chunks.select(*CHUNK, ask("prompt").alias("answer"))
 
 
+def _read(answers: DataFrame) -> DataFrame:
+    """CHUNK, `blocks`: the rows of an answer, and `bad`: whether nothing could be read in it. Answers are read as they come, in the same pass of Python."""
+    found = fenced(answers, ("_json", first_object(F.col("answer"), "blocks")))
+    return found.select(*CHUNK, F.from_json("_json", ANSWER)["blocks"].alias("blocks"), F.col("_json").isNull().alias("bad"))
+
+
 def _judged(sources: DataFrame, answers: DataFrame, lang: str, attempt: int) -> DataFrame:
     """A plan row per block of the chunks that were asked: repaired answers, with `reason` where the chunk failed: unparseable_response or target_language_mismatch; `leaks`: this block is why."""
-    read = answers.withColumn("_json", first_object(F.col("answer"), "blocks"))
-    rows = read.select(*CHUNK, F.posexplode(F.from_json("_json", ANSWER)["blocks"]).alias("n", "b")).select(*CHUNK, "b.pos", "n", "b.translated_text", "b.role", "b.render_intent", "b.inline_items", "b.quality_flags")
-    plan = repaired(sources, rows.where("pos IS NOT NULL"), attempt)
-    told = sources.select(*KEYS, F.col("text").alias("_source"), F.col("role").alias("_role"), "preserve_tokens", "requires_translation")
+    rows = answers.select(*CHUNK, F.posexplode("blocks").alias("n", "b")).select(*CHUNK, "b.pos", "n", "b.translated_text", "b.role", "b.render_intent", "b.inline_items", "b.quality_flags")
+    told = {"text": "_source", "role": "_asked", "preserve_tokens": "_kept", "requires_translation": "_wanted"}
+    plan = repaired(sources, rows.where("pos IS NOT NULL"), attempt, told)
     chunk = W.partitionBy(*CHUNK)
     own = F.array(F.lit("repaired_layout_plan"), F.lit(f"retry_attempt_{attempt}"))
     mended = F.exists("quality_flags", lambda f: f.endswith("_repaired") | (f == "missing_translation") | (f == "role_mismatch"))
-    bare = F.trim(remove_tokens(F.col("translated_text"), F.col("preserve_tokens")))
-    leaks = chinese_target(F.lit(lang)) & reviewable(F.col("_role"), F.col("requires_translation")) & untranslated(F.col("_source"), bare)
-    out = plan.join(told, KEYS).join(read.select(*CHUNK, F.col("_json").isNull().alias("_bad")), CHUNK)
-    out = out.withColumn("leaks", F.coalesce(leaks, F.lit(False)) & ~F.col("_bad")).withColumn("_mended", F.max(mended).over(chunk)).withColumn("_leak", F.max("leaks").over(chunk))
+    asked_for = chinese_target(F.lit(lang)) & reviewable(F.col("_asked"), F.col("_wanted"))
+    leaks = asked_for & untranslated(F.col("_source"), F.col("_bare"))
+    judged = fenced(plan, ("_bare", F.when(asked_for, F.trim(remove_tokens(F.col("translated_text"), F.col("_kept"))))), ("leaks", F.coalesce(leaks, F.lit(False))))
+    out = judged.drop("_source", "_asked", "_kept", "_wanted", "_bare").join(answers.select(*CHUNK, F.col("bad").alias("_bad")), CHUNK)
+    out = out.withColumn("leaks", F.col("leaks") & ~F.col("_bad")).withColumn("_mended", F.max(mended).over(chunk)).withColumn("_leak", F.max("leaks").over(chunk))
     # A chunk of which no row had to be mended was right as it came.
     flags = F.when(F.col("_mended"), F.col("quality_flags")).otherwise(F.array_except("quality_flags", own))
     reason = F.when(F.col("_bad"), "unparseable_response").when(F.col("_leak"), "target_language_mismatch")
-    return out.withColumn("quality_flags", flags).withColumn("reason", reason).drop("_source", "_role", "preserve_tokens", "requires_translation", "_bad", "_mended", "_leak")
+    return out.withColumn("quality_flags", flags).withColumn("reason", reason).drop("_bad", "_mended", "_leak")
 
 
 def translated(sources: DataFrame, model: Model, lang: str, attempts: int = 3, terms: DataFrame | None = None) -> DataFrame:
@@ -121,7 +128,7 @@ def translated(sources: DataFrame, model: Model, lang: str, attempts: int = 3, t
     done = []
     for attempt in range(1, attempts + 1):
         # Answers are written as they come, so that no chunk is asked twice for one attempt, whatever fails after it.
-        answers = store(asked(prompts(open_, lang, F.col("_error")), model, attempt), f"answers{attempt}")
+        answers = store(_read(asked(prompts(open_, lang, F.col("_error")), model, attempt)), f"answers{attempt}")
         judged = store(_judged(open_.drop("_error"), answers, lang, attempt), f"attempt{attempt}")
         last = attempt == attempts
         good = judged if last else judged.where("reason IS NULL")
@@ -148,7 +155,7 @@ def translated(sources: DataFrame, model: Model, lang: str, attempts: int = 3, t
     again = first.join(severe, CHUNK, "left_semi").join(first.where("reason IS NOT NULL").select(*CHUNK).distinct(), CHUNK, "left_anti")
     said = found.groupBy(*KEYS).agg(F.sort_array(F.collect_set("flag")).alias("issues"))
     wanted = sources.join(again.select(*KEYS, "translated_text", "attempt"), KEYS).join(said, KEYS, "left")
-    answers = store(asked(prompts(wanted, lang, translated_text=F.col("translated_text"), issues=F.coalesce("issues", F.array().cast("array<string>"))), model, 0), "revisions")
+    answers = store(_read(asked(prompts(wanted, lang, translated_text=F.col("translated_text"), issues=F.coalesce("issues", F.array().cast("array<string>"))), model, 0)), "revisions")
     revised = store(_judged(sources.join(wanted.select(*KEYS), KEYS, "left_semi"), answers, lang, 1), "revised")
     applied = revised.where("reason IS NULL").join(wanted.select(*KEYS, "attempt"), KEYS).select(*KEYS, *plan, "attempt", F.lit(None).cast("string").alias("reason"))
     post = quality_issues(sources, applied, lang, terms).groupBy(*KEYS).agg(F.sort_array(F.collect_set("flag")).alias("issues"))

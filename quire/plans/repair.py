@@ -17,16 +17,18 @@ ITEM_KINDS = ("text", "citation", "formula", "reference_marker", "asset_ref")
 ITEMS = "array<struct<kind:string,text:string>>"
 
 
-def repaired(sources: DataFrame, answers: DataFrame, attempt: int = 1) -> DataFrame:
+def repaired(sources: DataFrame, answers: DataFrame, attempt: int = 1, carry: dict[str, str] | None = None) -> DataFrame:
     """JS03: a plan row per source block from the rows of an answer (`doc_id`, `chunk_no`, `pos`, `n`, `translated_text`, `role`, `render_intent`, `inline_items`, `quality_flags`).
 
     Of several rows for a block the first by `n` counts; rows for blocks that aren't there are dropped. A blank translation becomes the source text; formula references that lost
     a brace are mended if the block has them, missing ones are put at the end; other tokens that are in neither text nor items become items; unknown
-    roles, intents and kinds become the source's role, the role's intent and text. What was done is said in `quality_flags`, each once, in order.
+    roles, intents and kinds become the source's role, the role's intent and text. What was done is said in `quality_flags`, each once, in order. `carry`: columns of the sources that
+    the plan keeps, by the names that they get.
     """
+    carry = carry or {}
     keys = ["doc_id", "chunk_no", "pos"]
     side = first_rows(answers, ["n"], keys).select(*keys, F.struct("translated_text", "role", "render_intent", "inline_items", "quality_flags").alias("_a"))
-    rows = sources.select(*keys, "role", "text", F.coalesce("preserve_tokens", F.array().cast("array<string>")).alias("_tokens"), "requires_translation").join(side, keys, "left")
+    rows = sources.select(*keys, "role", "text", F.coalesce("preserve_tokens", F.array().cast("array<string>")).alias("_tokens"), "requires_translation", *[F.col(c).alias(n) for c, n in carry.items()]).join(side, keys, "left")
     is_ref = lambda x: x.rlike(f"^{FORMULA_REF}$")
     blank = F.coalesce(F.trim("_a.translated_text"), F.lit("")) == ""
     refs, others = F.filter("_tokens", is_ref), F.filter("_tokens", lambda x: ~is_ref(x))
@@ -70,4 +72,5 @@ def repaired(sources: DataFrame, answers: DataFrame, attempt: int = 1) -> DataFr
         F.concat("_items", F.transform("_added", lambda x: F.struct(token_kind(x).alias("kind"), x.alias("text")))).alias("inline_items"),
         intent.alias("render_intent"),
         F.array_distinct(F.concat(own, F.array_compact(told))).alias("quality_flags"),
+        *carry.values(),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.fence import fenced
 from quire.functions.predicates import chinese_target, render_intent, reviewable, untranslated
 from quire.functions.text import remove_tokens, token_kind
 
@@ -84,13 +85,15 @@ def quality_issues(sources: DataFrame, plan: DataFrame, lang: str, terms: DataFr
     """
     keys = ["doc_id", "chunk_no", "pos"]
     both = sources.select(*keys, "role", "text", "preserve_tokens", "requires_translation").join(plan.select(*keys, "translated_text"), keys).where(reviewable(F.col("role"), F.col("requires_translation")))
-    both = both.withColumn("_s", F.trim(remove_tokens(F.col("text"), F.col("preserve_tokens")))).withColumn("_t", F.trim(remove_tokens(F.col("translated_text"), F.col("preserve_tokens")))).where("_s <> ''")
+    bare = lambda c: F.trim(remove_tokens(F.col(c), F.col("preserve_tokens")))
+    both = fenced(fenced(both, ("_s", bare("text"))).where("_s <> ''"), ("_t", bare("translated_text")))
     ratio = F.length("_t") / F.length("_s")
     some, long = F.col("_t") != "", F.length("_s") >= 80
     leak = some & chinese_target(F.lit(lang)) & untranslated(F.col("text"), F.col("_t"))
     rules = (("empty", "severe", ~some), ("suspiciously_short", "severe", some & long & (ratio < 0.18)), ("suspiciously_long", "warning", some & long & (ratio > 2.8)), ("source_leakage", "severe", leak))
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(f"translation_quality_{n}").alias("flag"), F.lit(s).alias("severity"))) for n, s, c in rules]))
-    out = both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.flag", "x.severity")
+    # Fenced, as the explosion would have them all worked out a second time, for its filter of empty arrays.
+    out = fenced(both, ("_found", found)).select(*keys, F.explode("_found").alias("x")).select(*keys, "x.flag", "x.severity")
     if terms is None:
         return out
     pair = terms.select(F.lower(F.trim("source_term")).alias("_from"), F.lower(F.trim("target_term")).alias("_to")).where((F.col("_from") != "") & (F.col("_to") != "") & (F.col("_from") != F.col("_to"))).distinct()

@@ -1,9 +1,10 @@
 """Segments, batches, and translation by models that fail."""
 
 import json
-
+import random
 
 from quire.plans import attempts
+from quire.scratch import store
 
 SOURCE = "doc_id string, chunk_no int, pos int, role string, text string, preserve_tokens array<string>, requires_translation boolean"
 LONG = "A sentence of many words goes on and on for quite some time here. " * 3
@@ -105,6 +106,41 @@ def test_one_revision(spark):
     assert got[1, 0]["translated_text"] == "译文" and got[1, 0]["quality_flags"] == ["translation_quality_suspiciously_short", attempts.REVISION_FAILED]
 
 
+def test_answers_are_read_once_and_texts_judged_in_one_pass(spark):
+    """A model's answer went through Python twice an attempt, and each judgement of a text was worked out again in its filter."""
+    answer = answering()
+    rows = [(0, p, "Some words of text here", [], True) for p in range(3)]
+    asked = attempts._read(attempts.asked(attempts.prompts(sources(spark, *rows), "zh"), lambda ps, n: [answer(p, lambda b: "这是译文") for p in ps], 1))
+    judged = attempts._judged(sources(spark, *rows), store(asked, "answers"), "zh", 1)
+    assert [r["reason"] for r in judged.collect()] == [None] * 3 and "find(" not in str(judged._jdf.queryExecution().analyzed())
+    assert [f.name for f in asked.schema] == ["doc_id", "chunk_no", "blocks", "bad"]
+
+
+def test_untranslated_by_the_rule_spelled_out(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quire.functions.predicates import untranslated
+
+    def slow(source, text):
+        latin = r"[A-Za-z][A-Za-z'’\-]*"
+        han, dense, words = len(re.findall("[一-鿿]", text)), len(re.sub(r"\s+", "", text)), re.findall(latin, text)
+        if text.strip(" ") == "":
+            return True
+        if han >= 2 or han / max(dense, 1) >= 0.03 or len(words) < 3:
+            return False
+        mine = {w.lower() for w in words}
+        return len(mine & {w.lower() for w in re.findall(latin, source)}) / max(len(mine), 1) >= 0.5 or len(words) >= 5
+
+    draw, rows = random.Random(4), []
+    for _ in range(3000):
+        one = lambda: "".join(draw.choice(["a", "B'c", "-", "’", " ", "  ", "\t", "1", "é", "the-end", "one ", "two ", "é" * 30] + ["译"] * (draw.random() < 0.2)) for _ in range(draw.randrange(14)))
+        rows.append((one(), one()))
+    got = spark.createDataFrame(rows, "s string, t string").select("s", "t", untranslated(F.col("s"), F.col("t")).alias("x")).collect()
+    assert all(r["x"] == slow(r["s"], r["t"]) for r in got) and len({r["x"] for r in got}) == 2
+
+
 def test_nothing_to_translate(spark):
     never = lambda prompts, attempt: 1 / 0
     assert ran(spark, [], never) == {}

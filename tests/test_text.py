@@ -78,3 +78,18 @@ def test_widths_search_a_text_once_and_make_no_string_of_each_match(spark):
     cases = {"": 0, "ab": 104, "A1\t ": 64 + 56 + 200 + 34, "é表　²": 72 + 100 + 34 + 56, "Éz": 64 + 52, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["w"] for r in df.select("t", width.alias("w")).collect()} == cases
+
+
+def test_blanks_are_what_squeezing_changes(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quire.functions.text import BLANKS, squeeze
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab  \t\n\r\u00a0\u3000\u2003\u0085") for _ in range(draw.randrange(12))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", squeeze(F.col("t")).alias("x"), squeeze(F.col("t")).rlike(BLANKS).alias("again"))
+    for r in df.collect():
+        assert r["x"] == re.sub(r"\s+", " ", r["t"]).strip(" ") and not r["again"]
