@@ -104,7 +104,9 @@ def layout_files(spark, sf_dir):
     other = F.concat(F.lit("["), joined(lambda x: F.concat(F.lit("["), x["items"], F.lit("]"))), F.lit("]"))
     files = docs.select(F.col("conv_id").alias("doc"), F.explode(F.array(F.struct(F.lit("pages").alias("kind"), own.alias("value")), F.struct(F.lit("contents").alias("kind"), other.alias("value")))).alias("x")).select("doc", "x.kind", "x.value")
     folder = scratch.new_folder(spark, "layouts")
-    files.repartition("doc").write.partitionBy("doc", "kind").text(folder)
+    # A file costs its making, not its bytes: a fixed number of tasks, by a key that no exchange before has (else Spark leaves this one out and puts tasks together by size); each moves its own files into place.
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files.repartition(many, F.hash("doc")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc", "kind").text(folder)
     return folder
 
 

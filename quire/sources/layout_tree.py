@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.fence import fenced
 from quire.functions.text import repair, strip_tags
+from quire.scratch import store
 
 # Patterns of paths; lists of items of a page, in order; fields that hold an item's text by precedence, and lists that do.
 PAGES_FILE, CONTENT_FILE = r"middle\.json$", r"content_list_v2\.json$"
@@ -37,15 +39,15 @@ def _objects(raw: Column) -> Column:
 
 
 def raw_items(files: DataFrame) -> DataFrame:
-    """Items as JSON texts: `doc_id`, `page_index`, `i` (their place in the lists), `raw`. Pages without items of their own take those of the content list of the same number, if there is one (an anti-join)."""
-    pages = files.select("doc_id", F.posexplode(_objects(F.get_json_object("pages", "$.pdf_info"))).alias("page_index", "page"))
+    """Items as JSON texts: `doc_id`, `page_index`, `i` (their place in the lists), `raw`. Pages without items of their own take those of the content list of the same number, if there is one. A document's two files stand in its row, so they are read once."""
     none = F.array().cast("array<string>")
-    every = F.concat(*[F.coalesce(_objects(F.get_json_object("page", f"$.{c}")), none) for c in LISTS])
-    own = pages.select("doc_id", "page_index", F.posexplode(every).alias("i", "raw"))
-    empty = pages.select("doc_id", "page_index").join(own.select("doc_id", "page_index").distinct(), ["doc_id", "page_index"], "left_anti")
-    lists = files.select("doc_id", F.posexplode(F.from_json("contents", "array<string>")).alias("page_index", "list"))
-    other = lists.join(empty, ["doc_id", "page_index"]).select("doc_id", "page_index", F.posexplode(_objects(F.col("list"))).alias("i", "raw"))
-    return own.unionByName(other)
+    objects = _objects(F.get_json_object("pages", "$.pdf_info"))
+    both = fenced(files, ("_pages", objects), ("_lists", F.from_json("contents", "array<string>")))
+    with_list = F.transform("_pages", lambda p, i: F.struct(p.alias("page"), F.get("_lists", i).alias("list")))
+    each = both.select("doc_id", F.posexplode(with_list).alias("page_index", "x")).select("doc_id", "page_index", "x.page", "x.list")
+    own = F.concat(*[F.coalesce(_objects(F.get_json_object("page", f"$.{c}")), none) for c in LISTS])
+    every = fenced(each, ("_own", own), ("_items", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.coalesce(_objects(F.col("list")), none))))
+    return every.select("doc_id", "page_index", F.posexplode("_items").alias("i", "raw"))
 
 
 def kind_of(v: Column) -> Column:
@@ -106,7 +108,8 @@ def items(files: DataFrame) -> DataFrame:
     left in `item`; text that is no JSON gives no items.
     """
     v = F.col("item")
-    rows = raw_items(files).withColumn("item", F.try_parse_json("raw")).where("item IS NOT NULL")
+    # Written once: how deep the items are, what is nested in them and what they say are all taken from the same rows, not from the files again.
+    rows = store(raw_items(files), "items").withColumn("item", F.try_parse_json("raw")).where("item IS NOT NULL")
     lines = F.coalesce(_list(v, "$.lines"), F.flatten(F.transform(F.coalesce(_list(v, "$.blocks"), F.array().cast("array<variant>")), lambda b: F.coalesce(F.try_variant_get(b, "$.lines", "array<variant>"), F.array().cast("array<variant>")))))
     span = lambda s: F.coalesce(F.try_variant_get(s, "$.content", "string"), F.try_variant_get(s, "$.text", "string"), F.lit(""))
     spans = F.flatten(F.transform(lines, lambda x: F.coalesce(F.try_variant_get(x, "$.spans", "array<variant>"), F.array().cast("array<variant>"))))

@@ -27,3 +27,27 @@ def test_files_of_any_shape(spark, tmp_path):
         ("a", 1, 0, "", "above"), ("a", 1, 1, "title", "from list"), ("b", 0, 0, "text", "in blocks"),
     ]
     assert got[0]["bbox"] == [1, 2, 3, 4] and got[3]["index"] is None and "strange" in json.loads(str(got[2]["item"].toJson()))
+
+
+def test_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Files were read once for pages with items, once for those without, once for content lists, and all again for the depth of items."""
+    seen = []
+    monkeypatch.setattr(layout_tree, "store", lambda df, name: seen.append(df) or df)
+    put(tmp_path / "a", "middle.json", {"pdf_info": [{"para_blocks": [{"type": "text", "text": "own"}, "x"]}, {}, {"tables": {}}]})
+    put(tmp_path / "a", "content_list_v2.json", [[{"text": "not used"}], [{"text": "listed"}, 3], None, [{"text": "no such page"}]])
+    put(tmp_path / "b", "middle.json", {"pdf_info": [{}]})
+    layout_tree.items(layout_tree.read_files(spark, str(tmp_path)))
+    (rows,) = seen
+    assert [(r["doc_id"], r["page_index"], r["i"], json.loads(r["raw"])["text"]) for r in rows.orderBy("page_index").collect()] == [("a", 0, 0, "own"), ("a", 1, 0, "listed")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_files_are_written_by_all_tasks(spark, monkeypatch):
+    """Spark put the tasks that write together by size, as few files as there are bytes."""
+    from quire.cases import files
+
+    folder = files.layout_files(spark, "/root/testdata/sf0.001")
+    rows = spark.read.text(folder).groupBy("doc", "kind").count()
+    docs = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id").distinct().count()
+    parts = {p.rsplit("/", 1)[1].split("-")[1] for p in spark.read.text(folder).inputFiles()}
+    assert rows.count() == 2 * docs and len(parts) > 1
