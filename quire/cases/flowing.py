@@ -64,7 +64,8 @@ SHORT = 20
 def pieces(spark, sf_dir):
     """Lines of documents in pieces of SHORT characters, each 17th an asset instead; the number of a piece is 4096 times its line's, and its place in it."""
     b = line_blocks(spark, sf_dir)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SHORT)), lambda i: F.trim(F.substring("text", i * SHORT + 1, F.lit(SHORT))))
+    # One pass over a line; a substring a piece would count its characters from the line's beginning each time.
+    cut = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{SHORT}}}"), F.lit(0)), lambda x: F.trim(x))
     p = b.select("doc_id", F.col("pos").alias("line"), "role", F.posexplode(cut).alias("k", "text")).withColumn("pos", F.col("line").cast("long") * 4096 + F.col("k"))
     asset, head = F.col("pos") % 17 == 16, F.col("role").isin("title", "heading")
     n = F.col("pos")

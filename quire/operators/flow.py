@@ -15,6 +15,8 @@ KEPT_BELOW = 36.0
 LEAST_SCALE = 0.72
 ASSET_SHARE, ASSET_LEAST, ASSET_TALLEST = 0.42, 24.0, 72.0
 EPSILON = 0.01
+#: Roles that ask for room below them, or for a page of their own.
+KEPT_TOGETHER = ("title", "heading", "reference")
 #: Least lines of a text at the foot of a column.
 FOOT_LINES = 2
 
@@ -214,6 +216,23 @@ class _Flow:
             else:
                 self.cols[self.active] = self.y
 
+    def plain(self, pos: int, kind: str, role: str, span: str, text: str, style, units: int) -> tuple | None:
+        """The row of a text that goes whole where the cursor stands, as most do, the same as text() gives; None, and nothing done, where anything else may happen."""
+        column = self.two and span == "column"
+        if kind != "text" or self.waiting or not text or role in KEPT_TOGETHER or self.two and not column:
+            return None
+        y, width = self.cols[self.active] if column else self.y, self.narrow
+        first = self.bottom - y - style.before
+        if self.texts and first < style.font * style.line * FOOT_LINES or len(text) > style.chars(width, (self.texts and first) or self.tallest):
+            return None
+        height, up = style.height(units, width), y + style.before
+        if up + height > self.bottom:
+            return None
+        x0 = self.x0 + (self.active * self.step if column else 0.0)
+        self.texts, self.y = True, up + height + style.after
+        self.cols[self.active] = self.y
+        return (pos, "text", 1, 1, self.page, self.active if column else None, x0, up, x0 + width, up + height, "inline", text, [])
+
     def place(self, item: dict) -> Iterator[tuple]:
         """The rows that an item gives: (pos, part, fragment, fragments, page, column, box, placement, text, flags); those of figures that waited may come first."""
         if self.waiting and not self.used:
@@ -281,17 +300,22 @@ def reflow(items: DataFrame, pages: Pages = Pages()) -> DataFrame:
             columns["units"] = widths_of(columns["text"])
             fields = list(columns)
             for values in zip(*columns.values(), strict=True):
-                item = dict(zip(fields, values, strict=True))
-                if flow is None or item["doc_id"] != doc:
+                owner, pos, kind, role, span, text, *look, _, _, units = values
+                if flow is None or owner != doc:
                     out += [(doc, *r) for r in flow.finish()] if flow else []
-                    flow, doc = _Flow(pages), item["doc_id"]
-                look = (item["font_size"], item["line_height"], item["space_before"], item["space_after"], item["indent"])
-                if look not in styles:
+                    flow, doc = _Flow(pages), owner
+                style = styles.get(tuple(look))
+                if style is None:
                     if len(styles) > 1000:
                         styles.clear()
-                    styles[look] = Style(*look)
-                item["style"], item["measure"] = styles[look], measure
-                out += [(doc, *r) for r in flow.place(item)]
+                    style = styles[tuple(look)] = Style(*look)
+                row = flow.plain(pos, kind, role, span, text, style, units)
+                if row:
+                    out.append((doc, *row))
+                else:
+                    item = dict(zip(fields, values, strict=True))
+                    item["style"], item["measure"] = style, measure
+                    out += [(doc, *r) for r in flow.place(item)]
                 if len(out) > 5000:
                     yield handed()
         if flow:

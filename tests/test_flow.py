@@ -178,6 +178,40 @@ def test_boxes_never_cross(spark):
                     assert a["x1"] <= b["x0"] + 1e-6 or b["x1"] <= a["x0"] + 1e-6 or a["y1"] <= b["y0"] + 1e-6 or b["y1"] <= a["y0"] + 1e-6
 
 
+def test_plain_texts_are_placed_as_by_all_rules():
+    """Texts that go in whole take a short way; it has to give what the long one gives, and leave the same cursors."""
+    draw = random.Random(6)
+    styles = [Style(10.0, 1.25, b, a, i) for b in (0.0, 3.0) for a in (0.0, 2.5) for i in (0.0, 2.0)]
+    short = 0
+    for columns in (1, 2):
+        for _ in range(60):
+            quick, slow = (flow._Flow(flow.Pages(**(SMALL.__dict__ | {"columns": columns}))) for _ in range(2))
+            for pos in range(60):
+                t = "word " * draw.choice([1, 3, 8, 60])
+                item = {"pos": pos, "kind": draw.choice(["text"] * 8 + ["asset", "figure"]), "role": draw.choice(["paragraph"] * 6 + ["heading", "reference"]), "span": draw.choice(["column"] * 5 + ["full"]), "text": draw.choice([t.strip(), t.strip(), ""]), "style": draw.choice(styles), "measure": width_of, "width": 80.0, "height": draw.choice([20.0, 90.0])}
+                item["units"] = width_of(item["text"])
+                want = list(slow.place(item))
+                row = quick.plain(*[item[k] for k in ("pos", "kind", "role", "span", "text", "style", "units")])
+                short += bool(row)
+                assert ([row] if row else list(quick.place(item))) == want
+                assert (quick.y, quick.cols, quick.active, quick.page, quick.texts, quick.assets) == (slow.y, slow.cols, slow.active, slow.page, slow.texts, slow.assets)
+            assert list(quick.finish()) == list(slow.finish())
+    assert short > 1000
+
+
+def test_pieces_of_a_long_line(spark, tmp_path):
+    """Pieces were cut by their places, each counted from the beginning of the line."""
+    from quire.cases import flowing
+
+    text = "Ab 译文😀é  " * 40 + "end."
+    spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = flowing.pieces(spark, str(tmp_path))
+    got = [r["text"] for r in made.where("doc_id = 1").orderBy("pos").collect()]
+    line = " ".join(text.split())
+    assert got == [line[i : i + 20].strip(" ") for i in range(0, len(line), 20)]
+    assert "substring" not in made._jdf.queryExecution().analyzed().toString()
+
+
 def test_nothing(spark):
     assert flow.reflow(spark.createDataFrame([], ITEM)).collect() == []
     rows = spark.createDataFrame([("d", 0, None, 50.0, 20.0), ("d", 1, "a b", 0.0, 0.0)], "doc_id string, pos int, text string, width double, height double")
