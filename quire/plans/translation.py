@@ -78,15 +78,20 @@ def coverage_issues(sources: DataFrame, plan: DataFrame) -> DataFrame:
     return both.select(*keys, F.explode(found).alias("x")).select(*keys, "x.code", "x.detail")
 
 
+def _reviewed(sources: DataFrame, plan: DataFrame) -> DataFrame:
+    """Blocks that J19 and U04 review, with their translations and `_s`, the text without its tokens, which isn't blank."""
+    keys = ["doc_id", "chunk_no", "pos"]
+    both = sources.select(*keys, "role", "text", "preserve_tokens", "requires_translation").join(plan.select(*keys, "translated_text"), keys).where(reviewable(F.col("role"), F.col("requires_translation")))
+    return fenced(both, ("_s", F.trim(remove_tokens(F.col("text"), F.col("preserve_tokens"))))).where("_s <> ''")
+
+
 def quality_issues(sources: DataFrame, plan: DataFrame, lang: str, terms: DataFrame | None = None) -> DataFrame:
     """`doc_id`, `chunk_no`, `pos`, `flag`, `severity`: empty, too short or long, leaking or missing-term translations.
 
-    `terms` (`source_term`, `target_term`): a block that holds a source term (any case) needs its target term; terms that are the same in both languages are passed over.
+    `terms`: a glossary (missing_terms), which is broadcast.
     """
     keys = ["doc_id", "chunk_no", "pos"]
-    both = sources.select(*keys, "role", "text", "preserve_tokens", "requires_translation").join(plan.select(*keys, "translated_text"), keys).where(reviewable(F.col("role"), F.col("requires_translation")))
-    bare = lambda c: F.trim(remove_tokens(F.col(c), F.col("preserve_tokens")))
-    both = fenced(fenced(both, ("_s", bare("text"))).where("_s <> ''"), ("_t", bare("translated_text")))
+    both = fenced(_reviewed(sources, plan), ("_t", F.trim(remove_tokens(F.col("translated_text"), F.col("preserve_tokens")))))
     ratio = F.length("_t") / F.length("_s")
     some, long = F.col("_t") != "", F.length("_s") >= 80
     leak = some & chinese_target(F.lit(lang)) & untranslated(F.col("text"), F.col("_t"))
@@ -94,16 +99,34 @@ def quality_issues(sources: DataFrame, plan: DataFrame, lang: str, terms: DataFr
     found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(f"translation_quality_{n}").alias("flag"), F.lit(s).alias("severity"))) for n, s, c in rules]))
     # Fenced, as the explosion would have them all worked out a second time, for its filter of empty arrays.
     out = fenced(both, ("_found", found)).select(*keys, F.explode("_found").alias("x")).select(*keys, "x.flag", "x.severity")
-    if terms is None:
-        return out
+    return out if terms is None else out.unionByName(missing_terms(sources, plan, terms))
+
+
+#: A glossary of so many terms is looked for term by term, which takes less than the cutting of each text into pieces.
+FEW_TERMS = 1000
+
+
+def missing_terms(sources: DataFrame, plan: DataFrame, terms: DataFrame) -> DataFrame:
+    """`doc_id`, `chunk_no`, `pos`, `flag`, `severity` of blocks whose translation lacks a term, each once.
+
+    `terms` (`source_term`, `target_term`): a block that holds a source term (any case) needs its target term; terms that are the same in both languages are passed over. Up to FEW_TERMS terms are all looked for in
+    each block. Of a longer glossary, a term is looked up by its first three characters (or all, if it is shorter) among those of the block, so it needs no pairs of blocks and terms; it is
+    broadcast: the pieces of the texts, of which there are up to three a character, stay in the tasks that cut them.
+    """
+    keys = ["doc_id", "chunk_no", "pos"]
     pair = terms.select(F.lower(F.trim("source_term")).alias("_from"), F.lower(F.trim("target_term")).alias("_to")).where((F.col("_from") != "") & (F.col("_to") != "") & (F.col("_from") != F.col("_to"))).distinct()
-    # A term is looked up by its first three characters (or all, if it is shorter) among those of the block, so a glossary of any length needs no pairs of blocks and terms.
-    low = F.lower("text")
-    grams = F.array_distinct(F.concat(*[F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
-    near = both.select(*keys, F.explode(grams).alias("_key")).join(pair.withColumn("_key", F.substring("_from", 1, 3)), "_key").drop("_key")
-    texts = both.select(*keys, low.alias("_low"), F.lower("translated_text").alias("_shown"))
-    hits = near.join(texts, keys).where(F.col("_low").contains(F.col("_from")) & ~F.col("_shown").contains(F.col("_to")))
-    return out.unionByName(hits.select(*keys, F.lit("translation_quality_missing_key_term").alias("flag"), F.lit("severe").alias("severity")).distinct())
+    both = fenced(_reviewed(sources, plan), ("_low", F.lower("text")), ("_shown", F.lower("translated_text")))
+    lacks = lambda source, target: F.col("_low").contains(source) & ~F.col("_shown").contains(target)
+    few = pair.limit(FEW_TERMS + 1).collect()
+    if len(few) <= FEW_TERMS:
+        glossary = F.array(*[F.struct(F.lit(r["_from"]).alias("f"), F.lit(r["_to"]).alias("t")) for r in few]).cast("array<struct<f:string,t:string>>")
+        hits = both.where(F.exists(glossary, lambda p: lacks(p["f"], p["t"])))
+    else:
+        grams = F.array_distinct(F.concat(*[F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
+        # Fenced, as the explosion would have the pieces cut a second time, for its filter of empty arrays.
+        each = fenced(both, ("_grams", grams)).select(*keys, "_low", "_shown", F.explode("_grams").alias("_key"))
+        hits = each.join(F.broadcast(pair.withColumn("_key", F.substring("_from", 1, 3))), "_key").where(lacks(F.col("_from"), F.col("_to")))
+    return hits.select(*keys, F.lit("translation_quality_missing_key_term").alias("flag"), F.lit("severe").alias("severity")).distinct()
 
 
 def rendered(blocks: DataFrame, plan: DataFrame, intents: DataFrame | None = None) -> DataFrame:
