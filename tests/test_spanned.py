@@ -123,3 +123,16 @@ def test_accents_are_edges_of_words_as_in_the_sql(spark):
     math = "ABC+CMMI10"
     got = found(spark, [[t("des "), t("Iees ", math), t("ciónción ", math), t("+1", math), t(" al"), t("go")]])
     assert [k[2] for k in got] == ["Iees ciónción +1"]
+
+
+def test_spans_in_their_lines_are_not_shuffled(spark):
+    """Each word was a row of its own, shuffled and sorted by line: most of what the query put on disk."""
+    from quire.cases import spanned
+
+    folder = "/root/testdata/sf0.001"
+    blocks, _, lines = spanned.word_spans(spark, folder)
+    own = spanruns.inline_runs(blocks, None, lines)
+    flat = spanruns.inline_runs(blocks, lines.selectExpr("doc_id", "block_id", "line", "inline(spans)"), lines.drop("spans"))
+    assert sorted(map(str, own.collect())) == sorted(map(str, flat.collect())) != []
+    plan = spanned.ar02_span_runs(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any("hashpartitioning" in x and "line#" in x for x in plan.splitlines())
