@@ -145,3 +145,24 @@ def test_nothing_to_translate(spark):
     never = lambda prompts, attempt: 1 / 0
     assert ran(spark, [], never) == {}
     assert ran(spark, [(0, 0, "E", [], False)], never)[0, 0]["attempt"] == 0
+
+
+def test_disk_is_given_back(spark):
+    """Tables of attempts stayed to the end, and so did all that was shuffled for any written table."""
+    import time
+
+    from quire import scratch
+    from quire.cases import translated
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    dirs = [str(d) for d in env.blockManager().diskBlockManager().localDirsString()]
+    shuffled = lambda: {f.name for d in dirs for f in __import__("pathlib").Path(d).rglob("shuffle_*.data")}
+    before, known = shuffled(), len(scratch._written)
+    out = translated.u03_u04_attempts(spark, "/root/testdata/sf0.001")
+    assert {p.rsplit("/", 1)[1] for _, p in scratch._written[known:]} == {"sources", "first", "issues", "revisions", "revised"}
+    for _ in range(40):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left and out.count() > 0
