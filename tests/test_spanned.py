@@ -136,3 +136,11 @@ def test_spans_in_their_lines_are_not_shuffled(spark):
     assert sorted(map(str, own.collect())) == sorted(map(str, flat.collect())) != []
     plan = spanned.ar02_span_runs(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and not any("hashpartitioning" in x and "line#" in x for x in plan.splitlines())
+
+
+def test_sources_of_candidates_are_made_once(spark):
+    """Documents were read and cut into lines anew for each use of each of the five tables."""
+    from quire.cases import spanned
+
+    for rows in spanned.candidate_sources(spark, "/root/testdata/sf0.001"):
+        assert not any("documents.parquet" in f for f in rows.inputFiles())
