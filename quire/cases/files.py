@@ -84,6 +84,29 @@ def io19_kept_assets(spark, sf_dir):
 # --- files of layout extractors -----------------------------------------------------------------------------
 
 
+def _put(root):
+    """A task that writes its files below a folder that all machines share, as Spark's writer would. Hadoop starts a process for the permissions of each local file, and one more for its checksum's, which took most of the time. A task that runs again puts the same names in place."""
+
+    def put(batches):
+        import os
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        name = f"part-{TaskContext.get().partitionId():05d}-layout.txt"
+        attempt = f".{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            for row in batch.to_pylist():
+                where = f"{root}/doc={row['doc']}/kind={row['kind']}"
+                os.makedirs(where, exist_ok=True)
+                with open(f"{where}/{attempt}", "w", encoding="utf-8", newline="") as f:
+                    f.write(row["value"] + "\n")
+                os.replace(f"{where}/{attempt}", f"{where}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return put
+
+
 def layout_files(spark, sf_dir):
     """A folder of JSON files: a document per conversation, a page per four turns; turns as items with lines, with contents nested four levels deep, or with tags. Every third document has its items in a content list."""
     from quire import scratch
@@ -104,9 +127,14 @@ def layout_files(spark, sf_dir):
     other = F.concat(F.lit("["), joined(lambda x: F.concat(F.lit("["), x["items"], F.lit("]"))), F.lit("]"))
     files = docs.select(F.col("conv_id").alias("doc"), F.explode(F.array(F.struct(F.lit("pages").alias("kind"), own.alias("value")), F.struct(F.lit("contents").alias("kind"), other.alias("value")))).alias("x")).select("doc", "x.kind", "x.value")
     folder = scratch.new_folder(spark, "layouts")
-    # A file costs its making, not its bytes: a fixed number of tasks, by a key that no exchange before has (else Spark leaves this one out and puts tasks together by size); each moves its own files into place.
+    # A file costs its making, not its bytes: a fixed number of tasks, by a key that no exchange before has (else Spark leaves this one out and puts tasks together by size).
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    files.repartition(many, F.hash("doc")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc", "kind").text(folder)
+    dealt = files.repartition(many, F.hash("doc"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        dealt.mapInArrow(_put(path.toUri().getPath()), "n long").agg(F.sum("n")).collect()
+    else:  # each task moves its own files into place
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("doc", "kind").text(folder)
     return folder
 
 

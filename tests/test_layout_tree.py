@@ -51,3 +51,15 @@ def test_files_are_written_by_all_tasks(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id").distinct().count()
     parts = {p.rsplit("/", 1)[1].split("-")[1] for p in spark.read.text(folder).inputFiles()}
     assert rows.count() == 2 * docs and len(parts) > 1
+
+
+def test_files_are_written_without_checksums(spark):
+    """Hadoop's local writer made a second file for each, and started a process for the permissions of both."""
+    import os
+
+    from quire.cases import files
+
+    folder = files.layout_files(spark, "/root/testdata/sf0.001")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()
+    names = [f for _, _, found in os.walk(folder) for f in found]
+    assert names and all(f.startswith("part-") for f in names)
